@@ -1,0 +1,52 @@
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and their DuckDB twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import oracle as O
+from ..operators import metrics as M
+from ..sources.fixtures import call_logs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return deco
+
+
+# --- metrics -------------------------------------------------------------------------------
+
+def _summary(rk):
+    return lambda spark, sf: M.summary(call_logs(spark, sf), rk)
+
+
+for _rk in ("1h", "24h", "7d", "30d"):
+    register(f"summary_{_rk}", O.summary_sql(_rk))(_summary(_rk))
+
+register("by_provider", O.by_provider_sql("7d"))(
+    lambda spark, sf: M.by_provider(call_logs(spark, sf), "7d"))
+register("top_models", O.top_models_sql("7d"))(
+    lambda spark, sf: M.top_models(call_logs(spark, sf), "7d"))
+register("errors_breakdown", O.errors_breakdown_sql("7d"))(
+    lambda spark, sf: M.errors_breakdown(call_logs(spark, sf), "7d"))
+
+
+def _ts(metric, rk, group_by):
+    return lambda spark, sf: M.timeseries(call_logs(spark, sf), metric, rk, group_by)
+
+
+for _m in M.METRICS:
+    register(f"ts_{_m}", O.timeseries_sql(_m, "7d"))(_ts(_m, "7d", "none"))
+register("ts_by_provider", O.timeseries_sql("requests", "24h", "provider"))(_ts("requests", "24h", "provider"))
+register("ts_by_model", O.timeseries_sql("latency_p95", "30d", "model"))(_ts("latency_p95", "30d", "model"))
+register("ts_requests_1h", O.timeseries_sql("requests", "1h"))(_ts("requests", "1h", "none"))
+register("ts_cost_30d_by_provider", O.timeseries_sql("cost", "30d", "provider"))(_ts("cost", "30d", "provider"))
