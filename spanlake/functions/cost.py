@@ -43,11 +43,15 @@ def rates_for(provider_raw, model) -> Column:
     return F.when(p == LOCAL_PROVIDER, local).otherwise(cloud)
 
 
+def raw_cost(rates: Column, prompt, completion) -> Column:
+    """Exact in*p + out*c (scale 9); NULL when a count or the rate is NULL."""
+    return rates["input_rate"] * _c(prompt) + rates["output_rate"] * _c(completion)
+
+
 def linear_cost(rates: Column, prompt, completion) -> Column:
-    """in*p + out*c as DECIMAL(12,6); NULL when either count or the rate is NULL."""
+    """in*p + out*c stored as DECIMAL(12,6) (half-up)."""
     p, c = _c(prompt), _c(completion)
-    raw = rates["input_rate"] * p + rates["output_rate"] * c
-    return F.when(p.isNotNull() & c.isNotNull(), raw.cast(COST_TYPE))
+    return F.when(p.isNotNull() & c.isNotNull(), raw_cost(rates, p, c).cast(COST_TYPE))
 
 
 def call_cost(provider_raw, model, prompt, completion) -> Column:

@@ -62,7 +62,11 @@ logs_pv AS (
 
 
 def with_logs(body: str, previews: bool = False) -> str:
+    """Prefix the call-log CTEs; a body starting with ',' adds more CTEs."""
     ctes = LOGS_BASE + ("," + LOGS_PREVIEW if previews else "")
+    body = body.lstrip()
+    if body.startswith(","):
+        return f"WITH {ctes}{body}"
     return f"WITH {ctes}\n{body}"
 
 
@@ -147,3 +151,108 @@ SELECT t, series_key, COALESCE(v, 0.0) AS v FROM (
   SELECT {t} AS t, {key} AS series_key, {METRIC_SQL[metric]} AS v
   FROM logs WHERE {in_range_sql(range_key)} GROUP BY 1, 2
 ) s ORDER BY t, series_key""")
+
+
+# --- log explorer ----------------------------------------------------------------------------
+
+LIST_COLS_SQL = """id, CAST(conversation_id AS VARCHAR) AS conversation_id, provider, model, status,
+  latency_ms, ttft_ms, prompt_tokens, completion_tokens, total_tokens, CAST(cost_usd AS DOUBLE) AS cost_usd,
+  streamed, input_preview, output_preview, error_type, environment, started_at, ended_at, created_at"""
+
+
+def logs_page_sql(limit: int, where: str = "TRUE") -> str:
+    return with_logs(f"""
+, top AS (
+  SELECT * FROM logs_pv WHERE {where} ORDER BY created_at DESC, id DESC LIMIT {limit + 1}
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rn, count(*) OVER () AS n FROM top
+)
+SELECT {LIST_COLS_SQL},
+  CASE WHEN n > {limit} THEN (SELECT created_at FROM r WHERE rn = {limit}) END AS next_cursor,
+  CASE WHEN n > {limit} THEN (SELECT id FROM r WHERE rn = {limit}) END AS next_cursor_id
+FROM r WHERE rn <= {limit}""", previews=True)
+
+
+def log_detail_sql(log_id: str) -> str:
+    return with_logs(f"""
+SELECT {LIST_COLS_SQL},
+  to_json(struct_pack(messages := [struct_pack(role := 'user', content := COALESCE(input_preview, ''))]))
+    AS request_payload,
+  to_json(struct_pack(content := COALESCE(output_preview, ''), finish_reason := 'stop')) AS response_payload,
+  '[]' AS pii_detections
+FROM logs_pv WHERE id = '{log_id}'""", previews=True)
+
+
+# --- cost ------------------------------------------------------------------------------------
+
+def _price_values() -> str:
+    from ..sources.prices import price_rows
+    rows = ", ".join(f"('{k}', {str(loc).upper()}, CAST({i} AS DECIMAL(12,9)), CAST({o} AS DECIMAL(12,9)))"
+                     for k, loc, i, o in price_rows())
+    return f"(VALUES {rows}) AS cat(price_key, is_local, input_rate, output_rate)"
+
+
+def _rated(src: str) -> str:
+    """Rows of ``src`` with in_rate/out_rate from the full catalog (cloud key or local rules)."""
+    return f"""
+rated AS (
+  SELECT s.*,
+    CASE WHEN lower(s.provider_raw) = 'ollama'
+      THEN COALESCE(lb.input_rate, lf.input_rate, CAST(0.000000080 AS DECIMAL(12,9)))
+      ELSE c.input_rate END AS in_rate,
+    CASE WHEN lower(s.provider_raw) = 'ollama'
+      THEN COALESCE(lb.output_rate, lf.output_rate, CAST(0.000000080 AS DECIMAL(12,9)))
+      ELSE c.output_rate END AS out_rate
+  FROM {src} s
+  LEFT JOIN (SELECT * FROM {_price_values()} WHERE NOT is_local) c
+    ON c.price_key = lower(s.provider_raw) || ':' || lower(s.model)
+  LEFT JOIN (SELECT * FROM {_price_values()} WHERE is_local) lb
+    ON lb.price_key = split_part(lower(s.model), ':latest', 1)
+  LEFT JOIN (SELECT * FROM {_price_values()} WHERE is_local) lf
+    ON lf.price_key = lower(s.model)
+)"""
+
+
+def cost_by_model_sql() -> str:
+    return with_logs(f""", {_rated('logs')}
+SELECT provider_raw, model, COUNT(*) AS calls, CAST(SUM(prompt_tokens) AS BIGINT) AS prompt_tokens,
+  CAST(SUM(completion_tokens) AS BIGINT) AS completion_tokens,
+  CAST(SUM(CASE WHEN prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL
+    THEN CAST(in_rate * prompt_tokens + out_rate * completion_tokens AS DECIMAL(12,6)) END) AS DOUBLE) AS cost_usd,
+  COUNT(*) FILTER (WHERE in_rate IS NULL OR prompt_tokens IS NULL OR completion_tokens IS NULL) AS unpriced_calls
+FROM rated GROUP BY provider_raw, model""")
+
+
+def _est(col: str) -> str:
+    return (f"CAST(CASE WHEN COALESCE(length({col}), 0) = 0 THEN 0 "
+            f"ELSE greatest(1, length({col}) // 4) END AS INT)")
+
+
+def backfill_sql(mode: str = "reference") -> str:
+    if mode == "reference":
+        pred = "provider = 'OTHER' AND (prompt_tokens IS NULL OR cost_usd IS NULL)"
+        new_p, new_c = "est_p", "est_c"
+        new_t = "est_p + est_c"
+        new_cost = "CAST(round(l_in * est_p + l_out * est_c, 8) AS DECIMAL(12,6))"
+    else:
+        pred = "provider_raw = 'ollama' AND (prompt_tokens IS NULL OR cost_usd IS NULL)"
+        new_p, new_c = "COALESCE(prompt_tokens, est_p)", "COALESCE(completion_tokens, est_c)"
+        new_t = "COALESCE(total_tokens, COALESCE(prompt_tokens, est_p) + COALESCE(completion_tokens, est_c))"
+        new_cost = ("COALESCE(cost_usd, CAST(l_in * COALESCE(prompt_tokens, est_p) "
+                    "+ l_out * COALESCE(completion_tokens, est_c) AS DECIMAL(12,6)))")
+    local = _price_values()
+    return with_logs(f""", est AS (
+  SELECT l.*, {_est('input_preview')} AS est_p, {_est('output_preview')} AS est_c,
+    COALESCE(lb.input_rate, lf.input_rate, CAST(0.000000080 AS DECIMAL(12,9))) AS l_in,
+    COALESCE(lb.output_rate, lf.output_rate, CAST(0.000000080 AS DECIMAL(12,9))) AS l_out,
+    ({pred}) AS bf
+  FROM logs_pv l
+  LEFT JOIN (SELECT * FROM {local} WHERE is_local) lb ON lb.price_key = split_part(lower(l.model), ':latest', 1)
+  LEFT JOIN (SELECT * FROM {local} WHERE is_local) lf ON lf.price_key = lower(l.model)
+)
+SELECT id, provider, model,
+  CASE WHEN bf THEN {new_p} ELSE prompt_tokens END AS prompt_tokens,
+  CASE WHEN bf THEN {new_c} ELSE completion_tokens END AS completion_tokens,
+  CASE WHEN bf THEN {new_t} ELSE total_tokens END AS total_tokens,
+  CAST(CASE WHEN bf THEN {new_cost} ELSE cost_usd END AS DOUBLE) AS cost_usd
+FROM est""", previews=True)

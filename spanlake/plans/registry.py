@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracle as O
 from ..operators import metrics as M
@@ -50,3 +51,39 @@ register("ts_by_provider", O.timeseries_sql("requests", "24h", "provider"))(_ts(
 register("ts_by_model", O.timeseries_sql("latency_p95", "30d", "model"))(_ts("latency_p95", "30d", "model"))
 register("ts_requests_1h", O.timeseries_sql("requests", "1h"))(_ts("requests", "1h", "none"))
 register("ts_cost_30d_by_provider", O.timeseries_sql("cost", "30d", "provider"))(_ts("cost", "30d", "provider"))
+
+
+# --- log explorer --------------------------------------------------------------------------
+
+from ..operators import explore as X  # noqa: E402
+from ..operators import cost as C  # noqa: E402
+from ..sources.prices import price_catalog  # noqa: E402
+
+register("logs_page", O.logs_page_sql(50))(
+    lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 50))
+register("logs_filtered", O.logs_page_sql(20, "provider = 'ANTHROPIC' AND status = 'ERROR'"))(
+    lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 20, provider="anthropic",
+                                  status="error"))
+register("logs_next_page", O.logs_page_sql(
+    100, "model = 'gpt-4o' AND created_at < TIMESTAMP '2024-01-15 00:00:00'"))(
+    lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 100, model="gpt-4o",
+                                  cursor="2024-01-15 00:00:00", mode="reference"))
+register("logs_by_conversation", O.logs_page_sql(200, "conversation_id = 7"))(
+    lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 200, conversation_id=7))
+register("log_detail", O.log_detail_sql("42"))(
+    lambda spark, sf: X.log_detail(call_logs(spark, sf, previews=True), "42"))
+
+# --- cost ----------------------------------------------------------------------------------
+
+register("cost_by_model", O.cost_by_model_sql())(
+    lambda spark, sf: C.cost_by_model(call_logs(spark, sf)))
+register("cost_by_model_catalog", O.cost_by_model_sql())(
+    lambda spark, sf: C.cost_by_model(call_logs(spark, sf), price_catalog(spark)))
+register("backfill_tokens", O.backfill_sql("reference"))(
+    lambda spark, sf: C.backfill_tokens(call_logs(spark, sf, previews=True), "reference").select(
+        "id", "provider", "model", "prompt_tokens", "completion_tokens", "total_tokens",
+        F.col("cost_usd").cast("double").alias("cost_usd")))
+register("backfill_fill_nulls", O.backfill_sql("fill"))(
+    lambda spark, sf: C.backfill_tokens(call_logs(spark, sf, previews=True), "fill").select(
+        "id", "provider", "model", "prompt_tokens", "completion_tokens", "total_tokens",
+        F.col("cost_usd").cast("double").alias("cost_usd")))

@@ -97,6 +97,14 @@ def call_logs(spark: SparkSession, sf_dir: str, previews: bool = False) -> DataF
         pv = document_previews(read_table(spark, sf_dir, "documents"))
         logs = (logs.join(pv, logs["event_id"] == pv["preview_doc_id"], "left")
                 .drop("preview_doc_id"))
+        msg = F.struct(F.lit("user").alias("role"),
+                       F.coalesce(F.col("input_preview"), F.lit("")).alias("content"))
+        logs = (logs
+                .withColumn("request_payload", F.to_json(F.struct(F.array(msg).alias("messages"))))
+                .withColumn("response_payload", F.to_json(F.struct(
+                    F.coalesce(F.col("output_preview"), F.lit("")).alias("content"),
+                    F.lit("stop").alias("finish_reason"))))
+                .withColumn("pii_detections", F.lit("[]")))
     return logs
 
 
