@@ -256,3 +256,80 @@ SELECT id, provider, model,
   CASE WHEN bf THEN {new_t} ELSE total_tokens END AS total_tokens,
   CAST(CASE WHEN bf THEN {new_cost} ELSE cost_usd END AS DOUBLE) AS cost_usd
 FROM est""", previews=True)
+
+
+# --- PII ----------------------------------------------------------------------------------------
+
+def _duck_card_valid(m: str) -> str:
+    digits = f"regexp_replace({m}, '[^0-9]', '', 'g')"
+    luhn = (f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, j: "
+            f"CASE WHEN j % 2 = 0 THEN (CASE WHEN CAST(c AS INT) * 2 > 9 THEN CAST(c AS INT) * 2 - 9 "
+            f"ELSE CAST(c AS INT) * 2 END) ELSE CAST(c AS INT) END)) % 10 = 0")
+    n = f"length(regexp_replace({m}, '[\\s\\-]', '', 'g'))"
+    return f"({n} BETWEEN 13 AND 19 AND length({digits}) >= 13 AND {luhn})"
+
+
+def pii_chain_sql(src: str, text_col: str, prefix: str = "pii_", name: str = "pii") -> tuple[str, str]:
+    """CTEs applying the pattern chain to ``text_col`` of ``src``; returns (ctes, last_cte)."""
+    from ..functions.pii import PATTERNS
+    ctes = [f"{name}0 AS (SELECT *, {text_col} AS __t FROM {src})"]
+    prev = f"{name}0"
+    for k, p in enumerate(PATTERNS, start=1):
+        rx = "(?i)" + p.regex.replace("'", "''")
+        cur = f"{name}{k}"
+        if not p.validate_card:
+            rep = p.placeholder.replace("$1", "\\1")
+            ctes.append(
+                f"{cur} AS (SELECT * EXCLUDE (__t), regexp_replace(__t, '{rx}', '{rep}', 'g') AS __t, "
+                f"CAST(COALESCE(len(regexp_extract_all(__t, '{rx}')), 0) AS INT) AS {prefix}{p.name} FROM {prev})")
+        else:
+            valid = _duck_card_valid("m")
+            ctes.append(
+                f"{cur} AS (SELECT * EXCLUDE (__t, __parts, __ms), "
+                f"CASE WHEN __t IS NULL THEN NULL ELSE __parts[1] || array_to_string(list_transform(__ms, lambda m, i: "
+                f"(CASE WHEN {valid} THEN '{p.placeholder}' ELSE m END) || __parts[i + 1]), '') END AS __t, "
+                f"CAST(COALESCE(len(list_filter(__ms, lambda m: {valid})), 0) AS INT) AS {prefix}{p.name} "
+                f"FROM (SELECT *, string_split_regex(__t, '{rx}') AS __parts, "
+                f"regexp_extract_all(__t, '{rx}') AS __ms FROM {prev}))")
+        prev = cur
+    return ",\n".join(ctes), prev
+
+
+def pii_docs_sql() -> str:
+    from ..functions.pii import PII_TYPES
+    ctes, last = pii_chain_sql("documents", "text")
+    counts = ", ".join(f"pii_{n}" for n in PII_TYPES)
+    return f"WITH {ctes}\nSELECT doc_id, __t AS text_redacted, {counts} FROM {last}"
+
+
+def pii_totals_sql() -> str:
+    from ..functions.pii import PII_TYPES
+    ctes, last = pii_chain_sql("documents", "text")
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS type, COUNT(*) FILTER (WHERE pii_{n} > 0) AS rows, "
+        f"CAST(SUM(pii_{n}) AS BIGINT) AS matches FROM {last}" for n in PII_TYPES)
+    return f"WITH {ctes}\n{rows}"
+
+
+def pii_messages_sql() -> str:
+    from ..functions.pii import PII_TYPES
+    ctes, last = pii_chain_sql(
+        "(SELECT conv_id AS conversation_id, turn, upper(role) AS role, text AS content FROM conversations)",
+        "content")
+    counts = ", ".join(f"pii_{n}" for n in PII_TYPES)
+    return (f"WITH {ctes}\nSELECT conversation_id, turn, role, __t AS content_redacted, {counts}, "
+            f"{' + '.join('pii_' + n for n in PII_TYPES)} AS pii_total FROM {last}")
+
+
+def pii_detection_report_sql() -> str:
+    from ..functions.pii import PII_TYPES
+    req, req_last = pii_chain_sql("(SELECT id, COALESCE(input_preview, '') AS req FROM logs_pv)", "req",
+                                  "rq_", "rq")
+    resp, resp_last = pii_chain_sql("(SELECT id, output_preview AS resp FROM logs_pv)", "resp", "rs_", "rs")
+    sides = " UNION ALL ".join(
+        f"SELECT '{n}' AS type, {pfx}{n} AS c FROM {last}"
+        for last, pfx in ((req_last, "rq_"), (resp_last, "rs_")) for n in PII_TYPES)
+    return with_logs(f""", {req},
+{resp}
+SELECT type, CAST(SUM(c) AS BIGINT) AS total_count, COUNT(*) AS rows_with_type
+FROM ({sides}) u WHERE c > 0 GROUP BY type""", previews=True)

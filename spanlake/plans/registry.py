@@ -87,3 +87,44 @@ register("backfill_fill_nulls", O.backfill_sql("fill"))(
     lambda spark, sf: C.backfill_tokens(call_logs(spark, sf, previews=True), "fill").select(
         "id", "provider", "model", "prompt_tokens", "completion_tokens", "total_tokens",
         F.col("cost_usd").cast("double").alias("cost_usd")))
+
+# --- PII -----------------------------------------------------------------------------------
+
+from ..functions.pii import PII_TYPES  # noqa: E402
+from ..operators import redact as R  # noqa: E402
+from ..sources.fixtures import conversation_messages  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+def _redacted_docs(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return R.redact_column(docs, "text", "text_redacted", with_detections=False)
+
+
+register("pii_redact_docs", O.pii_docs_sql())(
+    lambda spark, sf: _redacted_docs(spark, sf).select(
+        "doc_id", "text_redacted", *[f"pii_{n}" for n in PII_TYPES]))
+register("pii_counts", O.pii_totals_sql())(lambda spark, sf: R.pii_totals(_redacted_docs(spark, sf)))
+
+
+def _pii_messages(spark, sf):
+    m = R.redact_column(conversation_messages(spark, sf), "content", "content_redacted",
+                        with_detections=False)
+    total = sum((F.col(f"pii_{n}") for n in PII_TYPES[1:]), F.col(f"pii_{PII_TYPES[0]}"))
+    return m.select("conversation_id", "turn", "role", "content_redacted",
+                    *[f"pii_{n}" for n in PII_TYPES], total.alias("pii_total"))
+
+
+register("pii_messages", O.pii_messages_sql())(_pii_messages)
+
+
+def _pii_report(spark, sf):
+    logs = call_logs(spark, sf, previews=True).select(
+        "id", F.array(F.struct(F.lit("user").alias("role"),
+                               F.coalesce(F.col("input_preview"), F.lit("")).alias("content"),
+                               F.lit(None).cast("string").alias("name"))).alias("messages"),
+        F.col("output_preview").alias("response_content"))
+    return R.detection_report(R.redact_payload(logs, "messages", "response_content"))
+
+
+register("pii_detection_report", O.pii_detection_report_sql())(_pii_report)
