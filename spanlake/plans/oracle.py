@@ -333,3 +333,100 @@ def pii_detection_report_sql() -> str:
 {resp}
 SELECT type, CAST(SUM(c) AS BIGINT) AS total_count, COUNT(*) AS rows_with_type
 FROM ({sides}) u WHERE c > 0 GROUP BY type""", previews=True)
+
+
+# --- validation / merge ---------------------------------------------------------------------------
+
+RAW_EVENTS = """
+raw AS (
+  SELECT event_id, ts AS received_at, CASE WHEN event_id % 7 = 0 THEN event_id - event_id % 14 ELSE event_id END AS id,
+   CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'view' THEN 'bogus' ELSE 'success' END AS status,
+   CAST(FLOOR(value * 20) AS INT) - 40 AS latency_ms,
+   CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(event_id % 1951 AS INT) END AS prompt_tokens
+  FROM events
+)"""
+
+RAW_REASONS = """
+checked AS (
+  SELECT *, list_filter([
+    CASE WHEN NOT COALESCE(id IS NOT NULL, FALSE) THEN 'missing_id' END,
+    CASE WHEN NOT COALESCE(latency_ms IS NOT NULL, FALSE) THEN 'missing_latency_ms' END,
+    CASE WHEN NOT COALESCE(length(lpad(CAST(id AS VARCHAR), 10, '0')) >= 10, FALSE) THEN 'id_too_short' END,
+    CASE WHEN NOT COALESCE(latency_ms >= 0, FALSE) THEN 'negative_latency_ms' END,
+    CASE WHEN NOT COALESCE(upper(COALESCE(status, 'success')) IN ('SUCCESS','ERROR','CANCELLED','TIMEOUT'), FALSE)
+      THEN 'bad_status' END], lambda x: x IS NOT NULL) AS reasons
+  FROM raw
+)"""
+
+
+def validate_report_sql() -> str:
+    return f"""WITH {RAW_EVENTS}, {RAW_REASONS}
+SELECT reason, COUNT(*) AS rows FROM (
+  SELECT unnest(CASE WHEN len(reasons) = 0 THEN ['accepted'] ELSE reasons END) AS reason FROM checked
+) u GROUP BY reason"""
+
+
+def upsert_fold_sql() -> str:
+    return f"""WITH {RAW_EVENTS}, {RAW_REASONS}
+SELECT id, arg_max_null(upper(COALESCE(status, 'success')), event_id) AS status,
+  arg_min_null(latency_ms, event_id) AS latency_ms, arg_max_null(prompt_tokens, event_id) AS prompt_tokens,
+  arg_min_null(received_at, event_id) AS created_at, COUNT(*) AS versions
+FROM checked WHERE len(reasons) = 0 GROUP BY id"""
+
+
+def replay_failed_sql() -> str:
+    return f"""WITH {RAW_EVENTS}, {RAW_REASONS}
+SELECT event_id, 'FAILED' AS status, array_to_string(reasons, ',') AS error, 1 AS attempts
+FROM checked WHERE len(reasons) > 0"""
+
+
+PAYLOAD_EVENTS = """
+pe AS (
+  SELECT event_id, ts AS received_at,
+   'evt-' || lpad(CAST(CASE WHEN event_id % 7 = 0 THEN event_id - event_id % 14 ELSE event_id END AS VARCHAR), 8, '0') AS id,
+   CAST(user_id AS VARCHAR) AS conversation_id,
+   CASE event_id % 4 WHEN 0 THEN 'OPENAI' WHEN 1 THEN 'ANTHROPIC' WHEN 2 THEN 'GOOGLE' ELSE 'OTHER' END AS provider,
+   CASE event_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'google' ELSE 'ollama' END AS provider_raw,
+   CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 = 0 THEN 'gpt-4o-mini' ELSE 'gpt-4o' END
+     WHEN 1 THEN 'claude-3-5-haiku-latest' WHEN 2 THEN 'gemini-1.5-flash'
+     ELSE CASE WHEN event_id % 8 = 3 THEN 'gemma3:4b' ELSE 'llama3.2:latest' END END AS model,
+   CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'view' THEN 'BOGUS' ELSE 'SUCCESS' END AS status,
+   CASE WHEN event_type = 'error' THEN 'upstream_error' END AS error_type,
+   CAST(FLOOR(value * 20) AS INT) - 40 AS latency_ms,
+   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(80 + (event_id * 11) % 421 AS INT) END AS ttft_ms,
+   event_id % 5 > 1 AS streamed,
+   CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(50 + (event_id * 37) % 1951 AS INT) END AS prompt_tokens,
+   CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(20 + (event_id * 53) % 781 AS INT) END AS completion_tokens,
+   NULLIF(substring(props, 1, 256), '') AS input_preview,
+   NULLIF(substring(event_type, 1, 256), '') AS output_preview
+  FROM events
+)"""
+
+
+def ingest_events_sql() -> str:
+    k = "struct_pack(a := received_at, b := event_id)"
+    return f"""WITH {PAYLOAD_EVENTS}
+SELECT id, arg_min_null(conversation_id, {k}) AS conversation_id, arg_min_null(provider, {k}) AS provider,
+  arg_min_null(provider_raw, {k}) AS provider_raw, arg_min_null(model, {k}) AS model,
+  arg_max_null(status, {k}) AS status, arg_max_null(error_type, {k}) AS error_type,
+  arg_min_null(latency_ms, {k}) AS latency_ms, arg_min_null(ttft_ms, {k}) AS ttft_ms,
+  arg_min_null(streamed, {k}) AS streamed,
+  arg_max_null(prompt_tokens, {k}) AS prompt_tokens, arg_max_null(completion_tokens, {k}) AS completion_tokens,
+  arg_max_null(CASE WHEN COALESCE(prompt_tokens, 0) <> 0 OR COALESCE(completion_tokens, 0) <> 0
+    THEN COALESCE(prompt_tokens, 0) + COALESCE(completion_tokens, 0) END, {k}) AS total_tokens,
+  arg_max_null(input_preview, {k}) AS input_preview, arg_max_null(output_preview, {k}) AS output_preview,
+  'dev' AS environment, arg_min_null(received_at, {k}) AS created_at, COUNT(*) AS versions
+FROM pe WHERE status <> 'BOGUS' AND latency_ms >= 0 GROUP BY id"""
+
+
+def event_status_counts_sql() -> str:
+    return f"""WITH {PAYLOAD_EVENTS}
+SELECT CASE WHEN status <> 'BOGUS' AND latency_ms >= 0 THEN 'PROCESSED' ELSE 'FAILED' END AS status,
+  COUNT(*) AS events FROM pe GROUP BY 1"""
+
+
+def orphan_check_sql() -> str:
+    return with_logs("""
+SELECT id, conversation_id FROM logs l
+WHERE conversation_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = l.conversation_id)""")

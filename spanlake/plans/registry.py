@@ -128,3 +128,59 @@ def _pii_report(spark, sf):
 
 
 register("pii_detection_report", O.pii_detection_report_sql())(_pii_report)
+
+# --- validation / ingest / merge -----------------------------------------------------------
+
+from ..operators import ingest as I  # noqa: E402
+from ..operators import merge as MG  # noqa: E402
+from ..operators import validate as V  # noqa: E402
+from ..sources.events import parse_events, payloads_from_events  # noqa: E402
+from ..sources.fixtures import raw_events  # noqa: E402
+
+
+def _checked_raw(spark, sf):
+    return V.with_reasons(raw_events(spark, sf), V.raw_event_rules())
+
+
+register("validate_report", O.validate_report_sql())(lambda spark, sf: V.reject_report(_checked_raw(spark, sf)))
+
+
+def _upsert_fold(spark, sf):
+    ok, _ = V.split_valid(_checked_raw(spark, sf))
+    facts = ok.select("id", "event_id", F.upper(F.coalesce("status", F.lit("success"))).alias("status"),
+                      "latency_ms", "prompt_tokens", F.col("received_at").alias("created_at"))
+    return MG.fold_latest(facts, "id", ["event_id"], mutable=("status", "prompt_tokens")).drop("event_id")
+
+
+register("upsert_fold", O.upsert_fold_sql())(_upsert_fold)
+
+
+def _raw_lifecycle(rows):
+    checked = V.with_reasons(rows, V.raw_event_rules())
+    ok = F.size("reject_reasons") == 0
+    return checked.select("event_id", F.when(ok, F.lit("PROCESSED")).otherwise(F.lit("FAILED")).alias("status"),
+                          F.when(~ok, F.array_join("reject_reasons", ",")).alias("error"))
+
+
+register("replay_failed", O.replay_failed_sql())(
+    lambda spark, sf: MG.replay_failed(raw_events(spark, sf), _raw_lifecycle(raw_events(spark, sf)),
+                                       _raw_lifecycle))
+
+
+def _ingest(spark, sf):
+    raw = parse_events(payloads_from_events(read_table(spark, sf, "events")))
+    return I.ingest(raw)
+
+
+INGEST_COLS = ("id", "conversation_id", "provider", "provider_raw", "model", "status", "error_type",
+               "latency_ms", "ttft_ms", "streamed", "prompt_tokens", "completion_tokens", "total_tokens",
+               "input_preview", "output_preview", "environment", "created_at", "versions")
+
+
+register("ingest_events", O.ingest_events_sql())(
+    lambda spark, sf: MG.fold_latest(_ingest(spark, sf)[0]).select(*INGEST_COLS))
+register("event_status_counts", O.event_status_counts_sql())(
+    lambda spark, sf: MG.event_status_counts(_ingest(spark, sf)[1]))
+register("orphan_check", O.orphan_check_sql())(
+    lambda spark, sf: MG.orphans(call_logs(spark, sf), read_table(spark, sf, "conversations"),
+                                 "conversation_id", "conv_id").select("id", "conversation_id"))
