@@ -430,3 +430,106 @@ def orphan_check_sql() -> str:
 SELECT id, conversation_id FROM logs l
 WHERE conversation_id IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = l.conversation_id)""")
+
+
+# --- rollups --------------------------------------------------------------------------------------
+
+ROLLUP_AGGS = """COUNT(*) AS count_total, COUNT(*) FILTER (WHERE status = 'ERROR') AS count_error,
+  CAST(SUM(latency_ms) AS BIGINT) AS sum_latency_ms, COUNT(ttft_ms) AS count_ttft,
+  CAST(SUM(ttft_ms) AS BIGINT) AS sum_ttft_ms, CAST(SUM(prompt_tokens) AS BIGINT) AS sum_prompt_tokens,
+  CAST(SUM(completion_tokens) AS BIGINT) AS sum_completion_tokens, CAST(SUM(cost_usd) AS DOUBLE) AS sum_cost_usd"""
+
+
+def rollup_sql(width: str = "INTERVAL 1 MINUTE") -> str:
+    return with_logs(f"""
+SELECT time_bucket({width}, created_at, TIMESTAMP '2000-01-01') AS bucket, provider, model, {ROLLUP_AGGS}
+FROM logs GROUP BY 1, 2, 3""")
+
+
+def rollup_plus_tail_sql(range_key: str = "7d") -> str:
+    return with_logs(f"""
+SELECT '{range_key}' AS range_name, CAST(total AS BIGINT) AS total_requests,
+  {half_even_ratio_sql('errors', 'total')} AS error_rate,
+  {trunc_long('sum_ttft / n_ttft')} AS avg_ttft_ms,
+  {trunc_long('sum_lat / total')} AS avg_latency_ms,
+  COALESCE(CAST(sp AS BIGINT), 0) AS total_prompt_tokens, COALESCE(CAST(sc AS BIGINT), 0) AS total_completion_tokens,
+  COALESCE(CAST(cost AS DOUBLE), 0.0) AS total_cost_usd
+FROM (SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE status = 'ERROR') AS errors,
+  CAST(SUM(ttft_ms) AS DOUBLE) AS sum_ttft, COUNT(ttft_ms) AS n_ttft, CAST(SUM(latency_ms) AS DOUBLE) AS sum_lat,
+  SUM(prompt_tokens) AS sp, SUM(completion_tokens) AS sc, SUM(cost_usd) AS cost
+  FROM logs WHERE {in_range_sql(range_key)}) s""")
+
+
+# --- conversations --------------------------------------------------------------------------------
+
+CONV_CTES = """
+msgs AS (SELECT conv_id AS conversation_id, turn, upper(role) AS role, text AS content FROM conversations),
+m AS (
+  SELECT conversation_id,
+    arg_min_null(CASE WHEN role = 'USER' THEN content END, CASE WHEN role = 'USER' THEN turn END)
+      FILTER (WHERE role = 'USER') AS first_user,
+    COUNT(*) AS message_count, arg_max_null(content, turn) AS last_message_preview, MAX(turn) AS last_turn
+  FROM msgs GROUP BY conversation_id
+),
+lg AS (
+  SELECT conversation_id, MIN(created_at) AS created_at, MAX(created_at) AS updated_at,
+    arg_min_null(provider, created_at) AS provider, arg_min_null(model, created_at) AS model
+  FROM logs GROUP BY conversation_id
+),
+convs AS (
+  SELECT m.conversation_id, COALESCE(NULLIF(substring(first_user, 1, 60), ''), 'New conversation') AS title,
+    'ACTIVE' AS status, lg.provider, lg.model, message_count, last_turn, last_message_preview,
+    lg.created_at, lg.updated_at
+  FROM m LEFT JOIN lg ON m.conversation_id = lg.conversation_id
+)"""
+
+
+def conv_sql(body: str) -> str:
+    body = body.lstrip()
+    sep = "" if body.startswith(",") else "\n"
+    return with_logs(f", {CONV_CTES}{sep}{body}")
+
+
+def conversation_list_sql() -> str:
+    return conv_sql("SELECT * FROM convs WHERE status <> 'ARCHIVED' "
+                    "ORDER BY updated_at DESC NULLS LAST, conversation_id LIMIT 50")
+
+
+def conversation_thread_sql() -> str:
+    return conv_sql("SELECT c.conversation_id, title, status, turn, role, content "
+                    "FROM convs c JOIN msgs m ON c.conversation_id = m.conversation_id")
+
+
+def context_sql(limit: int = 20) -> str:
+    return conv_sql(f"""
+, recent AS (
+  SELECT conversation_id, lower(role) AS role, content,
+    row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS rn FROM msgs
+), hist AS (SELECT * FROM recent WHERE rn <= {limit}),
+n AS (SELECT conversation_id, COUNT(*) AS cnt FROM hist GROUP BY conversation_id)
+SELECT conversation_id, 0 AS pos, 'system' AS role, 'You are a helpful assistant.' AS content FROM n
+UNION ALL
+SELECT h.conversation_id, CAST(cnt - rn + 1 AS INT) AS pos, role, content FROM hist h JOIN n USING (conversation_id)
+UNION ALL
+SELECT conversation_id, CAST(cnt + 1 AS INT) AS pos, 'user' AS role, 'continue' AS content FROM n""".lstrip())
+
+
+def last_message_sql() -> str:
+    return conv_sql("SELECT conversation_id, MAX(turn) AS last_turn, arg_max_null(role, turn) AS last_role, "
+                    "arg_max_null(content, turn) AS last_message_preview FROM msgs GROUP BY conversation_id")
+
+
+def usage_per_conversation_sql() -> str:
+    return conv_sql("""SELECT c.conversation_id, c.title, COUNT(*) AS calls,
+  COUNT(*) FILTER (WHERE l.status = 'ERROR') AS errors, CAST(SUM(l.total_tokens) AS BIGINT) AS total_tokens,
+  CAST(SUM(l.cost_usd) AS DOUBLE) AS cost_usd
+FROM convs c JOIN logs l ON c.conversation_id = l.conversation_id GROUP BY c.conversation_id, c.title""")
+
+
+def archive_sql() -> str:
+    return conv_sql(f"""SELECT conversation_id,
+  CASE WHEN conversation_id IN (SELECT conversation_id FROM logs WHERE status = 'ERROR' AND {in_range_sql('24h')})
+    THEN 'ARCHIVED' ELSE status END AS status,
+  CASE WHEN conversation_id IN (SELECT conversation_id FROM logs WHERE status = 'ERROR' AND {in_range_sql('24h')})
+    THEN {AS_OF} ELSE updated_at END AS updated_at
+FROM convs""")

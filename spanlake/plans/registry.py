@@ -184,3 +184,44 @@ register("event_status_counts", O.event_status_counts_sql())(
 register("orphan_check", O.orphan_check_sql())(
     lambda spark, sf: MG.orphans(call_logs(spark, sf), read_table(spark, sf, "conversations"),
                                  "conversation_id", "conv_id").select("id", "conversation_id"))
+
+# --- rollups / conversations ---------------------------------------------------------------
+
+from ..operators import conversations as CV  # noqa: E402
+from ..operators import rollup as RU  # noqa: E402
+from ..operators.metrics import in_range  # noqa: E402
+
+
+def _rollup_out(df):
+    return df.withColumn("sum_cost_usd", F.col("sum_cost_usd").cast("double"))
+
+
+register("rollup_1m", O.rollup_sql())(lambda spark, sf: _rollup_out(RU.rollup(call_logs(spark, sf))))
+register("rollup_1h_from_1m", O.rollup_sql("INTERVAL 1 HOUR"))(
+    lambda spark, sf: _rollup_out(RU.reaggregate(RU.rollup(call_logs(spark, sf)), "1 hour")))
+register("rollup_plus_tail", O.rollup_plus_tail_sql("7d"))(
+    lambda spark, sf: RU.rollup_plus_tail(RU.rollup(call_logs(spark, sf)), call_logs(spark, sf), "7d"))
+
+
+def _convs(spark, sf):
+    return CV.conversation_dim(conversation_messages(spark, sf), call_logs(spark, sf))
+
+
+register("conversation_list", O.conversation_list_sql())(lambda spark, sf: CV.list_conversations(_convs(spark, sf)))
+register("conversation_thread", O.conversation_thread_sql())(
+    lambda spark, sf: CV.thread(_convs(spark, sf), conversation_messages(spark, sf)))
+register("context_last_20", O.context_sql(20))(
+    lambda spark, sf: CV.context_window(conversation_messages(spark, sf)))
+register("last_message", O.last_message_sql())(lambda spark, sf: CV.last_message(conversation_messages(spark, sf)))
+register("usage_per_conversation", O.usage_per_conversation_sql())(
+    lambda spark, sf: CV.usage_per_conversation(call_logs(spark, sf), _convs(spark, sf)))
+
+
+def _archive(spark, sf):
+    logs = call_logs(spark, sf)
+    hit = in_range(logs, "24h").filter(F.col("status") == "ERROR").select("conversation_id")
+    from ..schemas import DEFAULT_AS_OF
+    return MG.archive(_convs(spark, sf), hit, DEFAULT_AS_OF).select("conversation_id", "status", "updated_at")
+
+
+register("archive", O.archive_sql())(_archive)
