@@ -533,3 +533,118 @@ def archive_sql() -> str:
   CASE WHEN conversation_id IN (SELECT conversation_id FROM logs WHERE status = 'ERROR' AND {in_range_sql('24h')})
     THEN {AS_OF} ELSE updated_at END AS updated_at
 FROM convs""")
+
+
+# --- spans ------------------------------------------------------------------------------------------
+
+CHUNKS = """
+chunks AS (
+  SELECT CAST(user_id AS VARCHAR) AS span_id, event_id AS seq, ts,
+   CASE WHEN event_type = 'view' THEN '' ELSE substr(event_type, 1, 2) END AS delta,
+   CASE WHEN event_type = 'signup' THEN CAST(event_id % 500 AS INT) END AS prompt_tokens,
+   CASE WHEN event_type = 'purchase' THEN CAST(event_id % 300 AS INT) END AS completion_tokens,
+   event_type = 'error' AS is_error FROM events
+)"""
+
+
+def span_assembly_sql() -> str:
+    return f"""WITH {CHUNKS},
+ends AS (SELECT span_id, MIN(seq) AS end_seq FROM chunks WHERE is_error GROUP BY span_id),
+k AS (SELECT c.*, e.end_seq FROM chunks c LEFT JOIN ends e ON c.span_id = e.span_id
+      WHERE e.end_seq IS NULL OR c.seq <= e.end_seq),
+a AS (
+  SELECT span_id, MIN(ts) AS started_at, MAX(ts) AS last_ts,
+    MIN(CASE WHEN NOT is_error AND delta <> '' THEN ts END) AS first_token_ts,
+    arg_max(prompt_tokens, seq) FILTER (WHERE prompt_tokens IS NOT NULL) AS prompt_tokens,
+    arg_max(completion_tokens, seq) FILTER (WHERE completion_tokens IS NOT NULL) AS completion_tokens,
+    COUNT(*) FILTER (WHERE NOT is_error) AS chunk_count,
+    substring(COALESCE(string_agg(CASE WHEN NOT is_error AND delta <> '' THEN delta END, '' ORDER BY seq), ''),
+              1, 2048) AS output_text,
+    MAX(end_seq) AS end_seq, MIN(ts) FILTER (WHERE seq = end_seq) AS end_ts
+  FROM k GROUP BY span_id
+)
+SELECT span_id, CASE WHEN end_seq IS NOT NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status, started_at,
+  COALESCE(end_ts, last_ts) AS ended_at,
+  CAST((epoch_us(COALESCE(end_ts, last_ts)) - epoch_us(started_at)) // 1000 AS BIGINT) AS latency_ms,
+  CAST((epoch_us(first_token_ts) - epoch_us(started_at)) // 1000 AS BIGINT) AS ttft_ms,
+  output_text, prompt_tokens, completion_tokens,
+  CASE WHEN COALESCE(prompt_tokens, 0) <> 0 OR COALESCE(completion_tokens, 0) <> 0
+    THEN COALESCE(prompt_tokens, 0) + COALESCE(completion_tokens, 0) END AS total_tokens,
+  chunk_count, CAST(NULL AS VARCHAR) AS error_type, CAST(NULL AS VARCHAR) AS error_message, TRUE AS streamed
+FROM a"""
+
+
+# --- reports / classification -------------------------------------------------------------------------
+
+def model_catalog_sql() -> str:
+    return with_logs("""
+SELECT provider_raw, string_agg(model, ',' ORDER BY model) AS models, COUNT(*) AS model_count
+FROM (SELECT DISTINCT provider_raw, model FROM logs) d GROUP BY provider_raw""")
+
+
+def duplicate_inputs_sql() -> str:
+    return with_logs("""
+SELECT sha256(input_preview) AS input_hash, COUNT(*) AS calls, MIN(created_at) AS first_seen,
+  MAX(created_at) AS last_seen
+FROM logs_pv WHERE input_preview IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1""", previews=True)
+
+
+def live_feed_sql(n: int = 50) -> str:
+    return with_logs(f"""
+SELECT id, provider_raw AS provider, model, lower(status) AS status, latency_ms, ttft_ms, prompt_tokens,
+  completion_tokens, CAST(cost_usd AS DOUBLE) AS cost_usd, conversation_id, created_at
+FROM logs ORDER BY created_at DESC, id DESC LIMIT {n}""")
+
+
+def _duck_url_cols(u: str = "url") -> str:
+    norm = (f"(CASE WHEN lower(regexp_replace(trim({u}), '/+$', '')) LIKE 'bedrock:%' "
+            f"OR regexp_replace(trim({u}), '/+$', '') LIKE 'http://%' "
+            f"OR regexp_replace(trim({u}), '/+$', '') LIKE 'https://%' "
+            f"THEN regexp_replace(trim({u}), '/+$', '') ELSE 'http://' || regexp_replace(trim({u}), '/+$', '') END)")
+    lu = f"lower(trim({norm}))"
+    bedrock = (f"({lu} LIKE 'bedrock://%' OR {lu} LIKE 'bedrock:%' OR "
+               f"(contains({lu}, 'bedrock') AND (contains({lu}, 'amazonaws.com') OR contains({lu}, '.api.aws'))))")
+    prov = (f"CASE WHEN {bedrock} THEN 'bedrock' WHEN contains({norm}, 'api.openai.com') THEN 'openai' "
+            f"WHEN contains({norm}, 'api.anthropic.com') THEN 'anthropic' "
+            f"WHEN contains({norm}, 'generativelanguage.googleapis.com') THEN 'google' "
+            f"WHEN contains({norm}, 'openai.azure.com') THEN 'openai' ELSE 'openai_compatible' END")
+    client = (f"CASE WHEN {u} IS NULL OR {u} = '' OR contains({u}, 'api.openai.com') THEN 'openai' "
+              f"WHEN contains({u}, '11434') OR contains(lower({u}), 'ollama') THEN 'ollama' "
+              f"WHEN contains({u}, 'openai.azure.com') THEN 'openai' ELSE 'openai_compatible' END")
+    raw = f"lower(trim({u}))"
+    tu = f"trim({u})"
+
+    def after(n: int) -> str:
+        return (f"NULLIF(split_part(regexp_replace(regexp_replace(substring({tu}, {n + 1}), '^/+', ''), "
+                f"'/+$', ''), '/', 1), '')")
+    from ..functions.urls import BEDROCK_REGION_PATTERNS
+    host_region = "COALESCE(" + ", ".join(
+        f"NULLIF(regexp_extract({raw}, '{p}', 1), '')" for p in BEDROCK_REGION_PATTERNS) + ", 'us-east-1')"
+    region = (f"CASE WHEN {raw} LIKE 'bedrock://%' THEN COALESCE({after(10)}, 'us-east-1') "
+              f"WHEN {raw} LIKE 'bedrock:%' THEN COALESCE({after(8)}, 'us-east-1') ELSE {host_region} END")
+    netloc = f"regexp_extract({norm}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)"
+    host = f"NULLIF(lower(regexp_replace(regexp_replace({netloc}, '^.*@', ''), ':[0-9]*$', '')), '')"
+    port = f"TRY_CAST(NULLIF(regexp_extract({netloc}, ':([0-9]+)$', 1), '') AS BIGINT)"
+    key = (f"CASE WHEN ({prov}) IN ('openai','anthropic','google','bedrock','ollama') THEN ({prov}) "
+           f"ELSE 'custom_' || replace(COALESCE({host}, 'endpoint'), '.', '_') || "
+           f"CASE WHEN {port} IS NOT NULL AND {port} <> 0 THEN '_' || CAST({port} AS VARCHAR) ELSE '' END END")
+    return (f"{client} AS client_provider, {prov} AS provider, {bedrock} AS is_bedrock, "
+            f"CASE WHEN {bedrock} THEN {region} END AS bedrock_region, {key} AS endpoint_key")
+
+
+def classify_urls_sql() -> str:
+    return f"SELECT page_id, url, {_duck_url_cols('url')} FROM pages"
+
+
+def dedupe_keys_sql() -> str:
+    return f"""WITH c AS (SELECT page_id, url, {_duck_url_cols('url')} FROM pages),
+r AS (SELECT page_id, endpoint_key, row_number() OVER (PARTITION BY endpoint_key ORDER BY page_id) AS rk FROM c)
+SELECT page_id, endpoint_key, CASE WHEN rk = 1 THEN endpoint_key ELSE endpoint_key || '_' || CAST(rk AS VARCHAR) END
+  AS dedup_key FROM r"""
+
+
+def model_family_sql() -> str:
+    from ..functions.urls import MODEL_FAMILY_PREFIXES
+    cases = " ".join(f"WHEN starts_with(lower(model), '{p}') THEN '{f}'" for p, f in MODEL_FAMILY_PREFIXES)
+    return with_logs(f"""
+SELECT model, COUNT(*) AS calls, CASE {cases} ELSE 'bedrock' END AS family FROM logs GROUP BY model""")

@@ -225,3 +225,22 @@ def _archive(spark, sf):
 
 
 register("archive", O.archive_sql())(_archive)
+
+# --- spans / reports / classification ------------------------------------------------------
+
+from ..operators import reports as RP  # noqa: E402
+from ..operators import spans as SP  # noqa: E402
+from ..sources.fixtures import chunk_events  # noqa: E402
+
+register("span_assembly", O.span_assembly_sql())(lambda spark, sf: SP.assemble_spans(chunk_events(spark, sf)))
+register("model_catalog", O.model_catalog_sql())(lambda spark, sf: RP.model_catalog(call_logs(spark, sf)))
+register("duplicate_inputs", O.duplicate_inputs_sql())(
+    lambda spark, sf: RP.duplicate_inputs(call_logs(spark, sf, previews=True).withColumn(
+        "input_hash", F.sha2(F.col("input_preview"), 256))))
+register("live_feed_50", O.live_feed_sql(50))(lambda spark, sf: RP.live_feed(call_logs(spark, sf)))
+register("classify_urls", O.classify_urls_sql())(
+    lambda spark, sf: RP.classify_urls(read_table(spark, sf, "pages").select("page_id", "url")))
+register("dedupe_endpoint_keys", O.dedupe_keys_sql())(
+    lambda spark, sf: RP.dedupe_keys(RP.classify_urls(read_table(spark, sf, "pages").select("page_id", "url")))
+    .select("page_id", "endpoint_key", "dedup_key"))
+register("model_family", O.model_family_sql())(lambda spark, sf: RP.model_families(call_logs(spark, sf)))

@@ -25,6 +25,7 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
