@@ -244,3 +244,19 @@ register("dedupe_endpoint_keys", O.dedupe_keys_sql())(
     lambda spark, sf: RP.dedupe_keys(RP.classify_urls(read_table(spark, sf, "pages").select("page_id", "url")))
     .select("page_id", "endpoint_key", "dedup_key"))
 register("model_family", O.model_family_sql())(lambda spark, sf: RP.model_families(call_logs(spark, sf)))
+
+# --- streaming -----------------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from ..streaming import jobs as ST  # noqa: E402
+
+register("stream_rollup", O.rollup_sql())(lambda spark, sf: _rollup_out(ST.run_rollup(spark, sf)))
+register("stream_series", O.timeseries_sql("requests", "24h", "provider"))(
+    lambda spark, sf: ST.run_series(spark, sf, "24h", "provider"))
+register("stream_upsert", O.ingest_events_sql())(lambda spark, sf: ST.run_upsert(spark, sf)[0].select(*INGEST_COLS))
+register("stream_event_status", O.event_status_counts_sql())(
+    lambda spark, sf: MG.event_status_counts(ST.run_upsert(spark, sf)[1]))
+register("stream_live_feed", O.live_feed_sql(50))(lambda spark, sf: ST.run_live_feed(spark, sf, 50))
+register("stream_spans", O.span_assembly_sql())(
+    lambda spark, sf: ST.run_spans(spark, sf, timeout=_dt.timedelta(days=365)))
