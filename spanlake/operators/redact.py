@@ -12,11 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pii import PII_TYPES, detections, ordered, stage
+from ..functions.pii import PII_TYPES, count_matches, detections, flags, ordered, stage
 
 _T = "__pii_text"
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """Keep later filters above the redaction stages.
+
+    Spark pushes a filter through projections by inlining their expressions;
+    over the staged chain (each stage reads the previous text several times)
+    that would re-run the regexes exponentially often.  Filters cannot move
+    below a generator on its output, so the rows pass through ``inline`` of a
+    one-element array (same columns, one pass).
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def redact_column(df: DataFrame, text_col: str, out_col: str | None = None, count_prefix: str = "pii_",
                   order: str = "reference", unicode_classes: bool = False,
                   enabled: bool = True, with_detections: bool = True) -> DataFrame:
@@ -37,13 +49,21 @@ def redact_column(df: DataFrame, text_col: str, out_col: str | None = None, coun
         return out
     out = df.withColumn(_T, F.col(text_col))
     for p in ordered(order):
-        t, n = stage(F.col(_T), p, unicode_classes)
-        out = out.withColumns({count_prefix + p.name: F.coalesce(n, F.lit(0)).cast("int"), _T: t})
+        # count first; the replace pass runs only on texts with at least one match
+        n_col = count_prefix + p.name
+        if p.validate_card:
+            t, n = stage(F.col(_T), p, unicode_classes)
+            out = out.withColumns({n_col: F.coalesce(n, F.lit(0)).cast("int"), _T: t})
+        else:
+            out = out.withColumn(n_col, F.coalesce(count_matches(F.col(_T), p, flags(unicode_classes)),
+                                                   F.lit(0)).cast("int"))
+            t, _ = stage(F.col(_T), p, unicode_classes)
+            out = out.withColumn(_T, F.when(F.col(n_col) > 0, t).otherwise(F.col(_T)))
     out = out.withColumn(out_col, F.col(_T)).drop(_T) if out_col != _T else out
     if with_detections:
         out = out.withColumn("pii_detections",
                              detections({n: F.col(count_prefix + n) for n in PII_TYPES}))
-    return out
+    return barrier(out)
 
 
 def redact_messages(df: DataFrame, messages_col: str = "messages", order: str = "reference",
@@ -66,8 +86,8 @@ def redact_messages(df: DataFrame, messages_col: str = "messages", order: str =
                                       lambda acc, m: acc + m["__c"][i]), F.lit(0))
 
     counts = {name: summed(i) for i, name in enumerate(names)}
-    return (out.withColumn(det_col, detections(counts))
-            .withColumn(messages_col, F.transform(messages_col, lambda m: m.dropFields("__c"))))
+    return barrier(out.withColumn(det_col, detections(counts))
+                   .withColumn(messages_col, F.transform(messages_col, lambda m: m.dropFields("__c"))))
 
 
 def redact_payload(df: DataFrame, messages_col: str, response_col: str, order: str = "reference",
@@ -85,7 +105,7 @@ def redact_payload(df: DataFrame, messages_col: str, response_col: str, order: s
 
 def detection_report(df: DataFrame, det_col: str = "pii_detections") -> DataFrame:
     """``count x type`` over all rows: type, total count, rows with the type."""
-    e = df.select(F.explode(det_col).alias("d"))
+    e = df.select(F.explode_outer(det_col).alias("d")).filter(F.col("d").isNotNull())
     return (e.groupBy(F.col("d.type").alias("type"))
             .agg(F.sum("d.count").cast("long").alias("total_count"),
                  F.count(F.lit(1)).alias("rows_with_type")))

@@ -19,8 +19,15 @@ BATCH = T.StructType([T.StructField("events", T.ArrayType(CALL_EVENT))])
 
 
 def parse_events(df: DataFrame, payload_col: str = "payload", out: str = "e") -> DataFrame:
-    """Parse one event per row (PERMISSIVE); keeps the raw text for audit."""
-    return df.withColumn(out, F.from_json(F.col(payload_col), CALL_EVENT, {"mode": "PERMISSIVE"}))
+    """Parse one event per row (PERMISSIVE); keeps the raw text for audit.
+
+    A single event is handled as a batch of one: the parsed struct comes out of
+    a generator, so later filters on its fields stay above it and the JSON is
+    parsed once per row (a filter pushed through a plain projection would
+    re-parse it once per referenced field).
+    """
+    one = F.array(F.from_json(F.col(payload_col), CALL_EVENT, {"mode": "PERMISSIVE"}))
+    return df.select("*", F.posexplode_outer(one).alias("batch_pos", out))
 
 
 def parse_batches(df: DataFrame, payload_col: str = "payload", out: str = "e") -> DataFrame:
