@@ -6,6 +6,8 @@ inside the projection: no join, no exchange, stays in whole-stage codegen.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,25 +20,33 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _rates(pair) -> Column:
+def _rates_sql(pair) -> str:
     i, o = pair
-    return F.struct(F.lit(per_token(i)).cast(RATE_TYPE).alias("input_rate"),
-                    F.lit(per_token(o)).cast(RATE_TYPE).alias("output_rate"))
+    return (f"named_struct('input_rate', CAST({per_token(i)} AS DECIMAL(12,9)), "
+            f"'output_rate', CAST({per_token(o)} AS DECIMAL(12,9)))")
+
+
+@functools.lru_cache(maxsize=None)
+def _rate_map_sql(name: str) -> str:
+    table = {"cloud": CLOUD_PRICES_PER_MILLION, "local": LOCAL_PRICES_PER_MILLION}[name]
+    return "map(" + ", ".join(f"'{k}', {_rates_sql(v)}" for k, v in table.items()) + ")"
+
+
+def _rates(pair) -> Column:
+    return F.expr(_rates_sql(pair))
 
 
-def _rate_map(table: dict) -> Column:
-    parts = []
-    for key, pair in table.items():
-        parts += [F.lit(key), _rates(pair)]
-    return F.create_map(*parts)
+def _rate_map(name: str) -> Column:
+    """The catalog as one map literal, built by the SQL parser in a single call."""
+    return F.expr(_rate_map_sql(name))
 
 
 def rates_for(provider_raw, model) -> Column:
     """struct(input_rate, output_rate) or NULL when the model is not priced."""
     p = F.lower(_c(provider_raw))
     m = F.lower(_c(model))
-    cloud = F.try_element_at(_rate_map(CLOUD_PRICES_PER_MILLION), F.concat(p, F.lit(":"), m))
-    local_map = _rate_map(LOCAL_PRICES_PER_MILLION)
+    cloud = F.try_element_at(_rate_map("cloud"), F.concat(p, F.lit(":"), m))
+    local_map = _rate_map("local")
     base = F.substring_index(m, LOCAL_TAG, 1)
     local = F.coalesce(F.try_element_at(local_map, base), F.try_element_at(local_map, m),
                        _rates(LOCAL_DEFAULT_PER_MILLION))

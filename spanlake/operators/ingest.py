@@ -65,7 +65,10 @@ def ingest(raw: DataFrame, e: str = "e", received_at: str = "received_at",
     Lifecycle (M2): PROCESSED with processed_at, or FAILED with the first
     reason (<= 500 chars) as error.  Malformed JSON is a reason, not a drop.
     """
-    rules = [("malformed_json", F.col(e).isNotNull())] + call_event_rules(e)
+    ok_json = F.col(e).isNotNull()
+    if "_corrupt_record" in parsed_fields(raw, e):
+        ok_json = ok_json & F.col(f"{e}._corrupt_record").isNull()
+    rules = [("malformed_json", ok_json)] + call_event_rules(e)
     checked = with_reasons(raw, rules)
     ok = F.size("reject_reasons") == 0
     lifecycle = checked.select(
@@ -78,6 +81,11 @@ def ingest(raw: DataFrame, e: str = "e", received_at: str = "received_at",
     return facts, lifecycle
 
 
+def parsed_fields(df: DataFrame, e: str) -> list[str]:
+    t = df.schema[e].dataType
+    return [f.name for f in t.fields] if hasattr(t, "fields") else []
+
+
 def live_row(facts: DataFrame) -> DataFrame:
     """Lean live-feed row (raw lower-case provider and status)."""
     return facts.select("id", F.col("provider_raw").alias("provider"), "model",

@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 
 from ..schemas import CALL_EVENT
 
-BATCH = T.StructType([T.StructField("events", T.ArrayType(CALL_EVENT))])
+CORRUPT = "_corrupt_record"
+# Parsed form: the declared payload plus the raw text of a malformed record.
+PARSED_EVENT = T.StructType(CALL_EVENT.fields + [T.StructField(CORRUPT, T.StringType())])
+BATCH = T.StructType([T.StructField("events", T.ArrayType(CALL_EVENT)), T.StructField(CORRUPT, T.StringType())])
 
 
 def parse_events(df: DataFrame, payload_col: str = "payload", out: str = "e") -> DataFrame:
@@ -26,13 +29,16 @@ def parse_events(df: DataFrame, payload_col: str = "payload", out: str = "e") ->
     parsed once per row (a filter pushed through a plain projection would
     re-parse it once per referenced field).
     """
-    one = F.array(F.from_json(F.col(payload_col), CALL_EVENT, {"mode": "PERMISSIVE"}))
+    one = F.array(F.from_json(F.col(payload_col), PARSED_EVENT,
+                              {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     return df.select("*", F.posexplode_outer(one).alias("batch_pos", out))
 
 
 def parse_batches(df: DataFrame, payload_col: str = "payload", out: str = "e") -> DataFrame:
     """Batch bodies ``{"events": [...]}`` -> one row per event (posexplode keeps position)."""
-    parsed = df.withColumn("__b", F.from_json(F.col(payload_col), BATCH, {"mode": "PERMISSIVE"}))
+    parsed = df.withColumn("__b", F.from_json(F.col(payload_col), BATCH,
+                                              {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    # a malformed body yields one row with a NULL event (rejected as malformed_json)
     return (parsed.select("*", F.posexplode_outer("__b.events").alias("batch_pos", out))
             .drop("__b"))
 

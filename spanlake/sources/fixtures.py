@@ -23,59 +23,42 @@ from ..schemas import PREVIEW_CHARS
 from .tables import read_table
 
 
-def _by_mod4(eid: Column, v0, v1, v2, v3) -> Column:
-    m = eid % 4
-    return (F.when(m == 0, v0).when(m == 1, v1).when(m == 2, v2).otherwise(v3))
+# Column derivations of the call fact view, as SQL expressions (one plan call each).
+_LOG_EXPRS = (
+    "CAST(event_id AS STRING) AS id",
+    "ts AS created_at",
+    "user_id AS conversation_id",
+    "CASE event_id % 4 WHEN 0 THEN 'OPENAI' WHEN 1 THEN 'ANTHROPIC' WHEN 2 THEN 'GOOGLE' ELSE 'OTHER' END AS provider",
+    "CASE event_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'google' ELSE 'ollama' END"
+    " AS provider_raw",
+    "CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 = 0 THEN 'gpt-4o-mini' ELSE 'gpt-4o' END"
+    " WHEN 1 THEN 'claude-3-5-haiku-latest' WHEN 2 THEN 'gemini-1.5-flash'"
+    " ELSE CASE WHEN event_id % 8 = 3 THEN 'gemma3:4b' ELSE 'llama3.2:latest' END END AS model",
+    "CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'CANCELLED'"
+    " ELSE 'SUCCESS' END AS status",
+    "CASE WHEN event_type = 'error' THEN CASE event_id % 6 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'context_length'"
+    " WHEN 2 THEN 'timeout' END END AS error_type",
+    "CASE WHEN event_type = 'error' THEN props END AS error_message",
+    "CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(50 + (event_id * 37) % 1951 AS INT) END AS prompt_tokens",
+    "CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(20 + (event_id * 53) % 781 AS INT) END AS completion_tokens",
+    "CAST(FLOOR(value * 20) + 50 AS INT) AS latency_ms",
+    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(80 + (event_id * 11) % 421 AS INT) END AS ttft_ms",
+    "event_id % 5 > 1 AS streamed",
+    "'dev' AS environment",
+    "event_id",
+)
 
 
 def logs_from_events(events: DataFrame) -> DataFrame:
     """Call fact rows from the ``events`` table (works on batch and streaming frames)."""
-    eid = F.col("event_id")
-    et = F.col("event_type")
-    provider = _by_mod4(eid, F.lit("OPENAI"), F.lit("ANTHROPIC"), F.lit("GOOGLE"), F.lit("OTHER"))
-    provider_raw = _by_mod4(eid, F.lit("openai"), F.lit("anthropic"), F.lit("google"), F.lit("ollama"))
-    model = _by_mod4(
-        eid,
-        F.when(eid % 8 == 0, F.lit("gpt-4o-mini")).otherwise(F.lit("gpt-4o")),
-        F.lit("claude-3-5-haiku-latest"),
-        F.lit("gemini-1.5-flash"),
-        F.when(eid % 8 == 3, F.lit("gemma3:4b")).otherwise(F.lit("llama3.2:latest")),
-    )
-    status = (F.when(et == "error", F.lit("ERROR"))
-              .when((et == "signup") & (eid % 5 == 0), F.lit("CANCELLED"))
-              .otherwise(F.lit("SUCCESS")))
-    m6 = eid % 6
-    error_type = F.when(et == "error", F.when(m6 == 0, F.lit("rate_limit"))
-                        .when(m6 == 1, F.lit("context_length")).when(m6 == 2, F.lit("timeout")))
-    no_usage = eid % 17 == 0
-    prompt = F.when(~no_usage, (F.lit(50) + (eid * 37) % 1951).cast("int"))
-    completion = F.when(~no_usage, (F.lit(20) + (eid * 53) % 781).cast("int"))
-    latency = (F.floor(F.col("value") * 20) + 50).cast("int")
-    ttft = F.when(eid % 3 != 0, (F.lit(80) + (eid * 11) % 421).cast("int"))
-    base = events.select(
-        eid.cast("string").alias("id"),
-        F.col("ts").alias("created_at"),
-        F.col("user_id").alias("conversation_id"),
-        provider.alias("provider"),
-        provider_raw.alias("provider_raw"),
-        model.alias("model"),
-        status.alias("status"),
-        error_type.alias("error_type"),
-        F.when(et == "error", F.col("props")).alias("error_message"),
-        prompt.alias("prompt_tokens"),
-        completion.alias("completion_tokens"),
-        latency.alias("latency_ms"),
-        ttft.alias("ttft_ms"),
-        (eid % 5 > 1).alias("streamed"),
-        F.lit("dev").alias("environment"),
-        eid.alias("event_id"),
-    )
-    return (base
-            .withColumn("total_tokens", total_tokens("prompt_tokens", "completion_tokens"))
-            .withColumn("cost_usd", call_cost("provider_raw", "model", "prompt_tokens", "completion_tokens"))
-            .withColumn("ended_at", F.col("created_at"))
-            .withColumn("started_at", F.col("created_at") - F.make_dt_interval(
-                secs=(F.col("latency_ms") / F.lit(1000)).cast("decimal(18,6)"))))
+    base = events.selectExpr(*_LOG_EXPRS)
+    return base.select(
+        "*",
+        total_tokens("prompt_tokens", "completion_tokens").alias("total_tokens"),
+        call_cost("provider_raw", "model", "prompt_tokens", "completion_tokens").alias("cost_usd"),
+        F.col("created_at").alias("ended_at"),
+        F.expr("created_at - make_dt_interval(0, 0, 0, CAST(latency_ms / 1000 AS DECIMAL(18, 6)))")
+         .alias("started_at"))
 
 
 def document_previews(documents: DataFrame) -> DataFrame:
