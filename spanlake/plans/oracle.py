@@ -648,3 +648,23 @@ def model_family_sql() -> str:
     cases = " ".join(f"WHEN starts_with(lower(model), '{p}') THEN '{f}'" for p, f in MODEL_FAMILY_PREFIXES)
     return with_logs(f"""
 SELECT model, COUNT(*) AS calls, CASE {cases} ELSE 'bedrock' END AS family FROM logs GROUP BY model""")
+
+
+def normalize_bodies_sql() -> str:
+    return """SELECT event_id,
+  CASE event_type WHEN 'click' THEN 'anthropic' WHEN 'view' THEN 'bedrock' WHEN 'purchase' THEN 'bedrock'
+    WHEN 'signup' THEN 'openai' ELSE 'google' END AS provider,
+  CASE event_type WHEN 'click' THEN 'claude-3-5-haiku-latest' WHEN 'view' THEN 'amazon.titan-text-express-v1'
+    WHEN 'purchase' THEN 'meta.llama3-8b-instruct-v1:0' WHEN 'signup' THEN 'gpt-4o' ELSE 'gemini-1.5-flash' END AS model,
+  CASE WHEN event_type IN ('signup', 'error') THEN 2 ELSE 1 END AS n_messages,
+  substring(props, 1, 500) AS last_content,
+  CAST(CASE event_type WHEN 'click' THEN event_id % 500 WHEN 'view' THEN event_id % 100
+    WHEN 'signup' THEN event_id % 700 WHEN 'error' THEN event_id % 800 END AS INT) AS prompt_tokens,
+  CAST(CASE event_type WHEN 'click' THEN event_id % 300 WHEN 'view' THEN event_id % 50
+    WHEN 'signup' THEN event_id % 90 WHEN 'error' THEN event_id % 70 END AS INT) AS completion_tokens,
+  CASE event_type WHEN 'click' THEN 'c' || CAST(event_id AS VARCHAR) WHEN 'view' THEN 'v' || CAST(event_id AS VARCHAR)
+    WHEN 'purchase' THEN 'p' || CAST(event_id AS VARCHAR) ELSE '' END AS output_text,
+  CASE event_type WHEN 'view' THEN 'amazon' WHEN 'purchase' THEN 'meta' ELSE 'bedrock' END AS model_family,
+  CASE event_type WHEN 'error' THEN 'model,user' ELSE 'user' END AS chat_roles,
+  CASE event_type WHEN 'signup' THEN 'be brief' END AS system_prompt
+FROM events"""

@@ -260,3 +260,20 @@ register("stream_event_status", O.event_status_counts_sql())(
 register("stream_live_feed", O.live_feed_sql(50))(lambda spark, sf: ST.run_live_feed(spark, sf, 50))
 register("stream_spans", O.span_assembly_sql())(
     lambda spark, sf: ST.run_spans(spark, sf, timeout=_dt.timedelta(days=365)))
+
+# --- heterogeneous payloads ----------------------------------------------------------------
+
+from ..operators import payloads as PL  # noqa: E402
+from ..sources.fixtures import provider_bodies  # noqa: E402
+
+
+def _bodies(spark, sf):
+    n = PL.normalize_bodies(provider_bodies(spark, sf))
+    return n.select("event_id", "provider", "model", F.size("messages").alias("n_messages"),
+                    F.element_at("messages", -1)["content"].alias("last_content"), "prompt_tokens",
+                    "completion_tokens", "output_text", "model_family",
+                    F.array_join(F.transform("chat_messages", lambda m: m["role"]), ",").alias("chat_roles"),
+                    "system_prompt")
+
+
+register("normalize_bodies", O.normalize_bodies_sql())(_bodies)

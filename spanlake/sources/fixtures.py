@@ -142,3 +142,36 @@ def as_of_literal(value: _dt.datetime | str | None = None) -> Column:
     if isinstance(v, _dt.datetime):
         v = v.strftime("%Y-%m-%d %H:%M:%S.%f")
     return F.lit(v).cast("timestamp_ntz")
+
+
+def provider_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw provider request/response JSON bodies in five shapes, one per event type."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.selectExpr(
+        "event_id",
+        "CASE event_type WHEN 'click' THEN 'anthropic' WHEN 'view' THEN 'bedrock' WHEN 'purchase' THEN 'bedrock'"
+        " WHEN 'signup' THEN 'openai' ELSE 'google' END AS provider",
+        "CASE event_type WHEN 'click' THEN 'claude-3-5-haiku-latest' WHEN 'view' THEN 'amazon.titan-text-express-v1'"
+        " WHEN 'purchase' THEN 'meta.llama3-8b-instruct-v1:0' WHEN 'signup' THEN 'gpt-4o'"
+        " ELSE 'gemini-1.5-flash' END AS model",
+        """CASE event_type
+             WHEN 'click' THEN to_json(named_struct('messages', array(named_struct('role', 'user', 'content', props))))
+             WHEN 'view' THEN to_json(named_struct('inputText', props))
+             WHEN 'purchase' THEN to_json(named_struct('prompt', props))
+             WHEN 'signup' THEN to_json(named_struct('messages', array(named_struct('role', 'system', 'content', 'be brief'),
+                                                                       named_struct('role', 'user', 'content', props))))
+             ELSE to_json(named_struct('messages', array(named_struct('role', 'assistant', 'content', 'earlier'),
+                                                          named_struct('role', 'user', 'content', props))))
+           END AS request_body""",
+        """CASE event_type
+             WHEN 'click' THEN to_json(named_struct('content', array(named_struct('type', 'text', 'text',
+                 concat('c', CAST(event_id AS STRING)))), 'usage', named_struct('input_tokens', event_id % 500,
+                 'output_tokens', event_id % 300)))
+             WHEN 'view' THEN to_json(named_struct('inputTextTokenCount', event_id % 100, 'results',
+                 array(named_struct('tokenCount', event_id % 50, 'outputText', concat('v', CAST(event_id AS STRING))))))
+             WHEN 'purchase' THEN to_json(named_struct('generation', concat('p', CAST(event_id AS STRING))))
+             WHEN 'signup' THEN to_json(named_struct('usage', named_struct('prompt_tokens', event_id % 700,
+                 'completion_tokens', event_id % 90)))
+             ELSE to_json(named_struct('usage_metadata', named_struct('prompt_token_count', event_id % 800,
+                 'candidates_token_count', event_id % 70)))
+           END AS response_body""")
