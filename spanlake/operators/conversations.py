@@ -85,20 +85,22 @@ def context_window(messages: DataFrame, new_message: str = "continue",
     """System message, last ``limit`` messages in time order, then the new user message.
 
     Long form ``(conversation_id, pos, role, content)``; pos 0 is the system
-    message, the user message comes last.
+    message, the user message comes last.  One pass: a per-conversation top-k
+    (partial WindowGroupLimit before the shuffle), a count over the <= k kept
+    rows (same partitioning, no new exchange), and a generator that adds the
+    system and user rows next to the newest message.
     """
     w = Window.partitionBy("conversation_id").orderBy(F.desc("turn"))
-    recent = (messages.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= limit))
-    hist = recent.select("conversation_id", F.lower("role").alias("role"), "content",
-                         F.col("turn").alias("__t"), F.col("__rn"))
-    n = hist.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("__n"))
-    body = hist.join(n, "conversation_id").select(
-        "conversation_id", (F.col("__n") - F.col("__rn") + 1).cast("int").alias("pos"), "role", "content")
-    system = n.select("conversation_id", F.lit(0).alias("pos"), F.lit("system").alias("role"),
-                      F.lit(system_prompt).alias("content"))
-    user = n.select("conversation_id", (F.col("__n") + 1).cast("int").alias("pos"), F.lit("user").alias("role"),
+    recent = messages.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= limit)
+    n = F.count(F.lit(1)).over(Window.partitionBy("conversation_id"))
+    ranked = recent.withColumn("__n", n)
+    own = F.struct((F.col("__n") - F.col("__rn") + 1).cast("int").alias("pos"),
+                   F.lower("role").alias("role"), F.col("content").alias("content"))
+    system = F.struct(F.lit(0).alias("pos"), F.lit("system").alias("role"), F.lit(system_prompt).alias("content"))
+    user = F.struct((F.col("__n") + 1).cast("int").alias("pos"), F.lit("user").alias("role"),
                     F.lit(new_message).alias("content"))
-    return system.unionByName(body).unionByName(user)
+    rows = F.when(F.col("__rn") == 1, F.array(system, own, user)).otherwise(F.array(own))
+    return ranked.select("conversation_id", F.inline(rows))
 
 
 def usage_per_conversation(logs: DataFrame, convs: DataFrame) -> DataFrame:

@@ -28,6 +28,15 @@ BASE_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+# Runtime SQL settings the operators rely on; applied to any session handed to us.
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    # metadata merge: span-level keys win over defaults
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # per-group top-k up to 4096 rows (span text head) runs as a partial WindowGroupLimit
+    "spark.sql.optimizer.windowGroupLimitThreshold": "4096",
+}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "spanlake", extra: dict | None = None) -> SparkSession:
@@ -48,8 +57,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_utc(spark: SparkSession) -> None:
-    """Bucket boundaries and range filters are defined in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Bucket boundaries and range filters are defined in UTC; see RUNTIME_CONF."""
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
