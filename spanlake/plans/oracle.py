@@ -176,9 +176,10 @@ FROM r WHERE rn <= {limit}""", previews=True)
 def log_detail_sql(log_id: str) -> str:
     return with_logs(f"""
 SELECT {LIST_COLS_SQL},
-  to_json(struct_pack(messages := [struct_pack(role := 'user', content := COALESCE(input_preview, ''))]))
-    AS request_payload,
-  to_json(struct_pack(content := COALESCE(output_preview, ''), finish_reason := 'stop')) AS response_payload,
+  CAST(to_json(struct_pack(messages := [struct_pack(role := 'user', content := COALESCE(input_preview, ''))]))
+    AS VARCHAR) AS request_payload,
+  CAST(to_json(struct_pack(content := COALESCE(output_preview, ''), finish_reason := 'stop')) AS VARCHAR)
+    AS response_payload,
   '[]' AS pii_detections
 FROM logs_pv WHERE id = '{log_id}'""", previews=True)
 
