@@ -32,10 +32,19 @@ def fold_latest(df: DataFrame, key: str = "id", order: list[str] | None = None,
     order = order or [c for c in ("created_at", "event_id") if c in df.columns]
     ord_col = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     cols = [c for c in df.columns if c != key]
-    aggs = [(F.max_by(c, ord_col) if c in mutable else F.min_by(c, ord_col)).alias(c) for c in cols]
+    latest = [c for c in cols if c in mutable]
+    first = [c for c in cols if c not in mutable]
+    # one struct per side: the values of the latest / first version travel together
+    aggs = []
+    if latest:
+        aggs.append(F.max_by(F.struct(*latest), ord_col).alias("__latest"))
+    if first:
+        aggs.append(F.min_by(F.struct(*first), ord_col).alias("__first"))
     if versions_col:
         aggs.append(F.count(F.lit(1)).alias(versions_col))
-    return df.groupBy(key).agg(*aggs)
+    out = df.groupBy(key).agg(*aggs)
+    sel = [key] + [F.col(f"__latest.{c}" if c in mutable else f"__first.{c}").alias(c) for c in cols]
+    return out.select(*sel, *([versions_col] if versions_col else []))
 
 
 def event_status_counts(lifecycle: DataFrame) -> DataFrame:

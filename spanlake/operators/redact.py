@@ -66,28 +66,36 @@ def redact_column(df: DataFrame, text_col: str, out_col: str | None = None, coun
     return barrier(out)
 
 
+# Joins message contents for one regex pass.  '&' is a non-word character that
+# no pattern class contains (the secret-value class stops at it), so no match
+# can reach or cross the separator and word boundaries behave as at string
+# ends; the control character makes the separator impossible in normal text.
+SEPARATOR = "&\u0001&"
+SEPARATOR_RX = "&\\x01&"
+
+
 def redact_messages(df: DataFrame, messages_col: str = "messages", order: str = "reference",
                     unicode_classes: bool = False, det_col: str = "messages_detections") -> DataFrame:
-    """Redact ``content`` of every message; counts summed over the list."""
-    zero = F.array().cast("array<int>")
-    out = df.withColumn(messages_col, F.transform(messages_col, lambda m: m.withField("__c", zero)))
-    def stepper(p):
-        def step(m: Column) -> Column:
-            t, n = stage(m["content"], p, unicode_classes)
-            return m.withField("content", t).withField(
-                "__c", F.concat(m["__c"], F.array(F.coalesce(n, F.lit(0)).cast("int"))))
-        return step
+    """Redact ``content`` of every message; counts summed over the list.
 
-    for p in ordered(order):
-        out = out.withColumn(messages_col, F.transform(messages_col, stepper(p)))
-    names = [p.name for p in ordered(order)]
-    def summed(i: int) -> Column:
-        return F.coalesce(F.aggregate(F.col(messages_col), F.lit(0),
-                                      lambda acc, m: acc + m["__c"][i]), F.lit(0))
-
-    counts = {name: summed(i) for i, name in enumerate(names)}
-    return barrier(out.withColumn(det_col, detections(counts))
-                   .withColumn(messages_col, F.transform(messages_col, lambda m: m.dropFields("__c"))))
+    The contents of one list are joined with ``SEPARATOR``, redacted with the
+    staged top-level chain (code-generated, one pass per pattern), and split
+    back; NULL contents stay NULL.  Equivalent to redacting each message on
+    its own because no match can touch the separator.
+    """
+    joined = F.array_join(F.transform(messages_col, lambda m: F.coalesce(m["content"], F.lit(""))), SEPARATOR)
+    out = df.withColumn("__msg_text", joined)
+    out = redact_column(out, "__msg_text", count_prefix="__mc_", order=order, unicode_classes=unicode_classes,
+                        with_detections=False)
+    parts = F.split(F.col("__msg_text"), SEPARATOR_RX, -1)
+    n = F.size(messages_col)
+    merged = F.zip_with(F.col(messages_col), F.slice(parts, 1, F.greatest(n, F.lit(1))), lambda m, p: F.when(
+        m.isNotNull(), m.withField("content", F.when(m["content"].isNotNull(), p))))
+    fixed = F.when(n == 0, F.col(messages_col)).otherwise(F.filter(merged, lambda m: m.isNotNull()))
+    counts = {name: F.when(n > 0, F.col("__mc_" + name)).otherwise(F.lit(0)) for name in PII_TYPES}
+    out = (out.withColumn(messages_col, fixed).withColumn(det_col, detections(counts))
+           .drop("__msg_text", *["__mc_" + name for name in PII_TYPES]))
+    return barrier(out)
 
 
 def redact_payload(df: DataFrame, messages_col: str, response_col: str, order: str = "reference",
