@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pii import PII_TYPES, count_matches, detections, flags, ordered, stage
+from ..functions.pii import PII_TYPES, count_matches, detections, flags, has_digit, ordered, stage
 
 _T = "__pii_text"
+_D = "__pii_digit"
 
 
 def barrier(df: DataFrame) -> DataFrame:
@@ -47,18 +48,20 @@ def redact_column(df: DataFrame, text_col: str, out_col: str | None = None, coun
         if with_detections:
             out = out.withColumn("pii_detections", detections({}))
         return out
-    out = df.withColumn(_T, F.col(text_col))
+    fl = flags(unicode_classes)
+    out = df.withColumns({_T: F.col(text_col), _D: has_digit(F.col(text_col), fl)})
+    digit = F.col(_D)
     for p in ordered(order):
         # count first; the replace pass runs only on texts with at least one match
         n_col = count_prefix + p.name
         if p.validate_card:
-            t, n = stage(F.col(_T), p, unicode_classes)
+            t, n = stage(F.col(_T), p, unicode_classes, digit)
             out = out.withColumns({n_col: F.coalesce(n, F.lit(0)).cast("int"), _T: t})
         else:
-            out = out.withColumn(n_col, F.coalesce(count_matches(F.col(_T), p, flags(unicode_classes)),
-                                                   F.lit(0)).cast("int"))
+            out = out.withColumn(n_col, F.coalesce(count_matches(F.col(_T), p, fl, digit), F.lit(0)).cast("int"))
             t, _ = stage(F.col(_T), p, unicode_classes)
             out = out.withColumn(_T, F.when(F.col(n_col) > 0, t).otherwise(F.col(_T)))
+    out = out.drop(_D)
     out = out.withColumn(out_col, F.col(_T)).drop(_T) if out_col != _T else out
     if with_detections:
         out = out.withColumn("pii_detections",
