@@ -58,27 +58,35 @@ def to_facts(parsed: DataFrame, e: str = "e", received_at: str = "received_at",
     )
 
 
-def ingest(raw: DataFrame, e: str = "e", received_at: str = "received_at",
-           recompute_cost: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Validate parsed events; return (accepted fact rows, event lifecycle rows).
-
-    Lifecycle (M2): PROCESSED with processed_at, or FAILED with the first
-    reason (<= 500 chars) as error.  Malformed JSON is a reason, not a drop.
-    """
+def check_events(raw: DataFrame, e: str = "e") -> DataFrame:
+    """V1-V8 on parsed events: adds ``reject_reasons`` (malformed JSON is a reason, not a drop)."""
     ok_json = F.col(e).isNotNull()
     if "_corrupt_record" in parsed_fields(raw, e):
         ok_json = ok_json & F.col(f"{e}._corrupt_record").isNull()
-    rules = [("malformed_json", ok_json)] + call_event_rules(e)
-    checked = with_reasons(raw, rules)
+    return with_reasons(raw, [("malformed_json", ok_json)] + call_event_rules(e))
+
+
+def lifecycle_of(checked: DataFrame, received_at: str = "received_at") -> DataFrame:
+    """M2: PROCESSED with processed_at, or FAILED with the reasons (<= 500 chars) as error."""
     ok = F.size("reject_reasons") == 0
-    lifecycle = checked.select(
-        *[x for x in ("event_id",) if x in raw.columns], F.col(received_at),
+    return checked.select(
+        *[x for x in ("event_id",) if x in checked.columns], F.col(received_at),
         F.when(ok, F.lit("PROCESSED")).otherwise(F.lit("FAILED")).alias("status"),
         F.when(ok, F.col(received_at)).alias("processed_at"),
         F.when(~ok, F.substring(F.array_join("reject_reasons", ","), 1, ERROR_MESSAGE_CHARS)).alias("error"),
         F.col("reject_reasons"))
-    facts = to_facts(checked.filter(ok), e, received_at, recompute_cost)
-    return facts, lifecycle
+
+
+def facts_of(checked: DataFrame, e: str = "e", received_at: str = "received_at",
+             recompute_cost: bool = False) -> DataFrame:
+    return to_facts(checked.filter(F.size("reject_reasons") == 0), e, received_at, recompute_cost)
+
+
+def ingest(raw: DataFrame, e: str = "e", received_at: str = "received_at",
+           recompute_cost: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Validate parsed events; return (accepted fact rows, event lifecycle rows)."""
+    checked = check_events(raw, e)
+    return facts_of(checked, e, received_at, recompute_cost), lifecycle_of(checked, received_at)
 
 
 def parsed_fields(df: DataFrame, e: str) -> list[str]:
