@@ -2,8 +2,10 @@
 
 A rollup row holds only additive state (counts and sums, incl. ``count_ttft``
 so an average TTFT can be rebuilt), so coarser buckets and longer ranges are
-re-aggregations of far fewer rows.  Percentiles are not additive and cannot be
-rebuilt from these sums; ranges that need them aggregate the fact rows.
+re-aggregations of far fewer rows.  Exact percentiles are not additive; ranges
+that need them aggregate the fact rows.  ``rollup_with_histogram`` adds a
+log-spaced latency histogram (4 buckets per octave, additive) from which
+``approx_summary_from_rollups`` estimates p50/p95/p99 without a fact scan.
 """
 
 from __future__ import annotations
@@ -79,3 +81,74 @@ def rollup_plus_tail(rollups: DataFrame, logs: DataFrame, range_key: str = "7d",
         F.coalesce(F.col("sum_completion_tokens"), F.lit(0)).cast("long").alias("total_completion_tokens"),
         F.coalesce(F.col("sum_cost_usd").cast("double"), F.lit(0.0)).alias("total_cost_usd"),
     )
+
+
+# --- latency histogram (approximate percentiles from rollups) ----------------------------------
+
+HIST_PER_OCTAVE = 4
+HIST_BUCKETS = 84  # covers latencies below 2^21 ms; larger values land in the last bucket
+
+
+def latency_bucket(col: str = "latency_ms") -> F.Column:
+    """Log-spaced bucket index: floor(4 * log2(latency + 1)), capped."""
+    idx = F.floor(F.log2(F.greatest(F.col(col), F.lit(0)) + 1) * HIST_PER_OCTAVE).cast("int")
+    return F.least(idx, F.lit(HIST_BUCKETS - 1))
+
+
+def histogram_aggs(col: str = "latency_ms"):
+    """One additive count per bucket (combines map-side like every other rollup column)."""
+    b = latency_bucket(col)
+    return [F.count_if(b == i).alias(f"__h{i}") for i in range(HIST_BUCKETS)]
+
+
+def with_histogram(rollups_with_counts: DataFrame) -> DataFrame:
+    cols = [f"__h{i}" for i in range(HIST_BUCKETS)]
+    return rollups_with_counts.withColumn("latency_hist", F.array(*[F.col(c) for c in cols])).drop(*cols)
+
+
+def rollup_with_histogram(logs: DataFrame, width: str = "1 minute", time_col: str = "created_at") -> DataFrame:
+    """G15 + a latency histogram column, so coarse ranges can estimate percentiles."""
+    agg = (logs.groupBy(F.window(time_col, width).start.alias("bucket"), "provider", "model")
+           .agg(*rollup_aggs(), *histogram_aggs()))
+    return with_histogram(agg)
+
+
+def sum_histograms(col: str = "latency_hist") -> F.Column:
+    """Element-wise sum aggregate of histogram arrays."""
+    return F.array(*[F.sum(F.col(col)[i]).cast("long") for i in range(HIST_BUCKETS)])
+
+
+def percentile_from_histogram(hist: F.Column, q: float) -> F.Column:
+    """Approximate continuous percentile: find the bucket holding rank q*(n-1), interpolate linearly
+    between its bounds (2^(i/4) - 1 .. 2^((i+1)/4) - 1).  Relative error is bounded by the bucket width."""
+    n = F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x)
+    rank = F.lit(q) * (n - 1)
+    cum = F.transform(hist, lambda x, i: F.aggregate(F.slice(hist, 1, i + 1), F.lit(0).cast("long"),
+                                                       lambda a, y: a + y))
+    # first bucket whose cumulative count exceeds the rank
+    idx = F.array_position(F.transform(cum, lambda c: c > rank), True) - 1
+    before = F.when(idx > 0, cum[(idx - 1).cast("int")]).otherwise(F.lit(0))
+    inside = hist[idx.cast("int")]
+    lo = F.pow(F.lit(2.0), idx / HIST_PER_OCTAVE) - 1
+    hi = F.pow(F.lit(2.0), (idx + 1) / HIST_PER_OCTAVE) - 1
+    frac = (rank - before + 0.5) / inside
+    return F.when(n > 0, lo + (hi - lo) * F.least(F.greatest(frac, F.lit(0.0)), F.lit(1.0)))
+
+
+def approx_summary_from_rollups(rollups: DataFrame, range_key: str = "7d",
+                                as_of: _dt.datetime = DEFAULT_AS_OF) -> DataFrame:
+    """p50/p95/p99 estimates for a range from histogram rollups (no fact-table scan)."""
+    lower = as_of - RANGE_INTERVAL[check_range(range_key)]
+    lit = F.lit(lower.strftime("%Y-%m-%d %H:%M:%S")).cast(rollups.schema["bucket"].dataType)
+    h = rollups.filter(F.col("bucket") >= lit).agg(sum_histograms().alias("h"),
+                                                   F.sum("count_total").alias("total"))
+    return h.select(F.lit(range_key).alias("range_name"), F.col("total").cast("long").alias("total_requests"),
+                    *[percentile_from_histogram(F.col("h"), q).alias(f"p{int(q * 100)}_latency_ms_approx")
+                      for q in (0.5, 0.95, 0.99)])
+
+
+def reaggregate_with_histogram(rollups: DataFrame, width: str, keys: tuple[str, ...] = ("provider", "model")) -> DataFrame:
+    """Coarser buckets, summing the histograms element-wise as well."""
+    return (rollups.groupBy(F.window("bucket", width).start.alias("bucket"), *keys)
+            .agg(*[F.sum(c).cast("decimal(14,6)" if c == "sum_cost_usd" else "long").alias(c) for c in SUM_COLUMNS],
+                 sum_histograms().alias("latency_hist")))

@@ -83,3 +83,14 @@ def test_log_detail_point_lookup(spark):
 def test_filter_pushed_to_scan(spark):
     plan = M.summary(call_logs(spark, SMALL), "7d")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def test_histogram_percentiles_close_to_exact(spark):
+    logs = call_logs(spark, MEDIUM)
+    r = RU.rollup_with_histogram(logs)
+    est = RU.approx_summary_from_rollups(RU.reaggregate_with_histogram(r, "1 hour"), "30d").collect()[0]
+    exact = M.summary(logs, "30d").collect()[0]
+    assert est["total_requests"] == exact["total_requests"]
+    for q in ("p50", "p95", "p99"):
+        e, a = exact[f"{q}_latency_ms"], est[f"{q}_latency_ms_approx"]
+        assert abs(a - e) <= 0.2 * e + 1, (q, a, e)
