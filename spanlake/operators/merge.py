@@ -27,7 +27,9 @@ def fold_latest(df: DataFrame, key: str = "id", order: list[str] | None = None,
 
     ``order`` (default ``created_at, event_id``) ranks versions; mutable
     columns take the value of the latest version (``max_by``, NULL included),
-    the others the first version's (``min_by``).
+    the others the first version's (``min_by``).  Each side is one struct
+    aggregate, so select the needed columns before folding (columns inside the
+    structs are not pruned afterwards).
     """
     order = order or [c for c in ("created_at", "event_id") if c in df.columns]
     ord_col = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])

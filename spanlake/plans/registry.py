@@ -177,8 +177,10 @@ INGEST_COLS = ("id", "conversation_id", "provider", "provider_raw", "model", "st
                "input_preview", "output_preview", "environment", "created_at", "versions")
 
 
+FOLD_INPUT = tuple(c for c in INGEST_COLS if c != "versions") + ("event_id",)
+
 register("ingest_events", O.ingest_events_sql())(
-    lambda spark, sf: MG.fold_latest(_ingest(spark, sf)[0]).select(*INGEST_COLS))
+    lambda spark, sf: MG.fold_latest(_ingest(spark, sf)[0].select(*FOLD_INPUT)).select(*INGEST_COLS))
 register("event_status_counts", O.event_status_counts_sql())(
     lambda spark, sf: MG.event_status_counts(_ingest(spark, sf)[1]))
 register("orphan_check", O.orphan_check_sql())(
@@ -254,7 +256,8 @@ from ..streaming import jobs as ST  # noqa: E402
 register("stream_rollup", O.rollup_sql())(lambda spark, sf: _rollup_out(ST.run_rollup(spark, sf)))
 register("stream_series", O.timeseries_sql("requests", "24h", "provider"))(
     lambda spark, sf: ST.run_series(spark, sf, "24h", "provider"))
-register("stream_upsert", O.ingest_events_sql())(lambda spark, sf: ST.run_upsert(spark, sf)[0].select(*INGEST_COLS))
+register("stream_upsert", O.ingest_events_sql())(
+    lambda spark, sf: ST.run_upsert(spark, sf, fold_columns=FOLD_INPUT)[0].select(*INGEST_COLS))
 register("stream_event_status", O.event_status_counts_sql())(
     lambda spark, sf: MG.event_status_counts(ST.run_upsert(spark, sf)[1]))
 register("stream_live_feed", O.live_feed_sql(50))(lambda spark, sf: ST.run_live_feed(spark, sf, 50))

@@ -126,7 +126,8 @@ def run_series(spark: SparkSession, sf_dir: str, range_key: str = "24h", group_b
 
 # --- L2 / L6 / L1: ingest, dedup, live feed ----------------------------------------------------------
 
-def run_upsert(spark: SparkSession, sf_dir: str, dedup_watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+def run_upsert(spark: SparkSession, sf_dir: str, dedup_watermark: str = "1 hour",
+               fold_columns: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """L2 + L6: events -> JSON payloads -> validate -> normalise, exact duplicate events dropped
     within the watermark.  One stream; each micro-batch is validated once (persisted for the two
     writes) and lands its fact rows and its lifecycle rows; facts are folded by id (M1)."""
@@ -155,7 +156,10 @@ def run_upsert(spark: SparkSession, sf_dir: str, dedup_watermark: str = "1 hour"
     facts = spark.read.schema(_with_batch(facts_of(checked).schema)).parquet(f"{root}/facts")
     life = spark.read.schema(_with_batch(lifecycle_of(checked).drop("reject_reasons").schema)).parquet(
         f"{root}/lifecycle")
-    return fold_latest(facts.drop("batch_id")), life.drop("batch_id")
+    facts = facts.drop("batch_id")
+    if fold_columns:
+        facts = facts.select(*fold_columns)  # read only what the fold needs
+    return fold_latest(facts), life.drop("batch_id")
 
 
 def _with_batch(schema: T.StructType) -> T.StructType:
