@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.prices import (CLOUD_PRICES_PER_MILLION, COST_TYPE, LOCAL_DEFAULT_PER_MILLION,
-                              LOCAL_PRICES_PER_MILLION, LOCAL_PROVIDER, LOCAL_TAG, RATE_TYPE,
+                              LOCAL_PRICES_PER_MILLION, LOCAL_PROVIDER, LOCAL_TAG,
                               per_token)
 
 
