@@ -32,3 +32,19 @@ def test_json_files_and_bronze_round_trip(spark):
                                                                             dt.date(2024, 1, 3)]
     assert purge_before(back, dt.date(2024, 1, 2)).count() == 2
     assert set(back.select("event_status").distinct().toPandas()["event_status"]) == {"RECEIVED"}
+
+
+def test_fact_table_partition_pruning(spark):
+    from conftest import SMALL
+    from spanlake.operators.metrics import summary
+    from spanlake.sources.facts import read_facts, write_facts
+    from spanlake.sources.fixtures import call_logs
+    path = scratch_path(spark, "facts-test")
+    logs = call_logs(spark, SMALL)
+    write_facts(logs, path, files_per_day=2)
+    facts = read_facts(spark, path)
+    direct = summary(logs, "7d").collect()
+    stored = summary(facts, "7d")
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "GreaterThanOrEqual(created_at" in plan
+    assert stored.collect() == direct
