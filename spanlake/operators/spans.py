@@ -66,15 +66,18 @@ def assemble_spans(chunks: DataFrame, timeout: _dt.timedelta | None = None,
          .alias("completion_tokens"),
         F.count_if(is_chunk).alias("chunk_count"),
         F.max("end").alias("end"))
-    # A2: first max_chars non-empty deltas per span, then ordered concatenation.
+    # A2: first max_chars non-empty deltas per span, then ordered concatenation.  The chunks
+    # before the end are a seq-prefix, so the head is taken over all chunks (no join needed) and
+    # cut at the end seq afterwards: exact.
     w = Window.partitionBy("span_id").orderBy("seq")
-    head = (kept.filter(is_chunk & (F.col("delta") != ""))
+    head = (c.filter(is_chunk & (F.col("delta") != ""))
             .select("span_id", "seq", "delta")
             .withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= max_chars))
-    text = head.groupBy("span_id").agg(
-        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))),
-                                             lambda x: x["delta"]), ""), 1, max_chars).alias("output_text"))
-    s = stats.join(text, "span_id", "left")
+    heads = head.groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("__head"))
+    s = stats.join(heads, "span_id", "left")
+    before_end = F.filter("__head", lambda x: F.col("end").isNull() | (x["seq"] < F.col("end.seq")))
+    s = s.withColumn("output_text", F.substring(F.array_join(F.transform(before_end, lambda x: x["delta"]), ""),
+                                                1, max_chars))
     kind = F.col("end.kind")
     status = F.coalesce(
         F.when(kind == "error", F.lit("ERROR")).when(kind == "cancelled", F.lit("CANCELLED"))
