@@ -669,3 +669,24 @@ def normalize_bodies_sql() -> str:
   CASE event_type WHEN 'error' THEN 'model,user' ELSE 'user' END AS chat_roles,
   CASE event_type WHEN 'signup' THEN 'be brief' END AS system_prompt
 FROM events"""
+
+
+def normalize_events_sql() -> str:
+    return f"""WITH {RAW_EVENTS}
+SELECT event_id, lpad(CAST(id AS VARCHAR), 10, '0') AS id, upper(COALESCE(status, 'success')) AS status,
+  upper(COALESCE(status, 'success')) IN ('SUCCESS','ERROR','CANCELLED','TIMEOUT') AS status_in_domain,
+  COALESCE(latency_ms, 0) AS latency_ms, prompt_tokens,
+  CASE WHEN COALESCE(prompt_tokens, 0) <> 0 THEN COALESCE(prompt_tokens, 0) END AS total_tokens,
+  received_at AS created_at
+FROM raw"""
+
+
+def multi_series_sql(range_key: str = "7d") -> str:
+    t = f"time_bucket({BUCKET_SQL[range_key]}, created_at, TIMESTAMP '2000-01-01')"
+    return with_logs(f"""
+SELECT {t} AS t, CAST(COUNT(*) AS DOUBLE) AS requests,
+  CAST(COUNT(*) FILTER (WHERE status = 'ERROR') AS DOUBLE) AS errors,
+  COALESCE(CAST(SUM(cost_usd) AS DOUBLE), 0.0) AS cost, COALESCE(CAST(SUM(total_tokens) AS DOUBLE), 0.0) AS tokens,
+  round(PERCENTILE_CONT(0.50) WITHIN GROUP (ORDER BY latency_ms), 6) AS latency_p50,
+  round(PERCENTILE_CONT(0.95) WITHIN GROUP (ORDER BY latency_ms), 6) AS latency_p95
+FROM logs WHERE {in_range_sql(range_key)} GROUP BY 1""")

@@ -280,3 +280,24 @@ def _bodies(spark, sf):
 
 
 register("normalize_bodies", O.normalize_bodies_sql())(_bodies)
+
+# --- raw event normalisation / multi-metric series -----------------------------------------
+
+from ..functions.normalize import status_upper  # noqa: E402
+from ..functions.normalize import total_tokens as _total_tokens  # noqa: E402
+from ..schemas import INFERENCE_STATUS  # noqa: E402
+
+
+def _normalize_events(spark, sf):
+    r = raw_events(spark, sf)
+    return r.select("event_id", F.lpad(F.col("id").cast("string"), 10, "0").alias("id"),
+                    status_upper("status").alias("status"),
+                    status_upper("status").isin(*INFERENCE_STATUS).alias("status_in_domain"),
+                    F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"), "prompt_tokens",
+                    _total_tokens("prompt_tokens", F.lit(None).cast("int")).alias("total_tokens"),
+                    F.col("received_at").alias("created_at"))
+
+
+register("normalize_events", O.normalize_events_sql())(_normalize_events)
+register("ts_all_metrics", O.multi_series_sql("7d"))(
+    lambda spark, sf: M.multi_metric_series(call_logs(spark, sf), "7d"))
