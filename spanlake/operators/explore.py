@@ -79,17 +79,26 @@ def after_cursor(logs: DataFrame, cursor, cursor_id: str | None = None,
 
 def logs_page(logs: DataFrame, limit: int = 50, provider: str | None = None,
               model: str | None = None, status: str | None = None, conversation_id=None,
-              cursor=None, cursor_id: str | None = None, mode: str = "default") -> DataFrame:
+              cursor=None, cursor_id: str | None = None, mode: str = "default",
+              since: _dt.datetime | None = None) -> DataFrame:
     """T1 + T2: newest-first page with ``next_cursor`` / ``next_cursor_id`` columns.
 
     ``next_cursor`` is the created_at of the last kept row when one more row
-    exists, else NULL (same value on every row of the page).
+    exists, else NULL (same value on every row of the page).  ``since`` (not in
+    the reference) bounds the scan from below; on a fact table partitioned by
+    ``dt`` it also prunes older date folders, so a page reads recent data only.
     """
     if not 1 <= limit <= LOG_PAGE_MAX:
         raise ValueError(f"limit must be in 1..{LOG_PAGE_MAX}")
     f = filter_logs(logs, provider, model, status, conversation_id)
+    if since is not None:
+        f = f.filter(F.col("created_at") >= _ts(logs, since))
+        if "dt" in logs.columns:
+            f = f.filter(F.col("dt") >= F.lit(since.date()))
     if cursor is not None:
         f = after_cursor(f, cursor, cursor_id, mode)
+        if "dt" in logs.columns and isinstance(cursor, _dt.datetime):
+            f = f.filter(F.col("dt") <= F.lit(cursor.date()))
     order = [F.desc("created_at"), F.desc("id")]
     top = list_projection(f).orderBy(*order).limit(limit + 1)
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

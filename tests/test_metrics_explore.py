@@ -94,3 +94,12 @@ def test_histogram_percentiles_close_to_exact(spark):
     for q in ("p50", "p95", "p99"):
         e, a = exact[f"{q}_latency_ms"], est[f"{q}_latency_ms_approx"]
         assert abs(a - e) <= 0.2 * e + 1, (q, a, e)
+
+
+def test_page_since_bounds_scan(spark):
+    logs = call_logs(spark, SMALL, previews=True)
+    full = X.logs_page(logs, 20).collect()
+    since = full[-1]["created_at"] - dt.timedelta(seconds=1)
+    bounded = X.logs_page(logs, 20, since=since)
+    assert [r["id"] for r in bounded.collect()] == [r["id"] for r in full]
+    assert "GreaterThanOrEqual(ts" in bounded._jdf.queryExecution().executedPlan().toString()
