@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -57,9 +58,35 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_utc(spark: SparkSession) -> None:
-    """Bucket boundaries and range filters are defined in UTC; see RUNTIME_CONF."""
+    """Bucket boundaries and range filters are defined in UTC; see RUNTIME_CONF.
+
+    Also ships this package to the executors' Python workers (the stateful span
+    function and the JSON UDF are resolved by module there).
+    """
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """``addPyFile`` a zip of the package once per SparkContext (like ``--py-files``)."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="spanlake-pyfiles-"), "spanlake.zip")  # driver-side upload source
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -64,8 +64,30 @@ def use_rocksdb_state(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Default number of state partitions: the cluster's task slots (fixed at a query's first start)."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def _start_with_partitions(writer, spark: SparkSession, partitions: int | None):
+    """Start a query with a chosen shuffle/state partition count.
+
+    Stateful operators keep the partition count of their first run in the
+    checkpoint; it is set here from the cluster size instead of inheriting a
+    generic session default.  The session setting is restored after start
+    (the running query works on its own session clone).
+    """
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(partitions or state_partitions(spark)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def start(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
-          trigger: dict | None = None) -> tuple[object, str]:
+          trigger: dict | None = None, partitions: int | None = None) -> tuple[object, str]:
     """Start a landed job; returns (StreamingQuery, data path).
 
     ``trigger`` defaults to availableNow; L5 (micro-batch every 2 s) is
@@ -77,7 +99,7 @@ def start(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append
     w = (stream.writeStream.outputMode(mode).foreachBatch(_land(data))
          .option("checkpointLocation", f"{root}/checkpoint"))
     w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start(), data
+    return _start_with_partitions(w, spark, partitions), data
 
 
 def run(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
@@ -150,8 +172,9 @@ def run_upsert(spark: SparkSession, sf_dir: str, dedup_watermark: str = "1 hour"
         finally:
             b.unpersist()
 
-    q = (checked.writeStream.outputMode("append").foreachBatch(land)
-         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    q = _start_with_partitions(checked.writeStream.outputMode("append").foreachBatch(land)
+                               .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True),
+                               spark, None)
     q.awaitTermination()
     facts = spark.read.schema(_with_batch(facts_of(checked).schema)).parquet(f"{root}/facts")
     life = spark.read.schema(_with_batch(lifecycle_of(checked).drop("reject_reasons").schema)).parquet(
