@@ -92,3 +92,31 @@ def test_catalog_join_equals_literal_lookup(spark):
     a = C.cost_by_model(logs).orderBy("provider_raw", "model").collect()
     b = C.cost_by_model(logs, price_catalog(spark)).orderBy("provider_raw", "model").collect()
     assert a == b
+
+
+def test_fold_state_is_refoldable(spark):
+    from conftest import SMALL
+    from spanlake.sources.fixtures import raw_events
+    r = raw_events(spark, SMALL).select("id", "event_id", "status", "latency_ms", "prompt_tokens",
+                                        F.col("received_at").alias("created_at"))
+    direct = sorted(tuple(x) for x in MG.fold_latest(r, mutable=("status", "prompt_tokens")).collect())
+    a, b = r.filter(F.col("event_id") % 2 == 0), r.filter(F.col("event_id") % 2 == 1)
+    st = MG.fold_state(a, mutable=("status", "prompt_tokens")).unionByName(
+        MG.fold_state(b, mutable=("status", "prompt_tokens")))
+    merged = MG.state_rows(MG.merge_states(st)).select(*MG.fold_latest(r, mutable=("status", "prompt_tokens")).columns)
+    assert sorted(tuple(x) for x in merged.collect()) == direct
+
+
+def test_compact_snapshot(spark):
+    from conftest import SMALL
+    from spanlake.session import scratch_path
+    from spanlake.sources.fixtures import raw_events
+    root = scratch_path(spark, "compact-test")
+    r = raw_events(spark, SMALL).select("id", "event_id", "status", F.col("received_at").alias("created_at"))
+    r.withColumn("batch_id", (F.col("event_id") % 3).cast("long")).write.partitionBy("batch_id").parquet(root + "/log")
+    MG.compact(spark, root + "/log", root + "/none", root + "/snap1", mutable=("status",))
+    got = sorted(tuple(x) for x in MG.state_rows(spark.read.parquet(root + "/snap1")).select(
+        "id", "event_id", "status", "created_at", "versions").collect())
+    want = sorted(tuple(x) for x in MG.fold_latest(r, mutable=("status",)).select(
+        "id", "event_id", "status", "created_at", "versions").collect())
+    assert got == want
