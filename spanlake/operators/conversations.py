@@ -118,3 +118,49 @@ def message_log_links(messages: DataFrame, logs: DataFrame, link_col: str = "inf
     lg = logs.select(F.col("id").alias("__lid"), F.col("status").alias("log_status"),
                      F.col("latency_ms").alias("log_latency_ms"))
     return messages.join(lg, F.col(link_col) == F.col("__lid"), "left").drop("__lid")
+
+
+def apply_chat_turns(convs: DataFrame, messages: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S9 + P14 + P15 + M5 over a table of chat turns.
+
+    ``turns``: (turn_id, conversation_id nullable, message, provider, model,
+    response, log_id, ts).  A turn whose conversation is missing opens a new
+    conversation (id = turn_id, title from the message, provider kept only
+    when known); every turn appends its user message and, when the response
+    is non-empty, the assistant message (linked to the log only for 36-char
+    ids); conversations are touched with their newest turn time.
+    Returns (conversations, messages) as new DataFrames (append + update by join).
+    """
+    known = convs.select(F.col("conversation_id").alias("__cid"))
+    t = (turns.join(known, F.col("conversation_id") == F.col("__cid"), "left")
+         .withColumn("__new", F.col("__cid").isNull())
+         .withColumn("conv", F.when(F.col("__new"), F.col("turn_id")).otherwise(F.col("conversation_id")))
+         .drop("__cid"))
+    conv_type = convs.schema["conversation_id"].dataType
+    new_convs = t.filter("__new").select(
+        F.col("conv").cast(conv_type).alias("conversation_id"),
+        title_from_message("message").alias("title"), F.lit("ACTIVE").alias("status"),
+        chat_provider("provider").alias("provider"), F.col("model"),
+        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+    cols = convs.columns
+    new_convs = new_convs.select(*[F.col(c) if c in new_convs.columns else F.lit(None).cast(convs.schema[c].dataType)
+                                   .alias(c) for c in cols])
+    msg_cols = messages.columns
+    ts_type = messages.schema["created_at"].dataType
+    user = t.select(F.col("conv").alias("conversation_id"), F.lit("USER").alias("role"),
+                    F.col("message").alias("content"), F.lit(None).cast("string").alias("inference_log_id"),
+                    F.col("ts").cast(ts_type).alias("created_at"))
+    assistant = t.filter(F.coalesce(F.length("response"), F.lit(0)) > 0).select(
+        F.col("conv").alias("conversation_id"), F.lit("ASSISTANT").alias("role"), F.col("response").alias("content"),
+        assistant_log_link("log_id").alias("inference_log_id"),
+        (F.col("ts").cast(ts_type) + F.expr("INTERVAL 1 MICROSECOND")).alias("created_at"))
+    added = user.unionByName(assistant)
+    added = added.select(*[F.col(c).cast(messages.schema[c].dataType) if c in added.columns
+                           else F.lit(None).cast(messages.schema[c].dataType).alias(c) for c in msg_cols])
+    all_msgs = messages.unionByName(added)
+    touched = (convs.unionByName(new_convs)
+               .join(t.groupBy(F.col("conv").cast(conv_type).alias("conversation_id"))
+                     .agg(F.max("ts").alias("__last")), "conversation_id", "left")
+               .withColumn("updated_at", F.greatest("updated_at", F.col("__last").cast(convs.schema["updated_at"].dataType)))
+               .drop("__last"))
+    return touched, all_msgs

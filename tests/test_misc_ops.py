@@ -77,3 +77,25 @@ def test_processing_time_trigger_starts_and_stops(spark):
         assert q.isActive
     finally:
         q.stop()
+
+
+def test_apply_chat_turns(spark):
+    convs = spark.createDataFrame([("c1", "Old", "ACTIVE", None, None, T0, T0)],
+                                  "conversation_id string, title string, status string, provider string, "
+                                  "model string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    msgs = spark.createDataFrame([("c1", "USER", "hi", None, T0)],
+                                 "conversation_id string, role string, content string, inference_log_id string, "
+                                 "created_at timestamp_ntz")
+    t1, t2 = T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=2)
+    turns = spark.createDataFrame([
+        ("t1", "c1", "again", "openai", "gpt-4o", "answer", "x" * 26, t1),
+        ("t2", None, "q" * 70, "ollama", "llama3.2", "", "y" * 36, t2)],
+        "turn_id string, conversation_id string, message string, provider string, model string, "
+        "response string, log_id string, ts timestamp_ntz")
+    c, m = CV.apply_chat_turns(convs, msgs, turns)
+    cs = {r["conversation_id"]: r for r in c.collect()}
+    assert cs["c1"]["updated_at"] == t1 and cs["c1"]["title"] == "Old"
+    assert cs["t2"]["title"] == "q" * 60 and cs["t2"]["provider"] is None and cs["t2"]["updated_at"] == t2
+    rows = sorted((r["conversation_id"], r["role"], r["content"], r["inference_log_id"]) for r in m.collect())
+    assert rows == [("c1", "ASSISTANT", "answer", None), ("c1", "USER", "again", None), ("c1", "USER", "hi", None),
+                    ("t2", "USER", "q" * 70, None)]
