@@ -170,3 +170,68 @@ def multi_metric_series(logs: DataFrame, range_key: str = "24h", group_by: str =
     return out.select(*[c for c in out.columns if c != "p"],
                       F.round(F.col("p")[0], 6).alias("latency_p50"),
                       F.round(F.col("p")[1], 6).alias("latency_p95"))
+
+
+def nest_series(long_series: DataFrame, bucket: str | None = None) -> DataFrame:
+    """G13 nested form: one row per series key with ``points`` = [(t, v)] in time order.
+
+    Arrays are bounded by the number of buckets of a range (at most 30 for the
+    four fixed ranges), so collecting them per key is safe.
+    """
+    pts = F.array_sort(F.collect_list(F.struct(F.col("t"), F.col("v"))))
+    out = long_series.groupBy("series_key").agg(pts.alias("points"))
+    return out.withColumn("bucket", F.lit(bucket)) if bucket else out
+
+
+def summary_response(logs: DataFrame, range_key: str = "24h", as_of: _dt.datetime = DEFAULT_AS_OF,
+                     k: int = TOP_MODELS) -> DataFrame:
+    """The summary endpoint's shape in one row: summary fields + ``by_provider`` + ``by_model``.
+
+    One scan: grouping sets ``()``, ``(provider)`` and ``(model)`` in a single
+    aggregation (the three separate queries of the endpoint share the filtered
+    input), then a global fold of the few grouped rows into one row.
+    """
+    r = in_range(logs, range_key, as_of)
+    g = r.groupingSets([[], ["provider"], ["model"]], "provider", "model").agg(
+        F.grouping_id().alias("gid"),
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(is_error()).alias("errors"),
+        F.percentile("latency_ms", [0.5, 0.95, 0.99]).alias("pcts"),
+        F.avg("ttft_ms").alias("avg_ttft"),
+        F.sum("prompt_tokens").alias("sum_prompt"),
+        F.sum("completion_tokens").alias("sum_completion"),
+        F.sum("cost_usd").alias("sum_cost"))
+    glob = F.col("gid") == 3
+    prov = F.struct(F.col("total").alias("count"), F.col("provider"),
+                    (F.col("errors") / F.col("total")).alias("error_rate"))
+    mod = F.struct(F.col("total").alias("count"), F.col("model"))
+
+    def by_count_desc(name: str):
+        def cmp(a, b):
+            return (F.when(a["count"] > b["count"], -1).when(a["count"] < b["count"], 1)
+                    .when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0))
+        return cmp
+    one = g.agg(
+        F.max(F.when(glob, F.col("total"))).alias("total"),
+        F.max(F.when(glob, F.col("errors"))).alias("errors"),
+        F.max(F.when(glob, F.col("pcts"))).alias("pcts"),
+        F.max(F.when(glob, F.col("avg_ttft"))).alias("avg_ttft"),
+        F.max(F.when(glob, F.col("sum_prompt"))).alias("sum_prompt"),
+        F.max(F.when(glob, F.col("sum_completion"))).alias("sum_completion"),
+        F.max(F.when(glob, F.col("sum_cost"))).alias("sum_cost"),
+        F.collect_list(F.when(F.col("gid") == 1, prov)).alias("bp"),
+        F.collect_list(F.when(F.col("gid") == 2, mod)).alias("bm"))
+    total = F.coalesce(F.col("total"), F.lit(0)).cast("long")
+    return one.select(
+        F.lit(range_key).alias("range_name"),
+        total.alias("total_requests"),
+        half_even_ratio(F.coalesce(F.col("errors"), F.lit(0)), total, 4).alias("error_rate"),
+        trunc_to_long(F.col("pcts")[0]).alias("p50_latency_ms"),
+        trunc_to_long(F.col("pcts")[1]).alias("p95_latency_ms"),
+        trunc_to_long(F.col("pcts")[2]).alias("p99_latency_ms"),
+        trunc_to_long(F.col("avg_ttft")).alias("avg_ttft_ms"),
+        F.coalesce(F.col("sum_prompt").cast("long"), F.lit(0).cast("long")).alias("total_prompt_tokens"),
+        F.coalesce(F.col("sum_completion").cast("long"), F.lit(0).cast("long")).alias("total_completion_tokens"),
+        F.coalesce(F.col("sum_cost").cast("double"), F.lit(0.0)).alias("total_cost_usd"),
+        F.array_sort("bp", by_count_desc("provider")).alias("by_provider"),
+        F.slice(F.array_sort("bm", by_count_desc("model")), 1, k).alias("by_model"))

@@ -103,3 +103,33 @@ def test_page_since_bounds_scan(spark):
     bounded = X.logs_page(logs, 20, since=since)
     assert [r["id"] for r in bounded.collect()] == [r["id"] for r in full]
     assert "GreaterThanOrEqual(ts" in bounded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_response_and_nested_series(spark):
+    logs = call_logs(spark, MEDIUM)
+    r = M.summary_response(logs, "7d").collect()
+    assert len(r) == 1
+    row = r[0]
+    s = M.summary(logs, "7d").collect()[0]
+    assert row["total_requests"] == s["total_requests"] and row["p95_latency_ms"] == s["p95_latency_ms"]
+    assert sum(p["count"] for p in row["by_provider"]) == s["total_requests"]
+    assert [m["count"] for m in row["by_model"]] == sorted([m["count"] for m in row["by_model"]], reverse=True)
+    assert [(m["model"], m["count"]) for m in row["by_model"]] == \
+        [(m["model"], m["count"]) for m in M.top_models(logs, "7d").collect()]
+    assert {p["provider"]: p["error_rate"] for p in row["by_provider"]} == \
+        {p["provider"]: p["error_rate"] for p in M.by_provider(logs, "7d").collect()}
+    assert tuple(row)[:10] == tuple(s)
+    nested = M.nest_series(M.timeseries(logs, "requests", "7d", "provider"), "6 hours").collect()
+    total = sum(p["v"] for r in nested for p in r["points"])
+    assert total == s["total_requests"]
+    for r in nested:
+        ts = [p["t"] for p in r["points"]]
+        assert ts == sorted(ts)
+
+
+def test_approx_percentiles_close(spark):
+    logs = call_logs(spark, MEDIUM)
+    e = M.summary(logs, "30d").collect()[0]
+    a = M.summary(logs, "30d", approx=True).collect()[0]
+    for q in ("p50", "p95", "p99"):
+        assert abs(a[f"{q}_latency_ms"] - e[f"{q}_latency_ms"]) <= 0.02 * e[f"{q}_latency_ms"] + 2
