@@ -690,3 +690,17 @@ SELECT {t} AS t, CAST(COUNT(*) AS DOUBLE) AS requests,
   round(PERCENTILE_CONT(0.50) WITHIN GROUP (ORDER BY latency_ms), 6) AS latency_p50,
   round(PERCENTILE_CONT(0.95) WITHIN GROUP (ORDER BY latency_ms), 6) AS latency_p95
 FROM logs WHERE {in_range_sql(range_key)} GROUP BY 1""")
+
+
+def event_lifecycle_sql() -> str:
+    return f"""WITH {PAYLOAD_EVENTS}
+SELECT event_id, received_at,
+  CASE WHEN status <> 'BOGUS' AND latency_ms >= 0 THEN 'PROCESSED' ELSE 'FAILED' END AS status,
+  CASE WHEN status <> 'BOGUS' AND latency_ms >= 0 THEN received_at END AS processed_at,
+  NULLIF(concat_ws(',', CASE WHEN latency_ms < 0 THEN 'negative_latency_ms' END,
+                        CASE WHEN status = 'BOGUS' THEN 'bad_status' END), '') AS error
+FROM pe"""
+
+
+def conversations_dim_sql() -> str:
+    return conv_sql("SELECT * FROM convs")

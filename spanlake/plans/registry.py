@@ -301,3 +301,6 @@ def _normalize_events(spark, sf):
 register("normalize_events", O.normalize_events_sql())(_normalize_events)
 register("ts_all_metrics", O.multi_series_sql("7d"))(
     lambda spark, sf: M.multi_metric_series(call_logs(spark, sf), "7d"))
+register("event_lifecycle", O.event_lifecycle_sql())(
+    lambda spark, sf: _ingest(spark, sf)[1].drop("reject_reasons"))
+register("conversations_dim", O.conversations_dim_sql())(_convs)
