@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from ..functions.normalize import status_upper
+from ..functions.normalize import total_tokens as _total_tokens
+from ..functions.pii import PII_TYPES
+from ..operators import conversations as CV
+from ..operators import cost as C
+from ..operators import explore as X
+from ..operators import ingest as I
+from ..operators import merge as MG
 from ..operators import metrics as M
-from ..sources.fixtures import call_logs
+from ..operators import payloads as PL
+from ..operators import redact as R
+from ..operators import reports as RP
+from ..operators import rollup as RU
+from ..operators import spans as SP
+from ..operators import validate as V
+from ..operators.metrics import in_range
+from ..schemas import DEFAULT_AS_OF, INFERENCE_STATUS
+from ..sources.events import parse_events, payloads_from_events
+from ..sources.fixtures import (call_logs, chunk_events, conversation_messages, provider_bodies,
+                                raw_events)
+from ..sources.prices import price_catalog
+from ..sources.tables import read_table
+from ..streaming import jobs as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,9 +77,6 @@ register("ts_cost_30d_by_provider", O.timeseries_sql("cost", "30d", "provider"))
 
 # --- log explorer --------------------------------------------------------------------------
 
-from ..operators import explore as X  # noqa: E402
-from ..operators import cost as C  # noqa: E402
-from ..sources.prices import price_catalog  # noqa: E402
 
 register("logs_page", O.logs_page_sql(50))(
     lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 50))
@@ -90,11 +109,6 @@ register("backfill_fill_nulls", O.backfill_sql("fill"))(
 
 # --- PII -----------------------------------------------------------------------------------
 
-from ..functions.pii import PII_TYPES  # noqa: E402
-from ..operators import redact as R  # noqa: E402
-from ..sources.fixtures import conversation_messages  # noqa: E402
-from ..sources.tables import read_table  # noqa: E402
-
 
 def _redacted_docs(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
@@ -131,12 +145,6 @@ register("pii_detection_report", O.pii_detection_report_sql())(_pii_report)
 
 # --- validation / ingest / merge -----------------------------------------------------------
 
-from ..operators import ingest as I  # noqa: E402
-from ..operators import merge as MG  # noqa: E402
-from ..operators import validate as V  # noqa: E402
-from ..sources.events import parse_events, payloads_from_events  # noqa: E402
-from ..sources.fixtures import raw_events  # noqa: E402
-
 
 def _checked_raw(spark, sf):
     return V.with_reasons(raw_events(spark, sf), V.raw_event_rules())
@@ -189,10 +197,6 @@ register("orphan_check", O.orphan_check_sql())(
 
 # --- rollups / conversations ---------------------------------------------------------------
 
-from ..operators import conversations as CV  # noqa: E402
-from ..operators import rollup as RU  # noqa: E402
-from ..operators.metrics import in_range  # noqa: E402
-
 
 def _rollup_out(df):
     return df.withColumn("sum_cost_usd", F.col("sum_cost_usd").cast("double"))
@@ -222,7 +226,6 @@ register("usage_per_conversation", O.usage_per_conversation_sql())(
 def _archive(spark, sf):
     logs = call_logs(spark, sf)
     hit = in_range(logs, "24h").filter(F.col("status") == "ERROR").select("conversation_id")
-    from ..schemas import DEFAULT_AS_OF
     return MG.archive(_convs(spark, sf), hit, DEFAULT_AS_OF).select("conversation_id", "status", "updated_at")
 
 
@@ -230,9 +233,6 @@ register("archive", O.archive_sql())(_archive)
 
 # --- spans / reports / classification ------------------------------------------------------
 
-from ..operators import reports as RP  # noqa: E402
-from ..operators import spans as SP  # noqa: E402
-from ..sources.fixtures import chunk_events  # noqa: E402
 
 register("span_assembly", O.span_assembly_sql())(lambda spark, sf: SP.assemble_spans(chunk_events(spark, sf)))
 register("model_catalog", O.model_catalog_sql())(lambda spark, sf: RP.model_catalog(call_logs(spark, sf)))
@@ -249,9 +249,6 @@ register("model_family", O.model_family_sql())(lambda spark, sf: RP.model_famili
 
 # --- streaming -----------------------------------------------------------------------------
 
-import datetime as _dt  # noqa: E402
-
-from ..streaming import jobs as ST  # noqa: E402
 
 register("stream_rollup", O.rollup_sql())(lambda spark, sf: _rollup_out(ST.run_rollup(spark, sf)))
 register("stream_series", O.timeseries_sql("requests", "24h", "provider"))(
@@ -266,9 +263,6 @@ register("stream_spans", O.span_assembly_sql())(
 
 # --- heterogeneous payloads ----------------------------------------------------------------
 
-from ..operators import payloads as PL  # noqa: E402
-from ..sources.fixtures import provider_bodies  # noqa: E402
-
 
 def _bodies(spark, sf):
     n = PL.normalize_bodies(provider_bodies(spark, sf))
@@ -283,10 +277,6 @@ register("normalize_bodies", O.normalize_bodies_sql())(_bodies)
 
 # --- raw event normalisation / multi-metric series -----------------------------------------
 
-from ..functions.normalize import status_upper  # noqa: E402
-from ..functions.normalize import total_tokens as _total_tokens  # noqa: E402
-from ..schemas import INFERENCE_STATUS  # noqa: E402
-
 
 def _normalize_events(spark, sf):
     r = raw_events(spark, sf)
