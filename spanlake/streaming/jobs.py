@@ -35,10 +35,14 @@ from ..sources.tables import read_table
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str = "events",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """S3: a Parquet table folder read as a stream (schema from the file footer)."""
+                 max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """S3: a Parquet table folder read as a stream (schema from the file footer).
+
+    ``glob`` selects the files of the table (default ``<table>.parquet``); new
+    files arriving in the folder are picked up by later micro-batches.
+    """
     schema = read_table(spark, sf_dir, table).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    r = spark.readStream.schema(schema).option("pathGlobFilter", glob or f"{table}.parquet")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.parquet(sf_dir)
@@ -149,11 +153,11 @@ def run_series(spark: SparkSession, sf_dir: str, range_key: str = "24h", group_b
 # --- L2 / L6 / L1: ingest, dedup, live feed ----------------------------------------------------------
 
 def run_upsert(spark: SparkSession, sf_dir: str, dedup_watermark: str = "1 hour",
-               fold_columns: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+               fold_columns: tuple[str, ...] | None = None, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """L2 + L6: events -> JSON payloads -> validate -> normalise, exact duplicate events dropped
     within the watermark.  One stream; each micro-batch is validated once (persisted for the two
     writes) and lands its fact rows and its lifecycle rows; facts are folded by id (M1)."""
-    ev = table_stream(spark, sf_dir)
+    ev = table_stream(spark, sf_dir, glob=glob)
     raw = parse_events(payloads_from_events(ev))
     raw = (_event_time(raw, "received_at").withWatermark("__t", dedup_watermark)
            .dropDuplicatesWithinWatermark(["event_id"]).drop("__t"))

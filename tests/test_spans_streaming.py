@@ -49,3 +49,20 @@ def test_stream_upsert_twice_is_idempotent(spark):
     a = sorted(tuple(r) for r in ST.run_upsert(spark, SMALL)[0].drop("metadata").collect())
     b = sorted(tuple(r) for r in ST.run_upsert(spark, SMALL)[0].drop("metadata").collect())
     assert a == b and len(a) > 0
+
+
+def test_stream_upsert_suppresses_duplicate_delivery(spark):
+    import shutil
+
+    from spanlake.session import scratch_path
+    root = scratch_path(spark, "dup-input")
+    local = root[len("file:"):] if root.startswith("file:") else root
+    import os
+    os.makedirs(local)
+    for name in ("events.parquet", "events_again.parquet"):  # the same file delivered twice
+        shutil.copyfile(SMALL + "/events.parquet", os.path.join(local, name))
+    once_f, once_l = ST.run_upsert(spark, SMALL)
+    twice_f, twice_l = ST.run_upsert(spark, local, glob="events*.parquet")
+    assert sorted(tuple(r) for r in once_f.drop("metadata").collect()) == \
+        sorted(tuple(r) for r in twice_f.drop("metadata").collect())
+    assert twice_l.count() == once_l.count()
