@@ -704,3 +704,17 @@ FROM pe"""
 
 def conversations_dim_sql() -> str:
     return conv_sql("SELECT * FROM convs")
+
+
+def pii_json_docs_sql() -> str:
+    """Counts of the deep JSON redaction = the chain over each string value (text, lang, source)."""
+    from ..functions.pii import PII_TYPES
+    parts = []
+    for col in ("text", "lang", "source"):
+        ctes, last = pii_chain_sql(f"(SELECT doc_id, {col} AS v FROM documents)", "v", "p_", f"c{col}")
+        parts.append((ctes, last))
+    ctes = ",\n".join(c for c, _ in parts)
+    union = " UNION ALL ".join(f"SELECT doc_id, {', '.join('p_' + n for n in PII_TYPES)} FROM {last}"
+                               for _, last in parts)
+    sums = ", ".join(f"CAST(SUM(p_{n}) AS INT) AS pii_{n}" for n in PII_TYPES)
+    return f"WITH {ctes}\nSELECT doc_id, {sums} FROM ({union}) u GROUP BY doc_id"

@@ -294,3 +294,17 @@ register("ts_all_metrics", O.multi_series_sql("7d"))(
 register("event_lifecycle", O.event_lifecycle_sql())(
     lambda spark, sf: _ingest(spark, sf)[1].drop("reject_reasons"))
 register("conversations_dim", O.conversations_dim_sql())(_convs)
+
+
+def _pii_json_docs(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    doc_json = F.to_json(F.struct(F.col("text").alias("body"),
+                                  F.struct("lang", "source").alias("meta")))
+    red = docs.select("doc_id", PL.redact_json(doc_json).alias("r"))
+    def count_of(name: str):
+        of_type = F.filter("r.detections", lambda d: d["type"] == name)
+        return F.coalesce(F.aggregate(of_type, F.lit(0), lambda a, d: a + d["count"]), F.lit(0)).alias(f"pii_{name}")
+    return red.select("doc_id", *[count_of(n) for n in PII_TYPES])
+
+
+register("pii_json_docs", O.pii_json_docs_sql())(_pii_json_docs)
