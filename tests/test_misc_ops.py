@@ -99,3 +99,10 @@ def test_apply_chat_turns(spark):
     rows = sorted((r["conversation_id"], r["role"], r["content"], r["inference_log_id"]) for r in m.collect())
     assert rows == [("c1", "ASSISTANT", "answer", None), ("c1", "USER", "again", None), ("c1", "USER", "hi", None),
                     ("t2", "USER", "q" * 70, None)]
+
+
+def test_scale_settings():
+    from spanlake.session import scale_settings
+    s = scale_settings(100 * (1 << 40), 8000)  # 100 TiB on 1000 x 8 cores
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_settings(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
