@@ -66,3 +66,35 @@ def test_stream_upsert_suppresses_duplicate_delivery(spark):
     assert sorted(tuple(r) for r in once_f.drop("metadata").collect()) == \
         sorted(tuple(r) for r in twice_f.drop("metadata").collect())
     assert twice_l.count() == once_l.count()
+
+
+def test_stream_spans_timeout_matches_batch_cutoff(spark):
+    from spanlake.session import scratch_path
+    from spanlake.sources.fixtures import chunks_from_events
+    # events-shaped fixture without error events: spans end only by going idle
+    t0 = dt.datetime(2024, 1, 1)
+    rows, eid = [], 0
+    for user, last_day in ((1, 0), (2, 1), (3, 5), (4, 6)):
+        for k in range(5):
+            rows.append((eid, t0 + dt.timedelta(days=last_day, minutes=k), user, "click" if k % 2 else "view",
+                         1.0, "{}"))
+            eid += 1
+    root = scratch_path(spark, "timeout-fixture")
+    (spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                                 "value double, props string")
+     .coalesce(1).write.parquet(root + "/staging"))
+    import glob
+    import os
+    import shutil
+    local = root[len("file:"):] if root.startswith("file:") else root
+    part = glob.glob(local + "/staging/part-*.parquet")[0]
+    shutil.copyfile(part, os.path.join(local, "events.parquet"))
+    day = dt.timedelta(days=1)
+    stream = {r["span_id"]: r["status"] for r in ST.run_spans(spark, local, timeout=day, watermark="10 minutes")
+              .collect()}
+    max_ts = max(r[1] for r in rows)
+    chunks = chunks_from_events(spark.read.parquet(local + "/events.parquet"))
+    batch = {r["span_id"]: r["status"] for r in
+             assemble_spans(chunks, timeout=day + dt.timedelta(minutes=10), as_of=max_ts).collect()}
+    assert batch == {"1": "TIMEOUT", "2": "TIMEOUT", "3": "SUCCESS", "4": "SUCCESS"}
+    assert stream == batch
