@@ -265,6 +265,9 @@ def make_span_updater(timeout_ms: int, max_chars: int = RESPONSE_CONTENT_CHARS):
             s["end_seq"], s["end_us"], s["end_kind"] = int(first["seq"]), int(first["us"]), str(first["kind"])
         if s["end_seq"] is not None:
             pdf = pdf[pdf["seq"] <= s["end_seq"]]
+            if s["buf_seq"]:  # deltas buffered before the end became known
+                kept = [(a, b) for a, b in zip(s["buf_seq"], s["buf_delta"]) if a < s["end_seq"]]
+                s["buf_seq"], s["buf_delta"] = [a for a, _ in kept], [b for _, b in kept]
         if len(pdf):
             mn, mx = int(pdf["us"].min()), int(pdf["us"].max())
             s["started_us"] = mn if s["started_us"] is None else min(s["started_us"], mn)
