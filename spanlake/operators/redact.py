@@ -78,7 +78,8 @@ SEPARATOR_RX = "&\\x01&"
 
 
 def redact_messages(df: DataFrame, messages_col: str = "messages", order: str = "reference",
-                    unicode_classes: bool = False, det_col: str = "messages_detections") -> DataFrame:
+                    unicode_classes: bool = False, det_col: str = "messages_detections",
+                    enabled: bool = True) -> DataFrame:
     """Redact ``content`` of every message; counts summed over the list.
 
     The contents of one list are joined with ``SEPARATOR``, redacted with the
@@ -86,6 +87,8 @@ def redact_messages(df: DataFrame, messages_col: str = "messages", order: str =
     back; NULL contents stay NULL.  Equivalent to redacting each message on
     its own because no match can touch the separator.
     """
+    if not enabled:  # R13: one switch for logs and messages alike
+        return df.withColumn(det_col, detections({}))
     joined = F.array_join(F.transform(messages_col, lambda m: F.coalesce(m["content"], F.lit(""))), SEPARATOR)
     out = df.withColumn("__msg_text", joined)
     out = redact_column(out, "__msg_text", count_prefix="__mc_", order=order, unicode_classes=unicode_classes,
@@ -106,7 +109,7 @@ def redact_payload(df: DataFrame, messages_col: str, response_col: str, order: s
     """Request messages + response content; detections concatenated, NULL when empty."""
     if not enabled:
         return df.withColumn("pii_detections", F.lit(None).cast("array<struct<type:string,count:int>>"))
-    out = redact_messages(df, messages_col, order, det_col="__req_det")
+    out = redact_messages(df, messages_col, order, det_col="__req_det", enabled=enabled)
     out = redact_column(out, response_col, count_prefix="__resp_", order=order, with_detections=False)
     resp = detections({n: F.col("__resp_" + n) for n in PII_TYPES})
     both = F.concat(F.col("__req_det"), resp)
