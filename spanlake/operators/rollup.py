@@ -4,7 +4,7 @@ A rollup row holds only additive state (counts and sums, incl. ``count_ttft``
 so an average TTFT can be rebuilt), so coarser buckets and longer ranges are
 re-aggregations of far fewer rows.  Exact percentiles are not additive; ranges
 that need them aggregate the fact rows.  ``rollup_with_histogram`` adds a
-log-spaced latency histogram (4 buckets per octave, additive) from which
+log-spaced latency histogram (sparse map, 4 buckets per octave, additive) from which
 ``approx_summary_from_rollups`` estimates p50/p95/p99 without a fact scan.
 """
 
@@ -89,50 +89,85 @@ HIST_PER_OCTAVE = 4
 HIST_BUCKETS = 84  # covers latencies below 2^21 ms; larger values land in the last bucket
 
 
-def latency_bucket(col: str = "latency_ms") -> F.Column:
-    """Log-spaced bucket index: floor(4 * log2(latency + 1)), capped."""
-    idx = F.floor(F.log2(F.greatest(F.col(col), F.lit(0)) + 1) * HIST_PER_OCTAVE).cast("int")
-    return F.least(idx, F.lit(HIST_BUCKETS - 1))
+def _bound(i: int) -> int:
+    """Smallest integer n with n^4 >= 2^i, i.e. ceil(2^(i/4)), computed exactly."""
+    n = int(round(2 ** (i / HIST_PER_OCTAVE)))
+    while n ** HIST_PER_OCTAVE < 2 ** i:
+        n += 1
+    while n > 1 and (n - 1) ** HIST_PER_OCTAVE >= 2 ** i:
+        n -= 1
+    return n
+
 
+# Bucket i holds latencies with BOUNDS[i] <= latency + 1 < BOUNDS[i + 1] (log-spaced, 4 per octave).
+HIST_BOUNDS = tuple(_bound(i) for i in range(HIST_BUCKETS + 1))
 
-def histogram_aggs(col: str = "latency_ms"):
-    """One additive count per bucket (combines map-side like every other rollup column)."""
-    b = latency_bucket(col)
-    return [F.count_if(b == i).alias(f"__h{i}") for i in range(HIST_BUCKETS)]
 
+def _bounds_lit() -> F.Column:
+    return F.array(*[F.lit(b).cast("long") for b in HIST_BOUNDS])
 
-def with_histogram(rollups_with_counts: DataFrame) -> DataFrame:
-    cols = [f"__h{i}" for i in range(HIST_BUCKETS)]
-    return rollups_with_counts.withColumn("latency_hist", F.array(*[F.col(c) for c in cols])).drop(*cols)
+
+def latency_bucket(col: str = "latency_ms") -> F.Column:
+    """Bucket index on exact integer bounds: a log2 estimate corrected by one step either way."""
+    x = F.greatest(F.col(col).cast("long"), F.lit(0).cast("long")) + 1
+    est = F.least(F.greatest(F.floor(F.log2(x) * HIST_PER_OCTAVE).cast("int"), F.lit(0)), F.lit(HIST_BUCKETS - 1))
+    b = _bounds_lit()
+    lo_ok = F.element_at(b, est + 1) <= x
+    idx = F.when(~lo_ok, est - 1).when(F.element_at(b, est + 2) <= x, est + 1).otherwise(est)
+    return F.least(F.greatest(idx, F.lit(0)), F.lit(HIST_BUCKETS - 1))
 
 
 def rollup_with_histogram(logs: DataFrame, width: str = "1 minute", time_col: str = "created_at") -> DataFrame:
-    """G15 + a latency histogram column, so coarse ranges can estimate percentiles."""
-    agg = (logs.groupBy(F.window(time_col, width).start.alias("bucket"), "provider", "model")
-           .agg(*rollup_aggs(), *histogram_aggs()))
-    return with_histogram(agg)
-
-
-def sum_histograms(col: str = "latency_hist") -> F.Column:
-    """Element-wise sum aggregate of histogram arrays."""
-    return F.array(*[F.sum(F.col(col)[i]).cast("long") for i in range(HIST_BUCKETS)])
-
-
-def percentile_from_histogram(hist: F.Column, q: float) -> F.Column:
-    """Approximate continuous percentile: find the bucket holding rank q*(n-1), interpolate linearly
-    between its bounds (2^(i/4) - 1 .. 2^((i+1)/4) - 1).  Relative error is bounded by the bucket width."""
-    n = F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x)
-    rank = F.lit(q) * (n - 1)
-    cum = F.transform(hist, lambda x, i: F.aggregate(F.slice(hist, 1, i + 1), F.lit(0).cast("long"),
-                                                       lambda a, y: a + y))
-    # first bucket whose cumulative count exceeds the rank
-    idx = F.array_position(F.transform(cum, lambda c: c > rank), True) - 1
-    before = F.when(idx > 0, cum[(idx - 1).cast("int")]).otherwise(F.lit(0))
-    inside = hist[idx.cast("int")]
-    lo = F.pow(F.lit(2.0), idx / HIST_PER_OCTAVE) - 1
-    hi = F.pow(F.lit(2.0), (idx + 1) / HIST_PER_OCTAVE) - 1
+    """G15 + ``latency_hist``: a sparse map bucket -> count, so coarse ranges can estimate percentiles.
+
+    Two small aggregations instead of one wide one: first by (window, provider,
+    model, latency bucket) with the additive rollup columns, then by (window,
+    provider, model) summing them and collecting at most 84 (bucket, count)
+    entries per row.  Both combine map-side.
+    """
+    keys = ["bucket", "provider", "model"]
+    lvl1 = (logs.withColumn("__hb", latency_bucket("latency_ms"))
+            .groupBy(F.window(time_col, width).start.alias("bucket"), "provider", "model", "__hb")
+            .agg(*rollup_aggs()))
+    return lvl1.groupBy(*keys).agg(
+        *[F.sum(c).cast("decimal(14,6)" if c == "sum_cost_usd" else "long").alias(c) for c in SUM_COLUMNS],
+        F.map_from_entries(F.collect_list(F.struct(F.col("__hb"), F.col("count_total")))).alias("latency_hist"))
+
+
+def merged_histogram(rows: DataFrame, keys: list, hist_col: str = "latency_hist") -> DataFrame:
+    """Sum sparse histograms per ``keys``: explode entries, add counts per bucket, collect again."""
+    e = rows.select(*keys, F.explode(hist_col).alias("__hb", "__n"))
+    per = e.groupBy(*keys, "__hb").agg(F.sum("__n").alias("__n"))
+    return per.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("__hb").alias("idx"), F.col("__n").alias("n")))).alias("__entries"))
+
+
+def reaggregate_with_histogram(rollups: DataFrame, width: str, keys: tuple[str, ...] = ("provider", "model")) -> DataFrame:
+    """Coarser buckets: sums of sums, and histograms merged bucket by bucket."""
+    b = rollups.withColumn("bucket", F.window("bucket", width).start)
+    k = ["bucket", *keys]
+    sums = b.groupBy(*k).agg(*[F.sum(c).cast("decimal(14,6)" if c == "sum_cost_usd" else "long").alias(c)
+                               for c in SUM_COLUMNS])
+    hist = merged_histogram(b, k).select(*k, F.map_from_entries("__entries").alias("latency_hist"))
+    return sums.join(hist, k, "left")
+
+
+def percentile_from_entries(entries: F.Column, q: float) -> F.Column:
+    """Approximate continuous percentile from sorted (idx, n) entries: find the bucket holding rank
+    q*(n-1) and interpolate linearly over its latency range [BOUNDS[i] - 1, BOUNDS[i+1] - 1)."""
+    total = F.aggregate(entries, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    rank = F.lit(q) * (total - 1)
+    cum = F.transform(entries, lambda x, i: F.aggregate(F.slice(entries, 1, i + 1), F.lit(0).cast("long"),
+                                                          lambda a, y: a + y["n"]))
+    pos = F.array_position(F.transform(cum, lambda c: c > rank), True)  # 1-based entry past the rank
+    hit = F.element_at(entries, pos.cast("int"))
+    inside = hit["n"]
+    before = F.element_at(cum, pos.cast("int")) - inside
+    b = _bounds_lit()
+    lo = (F.element_at(b, (hit["idx"] + 1).cast("int")) - 1).cast("double")
+    hi = (F.element_at(b, (hit["idx"] + 2).cast("int")) - 1).cast("double")
     frac = (rank - before + 0.5) / inside
-    return F.when(n > 0, lo + (hi - lo) * F.least(F.greatest(frac, F.lit(0.0)), F.lit(1.0)))
+    return F.when(total > 0, lo + (hi - lo) * F.least(F.greatest(frac, F.lit(0.0)), F.lit(1.0)))
 
 
 def approx_summary_from_rollups(rollups: DataFrame, range_key: str = "7d",
@@ -140,15 +175,9 @@ def approx_summary_from_rollups(rollups: DataFrame, range_key: str = "7d",
     """p50/p95/p99 estimates for a range from histogram rollups (no fact-table scan)."""
     lower = as_of - RANGE_INTERVAL[check_range(range_key)]
     lit = F.lit(lower.strftime("%Y-%m-%d %H:%M:%S")).cast(rollups.schema["bucket"].dataType)
-    h = rollups.filter(F.col("bucket") >= lit).agg(sum_histograms().alias("h"),
-                                                   F.sum("count_total").alias("total"))
-    return h.select(F.lit(range_key).alias("range_name"), F.col("total").cast("long").alias("total_requests"),
-                    *[percentile_from_histogram(F.col("h"), q).alias(f"p{int(q * 100)}_latency_ms_approx")
+    r = rollups.filter(F.col("bucket") >= lit).withColumn("__all", F.lit(1))
+    h = merged_histogram(r, ["__all"])
+    total = F.aggregate("__entries", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return h.select(F.lit(range_key).alias("range_name"), total.alias("total_requests"),
+                    *[F.round(percentile_from_entries(F.col("__entries"), q), 6).alias(f"p{int(q * 100)}_latency_ms_approx")
                       for q in (0.5, 0.95, 0.99)])
-
-
-def reaggregate_with_histogram(rollups: DataFrame, width: str, keys: tuple[str, ...] = ("provider", "model")) -> DataFrame:
-    """Coarser buckets, summing the histograms element-wise as well."""
-    return (rollups.groupBy(F.window("bucket", width).start.alias("bucket"), *keys)
-            .agg(*[F.sum(c).cast("decimal(14,6)" if c == "sum_cost_usd" else "long").alias(c) for c in SUM_COLUMNS],
-                 sum_histograms().alias("latency_hist")))

@@ -718,3 +718,24 @@ def pii_json_docs_sql() -> str:
                                for _, last in parts)
     sums = ", ".join(f"CAST(SUM(p_{n}) AS INT) AS pii_{n}" for n in PII_TYPES)
     return f"WITH {ctes}\nSELECT doc_id, {sums} FROM ({union}) u GROUP BY doc_id"
+
+
+def approx_percentiles_sql(range_key: str = "30d") -> str:
+    """Percentile estimates from log-spaced latency histograms (same bucket bounds and interpolation)."""
+    from ..operators.rollup import HIST_BOUNDS, HIST_BUCKETS
+    bounds = "[" + ", ".join(str(b) for b in HIST_BOUNDS) + "]"
+    cols = []
+    for q in (0.5, 0.95, 0.99):
+        cols.append(f"""(SELECT round(
+            (CAST({bounds}[idx + 1] AS DOUBLE) - 1)
+            + ((CAST({bounds}[idx + 2] AS DOUBLE) - 1) - (CAST({bounds}[idx + 1] AS DOUBLE) - 1))
+              * LEAST(GREATEST(({q} * (n - 1) - (cum - c) + 0.5) / c, 0.0), 1.0), 6)
+          FROM hc WHERE cum > {q} * (n - 1) ORDER BY idx LIMIT 1) AS p{int(q * 100)}_latency_ms_approx""")
+    return with_logs(f""", hb AS (
+  SELECT LEAST(len(list_filter({bounds}[2:{HIST_BUCKETS + 1}], lambda b: b <= GREATEST(latency_ms, 0) + 1)),
+               {HIST_BUCKETS - 1}) AS idx
+  FROM logs WHERE {in_range_sql(range_key)}
+), h AS (SELECT idx, COUNT(*) AS c FROM hb GROUP BY idx),
+hc AS (SELECT idx, c, SUM(c) OVER (ORDER BY idx) AS cum, SUM(c) OVER () AS n FROM h)
+SELECT '{range_key}' AS range_name, (SELECT CAST(COUNT(*) AS BIGINT) FROM hb) AS total_requests,
+  {", ".join(cols)}""")

@@ -308,3 +308,6 @@ def _pii_json_docs(spark, sf):
 
 
 register("pii_json_docs", O.pii_json_docs_sql())(_pii_json_docs)
+register("approx_percentiles_from_rollups", O.approx_percentiles_sql("30d"))(
+    lambda spark, sf: RU.approx_summary_from_rollups(
+        RU.reaggregate_with_histogram(RU.rollup_with_histogram(call_logs(spark, sf)), "1 hour"), "30d"))
