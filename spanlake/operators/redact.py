@@ -31,7 +31,7 @@ def barrier(df: DataFrame) -> DataFrame:
 
 
 def redact_column(df: DataFrame, text_col: str, out_col: str | None = None, count_prefix: str = "pii_",
-                  order: str = "reference", unicode_classes: bool = False,
+                  order: str = "reference", unicode_classes: bool = True,
                   enabled: bool = True, with_detections: bool = True) -> DataFrame:
     """R9 over one string column.
 
@@ -78,7 +78,7 @@ SEPARATOR_RX = "&\\x01&"
 
 
 def redact_messages(df: DataFrame, messages_col: str = "messages", order: str = "reference",
-                    unicode_classes: bool = False, det_col: str = "messages_detections",
+                    unicode_classes: bool = True, det_col: str = "messages_detections",
                     enabled: bool = True) -> DataFrame:
     """Redact ``content`` of every message; counts summed over the list.
 

@@ -48,3 +48,39 @@ def test_total_tokens_rule(spark, pairs):
     df = spark.createDataFrame(pairs, "p int, c int")
     got = [r[0] for r in df.select(total_tokens("p", "c")).collect()]
     assert got == [((p or 0) + (c or 0)) if (p or c) else None for p, c in pairs]
+
+
+FRAGMENTS = ["john.doe@example.com", "A@B.IO", "555-123-4567", "(555) 123 4567", "+1 800.555.0199",
+             "123-45-6789", "4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "10.0.0.1",
+             "256.1.1.1", "key=abc", "password=p4ss&x=1", "token=t0k", "sk-" + "a" * 22, "AKIA" + "B" * 16,
+             "AIza" + "c" * 35, " ", " ", "-", ".", "x", "1", "22", "(", ")", "@", "=", "&", "\n", "é"]
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(FRAGMENTS), min_size=1, max_size=12).map("".join),
+                min_size=30, max_size=60))
+def test_redaction_chain_matches_python_model(spark, texts):
+    from test_pii import PII_TYPES, python_redact
+
+    from spanlake.operators.redact import redact_column
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = redact_column(df, "t", "r").orderBy("i").collect()
+    for row in rows:
+        text, counts = python_redact(row["t"])
+        assert row["r"] == text, row["t"]
+        assert {n: row[f"pii_{n}"] for n in PII_TYPES} == {n: counts.get(n, 0) for n in PII_TYPES}, row["t"]
+
+
+@settings(max_examples=2, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([f for f in FRAGMENTS if f.isascii()]), min_size=1, max_size=12)
+                .map("".join), min_size=30, max_size=60))
+def test_ascii_mode_matches_python_ascii_model(spark, texts):
+    from test_pii import PII_TYPES, python_redact
+
+    from spanlake.operators.redact import redact_column
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = redact_column(df, "t", "r", unicode_classes=False).orderBy("i").collect()
+    for row in rows:
+        text, counts = python_redact(row["t"], ascii_classes=True)
+        assert row["r"] == text, row["t"]
+        assert {n: row[f"pii_{n}"] for n in PII_TYPES} == {n: counts.get(n, 0) for n in PII_TYPES}, row["t"]
