@@ -73,11 +73,17 @@ def last_message(messages: DataFrame) -> DataFrame:
 
 
 def thread(convs: DataFrame, messages: DataFrame) -> DataFrame:
-    """J1 + T5: conversation header joined to each of its messages, in turn order."""
+    """J1 + T5: conversation header joined to each of its messages, in turn order.
+
+    Rows are sorted by (conversation, turn) within each partition rather than
+    globally: a global sort would add a sampled range shuffle of every message
+    (and cannot split a hot conversation either), while readers of one
+    conversation filter it and get its messages in order.
+    """
     head = convs.select("conversation_id", "title", "status")
     return (head.join(messages, "conversation_id", "inner")
             .select("conversation_id", "title", "status", "turn", "role", "content")
-            .orderBy("conversation_id", "turn"))
+            .sortWithinPartitions("conversation_id", "turn"))
 
 
 def context_window(messages: DataFrame, new_message: str = "continue",
