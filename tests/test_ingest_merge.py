@@ -120,3 +120,11 @@ def test_compact_snapshot(spark):
     want = sorted(tuple(x) for x in MG.fold_latest(r, mutable=("status",)).select(
         "id", "event_id", "status", "created_at", "versions").collect())
     assert got == want
+
+
+def test_broadcast_only_behind_a_size_check(spark):
+    small = spark.range(5)
+    hinted = C.bounded_broadcast(small, max_rows=10)
+    plain = C.bounded_broadcast(small, max_rows=3)
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in plain._jdf.queryExecution().analyzed().toString().lower()
