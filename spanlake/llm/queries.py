@@ -37,3 +37,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_simhash import simhash_groups
     g = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_substring import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), window=50, texts=False)
