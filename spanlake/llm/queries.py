@@ -54,3 +54,10 @@ def tokenizer_path(name: str) -> str:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op6_packing import pack
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0, with_ids=False)
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_tokenfile import read_tokens, write_tokens
+    files = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(files, with_ids=False)
