@@ -61,3 +61,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op8_tokenfile import read_tokens, write_tokens
     files = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
     return read_tokens(files, with_ids=False)
+
+
+@query("op9_ppm_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_ppm import scores
+    return scores(table(spark, sf_dir, "documents"), order=5, fold=1)
