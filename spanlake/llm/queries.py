@@ -67,3 +67,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op9_ppm import scores
     return scores(table(spark, sf_dir, "documents"), order=5, fold=1)
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_lines import drop_lines
+    out = drop_lines(table(spark, sf_dir, "documents"), threshold=0.8)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
