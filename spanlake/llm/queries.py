@@ -74,3 +74,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op3_lines import drop_lines
     out = drop_lines(table(spark, sf_dir, "documents"), threshold=0.8)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_quality import quality
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs, table(spark, sf_dir, "labels"), cut=0.3).select("doc_id", "held_out", "score", "predicted")
