@@ -81,3 +81,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_quality import quality
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs, table(spark, sf_dir, "labels"), cut=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_decontaminate import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

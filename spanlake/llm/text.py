@@ -62,14 +62,14 @@ def raw_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def split_words(arr: pa.Array, lower: bool = False) -> Words:
-    """Words of every row, copied into a buffer where they are joined by one space."""
+def split_words(arr: pa.Array, lower: bool = False, breaks: np.ndarray = SPACE) -> Words:
+    """Words of every row, cut at the bytes of ``breaks`` and copied into a buffer where they are joined by one space."""
     raw, off = raw_bytes(arr)
     n = len(raw)
     if n == 0:
         z = np.zeros(0, np.int64)
         return Words(raw, z, z, np.zeros(len(off), np.int64))
-    word = ~SPACE[raw]
+    word = ~breaks[raw]
     begins = np.zeros(n + 1, bool)
     begins[off] = True
     start = word.copy()
@@ -81,7 +81,7 @@ def split_words(arr: pa.Array, lower: bool = False) -> Words:
     keep = word.copy()
     keep[1:] |= word[:-1]  # one separator after each word
     data = raw[keep]
-    data = np.where(SPACE[data], np.uint8(0x20), LOWER[data] if lower else data)
+    data = np.where(breaks[data], np.uint8(0x20), LOWER[data] if lower else data)
     at = np.cumsum(keep) - keep
     return Words(data, at[starts], at[ends - 1] + 1, np.searchsorted(starts, off))
 
