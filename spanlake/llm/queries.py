@@ -87,3 +87,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_decontaminate import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_embedding_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_embeddings import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_urls import judge
+    return judge(table(spark, sf_dir, "pages"))
