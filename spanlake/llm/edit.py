@@ -58,7 +58,8 @@ def edit_texts(docs: DataFrame, edits: DataFrame, column: str, result: Callable[
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                yield result(b, b.column(b.schema.get_field_index("__edits")).to_pylist())
+                if b.num_rows:
+                    yield result(b, b.column(b.schema.get_field_index("__edits")).to_pylist())
 
     own = edits.groupBy("doc_id", "tid").agg(F.collect_list(column).alias("__edits"))
     some = with_marks.mapInArrow(touched, schema).join(own, ["doc_id", "tid"], "left")

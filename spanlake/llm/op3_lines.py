@@ -10,7 +10,7 @@ Jaccard ``t`` or more with it; lines are judged on the input.
 Rarity is the corpus count of a word's hash bucket (2^18 of them: a table of fixed size), ties by hash: any order that
 all lines share keeps the prefix filter exact, and this one puts rare words first.
 
-Scale.  Equal sets are one member of the join, whatever their number.  Postings travel as packed arrays, one row per
+Scale.  Equal lines are one member of the join, whatever their number.  Postings travel as packed arrays, one row per
 task and hash part.  Whole sets are only read for lines that passed all filters.  Lists are walked in blocks,
 pairs never leave a task before the filters.
 """
@@ -22,11 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .edit import bitmap, edit_texts, marked, MARK_BITS
+from .edit import edit_texts
 from .store import save, slots
 from .text import mix, raw_bytes, slices, split_words, word_hashes
 
@@ -53,46 +52,65 @@ def line_arrays(arr: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed)), row, number
 
 
-def word_sets(lines: pa.Array, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """``(words, first)``: per line its distinct word hashes, rarest first (by hash without ``rank``)."""
+def line_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes, first, ids)``: word hashes of the lines and a 64-bit id of each line's word sequence (0: no words)."""
     w = split_words(lines, lower=True)
     h = word_hashes(w)
-    line = np.repeat(np.arange(len(lines)), w.counts())
-    place = np.zeros(len(h), np.int64) if rank is None else rank[(h >> U64(46)).astype(np.int64)]
-    at = np.lexsort((h, place, line))
-    h, line = h[at], line[at]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[new], line[new]
-    return h, np.searchsorted(line, np.arange(len(lines) + 1))
-
-
-def set_ids(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each line's set (0 for none); the words come in the order all lines share."""
-    data, digest = words.tobytes(), xxhash.xxh3_64_intdigest
-    f = (8 * first).tolist()
-    return np.fromiter((digest(data[a:b]) if b > a else 0 for a, b in zip(f[:-1], f[1:])), U64, len(first) - 1).view(np.int64)
-
-
-def word_ranks(docs: DataFrame) -> np.ndarray:
-    """The rarity rank of each of ``BUCKETS`` word buckets, from counts over all documents."""
+    size = w.counts()
+    place = np.arange(len(h)) - np.repeat(w.first[:-1], size)
+    ids = np.zeros(len(lines), U64)
+    some = np.flatnonzero(size)
+    if len(some):
+        keyed = mix(h + mix(place.astype(U64) + U64(1)))
+        ids[some] = mix(np.add.reduceat(keyed, w.first[some]) + size[some].astype(U64)) | U64(1)
+    return h, w.first, ids.view(np.int64)
+
+
+def word_sets(h: np.ndarray, first: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(words, first)``: per line its distinct words in the common order, rarest first.  A word is its hash with
+    the bucket replaced by the bucket's rank, so numeric order is the common order."""
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    v = (rank[(h >> U64(46)).astype(np.int64)].astype(U64) << U64(46)) | (h & U64((1 << 46) - 1))
+    at = np.argsort(v)
+    by = line[at]
+    at = at[np.argsort(by.astype(np.uint16) if len(first) < 1 << 16 else by, kind="stable")]
+    v, line = v[at], line[at]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (line[1:] != line[:-1])
+    v, line = v[new], line[new]
+    return v, np.searchsorted(line, np.arange(len(first)))
+
+
+def read_lines(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: ``(doc_id, tid, number, line)`` per line with words, and, in rows without ``line``, each
+    task's counts of word buckets (``number`` tells which sixty-fourth of them, ``n`` holds them)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
+        names = ["doc_id", "tid", "number", "line", "n"]
         for batch in batches:
             for b in slices(batch, "text"):
-                h = word_hashes(split_words(b.column(0), lower=True))
+                lines, row, number = line_arrays(b.column(2))
+                h, first, ids = line_words(lines)
                 n += np.bincount((h >> U64(46)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()),
-                                          "n": pa.array([x.tobytes() for x in n.reshape(64, -1)], pa.binary())})
+                at = np.flatnonzero(np.diff(first) > 0)
+                idx = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(number[at].astype(np.int32)),
+                                                  pa.array(ids[at]), pa.nulls(len(at), pa.binary())], names)
+        none = pa.nulls(64, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(range(64), pa.int32()), none,
+                                          pa.array([x.tobytes() for x in n.reshape(64, -1)], pa.binary())], names)
+    return docs.mapInArrow(run, "doc_id long, tid long, number int, line long, n binary")
+
 
+def word_ranks(read: DataFrame) -> np.ndarray:
+    """The rarity rank of each of ``BUCKETS`` word buckets over all documents."""
     def add(df: pd.DataFrame) -> pd.DataFrame:
         n = sum(np.frombuffer(x, np.int64) for x in df["n"])
-        return pd.DataFrame({"part": [df["part"].iloc[0]], "n": [n.tobytes()]})
+        return pd.DataFrame({"number": [df["number"].iloc[0]], "n": [n.tobytes()]})
 
-    rows = docs.select("text").mapInArrow(run, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect()
     n = np.zeros((64, BUCKETS // 64), np.int64)
-    for r in rows:  # 64 rows: a table of fixed size
-        n[r.part] = np.frombuffer(bytes(r.n), np.int64)
+    for r in read.where("line is null").select("number", "n").groupBy("number").applyInPandas(add, "number int, n binary").collect():
+        n[r.number] = np.frombuffer(bytes(r.n), np.int64)  # 64 rows: a table of fixed size
     rank = np.empty(BUCKETS, np.int64)
     rank[np.argsort(n.ravel(), kind="stable")] = np.arange(BUCKETS)
     return rank
@@ -131,19 +149,22 @@ def candidates(docs: DataFrame, rank, t: float) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 8 << 20):
+            for b in slices(batch, "text"):
                 lines, _, _ = line_arrays(b.column(0))
-                words, first = word_sets(lines, rank.value)
-                ids = set_ids(words, first)
+                h, first, ids = line_words(lines)
+                words, first = word_sets(h, first, rank.value)
                 size = np.diff(first)
                 _, one = np.unique(ids, return_index=True)
                 one = one[size[one] > 0]
+                if not len(one):
+                    continue
                 bits = mix(words)
-                owner = np.repeat(np.arange(len(size)), size)
+                half, bit = (bits >> U64(6)) & U64(1) == 1, U64(1) << (bits & U64(63))
+                full = np.flatnonzero(size)
                 sketch = np.zeros((2, len(size)), U64)
-                half = (bits >> U64(6)) & U64(1)
-                for s in (0, 1):  # parity of each of 64 bits: two sets differ in as many words at least
-                    np.bitwise_xor.at(sketch[s], owner[half == s], U64(1) << (bits[half == s] & U64(63)))
+                # parity of each of 128 bits: two sets differ in as many words at least
+                sketch[0][full] = np.bitwise_xor.reduceat(np.where(half, U64(0), bit), first[full])
+                sketch[1][full] = np.bitwise_xor.reduceat(np.where(half, bit, U64(0)), first[full])
                 k = size[one] - need(size[one], t) + 1
                 src = np.repeat(one, k)
                 pos = np.arange(len(src)) - np.repeat(np.cumsum(k) - k, k)
@@ -175,29 +196,23 @@ def candidates(docs: DataFrame, rank, t: float) -> DataFrame:
             .groupBy("part").applyInPandas(meet, "a long, b long").distinct())
 
 
-def similar_sets(docs: DataFrame, rank, t: float) -> DataFrame:
-    """``(a, b)``: ids of different sets with Jaccard ``t`` or more."""
+def similar_sets(docs: DataFrame, home: DataFrame, rank, t: float) -> DataFrame:
+    """``(a, b)``: ids of different lines whose sets have Jaccard ``t`` or more."""
     cand = save(candidates(docs, rank, t), "lines-candidates")
-    ends = cand.select(F.col("a").alias("line")).unionByName(cand.select(F.col("b").alias("line")))
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(ends.withColumn("line", F.col("line")), "line"))
+    ends = cand.select(F.col("a").alias("line")).unionByName(cand.select(F.col("b").alias("line"))).distinct()
+    # whole sets are read from the first place of each line that passed the filters
+    where = save(ends.join(home, "line").select("line", "home.doc_id", "home.tid", F.struct("home.number", "line").alias("at")), "lines-wanted")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                lines, _, _ = line_arrays(b.column(0))
-                words, first = word_sets(lines, rank.value)
-                ids, one = np.unique(set_ids(words, first), return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array([words[first[i]:first[i + 1]].tobytes() for i in one.tolist()], pa.binary())], ["line", "words"])
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.select(["line", "words"]).filter(pa.array(marked(marks.value, b.column(2))))
+    def sets(b: pa.RecordBatch, wanted: list) -> pa.RecordBatch:
+        own = [(p["line"], text.split("\n")[p["number"]]) for text, at in zip(b.column(b.schema.get_field_index("text")).to_pylist(), wanted)
+               for p in at or ()]
+        h, first, _ = line_words(pa.array([x for _, x in own], pa.string()))
+        words, first = word_sets(h, first, rank.value)
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()),
+                                           pa.array([words[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())],
+                                          ["line", "words"])
 
-    # the bitmap hash is Spark's, so it is taken on the JVM side between the two passes
-    full = (docs.select("text").mapInArrow(sets, "line long, words binary")
-            .withColumn("bit", F.pmod(F.xxhash64("line"), F.lit(MARK_BITS))).mapInArrow(only, "line long, words binary"))
-    full = save(full.dropDuplicates(["line"]), "lines-sets")
+    full = save(edit_texts(docs, where, "at", sets, "line long, words binary").dropDuplicates(["line"]), "lines-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,22 +239,12 @@ def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
     real = base.where("doc_id is not null and text is not null")
-    rank = spark.sparkContext.broadcast(word_ranks(real))
-
-    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                lines, row, number = line_arrays(b.column(2))
-                words, first = word_sets(lines, rank.value)
-                at = np.flatnonzero(np.diff(first) > 0)
-                idx = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(number[at].astype(np.int32)),
-                                                  pa.array(set_ids(words, first)[at])], ["doc_id", "tid", "number", "line"])
-
-    seen = save(real.mapInArrow(occur, "doc_id long, tid long, number int, line long"), "lines-seen")
+    read = save(read_lines(real), "lines-read")
+    rank = spark.sparkContext.broadcast(word_ranks(read))
+    seen = read.where("line is not null").drop("n")
     place = F.struct("doc_id", "number", "tid")
     home = save(seen.groupBy("line").agg(F.min(place).alias("home"), F.count("*").alias("n")), "lines-home")
-    pairs = save(similar_sets(real, rank, threshold), "lines-pairs")
+    pairs = save(similar_sets(real, home, rank, threshold), "lines-pairs")
     a = home.select(F.col("line").alias("a"), F.col("home").alias("ha"))
     b = home.select(F.col("line").alias("b"), F.col("home").alias("hb"))
     late = (pairs.join(a, "a").join(b, "b").select(F.when(F.col("ha") < F.col("hb"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct())

@@ -99,7 +99,7 @@ def word_hashes(w: Words) -> np.ndarray:
     return mix(np.add.reduceat(value, w.starts) ^ (size.astype(U64) * U64(0xA24BAED4963EE407)))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes (one row at least)."""
     n = batch.num_rows
     if n == 0:
