@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .edit import edit_texts
 from .store import save, slots
@@ -228,8 +229,9 @@ def similar_sets(docs: DataFrame, home: DataFrame, rank, t: float) -> DataFrame:
     return pairs.mapInArrow(check, "a long, b long")
 
 
-def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, tid, text, n_lines, n_removed)`` per input row, ``text`` without its removed lines.
+def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+               others: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, tid, text, *others, n_lines, n_removed)`` per input row, ``text`` without its removed lines.
 
     Lines are cut at line feeds; a null text stays null with no lines; lines without words stay; an
     equal line that occurs again, in the same or a later document, is a later match; rows with a null id
@@ -237,8 +239,10 @@ def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     compare by text); an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
-    real = base.where("doc_id is not null and text is not null")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"), *others)
+    real = base.where("doc_id is not null and text is not null").select("doc_id", "tid", "text")
+    names = [*base.columns, "n_lines", "n_removed"]
+    kinds = T.StructType(base.schema.fields + [T.StructField(c, T.LongType()) for c in names[-2:]])
     read = save(read_lines(real), "lines-read")
     rank = spark.sparkContext.broadcast(word_ranks(read))
     seen = read.where("line is not null").drop("n")
@@ -262,7 +266,7 @@ def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
             drop = set(drop or ())
             cut.append(len(drop))
             out.append("\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else text)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(total, pa.int64()),
-                                           pa.array(cut, pa.int64())], ["doc_id", "tid", "text", "n_lines", "n_removed"])
+        kept = [pa.array(out, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in names[:-2]]
+        return pa.RecordBatch.from_arrays(kept + [pa.array(total, pa.int64()), pa.array(cut, pa.int64())], names)
 
-    return edit_texts(base, gone, "number", result, "doc_id long, tid long, text string, n_lines long, n_removed long")
+    return edit_texts(base, gone, "number", result, kinds)
