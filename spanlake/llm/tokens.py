@@ -44,62 +44,80 @@ class Ids:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        odd, one = (_WORD_ODD, self._words) if self.words else (_BYTE_ODD, self._lines)
-        return [b"" if not t else self._whole([t])[0] if odd.search(t) else one(t) for t in texts]
-
-    def _words(self, text: str) -> bytes:
-        return b"".join(self._ids(text.lower().split()))
-
-    def _lines(self, text: str) -> bytes:
+        """All texts are cut first, so that new pieces of many texts are encoded together."""
+        odd = _WORD_ODD if self.words else _BYTE_ODD
+        known, outer = self.inner, self.outer
+        cut: list = []
+        for text in texts:
+            if not text or odd.search(text):
+                cut.append(text or "")
+            elif self.words:
+                cut.append(text.lower().split())
+            else:
+                cut.append([line.split(" ") for line in text.split("\n")])
+        plain = [c for c in cut if type(c) is list]
+        if self.words:
+            new = set().union(*plain)
+        else:
+            new = set().union(*(line[1:] for lines in plain for line in lines))
+            heads = {line[0] for lines in plain for line in lines} - outer.keys()
+            if len(outer) > CACHE // 4:
+                outer.clear()
+                heads = {line[0] for lines in plain for line in lines}
+            heads |= {"\n"}
+            heads = list(heads)
+            outer.update(zip(heads, self._whole(heads)))
+        if len(known) > CACHE:
+            known.clear()
+        self._learn(new - known.keys())
         out: list[bytes] = []
-        for i, line in enumerate(text.split("\n")):
-            head, *rest = line.split(" ")
-            for piece in ("\n",) * (i > 0) + (head,) * (head != ""):
-                if piece not in self.outer:
-                    if len(self.outer) > CACHE // 4:
-                        self.outer.clear()
-                    self.outer[piece] = self._whole([piece])[0]
-                out.append(self.outer[piece])
-            out += self._ids(rest)
-        return b"".join(out)
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        known = self.inner
-        try:
-            return [known[p] for p in pieces]
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            self._learn(list({p for p in pieces if p not in known}))
-            return [known[p] for p in pieces]
-
-    def _learn(self, pieces: list[str]) -> None:
+        for c in cut:
+            if type(c) is str:
+                out.append(self._whole([c])[0] if c else b"")
+            elif self.words:
+                out.append(b"".join([known[p] for p in c]))
+            else:
+                ids: list[bytes] = []
+                for line in c:
+                    ids.append(outer["\n"])
+                    ids.append(outer[line[0]])
+                    ids += [known[p] for p in line[1:]]
+                out.append(b"".join(ids[1:]))
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
         """Ids of new pieces.  Letters followed by ASCII marks are cut between the two by either
         pre-tokenizer; pieces of letters are encoded some at a time and told apart by their edge tokens."""
         known, space = self.inner, "" if self.words else " "
         cut = {p: p.rstrip(_TAIL) for p in pieces}
         cores = [c for c in {*cut.values()} if c.isalpha() and c not in known]
-        for at in range(0, len(cores), TOGETHER):
-            part = cores[at:at + TOGETHER]
-            ids = np.asarray(self.tokenizer.encode(" " * (not self.words) + " ".join(part), add_special_tokens=False).ids, "<u4")
-            edge = np.flatnonzero(self.edge[ids])
-            ends = edge + 1 if self.words else np.append(edge[1:], len(ids))
-            if len(edge) == len(part):
-                data, begin = ids.tobytes(), 0
-                for core, end in zip(part, ends.tolist()):
-                    known[core] = data[4 * begin:4 * end]
-                    begin = end
-            else:
-                known.update(zip(part, self._whole([space + c for c in part])))
+        groups = [cores[at:at + TOGETHER] for at in range(0, len(cores), TOGETHER)]
+        for at in range(0, len(groups), 200):
+            some = groups[at:at + 200]
+            whole = self.tokenizer.encode_batch_fast([" " * (not self.words) + " ".join(g) for g in some], add_special_tokens=False)
+            for part, encoding in zip(some, whole):
+                ids = np.asarray(encoding.ids, "<u4")
+                edge = np.flatnonzero(self.edge[ids])
+                ends = edge + 1 if self.words else np.append(edge[1:], len(ids))
+                if len(edge) == len(part):
+                    data, begin = ids.tobytes(), 0
+                    for core, end in zip(part, (4 * ends).tolist()):
+                        known[core] = data[begin:end]
+                        begin = end
+                else:
+                    known.update(zip(part, self._whole([space + c for c in part])))
+        tails: dict[str, bytes] = {}
+        rest = []
         for p, core in cut.items():
             if p not in known:
                 if core.isalpha():
                     tail = p[len(core):]
-                    if tail not in self.outer:
-                        self.outer[tail] = self._whole([tail])[0]
-                    known[p] = known[core] + self.outer[tail]
+                    if tail not in tails:
+                        tails[tail] = self._whole([tail])[0]
+                    known[p] = known[core] + tails[tail]
                 else:
-                    known[p] = self._whole([space + p])[0]
+                    rest.append(p)
+        known.update(zip(rest, self._whole([space + p for p in rest])))
 
 
 def load(path: str) -> Ids:
