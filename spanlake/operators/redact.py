@@ -9,7 +9,7 @@ per-type counts are summed over the array with ``aggregate`` (R10/R11).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pii import PII_TYPES, count_matches, detections, flags, has_digit, ordered, stage
@@ -72,11 +72,20 @@ def redact_column(df: DataFrame, text_col: str, out_col: str | None = None, coun
 # Joins message contents for one regex pass.  '&' is a non-word character that
 # no pattern class contains (the secret-value class stops at it), so no match
 # can reach or cross the separator and word boundaries behave as at string
-# ends; the control character makes the separator impossible in normal text.
+# ends.  Inside a content every \x01 gets a \x02 behind it, so the separator's
+# \x01 before '&' occurs in no content and joining can always be undone.
 SEPARATOR = "&\u0001&"
 SEPARATOR_RX = "&\\x01&"
 
 
+def pack_text(c: Column) -> Column:
+    return F.replace(c, F.lit("\u0001"), F.lit("\u0001\u0002"))
+
+
+def unpack_text(c: Column) -> Column:
+    return F.replace(c, F.lit("\u0001\u0002"), F.lit("\u0001"))
+
+
 def redact_messages(df: DataFrame, messages_col: str = "messages", order: str = "reference",
                     unicode_classes: bool = True, det_col: str = "messages_detections",
                     enabled: bool = True) -> DataFrame:
@@ -89,15 +98,15 @@ def redact_messages(df: DataFrame, messages_col: str = "messages", order: str =
     """
     if not enabled:  # R13: one switch for logs and messages alike
         return df.withColumn(det_col, detections({}))
-    joined = F.array_join(F.transform(messages_col, lambda m: F.coalesce(m["content"], F.lit(""))), SEPARATOR)
+    joined = F.array_join(F.transform(messages_col, lambda m: F.coalesce(pack_text(m["content"]), F.lit(""))), SEPARATOR)
     out = df.withColumn("__msg_text", joined)
     out = redact_column(out, "__msg_text", count_prefix="__mc_", order=order, unicode_classes=unicode_classes,
                         with_detections=False)
     parts = F.split(F.col("__msg_text"), SEPARATOR_RX, -1)
     n = F.size(messages_col)
     merged = F.zip_with(F.col(messages_col), F.slice(parts, 1, F.greatest(n, F.lit(1))), lambda m, p: F.when(
-        m.isNotNull(), m.withField("content", F.when(m["content"].isNotNull(), p))))
-    fixed = F.when(n == 0, F.col(messages_col)).otherwise(F.filter(merged, lambda m: m.isNotNull()))
+        m.isNotNull(), m.withField("content", F.when(m["content"].isNotNull(), unpack_text(p)))))
+    fixed = F.when(n > 0, merged).otherwise(F.col(messages_col))  # NULL elements stay NULL elements
     counts = {name: F.when(n > 0, F.col("__mc_" + name)).otherwise(F.lit(0)) for name in PII_TYPES}
     out = (out.withColumn(messages_col, fixed).withColumn(det_col, detections(counts))
            .drop("__msg_text", *["__mc_" + name for name in PII_TYPES]))

@@ -324,16 +324,15 @@ def pii_messages_sql() -> str:
 
 def pii_detection_report_sql() -> str:
     from ..functions.pii import PII_TYPES
-    req, req_last = pii_chain_sql("(SELECT id, COALESCE(input_preview, '') AS req FROM logs_pv)", "req",
-                                  "rq_", "rq")
-    resp, resp_last = pii_chain_sql("(SELECT id, output_preview AS resp FROM logs_pv)", "resp", "rs_", "rs")
+    req, req_last = pii_chain_sql("(SELECT doc_id, COALESCE(text, '') AS req FROM documents)", "req", "rq_", "rq")
+    resp, resp_last = pii_chain_sql("(SELECT doc_id, source AS resp FROM documents)", "resp", "rs_", "rs")
     sides = " UNION ALL ".join(
         f"SELECT '{n}' AS type, {pfx}{n} AS c FROM {last}"
         for last, pfx in ((req_last, "rq_"), (resp_last, "rs_")) for n in PII_TYPES)
-    return with_logs(f""", {req},
+    return f"""WITH {req},
 {resp}
 SELECT type, CAST(SUM(c) AS BIGINT) AS total_count, COUNT(*) AS rows_with_type
-FROM ({sides}) u WHERE c > 0 GROUP BY type""", previews=True)
+FROM ({sides}) u WHERE c > 0 GROUP BY type"""
 
 
 # --- validation / merge ---------------------------------------------------------------------------
@@ -585,9 +584,9 @@ FROM (SELECT DISTINCT provider_raw, model FROM logs) d GROUP BY provider_raw""")
 
 def duplicate_inputs_sql() -> str:
     return with_logs("""
-SELECT sha256(input_preview) AS input_hash, COUNT(*) AS calls, MIN(created_at) AS first_seen,
+SELECT sha256(text) AS input_hash, COUNT(*) AS calls, MIN(created_at) AS first_seen,
   MAX(created_at) AS last_seen
-FROM logs_pv WHERE input_preview IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1""", previews=True)
+FROM logs JOIN documents ON documents.doc_id = logs.event_id WHERE text <> '' GROUP BY 1 HAVING COUNT(*) > 1""")
 
 
 def live_feed_sql(n: int = 50) -> str:
@@ -707,17 +706,16 @@ def conversations_dim_sql() -> str:
 
 
 def pii_json_docs_sql() -> str:
-    """Counts of the deep JSON redaction = the chain over each string value (text, lang, source)."""
+    """The deep JSON redaction = the chain over each string value (text, lang, source), with its texts and summed counts."""
     from ..functions.pii import PII_TYPES
-    parts = []
+    ctes, lasts = [], []
     for col in ("text", "lang", "source"):
-        ctes, last = pii_chain_sql(f"(SELECT doc_id, {col} AS v FROM documents)", "v", "p_", f"c{col}")
-        parts.append((ctes, last))
-    ctes = ",\n".join(c for c, _ in parts)
-    union = " UNION ALL ".join(f"SELECT doc_id, {', '.join('p_' + n for n in PII_TYPES)} FROM {last}"
-                               for _, last in parts)
-    sums = ", ".join(f"CAST(SUM(p_{n}) AS INT) AS pii_{n}" for n in PII_TYPES)
-    return f"WITH {ctes}\nSELECT doc_id, {sums} FROM ({union}) u GROUP BY doc_id"
+        own, last = pii_chain_sql(f"(SELECT doc_id, {col} AS v FROM documents)", "v", "p_", f"c{col}")
+        ctes.append(own)
+        lasts.append(last)
+    sums = ", ".join("CAST(" + " + ".join(f"{x}.p_{n}" for x in "tls") + f" AS INT) AS pii_{n}" for n in PII_TYPES)
+    return (f"WITH {', '.join(ctes)}\nSELECT t.doc_id, t.__t AS body, l.__t AS lang, s.__t AS source, {sums} "
+            f"FROM {lasts[0]} t JOIN {lasts[1]} l USING (doc_id) JOIN {lasts[2]} s USING (doc_id)")
 
 
 def approx_percentiles_sql(range_key: str = "30d") -> str:

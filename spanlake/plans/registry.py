@@ -133,11 +133,12 @@ register("pii_messages", O.pii_messages_sql())(_pii_messages)
 
 
 def _pii_report(spark, sf):
-    logs = call_logs(spark, sf, previews=True).select(
-        "id", F.array(F.struct(F.lit("user").alias("role"),
-                               F.coalesce(F.col("input_preview"), F.lit("")).alias("content"),
-                               F.lit(None).cast("string").alias("name"))).alias("messages"),
-        F.col("output_preview").alias("response_content"))
+    # whole texts: the request is the document's text, the response its source line
+    logs = read_table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.array(F.struct(F.lit("user").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("content"),
+                         F.lit(None).cast("string").alias("name"))).alias("messages"),
+        F.col("source").alias("response_content"))
     return R.detection_report(R.redact_payload(logs, "messages", "response_content"))
 
 
@@ -234,11 +235,16 @@ register("archive", O.archive_sql())(_archive)
 # --- spans / reports / classification ------------------------------------------------------
 
 
+def _with_input_hash(spark, sf):
+    """Calls with the hash of their whole input text."""
+    whole = read_table(spark, sf, "documents").select(F.col("doc_id").alias("event_id"), F.sha2(F.nullif("text", F.lit("")), 256).alias("input_hash"))
+    return call_logs(spark, sf).join(whole, "event_id")
+
+
 register("span_assembly", O.span_assembly_sql())(lambda spark, sf: SP.assemble_spans(chunk_events(spark, sf)))
 register("model_catalog", O.model_catalog_sql())(lambda spark, sf: RP.model_catalog(call_logs(spark, sf)))
 register("duplicate_inputs", O.duplicate_inputs_sql())(
-    lambda spark, sf: RP.duplicate_inputs(call_logs(spark, sf, previews=True).withColumn(
-        "input_hash", F.sha2(F.col("input_preview"), 256))))
+    lambda spark, sf: RP.duplicate_inputs(_with_input_hash(spark, sf)))
 register("live_feed_50", O.live_feed_sql(50))(lambda spark, sf: RP.live_feed(call_logs(spark, sf)))
 register("classify_urls", O.classify_urls_sql())(
     lambda spark, sf: RP.classify_urls(read_table(spark, sf, "pages").select("page_id", "url")))
@@ -300,11 +306,14 @@ def _pii_json_docs(spark, sf):
     docs = read_table(spark, sf, "documents")
     doc_json = F.to_json(F.struct(F.col("text").alias("body"),
                                   F.struct("lang", "source").alias("meta")))
-    red = docs.select("doc_id", PL.redact_json(doc_json).alias("r"))
+    red = PL.redact_json(docs.select("doc_id", doc_json.alias("j")), "j", det_col="found")
+
     def count_of(name: str):
-        of_type = F.filter("r.detections", lambda d: d["type"] == name)
+        of_type = F.filter("found", lambda d: d["type"] == name)
         return F.coalesce(F.aggregate(of_type, F.lit(0), lambda a, d: a + d["count"]), F.lit(0)).alias(f"pii_{name}")
-    return red.select("doc_id", *[count_of(n) for n in PII_TYPES])
+    inside = F.from_json("j", "body string, meta struct<lang: string, source: string>")
+    return red.select("doc_id", inside["body"].alias("body"), inside["meta"]["lang"].alias("lang"), inside["meta"]["source"].alias("source"),
+                      *[count_of(n) for n in PII_TYPES])
 
 
 register("pii_json_docs", O.pii_json_docs_sql())(_pii_json_docs)
