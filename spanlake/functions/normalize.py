@@ -54,8 +54,11 @@ def output_preview(content) -> Column:
 
 
 def input_hash(request) -> Column:
-    """SHA-256 of a canonical JSON form of the request (struct fields in name order)."""
-    return F.sha2(F.to_json(_c(request)), 256)
+    """SHA-256 of a canonical JSON form of the request: its fields in the schema's order, and the
+    free-form ``extra`` entries in key order whatever order they came in."""
+    r = _c(request)
+    extra = F.map_from_entries(F.array_sort(F.map_entries(r["extra"])))
+    return F.sha2(F.to_json(F.when(r.isNotNull(), r.withField("extra", extra))), 256)
 
 
 def truncate_request(messages) -> Column:

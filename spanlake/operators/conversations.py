@@ -81,7 +81,8 @@ def thread(convs: DataFrame, messages: DataFrame) -> DataFrame:
     conversation filter it and get its messages in order.
     """
     head = convs.select("conversation_id", "title", "status")
-    return (head.join(messages, "conversation_id", "inner")
+    # a conversation without messages keeps its header, with NULL message columns
+    return (head.join(messages, "conversation_id", "left")
             .select("conversation_id", "title", "status", "turn", "role", "content")
             .sortWithinPartitions("conversation_id", "turn"))
 
@@ -116,7 +117,9 @@ def usage_per_conversation(logs: DataFrame, convs: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ERROR").alias("errors"),
         F.sum("total_tokens").cast("long").alias("total_tokens"),
         F.sum("cost_usd").cast("double").alias("cost_usd"))
-    return convs.select("conversation_id", "title").join(per, "conversation_id", "inner")
+    # a conversation without calls has 0 calls and errors and no sums
+    return (convs.select("conversation_id", "title").join(per, "conversation_id", "left")
+            .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("calls", "errors")}))
 
 
 def message_log_links(messages: DataFrame, logs: DataFrame, link_col: str = "inference_log_id") -> DataFrame:

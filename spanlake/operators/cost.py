@@ -17,15 +17,6 @@ from ..functions.cost import call_cost, linear_cost, local_cost, rates_for, raw_
 from ..functions.normalize import estimate_tokens
 from ..sources.prices import COST_TYPE, LOCAL_DEFAULT_PER_MILLION, LOCAL_PROVIDER, LOCAL_TAG, RATE_TYPE, per_token
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven <= max_rows (one tiny job)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_cost(logs: DataFrame, prices: DataFrame | None = None,
                 provider_col: str = "provider_raw", out_col: str = "cost_usd") -> DataFrame:
     """Cost from tokens by raw provider + model."""
@@ -36,10 +27,14 @@ def attach_cost(logs: DataFrame, prices: DataFrame | None = None,
 
 
 def join_prices(logs: DataFrame, prices: DataFrame, provider_col: str = "provider_raw",
-                out_col: str = "cost_usd", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Equi left joins to a catalog DataFrame (price_key, local, input_rate, output_rate)."""
-    cat = bounded_broadcast(prices.select("price_key", "local", "input_rate", "output_rate"),
-                            max_broadcast_rows)
+                out_col: str = "cost_usd") -> DataFrame:
+    """Equi left joins to a catalog DataFrame (price_key, local, input_rate, output_rate).
+
+    A key that the catalog repeats counts once (its smallest rates), so calls never multiply; how the
+    joins run is left to the planner.
+    """
+    cat = (prices.groupBy("price_key").agg(F.min(F.struct("local", "input_rate", "output_rate")).alias("p"))
+           .select("price_key", "p.*"))
     p = F.lower(F.col(provider_col))
     m = F.lower(F.col("model"))
     base = (logs.withColumn("_k_cloud", F.concat(p, F.lit(":"), m))

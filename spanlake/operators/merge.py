@@ -168,7 +168,7 @@ def state_rows(states: DataFrame, key: str = "id") -> DataFrame:
                          *[F.col(f"__latest.{c}").alias(c) for c in latest], "versions")
 
 
-def compact(spark, log_path: str, snapshot_path: str, out_path: str, key: str = "id",
+def compact(spark, log_path: str, snapshot_path: str | None, out_path: str, key: str = "id",
             order: list[str] | None = None, mutable: tuple[str, ...] = MUTABLE_COLUMNS,
             after_batch: int | None = None) -> None:
     """Write a new snapshot = merge(old snapshot, fold_state(log batches after ``after_batch``)).
@@ -181,8 +181,6 @@ def compact(spark, log_path: str, snapshot_path: str, out_path: str, key: str =
     if after_batch is not None:
         log = log.filter(F.col("batch_id") > after_batch)
     part = fold_state(log.drop("batch_id"), key, order, mutable)
-    try:
-        states = spark.read.parquet(snapshot_path).unionByName(part)
-    except Exception:  # noqa: BLE001 - first compaction: no snapshot yet
-        states = part
+    # the first compaction has no snapshot; one that is named but cannot be read is an error
+    states = part if snapshot_path is None else spark.read.parquet(snapshot_path).unionByName(part)
     merge_states(states, key).write.mode("overwrite").parquet(out_path)

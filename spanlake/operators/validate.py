@@ -76,7 +76,6 @@ def raw_event_rules() -> list[Rule]:
     return [
         ("missing_id", F.col("id").isNotNull()),
         ("missing_latency_ms", F.col("latency_ms").isNotNull()),
-        ("id_too_short", F.length(F.lpad(F.col("id").cast("string"), MIN_ID_LENGTH, "0")) >= MIN_ID_LENGTH),
         ("negative_latency_ms", F.col("latency_ms") >= 0),
         ("bad_status", F.upper(F.coalesce(F.col("status"), F.lit("success"))).isin(*INFERENCE_STATUS)),
     ]

@@ -497,7 +497,7 @@ def conversation_list_sql() -> str:
 
 def conversation_thread_sql() -> str:
     return conv_sql("SELECT c.conversation_id, title, status, turn, role, content "
-                    "FROM convs c JOIN msgs m ON c.conversation_id = m.conversation_id")
+                    "FROM convs c LEFT JOIN msgs m ON c.conversation_id = m.conversation_id")
 
 
 def context_sql(limit: int = 20) -> str:
@@ -520,10 +520,10 @@ def last_message_sql() -> str:
 
 
 def usage_per_conversation_sql() -> str:
-    return conv_sql("""SELECT c.conversation_id, c.title, COUNT(*) AS calls,
+    return conv_sql("""SELECT c.conversation_id, c.title, COUNT(l.id) AS calls,
   COUNT(*) FILTER (WHERE l.status = 'ERROR') AS errors, CAST(SUM(l.total_tokens) AS BIGINT) AS total_tokens,
   CAST(SUM(l.cost_usd) AS DOUBLE) AS cost_usd
-FROM convs c JOIN logs l ON c.conversation_id = l.conversation_id GROUP BY c.conversation_id, c.title""")
+FROM convs c LEFT JOIN logs l ON c.conversation_id = l.conversation_id GROUP BY c.conversation_id, c.title""")
 
 
 def archive_sql() -> str:

@@ -46,7 +46,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.master(master)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("SPANLAKE_DRIVER_MEMORY", "16g"))
+    if "SPANLAKE_DRIVER_MEMORY" in os.environ:
+        conf["spark.driver.memory"] = os.environ["SPANLAKE_DRIVER_MEMORY"]
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -100,6 +101,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="spanlake-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root

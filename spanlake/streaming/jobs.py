@@ -2,16 +2,16 @@
 
 Every job reads the event table as a file stream, applies the same operators as
 the batch path, and lands each micro-batch with ``foreachBatch`` under
-``<checkpoint root>/spanlake/<job>-<id>/data/batch_id=<n>`` (overwrite per batch
-id, so a retried batch replaces its own output: idempotent).  Aggregations run
-in update mode; the current result is the newest row per key over the landed
-batches (``latest_per_key``).  Checkpoints live next to the data in the shared
-checkpoint folder of the session.
-
-``run_*`` functions drive a job to completion with ``availableNow`` (all data
-present at start, in rate-limited micro-batches) and return a batch DataFrame
-over the landed output; a long-running deployment calls ``start_*`` with a
-processing-time trigger instead (L5: e.g. ``"2 seconds"``).
+``<root>/data/batch_id=<n>`` (overwrite per batch id, so a retried batch replaces
+its own output: idempotent).  Aggregates land one additive partial row per key
+and micro-batch and are summed when read, so they keep no state, and late rows
+count like any other.  ``root`` is a folder of the deployment's choice: a job
+started again with the same ``root`` goes on from its checkpoint there.  Without
+one, a fresh folder below the shared checkpoint folder is used.
+
+``run_*`` functions drive a job to completion with ``availableNow`` (files are
+taken ``max_files_per_trigger`` at a time) and return a batch DataFrame over the
+landed output; ``start`` takes any trigger (L5: e.g. ``"2 seconds"``).
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.ingest import check_events, facts_of, lifecycle_of, live_row
 from ..operators.merge import fold_latest, latest_per_key
-from ..operators.rollup import rollup_aggs
+from ..operators.rollup import reaggregate, rollup
 from ..schemas import DEFAULT_AS_OF, RANGE_BUCKET, RANGE_INTERVAL, RESPONSE_CONTENT_CHARS
 from ..session import scratch_path
-from ..sources.events import parse_events, payloads_from_events
+from ..sources.events import bronze, parse_events, payloads_from_events
 from ..sources.fixtures import chunks_from_events, logs_from_events
 from ..sources.tables import read_table
 
@@ -41,7 +41,7 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str = "events",
     ``glob`` selects the files of the table (default ``<table>.parquet``); new
     files arriving in the folder are picked up by later micro-batches.
     """
-    schema = read_table(spark, sf_dir, table).schema
+    schema = (spark.read.option("pathGlobFilter", glob).parquet(sf_dir) if glob else read_table(spark, sf_dir, table)).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob or f"{table}.parquet")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -91,30 +91,39 @@ def _start_with_partitions(writer, spark: SparkSession, partitions: int | None):
 
 
 def start(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
-          trigger: dict | None = None, partitions: int | None = None) -> tuple[object, str]:
+          trigger: dict | None = None, partitions: int | None = None, root: str | None = None,
+          per_batch=None) -> tuple[object, str]:
     """Start a landed job; returns (StreamingQuery, data path).
 
     ``trigger`` defaults to availableNow; L5 (micro-batch every 2 s) is
     ``{"processingTime": "2 seconds"}`` with ``maxFilesPerTrigger`` on the source.
+    ``per_batch`` is applied to each micro-batch before it lands.
     """
     use_rocksdb_state(spark)
-    root = scratch_path(spark, name)
+    root = root or scratch_path(spark, name)
     data = f"{root}/data"
-    w = (stream.writeStream.outputMode(mode).foreachBatch(_land(data))
+    land = _land(data)
+    w = (stream.writeStream.outputMode(mode)
+         .foreachBatch(land if per_batch is None else lambda batch, batch_id: land(per_batch(batch), batch_id))
          .option("checkpointLocation", f"{root}/checkpoint"))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return _start_with_partitions(w, spark, partitions), data
 
 
-def run(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
+def landed(spark: SparkSession, data: str, schema: T.StructType) -> DataFrame:
+    """The rows that landed below ``data``; none if no batch has landed there yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(data)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(data)
+
+
+def run(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append", root: str | None = None,
+        per_batch=None, schema: T.StructType | None = None) -> DataFrame:
     """Run to completion (availableNow) and return the landed rows (with batch_id)."""
-    q, data = start(stream, spark, name, mode)
+    q, data = start(stream, spark, name, mode, root=root, per_batch=per_batch)
     q.awaitTermination()
-    schema = T.StructType(stream.schema.fields + [T.StructField("batch_id", T.LongType())])
-    try:
-        return spark.read.schema(schema).parquet(data)
-    except Exception:  # noqa: BLE001 - no batch landed (empty input)
-        return spark.createDataFrame([], schema)
+    return landed(spark, data, _with_batch(schema or stream.schema))
 
 
 def _event_time(df: DataFrame, col: str, out: str = "__t") -> DataFrame:
@@ -123,70 +132,70 @@ def _event_time(df: DataFrame, col: str, out: str = "__t") -> DataFrame:
 
 # --- L3 / L4: windowed aggregates ----------------------------------------------------------
 
-def run_rollup(spark: SparkSession, sf_dir: str, width: str = "1 minute",
-               watermark: str = "10 minutes") -> DataFrame:
-    """L3: streaming one-minute rollup (update mode, watermark bounds the state)."""
-    logs = _event_time(logs_from_events(table_stream(spark, sf_dir)), "created_at")
-    agg = (logs.withWatermark("__t", watermark)
-           .groupBy(F.window("__t", width).start.alias("bucket"), "provider", "model")
-           .agg(*rollup_aggs()))
-    landed = run(agg, spark, "stream-rollup", "update")
-    cur = latest_per_key(landed, ["bucket", "provider", "model"])
-    return cur.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+def run_rollup(spark: SparkSession, sf_dir: str, width: str = "1 minute", root: str | None = None,
+               max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """L3: streaming one-minute rollup.  Each micro-batch lands its own rollup; reading sums them."""
+    logs = logs_from_events(table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob))
+    schema = rollup(logs, width).schema
+    parts = run(logs, spark, "stream-rollup", root=root, per_batch=lambda b: rollup(b, width), schema=schema)
+    return reaggregate(parts.drop("batch_id"), width).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 def run_series(spark: SparkSession, sf_dir: str, range_key: str = "24h", group_by: str = "provider",
-               as_of: _dt.datetime = DEFAULT_AS_OF, watermark: str = "1 hour") -> DataFrame:
-    """L4: tumbling dashboard series (request counts) for a trailing range."""
-    lower = as_of - RANGE_INTERVAL[range_key]
-    logs = logs_from_events(table_stream(spark, sf_dir)).filter(
-        F.col("created_at") >= F.lit(lower.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
-    logs = _event_time(logs, "created_at")
+               as_of: _dt.datetime = DEFAULT_AS_OF, root: str | None = None,
+               max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """L4: tumbling dashboard series (request counts).  All buckets land; the trailing range is cut
+    when reading, at ``as_of``, so it moves with the reader's clock."""
+    logs = logs_from_events(table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob))
     key = F.col(group_by).cast("string") if group_by != "none" else F.lit("all")
-    agg = (logs.withWatermark("__t", watermark)
-           .groupBy(F.window("__t", RANGE_BUCKET[range_key]).start.alias("t"), key.alias("series_key"))
-           .agg(F.count(F.lit(1)).cast("double").alias("v")))
-    landed = run(agg, spark, "stream-series", "update")
-    return latest_per_key(landed, ["t", "series_key"]).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    logs = logs.select("created_at", key.alias("series_key"))
+
+    def counts(b: DataFrame) -> DataFrame:
+        return (b.groupBy(F.window("created_at", RANGE_BUCKET[range_key]).start.alias("t"), "series_key")
+                .agg(F.count(F.lit(1)).cast("double").alias("v"), F.min("created_at").alias("first")))
+    # the range may start inside a bucket: rows before it are left out by landing them apart
+    lower = F.lit((as_of - RANGE_INTERVAL[range_key]).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    schema = counts(logs).schema
+    parts = run(logs, spark, "stream-series", root=root, schema=schema, per_batch=lambda b: counts(
+        b.where(F.col("created_at") < lower)).unionByName(counts(b.where(F.col("created_at") >= lower))))
+    return (parts.where(F.col("first") >= lower).groupBy("t", "series_key").agg(F.sum("v").alias("v"))
+            .withColumn("t", F.col("t").cast("timestamp_ntz")))
 
 
 # --- L2 / L6 / L1: ingest, dedup, live feed ----------------------------------------------------------
 
-def run_upsert(spark: SparkSession, sf_dir: str, dedup_watermark: str = "1 hour",
-               fold_columns: tuple[str, ...] | None = None, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """L2 + L6: events -> JSON payloads -> validate -> normalise, exact duplicate events dropped
-    within the watermark.  One stream; each micro-batch is validated once (persisted for the two
-    writes) and lands its fact rows and its lifecycle rows; facts are folded by id (M1)."""
-    ev = table_stream(spark, sf_dir, glob=glob)
-    raw = parse_events(payloads_from_events(ev))
-    raw = (_event_time(raw, "received_at").withWatermark("__t", dedup_watermark)
-           .dropDuplicatesWithinWatermark(["event_id"]).drop("__t"))
-    checked = check_events(raw)
-    use_rocksdb_state(spark)
-    root = scratch_path(spark, "stream-upsert")
+def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] | None = None, glob: str | None = None,
+               root: str | None = None, max_files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """L2 + L6: events -> JSON payloads -> validate -> normalise; returns (facts, lifecycle).
+
+    Every micro-batch lands its raw rows (S4), fact rows and lifecycle rows.  Repeated deliveries are dropped
+    when reading, by event_id over everything landed, so no row is lost for being late; facts are then
+    folded by id (M1).
+    """
+    ev = table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob)
+    payloads = payloads_from_events(ev)
+    checked = check_events(parse_events(payloads))
+    root = root or scratch_path(spark, "stream-upsert")
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        b = batch.persist()
-        try:
-            bid = F.lit(batch_id).cast("long")
-            facts_of(b).withColumn("batch_id", bid).write.mode("overwrite").parquet(
-                f"{root}/facts/batch_id={batch_id}")
-            lifecycle_of(b).drop("reject_reasons").withColumn("batch_id", bid).write.mode("overwrite").parquet(
-                f"{root}/lifecycle/batch_id={batch_id}")
-        finally:
-            b.unpersist()
-
-    q = _start_with_partitions(checked.writeStream.outputMode("append").foreachBatch(land)
+        def put(df: DataFrame, kind: str) -> None:
+            df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/{kind}/batch_id={batch_id}")
+        put(bronze(batch), "raw")
+        # the audit rows are the batch's source from here on: a written table instead of a cached one
+        own = check_events(parse_events(spark.read.schema(_with_batch(bronze(payloads).schema)).parquet(f"{root}/raw/batch_id={batch_id}")
+                                        .drop("batch_id", "event_status", "attempts", "dt")))
+        put(facts_of(own), "facts")
+        put(lifecycle_of(own).drop("reject_reasons"), "lifecycle")
+
+    q = _start_with_partitions(payloads.writeStream.outputMode("append").foreachBatch(land)
                                .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True),
                                spark, None)
     q.awaitTermination()
-    facts = spark.read.schema(_with_batch(facts_of(checked).schema)).parquet(f"{root}/facts")
-    life = spark.read.schema(_with_batch(lifecycle_of(checked).drop("reject_reasons").schema)).parquet(
-        f"{root}/lifecycle")
-    facts = facts.drop("batch_id")
+    facts = landed(spark, f"{root}/facts", _with_batch(facts_of(checked).schema)).drop("batch_id")
+    life = landed(spark, f"{root}/lifecycle", _with_batch(lifecycle_of(checked).drop("reject_reasons").schema)).drop("batch_id")
     if fold_columns:
-        facts = facts.select(*fold_columns)  # read only what the fold needs
-    return fold_latest(facts), life.drop("batch_id")
+        facts = facts.select(*dict.fromkeys((*fold_columns, "event_id")))  # read only what the fold needs
+    return fold_latest(facts.dropDuplicates(["event_id"])), life.dropDuplicates(["event_id"])
 
 
 def _with_batch(schema: T.StructType) -> T.StructType:
@@ -195,8 +204,8 @@ def _with_batch(schema: T.StructType) -> T.StructType:
 
 def run_live_feed(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
     """L1 + T8: lean rows appended per batch; the feed is the newest n."""
-    landed = run(live_row(logs_from_events(table_stream(spark, sf_dir))), spark, "stream-live", "append")
-    return landed.drop("batch_id").orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+    rows = run(live_row(logs_from_events(table_stream(spark, sf_dir))), spark, "stream-live", "append")
+    return rows.drop("batch_id").orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
 # --- L7 / L8: stateful span assembly with timeout -------------------------------------------------------

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from spanlake.operators import cost as C
+from spanlake.sources.prices import price_catalog
 from spanlake.operators import ingest as I
 from spanlake.operators import merge as MG
 from spanlake.operators import validate as V
@@ -114,7 +115,7 @@ def test_compact_snapshot(spark):
     root = scratch_path(spark, "compact-test")
     r = raw_events(spark, SMALL).select("id", "event_id", "status", F.col("received_at").alias("created_at"))
     r.withColumn("batch_id", (F.col("event_id") % 3).cast("long")).write.partitionBy("batch_id").parquet(root + "/log")
-    MG.compact(spark, root + "/log", root + "/none", root + "/snap1", mutable=("status",))
+    MG.compact(spark, root + "/log", None, root + "/snap1", mutable=("status",))
     got = sorted(tuple(x) for x in MG.state_rows(spark.read.parquet(root + "/snap1")).select(
         "id", "event_id", "status", "created_at", "versions").collect())
     want = sorted(tuple(x) for x in MG.fold_latest(r, mutable=("status",)).select(
@@ -122,9 +123,8 @@ def test_compact_snapshot(spark):
     assert got == want
 
 
-def test_broadcast_only_behind_a_size_check(spark):
-    small = spark.range(5)
-    hinted = C.bounded_broadcast(small, max_rows=10)
-    plain = C.bounded_broadcast(small, max_rows=3)
-    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in plain._jdf.queryExecution().analyzed().toString().lower()
+def test_repeated_price_keys_do_not_multiply_calls(spark):
+    prices = price_catalog(spark)
+    logs = spark.createDataFrame([("a", "openai", "gpt-4o", 1000, 500)], "id string, provider_raw string, model string, prompt_tokens int, completion_tokens int")
+    once, twice = C.join_prices(logs, prices).collect(), C.join_prices(logs, prices.unionByName(prices)).collect()
+    assert once == twice and len(once) == 1 and once[0]["cost_usd"] is not None
