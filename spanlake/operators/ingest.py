@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cost import call_cost
 from ..functions.normalize import (input_hash, input_preview, output_preview, provider_enum,
                                    provider_raw, status_upper, total_tokens, truncate_error_message)
-from ..schemas import ERROR_MESSAGE_CHARS
+from ..schemas import DETECTION, ERROR_MESSAGE_CHARS, REQUEST, RESPONSE
+from .payloads import redact_json
+from .redact import barrier
 from .validate import call_event_rules, with_reasons
 
 
@@ -82,11 +85,28 @@ def facts_of(checked: DataFrame, e: str = "e", received_at: str = "received_at",
     return to_facts(checked.filter(F.size("reject_reasons") == 0), e, received_at, recompute_cost)
 
 
+def redact_events(parsed: DataFrame, e: str = "e") -> DataFrame:
+    """R12 on parsed events: every string of the request (messages, names, prompt, extra) and of the response
+    is redacted before anything is stored; what was found is added to the event's detections."""
+    event = F.col(e)
+    whole = F.to_json(F.struct(event["request"].alias("request"), event["response"].alias("response")))
+    out = redact_json(parsed.withColumn("__both", whole), "__both", det_col="__found")
+    back = F.from_json("__both", T.StructType([T.StructField("request", REQUEST), T.StructField("response", RESPONSE)]))
+    found = F.concat(F.coalesce(event["pii_detections"], F.array().cast(T.ArrayType(DETECTION))), F.col("__found"))
+    out = barrier(out.withColumn("__both", back))  # decoded once, however many fields are read
+    return barrier(out
+            .withColumn(e, F.when(event.isNotNull(), event.withField("request", F.col("__both.request"))
+                                  .withField("response", F.col("__both.response"))
+                                  .withField("pii_detections", F.when(F.size(found) > 0, found))))
+            .drop("__both", "__found"))
+
+
 def ingest(raw: DataFrame, e: str = "e", received_at: str = "received_at",
-           recompute_cost: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Validate parsed events; return (accepted fact rows, event lifecycle rows)."""
-    checked = check_events(raw, e)
-    return facts_of(checked, e, received_at, recompute_cost), lifecycle_of(checked, received_at)
+           recompute_cost: bool = False, redact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Redact (R13: unless switched off) and validate parsed events; return (accepted fact rows, event lifecycle rows)."""
+    checked = check_events(raw, e)  # the lifecycle needs no texts
+    clean = check_events(redact_events(raw, e), e) if redact else checked
+    return facts_of(clean, e, received_at, recompute_cost), lifecycle_of(checked, received_at)
 
 
 def parsed_fields(df: DataFrame, e: str) -> list[str]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.ingest import check_events, facts_of, lifecycle_of, live_row
+from ..operators.ingest import check_events, facts_of, ingest, lifecycle_of, live_row
 from ..operators.merge import fold_latest, latest_per_key
 from ..operators.rollup import reaggregate, rollup
 from ..schemas import DEFAULT_AS_OF, RANGE_BUCKET, RANGE_INTERVAL, RESPONSE_CONTENT_CHARS
@@ -166,7 +166,7 @@ def run_series(spark: SparkSession, sf_dir: str, range_key: str = "24h", group_b
 
 def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] | None = None, glob: str | None = None,
                root: str | None = None, max_files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """L2 + L6: events -> JSON payloads -> validate -> normalise; returns (facts, lifecycle).
+    """L2 + L6: events -> JSON payloads -> redact -> validate -> normalise; returns (facts, lifecycle).
 
     Every micro-batch lands its raw rows (S4), fact rows and lifecycle rows.  Repeated deliveries are dropped
     when reading, by event_id over everything landed, so no row is lost for being late; facts are then
@@ -182,10 +182,11 @@ def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] |
             df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/{kind}/batch_id={batch_id}")
         put(bronze(batch), "raw")
         # the audit rows are the batch's source from here on: a written table instead of a cached one
-        own = check_events(parse_events(spark.read.schema(_with_batch(bronze(payloads).schema)).parquet(f"{root}/raw/batch_id={batch_id}")
-                                        .drop("batch_id", "event_status", "attempts", "dt")))
-        put(facts_of(own), "facts")
-        put(lifecycle_of(own).drop("reject_reasons"), "lifecycle")
+        own = parse_events(spark.read.schema(_with_batch(bronze(payloads).schema)).parquet(f"{root}/raw/batch_id={batch_id}")
+                           .drop("batch_id", "event_status", "attempts", "dt"))
+        facts, life = ingest(own)
+        put(facts, "facts")
+        put(life.drop("reject_reasons"), "lifecycle")
 
     q = _start_with_partitions(payloads.writeStream.outputMode("append").foreachBatch(land)
                                .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True),

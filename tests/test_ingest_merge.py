@@ -128,3 +128,25 @@ def test_repeated_price_keys_do_not_multiply_calls(spark):
     logs = spark.createDataFrame([("a", "openai", "gpt-4o", 1000, 500)], "id string, provider_raw string, model string, prompt_tokens int, completion_tokens int")
     once, twice = C.join_prices(logs, prices).collect(), C.join_prices(logs, prices.unionByName(prices)).collect()
     assert once == twice and len(once) == 1 and once[0]["cost_usd"] is not None
+
+
+def test_ingest_redacts_before_storing(spark):
+    import json
+
+    from spanlake.operators.ingest import ingest
+    from spanlake.sources.events import parse_events
+    body = {"id": "0123456789ab", "provider": "openai", "model": "m", "latency_ms": 5, "status": "success",
+            "started_at": "2024-01-01T00:00:00Z", "ended_at": "2024-01-01T00:00:01Z",
+            "request": {"messages": [{"role": "user", "content": "mail a@b.co", "name": "bob@x.com"}], "prompt": "ssn 123-45-6789",
+                        "extra": {"k": "call 555-123-4567"}}, "response": {"content": "ip 10.0.0.1"}}
+    rows = [(1, json.dumps(body)), (2, "broken {")]
+    raw = parse_events(spark.createDataFrame(rows, "event_id long, payload string").selectExpr("*", "timestamp_ntz'2024-01-01' as received_at"))
+    facts, life = ingest(raw)
+    stored = facts.collect()
+    assert len(stored) <= 1 and life.count() == 2
+    checked = ingest(raw, redact=False)[0].collect()
+    assert len(checked) == len(stored) == 1, life.collect()
+    text = str(stored[0])
+    assert not any(x in text for x in ("a@b.co", "bob@x.com", "123-45-6789", "555-123-4567", "10.0.0.1"))
+    assert {d["type"]: d["count"] for d in json.loads(stored[0]["pii_detections"])} == {"email": 2, "phone": 1, "ssn": 1, "ipv4": 1}
+    assert stored[0]["input_preview"] == "mail [REDACTED_EMAIL]"
