@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .edit import bitmap, edit_texts, marked, with_bit
 from .store import save
 from .text import Words, mix, slices, split_words, word_hashes
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
 _BACK = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-MARK_BITS = 1 << 25
 
 
 class Spans:
@@ -174,34 +174,13 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
         run, "doc_id long, tid long, lo int, hi int, key long, c1 long, c2 long")
 
 
-def _marks(df: DataFrame) -> np.ndarray:
-    """A bitmap of ``MARK_BITS`` bits with those of the rows' ``(doc_id, tid)`` set."""
-    bit = F.pmod(F.xxhash64("doc_id", "tid"), F.lit(MARK_BITS)) + 1  # the bitmap functions count from 1
-    rows = (df.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect())
-    out = np.zeros(MARK_BITS // 8 + 8192, np.uint8)
-    for r in rows:  # MARK_BITS / 32768 rows at most; bucket k holds bits (k - 1) * 32768 and on
-        at = (r.bucket - 1) * 4096
-        out[at:at + len(r.bits)] |= np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
-def _marked(bits: np.ndarray, at: pa.Array) -> np.ndarray:
-    at = at.to_numpy(zero_copy_only=False).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def _with_mark(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("bit", F.pmod(F.xxhash64("doc_id", "tid"), F.lit(MARK_BITS)))
-
-
 def _unroll(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
     """``(doc_id, tid, pos, w1, w2)`` for every window in the segments ``reps(doc_id, tid, lo, hi)``."""
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(reps))
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(reps, "doc_id", "tid"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.select(["doc_id", "tid", "text"]).filter(pa.array(_marked(marks.value, b.column(3))))
+            yield b.select(["doc_id", "tid", "text"]).filter(pa.array(marked(marks.value, b.column(3))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +197,7 @@ def _unroll(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
                      pa.array(w1), pa.array(w2)], ["doc_id", "tid", "pos", "w1", "w2"])
 
     own = reps.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
-    texts = _with_mark(docs.where("doc_id is not null")).mapInArrow(pick, "doc_id long, tid long, text string")
+    texts = with_bit(docs.where("doc_id is not null"), "doc_id", "tid").mapInArrow(pick, "doc_id long, tid long, text string")
     return (texts.dropDuplicates(["doc_id", "tid"]).join(own, ["doc_id", "tid"]).select("doc_id", "tid", "text", "own")
             .mapInArrow(run, "doc_id long, tid long, pos int, w1 long, w2 long"))
 
@@ -269,7 +248,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
     spans = save(repeated_spans(base, window), "substring-spans")
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(spans))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + (["kept"] if texts else [])
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
 
@@ -280,22 +258,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string())]
         return pa.RecordBatch.from_arrays(cols + ([pa.array([r[2] for r in rows], pa.string())] if texts else []), names)
 
-    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                stay = b.filter(pa.array(~_marked(marks.value, b.column(3))))
-                yield result(stay, [None] * stay.num_rows)
-
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.select(["doc_id", "tid", "text"]).filter(pa.array(_marked(marks.value, b.column(3))))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                yield result(b, b.column(b.schema.get_field_index("gone")).to_pylist())
-
-    gone = spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    some = _with_mark(base).mapInArrow(touched, "doc_id long, tid long, text string")
-    some = some.join(gone, ["doc_id", "tid"], "left").select("doc_id", "tid", "text", "gone").mapInArrow(cut, kinds)
-    return _with_mark(base).mapInArrow(untouched, kinds).unionByName(some)
+    own = spans.select("doc_id", "tid", F.struct("lo", "hi").alias("span"))
+    return edit_texts(base, own, "span", result, kinds)
