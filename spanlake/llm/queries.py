@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import URL_FILTER
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -95,7 +97,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-@query("op7_url_filter")
+@query("op7_url_filter", URL_FILTER)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_urls import judge
     return judge(table(spark, sf_dir, "pages"))
