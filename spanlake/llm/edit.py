@@ -16,7 +16,12 @@ MARK_BITS = 1 << 25
 
 def bitmap(df: DataFrame, *cols: str) -> np.ndarray:
     """A bitmap of ``MARK_BITS`` bits with those of the rows' hashed ``cols`` set: 4 MB at any input size."""
-    bit = F.pmod(F.xxhash64(*cols), F.lit(MARK_BITS)) + 1  # the bitmap functions count from 1
+    return bitmap_of(df, F.pmod(F.xxhash64(*cols), F.lit(MARK_BITS)))
+
+
+def bitmap_of(df: DataFrame, place) -> np.ndarray:
+    """A bitmap with the bits at ``place`` (0 up to ``MARK_BITS``) set."""
+    bit = place + 1  # the bitmap functions count from 1
     rows = (df.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect())
     out = np.zeros(MARK_BITS // 8 + 8192, np.uint8)

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .edit import edit_texts
+from .edit import MARK_BITS, bitmap_of, edit_texts
 from .store import save, slots
 from .text import mix, raw_bytes, slices, split_words, word_hashes
 
 U64 = np.uint64
 BUCKETS = 1 << 18
 BLOCK = 512
-POST = np.dtype([("word", "<u8"), ("line", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("s1", "<u8"), ("s2", "<u8")])
+POST = np.dtype([("word", "<u8"), ("line", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("s1", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("num", "<u4")])
 
 
 def line_arrays(arr: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -121,41 +121,58 @@ def need(size, t: float):
     return np.ceil(np.round(t * np.asarray(size), 9)).astype(np.int64)
 
 
-def _list_pairs(p: np.ndarray, t: float) -> Iterator[np.ndarray]:
-    """Candidates among the members of one word's list, sorted by size."""
+def _list_pairs(p: np.ndarray, t: float, open_bits: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Candidates ``(earlier, later)`` among the members of one word's list, sorted by size: for every member the
+    earliest that passes the filters or, with ``open_bits``, all of them for the members marked there."""
+    order = np.argsort(np.argsort(p[["doc", "num", "line"]], order=("doc", "num", "line")))
+    none = len(p)
+    best = np.full(len(p), none)
+    if open_bits is not None:
+        spot = (p["line"] & (MARK_BITS - 1)).astype(np.int64)
+        still = (open_bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
     for a in range(0, len(p), BLOCK):
         x = p[a:a + BLOCK]
         far = np.searchsorted(p["size"], int(x["size"][-1] / t + 1e-9), side="right")
         for b in range(a, far, BLOCK):
-            y = p[b:min(b + BLOCK, far)]
+            to = min(b + BLOCK, far)
+            y = p[b:to]
             total = x["size"][:, None].astype(np.int64) + y["size"][None, :]
             least = np.ceil(np.round(total * t / (1 + t), 9)).astype(np.int64)
-            ok = need(y["size"], t)[None, :] <= x["size"][:, None]
+            ok = np.minimum(x["size"][:, None], y["size"][None, :]) >= need(np.maximum(x["size"][:, None], y["size"][None, :]), t)
             rest = np.minimum((x["size"] - x["pos"])[:, None], (y["size"] - y["pos"])[None, :])
             ok &= rest + np.minimum(x["pos"][:, None], y["pos"][None, :]) >= least
             apart = np.bitwise_count(x["s1"][:, None] ^ y["s1"][None, :]).astype(np.int64)
             apart += np.bitwise_count(x["s2"][:, None] ^ y["s2"][None, :])
             ok &= apart <= total - 2 * least
-            i, j = np.nonzero(ok)
-            if a == b:
-                m = i < j
-                i, j = i[m], j[m]
-            if len(i):
-                yield np.stack([x["line"][i], y["line"][j]], 1)
-
-
-def candidates(docs: DataFrame, rank, t: float) -> DataFrame:
-    """``(a, b)``: ids of sets that passed the prefix, length, positional and sketch filters."""
+            rx, ry = order[a:a + len(x), None], order[None, b:to]
+            if open_bits is None:
+                best[a:a + len(x)] = np.minimum(best[a:a + len(x)], np.where(ok & (ry < rx), ry, none).min(axis=1))
+                best[b:to] = np.minimum(best[b:to], np.where(ok & (rx < ry), rx, none).min(axis=0))
+            else:
+                i, j = np.nonzero(ok & np.where(ry < rx, still[a:a + len(x), None], still[None, b:to] & (rx < ry)))
+                if len(i):
+                    late = order[a + i] > order[b + j]
+                    yield np.stack([np.where(late, y["line"][j], x["line"][i]), np.where(late, x["line"][i], y["line"][j])], 1)
+    if open_bits is None:
+        at = np.flatnonzero(best < none)
+        yield np.stack([p["line"][np.argsort(order)[best[at]]], p["line"][at]], 1)
+
+
+def candidates(docs: DataFrame, rank, t: float, open_bits=None) -> DataFrame:
+    """``(a, b)``: ids of lines that passed the prefix, length, positional and sketch filters, the earlier first;
+    which of them, see ``_list_pairs``."""
     parts = max(16, slots(docs.sparkSession))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                lines, _, _ = line_arrays(b.column(0))
+                lines, row, number = line_arrays(b.column(1))
                 h, first, ids = line_words(lines)
                 words, first = word_sets(h, first, rank.value)
                 size = np.diff(first)
-                _, one = np.unique(ids, return_index=True)
+                doc = b.column(0).to_numpy(zero_copy_only=False)[row]
+                one = np.lexsort((number, doc, ids))  # the first place of each line
+                one = one[np.concatenate([[True], ids[one][1:] != ids[one][:-1]])]
                 one = one[size[one] > 0]
                 if not len(one):
                     continue
@@ -172,6 +189,7 @@ def candidates(docs: DataFrame, rank, t: float) -> DataFrame:
                 p = np.empty(len(src), POST)
                 p["word"], p["line"], p["size"], p["pos"] = words[first[src] + pos], ids[src], size[src], pos
                 p["s1"], p["s2"] = sketch[0][src], sketch[1][src]
+                p["doc"], p["num"] = doc[src], number[src]
                 part = (mix(p["word"]) % U64(parts)).astype(np.int64)
                 at = np.argsort(part, kind="stable")
                 p, edge = p[at], np.searchsorted(part[at], np.arange(parts + 1))
@@ -181,25 +199,39 @@ def candidates(docs: DataFrame, rank, t: float) -> DataFrame:
 
     def meet(df: pd.DataFrame) -> pd.DataFrame:
         p = np.concatenate([np.frombuffer(x, POST) for x in df["posts"]])
-        p = p[np.lexsort((p["line"], p["size"], p["word"]))]
+        p = p[np.lexsort((p["num"], p["doc"], p["line"], p["size"], p["word"]))]
         new = np.ones(len(p), bool)
         new[1:] = (p["word"][1:] != p["word"][:-1]) | (p["line"][1:] != p["line"][:-1])
         p = p[new]
         begin = np.flatnonzero(np.concatenate([[True], p["word"][1:] != p["word"][:-1]]))
         end = np.append(begin[1:], len(p))
         big = np.flatnonzero(end - begin > 1)
-        found = [x for b, e in zip(begin[big].tolist(), end[big].tolist()) for x in _list_pairs(p[b:e], t)]
+        found = [x for b, e in zip(begin[big].tolist(), end[big].tolist()) for x in _list_pairs(p[b:e], t, None if open_bits is None else open_bits.value)]
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        pairs = np.unique(pairs, axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return (docs.select("text").mapInArrow(post, "part int, posts binary")
+    return (docs.select("doc_id", "text").mapInArrow(post, "part int, posts binary")
             .groupBy("part").applyInPandas(meet, "a long, b long").distinct())
 
 
-def similar_sets(docs: DataFrame, home: DataFrame, rank, t: float) -> DataFrame:
-    """``(a, b)``: ids of different lines whose sets have Jaccard ``t`` or more."""
+def late_lines(docs: DataFrame, home: DataFrame, rank, t: float) -> DataFrame:
+    """``(line)``: ids of lines that have an earlier line with Jaccard ``t`` or more.
+
+    Two rounds, so that a group of many near copies costs one pair per member and list: first each line meets the
+    earliest line that passes the filters in each of its lists; lines that this leaves open (a bitmap of
+    fixed size tells which) then meet all earlier ones.  No link that decides a line is lost.
+    """
     cand = save(candidates(docs, rank, t), "lines-candidates")
+    late = save(similar(docs, home, rank, t, cand).select(F.col("b").alias("line")).distinct(), "lines-late")
+    left = cand.select(F.col("b").alias("line")).distinct().join(late, "line", "left_anti")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(left, F.pmod(F.col("line"), F.lit(MARK_BITS))))
+    more = save(candidates(docs, rank, t, bits).join(late.withColumnRenamed("line", "b"), "b", "left_anti").select("a", "b"), "lines-open")
+    return late.unionByName(similar(docs, home, rank, t, more).select(F.col("b").alias("line"))).distinct()
+
+
+def similar(docs: DataFrame, home: DataFrame, rank, t: float, cand: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of ``cand`` whose sets have Jaccard ``t`` or more."""
     ends = cand.select(F.col("a").alias("line")).unionByName(cand.select(F.col("b").alias("line"))).distinct()
     # whole sets are read from the first place of each line that passed the filters
     where = save(ends.join(home, "line").select("line", "home.doc_id", "home.tid", F.struct("home.number", "line").alias("at")), "lines-wanted")
@@ -236,7 +268,7 @@ def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     Lines are cut at line feeds; a null text stays null with no lines; lines without words stay; an
     equal line that occurs again, in the same or a later document, is a later match; rows with a null id
     keep their lines and remove none; rows that share a doc_id are one document (lines of equal number
-    compare by text); an empty table gives an empty result; other columns are not read.
+    compare by their hash); an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"), *others)
@@ -248,10 +280,7 @@ def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     seen = read.where("line is not null").drop("n")
     place = F.struct("doc_id", "number", "tid")
     home = save(seen.groupBy("line").agg(F.min(place).alias("home"), F.count("*").alias("n")), "lines-home")
-    pairs = save(similar_sets(real, home, rank, threshold), "lines-pairs")
-    a = home.select(F.col("line").alias("a"), F.col("home").alias("ha"))
-    b = home.select(F.col("line").alias("b"), F.col("home").alias("hb"))
-    late = (pairs.join(a, "a").join(b, "b").select(F.when(F.col("ha") < F.col("hb"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct())
+    late = late_lines(real, home, rank, threshold)
     # sets to look at: those with an earlier similar set, and those that occur more than once
     rule = save(home.join(late.withColumn("late", F.lit(True)), "line", "left").where("late or n > 1")
                 .select("line", "home", F.coalesce("late", F.lit(False)).alias("late")), "lines-rule")
