@@ -38,7 +38,6 @@ END = 0xFF
 BLOCK_BYTES = 12 << 20
 SLICE = 2 << 20
 GRAMS_AT_ONCE = 1 << 20
-PARTS = 2048
 
 
 def _padded(arr: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +138,7 @@ def _sum_part(df: pd.DataFrame) -> pd.DataFrame:
 
 
 class Trie:
-    """All contexts seen in training, shortest first; ``logp[node, symbol]`` is log10 P(symbol | context) of that node, in 1/2048 parts."""
+    """All contexts seen in training, shortest first; ``logp[node, symbol]`` is log10 P(symbol | context) of that node."""
 
     def __init__(self, grams: np.ndarray, times: np.ndarray, order: int):
         self.order = order
@@ -188,8 +187,7 @@ class Trie:
             self.levels.append(ctx)
             before_ctx, before_counts = ctx, counts
         self.base = np.cumsum([0] + [len(c) for c in self.levels])
-        # in 1/2048 parts: half the size to hand to every worker
-        self.logp = np.concatenate([np.round(t * PARTS).astype(np.int16) for t in tables[1:]])
+        self.logp = np.concatenate(tables[1:])
         # child[node, symbol]: the longest seen context that ends with the symbol; the root after a byte never seen
         # (a walk takes ``order`` steps from the root, so it never leaves a context of full length)
         self.child = np.zeros((max(1, int(self.base[order])), n_sym), np.int32)
@@ -218,7 +216,7 @@ class Trie:
         node = np.zeros(n, np.int32)
         for k in range(self.order):
             node = self.child[node, sym[k:k + n]]
-        own = self.logp[node, sym[self.order:]].astype(np.float64) / PARTS
+        own = self.logp[node, sym[self.order:]].astype(np.float64)
         total = np.concatenate([[0.0], np.cumsum(own)])
         size = np.diff(raw_bytes(arr)[1])
         return total[begin - self.order + size + 1] - total[begin - self.order]
