@@ -1,22 +1,26 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-Method.  A trie of byte contexts up to ``order`` bytes long is trained on the training documents.
+Method.  The strings of up to ``order + 1`` bytes of the training documents are counted: a context and the byte after it.
 The probability of a byte is taken in the longest context seen in training; a byte that is new to
 a context escapes to the context one byte shorter (escape estimate D: half an occurrence
 of every distinct follower), and there the bytes already seen in the longer context are
 excluded.  Order -1 gives every byte the same share.  A text ends with byte 0xFF, which UTF-8 never
-uses, and starts after ``order`` such bytes.  The model is pretrained, so the distribution of every
-trie node is computed once, exclusion included, and a text's code length is a walk down the trie.
+uses, and starts after ``order`` such bytes.  What a shorter context leaves to the bytes that are new to a longer one is a
+ratio of whole numbers: with N(c) occurrences of the shorter context c, S of them before bytes seen in the longer
+one, and d such bytes, it is (2 (N(c) - S) + d) / 2 N(c).  So a string's probability takes only the counts of its own
+ends and of their contexts.
 
 The base is a unigram model over words with 0.5 added to every count.
 
 Scale.  Documents are read once in blocks of some MB.  A block counts its distinct words and byte
 strings and hands them out by hash in packed arrays, one row per block and hash part, so skewed words
-cost one number per block.  Each part sums its own words over all blocks and sends the sums back
-only to the blocks that asked.  A block keeps its documents as numbers into its word list and as
-bytes; all of this lies in tables in the shared folder.  The trie that is broadcast has at most
-``max_cells`` cells: if the corpus had more, the rarest byte strings would go first by one count
-threshold for all.  Vocabularies of any size never meet in one place.
+cost one number per block.  Strings go by the hash of the last ``order - 1`` bytes of their context: then a part has all
+that two neighbouring context lengths need, and a key has at most 2^16 strings.  Each part sums its own words and strings
+over all blocks and hands the sums of the strings without their first byte to the parts of the next level, with the
+strings still without an answer; so down to contexts of one byte, of which there are at most 2^16 strings: these are
+broadcast.  The answers go back only to the blocks that asked.  A block keeps its documents
+as compressed bytes; all of this lies in tables in the shared folder.  No string is dropped, and vocabularies and models
+of any size never meet in one place.
 """
 
 from __future__ import annotations
@@ -27,17 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import save, slots
-from .text import LOWER, crc_mod, raw_bytes, slices, split_words, word_hashes
+from .text import LOWER, crc_mod, mix, raw_bytes, slices, split_words, word_hashes
 
 U64 = np.uint64
 END = 0xFF
 BLOCK_BYTES = 12 << 20
 SLICE = 2 << 20
-GRAMS_AT_ONCE = 1 << 20
+ROW_STRINGS = 1 << 20
 
 
 def _padded(arr: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,58 +55,96 @@ def _padded(arr: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(data: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of ``order + 1`` bytes that end inside a text or at its end, as numbers, with counts."""
+    """All strings of ``order + 1`` bytes, as numbers, and which of them end inside a text or at its end."""
     code = np.zeros(max(0, len(data) - order), U64)
     for k in range(order + 1):
         code = (code << U64(8)) | data[k:len(data) - order + k].astype(U64)
     ok = np.ones(len(code), bool)  # a string that reaches from one text into the next's padding does not count
     for b in begin[1:].tolist():
         ok[b - order - order:b - order] = False
-    return np.unique(code[ok], return_counts=True)
+    return code, ok
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """An array as compressed byte planes: sorted strings differ in few of them."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def _unpack(x: bytes | None, kind) -> np.ndarray:
+    size = int.from_bytes(x[:8], "little") if x else 0
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(x[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _joined(xs, kind) -> np.ndarray:
+    return np.concatenate([_unpack(x, kind) for x in xs] or [np.zeros(0, kind)])
+
+
+def _last(code: np.ndarray, size: int) -> np.ndarray:
+    """The last ``size`` bytes of each string."""
+    return code & U64((1 << (8 * size)) - 1)
+
+
+def _parts_of(code: np.ndarray, k: int, parts: int) -> np.ndarray:
+    """The part of strings of ``k + 1`` bytes or their ends: by hash of the ``k - 1`` bytes before the last."""
+    return ((mix(_last(code >> U64(8), max(0, k - 1))) >> U64(40)) % U64(parts)).astype(np.int64)
+
+
+def _dealt(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
+    """``(part, rows of each array)`` for every part that has rows, in their order, at most ROW_STRINGS at once."""
+    at = np.argsort(part, kind="stable")
+    part = part[at]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() + [len(part)] if len(part) else [0]
+    for lo, hi in zip(cuts, cuts[1:]):
+        for x in range(lo, hi, ROW_STRINGS):
+            y = min(hi, x + ROW_STRINGS)
+            yield (int(part[lo]), *(a[at[x:y]] for a in arrays))
 
 
 def _blocks(docs: DataFrame, order: int, parts: int, fold: int) -> DataFrame:
-    """``(block, part, payload)``: part -1 the documents, -2 their bytes, parts 0.. the words and strings by hash."""
+    """``(block, part, payload)``: part -1 the documents and their bytes, parts 0.. the words and strings by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
             block = uuid.uuid4().hex
-            hashes, counts, trains, ids, tids, grams, times = [], [], [], [], [], [], []
+            hashes, trains, ids, sizes, grams, times, texts = [], [], [], [], [], [], []
             for b in held:
                 own = b.column(0).to_pylist()
                 out = crc_mod(own) == fold
-                w = split_words(b.column(2), lower=True)
-                hashes.append(word_hashes(w)), counts.append(w.counts()), trains.append(np.repeat(~out, w.counts()))
+                w = split_words(b.column(1), lower=True)
+                hashes.append(word_hashes(w)), trains.append(np.repeat(~out, w.counts()))
                 ids += own
-                tids += b.column(1).to_pylist()
-                if (~out).any():
-                    g, t = _grams(*_padded(b.column(2).filter(pa.array(~out)), order), order)
-                    grams.append(g), times.append(t)
+                for some, weight in ((~out, 1), (out, 0)):
+                    if some.any():
+                        code, ok = _grams(*_padded(b.column(1).filter(pa.array(some)), order), order)
+                        g, t = np.unique(code[ok], return_counts=True)
+                        grams.append(g), times.append(t * weight)
+                raw, off = raw_bytes(b.column(1))
+                texts.append(raw), sizes.append(np.diff(off))
             words, which = np.unique(np.concatenate(hashes), return_inverse=True)
             seen = np.bincount(which[np.concatenate(trains)], minlength=len(words)).astype(np.int64)
             grams, times = _merge(grams, times)
-            wp, gp = (words >> U64(40)) % U64(parts), ((grams * U64(0x9E3779B97F4A7C15)) >> U64(40)) % U64(parts)
-            rows = {"block": [], "part": [], "a": [], "b": [], "c": [], "d": []}
-
-            def put(part, a, b, c=b"", d=b""):
-                for k, v in zip(rows, (block, part, a, b, c, d)):
-                    rows[k].append(v)
-            for p in range(parts):
-                m, g = wp == p, gp == p
-                if m.any() or g.any():
-                    put(p, words[m].tobytes(), seen[m].astype(np.uint32).tobytes(), grams[g].tobytes(), times[g].astype(np.uint32).tobytes())
-            # the place of each word in the order in which the parts send the counts back
-            place = np.empty(len(words), np.uint32)
-            place[np.argsort(wp, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            wp, gp = _word_parts(words, parts), _parts_of(grams, order, parts)
+            rows: dict[int, list[bytes]] = {}
+            for at, kinds in ((0, (wp, words, seen)), (2, (gp, grams, times))):
+                p, x, n = kinds
+                by = np.argsort(p, kind="stable")
+                cut = np.searchsorted(p[by], np.arange(parts + 1))
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    own = by[cut[k]:cut[k + 1]]
+                    rows.setdefault(k, [b""] * 4)[at:at + 2] = [_pack(x[own]), _pack(n[own].astype(np.uint32))]
             sink = pa.BufferOutputStream()
-            own = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tids, pa.int64()), pa.array(np.concatenate(counts))],
-                                             ["doc_id", "tid", "words"])
+            own = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sizes))], ["doc_id", "bytes"])
             with pa.ipc.new_stream(sink, own.schema) as s:
                 s.write_batch(own)
-            put(-1, sink.getvalue().to_pybytes(), place[which].tobytes())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "block" else pa.int32() if k == "part" else pa.binary())
-                                              for k, v in rows.items()})
+            rows[-1] = [sink.getvalue().to_pybytes(), _pack(np.concatenate(texts)), b"", b""]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(rows)), pa.array(list(rows), pa.int32()), *(pa.array(list(c), pa.binary()) for c in zip(*rows.values()))],
+                ["block", "part", "a", "b", "c", "d"])
         for batch in batches:
             for b in slices(batch, "text", SLICE):
                 held.append(b)
@@ -124,147 +166,141 @@ def _merge(codes: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray
     return code[begin], np.add.reduceat(n, begin) if len(begin) else n
 
 
-def _sum_part(df: pd.DataFrame) -> pd.DataFrame:
-    """One hash part: its words' counts over all blocks, sent back to each block; its strings summed."""
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted ``where``, and which of them hold ``what``."""
+    if not len(where):
+        return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
+    at = np.minimum(np.searchsorted(where, what), len(where) - 1)
+    return at, where[at] == what
+
+
+class Level:
+    """Strings of ``k + 1`` bytes seen in training (sorted, with counts): all those that share ends of ``k`` - 1 context bytes."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, k: int):
+        self.k, self.code, self.n = k, code, n
+        begin = _starts(code >> U64(8))
+        self.ctx = code[begin] >> U64(8)
+        kinds = np.diff(np.append(begin, len(code)))
+        total = np.add.reduceat(n, begin) if len(n) else n
+        self.total = total
+        if k == 0:  # below, every byte has the same share
+            self.low, self.low_n = np.zeros(0, U64), np.zeros(0, np.int64)
+            rest = np.log10(256.0 - kinds) - np.log10(256.0)
+        else:
+            # the strings without their first byte, with their counts and those of their contexts
+            self.low, back = np.unique(_last(code, k), return_inverse=True)
+            self.low_n = np.zeros(len(self.low), np.int64)
+            np.add.at(self.low_n, back, n)
+            low_begin = _starts(self.low >> U64(8))
+            low_total = np.add.reduceat(self.low_n, low_begin) if len(n) else n
+            low_total = np.repeat(low_total, np.diff(np.append(low_begin, len(self.low))))
+            both = np.add.reduceat(self.low_n[back], begin) if len(n) else n
+            of = low_total[back[begin]]
+            rest = np.log10(2.0 * (of - both) + kinds) - np.log10(2.0 * of)
+        # log10 of what is added where a byte is new to the context
+        self.leave = np.log10(kinds) - np.log10(2.0 * total) - rest
+
+    def ask(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For strings that end with the given ones: log10 of the share that is known here, and whether that is all of it."""
+        code = _last(code, self.k + 1)
+        value = np.zeros(len(code))
+        c, known = _find(self.ctx, code >> U64(8))
+        value[known] = self.leave[c[known]]
+        at, seen = _find(self.code, code)
+        value[seen] = np.log10(2.0 * self.n[at[seen]] - 1) - np.log10(2.0 * self.total[c[seen]])
+        return value, seen
+
+
+_ROWS = "block string, part int, a binary, b binary, tokens long, distinct long"
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
+# what a row of ``_ROWS`` holds, unless ``block`` is a block's name
+_TOTALS, _ANSWERS, _SEEN, _OPEN = "*", "answers", "seen", "open"
+
+
+def _hand_down(level: Level, origin: np.ndarray, value: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Rows for the parts of the level below: its strings with counts, and the strings without an answer so far."""
+    for p, x, n in _dealt(_parts_of(level.low, level.k - 1, parts), level.low, level.low_n):
+        yield (_SEEN, p, _pack(x), _pack(n), 0, 0)
+    for p, x, v in _dealt(_parts_of(origin, level.k - 1, parts), origin, value):
+        yield (_OPEN, p, _pack(x), _pack(v), 0, 0)
+
+
+def _answers(origin: np.ndarray, value: np.ndarray, order: int, parts: int) -> Iterator[tuple]:
+    for p, x, v in _dealt(_parts_of(origin, order, parts), origin, value):
+        yield (_ANSWERS, p, _pack(x), _pack(v), 0, 0)
+
+
+def _sum_part(order: int, parts: int):
+    """One hash part: its words' counts over all blocks, sent back to each block; its strings summed, answered where
+    they were seen and handed down otherwise."""
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        part = int(df["part"].iloc[0])
+        words = [_unpack(x, U64) for x in df["a"]]
+        code, n = _merge(words, [_unpack(x, np.uint32) for x in df["b"]])
+        rows = [(b, part, _pack(n[np.searchsorted(code, w)]), b"", 0, 0) for b, w in zip(df["block"], words)]
+        rows.append((_TOTALS, part, b"", b"", int(n.sum()), int((n > 0).sum())))
+        code, n = _merge([_unpack(x, U64) for x in df["c"]], [_unpack(x, np.uint32) for x in df["d"]])
+        level = Level(code[n > 0], n[n > 0], order)
+        value, done = level.ask(code)
+        rows += _answers(code[done], value[done], order, parts)
+        rows += _hand_down(level, code[~done], value[~done], parts)
+        return pd.DataFrame(rows, columns=_NAMES)
+    return run
+
+
+def _next_part(k: int, order: int, parts: int):
+    """One hash part of the strings of ``k + 1`` bytes, for those that no longer context has answered."""
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        seen, left = df[df["block"] == _SEEN], df[df["block"] == _OPEN]
+        level = Level(*_merge([_joined(seen["a"], U64)], [_joined(seen["b"], np.int64)]), k)
+        origin, value = _joined(left["a"], U64), _joined(left["b"], np.float64)
+        more, done = level.ask(origin)
+        value = value + more
+        rows = [*_answers(origin[done], value[done], order, parts), *_hand_down(level, origin[~done], value[~done], parts)]
+        return pd.DataFrame(rows, columns=_NAMES)
+    return run
+
+
+def _last_levels(spark, rows: DataFrame, k: int, order: int, parts: int) -> DataFrame:
+    """Answers to all that is left at contexts of ``k`` <= 1 bytes; at most 2^16 strings are broadcast."""
+    got = rows.where(F.col("block") == _SEEN).select("a", "b").collect()
+    code, n = _merge([_joined([bytes(r.a) for r in got], U64)], [_joined([bytes(r.b) for r in got], np.int64)])
+    levels = []
+    while k >= 0:
+        levels.append(Level(code, n, k))
+        code, n, k = levels[-1].low, levels[-1].low_n, k - 1
+    held = spark.sparkContext.broadcast(levels)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in it:
+            origin, value = _joined(df["a"], U64), _joined(df["b"], np.float64)
+            left = np.arange(len(origin))
+            for level in held.value:
+                more, done = level.ask(origin[left])
+                value[left] += more
+                left = left[~done]
+            value[left] -= np.log10(256.0)  # what ``leave`` of the empty context is a share of
+            yield pd.DataFrame(list(_answers(origin, value, order, parts)), columns=_NAMES)
+    return rows.where(F.col("block") == _OPEN).mapInPandas(run, _ROWS)
+
+
+def _answer_part(df: pd.DataFrame) -> pd.DataFrame:
+    """One hash part: the log probability of each string of each block, in the block's order."""
     part = int(df["part"].iloc[0])
-    words = [np.frombuffer(x, U64) for x in df["a"]]
-    code, n = _merge(words, [np.frombuffer(x, np.uint32) for x in df["b"]])
-    grams, times = _merge([np.frombuffer(x, U64) for x in df["c"]], [np.frombuffer(x, np.uint32) for x in df["d"]])
-    rows = [(b, part, n[np.searchsorted(code, w)].tobytes(), 0, 0) for b, w in zip(df["block"], words)]
-    rows += [("", part, grams[at:at + GRAMS_AT_ONCE].tobytes() + times[at:at + GRAMS_AT_ONCE].tobytes(), 0, 0)
-             for at in range(0, len(grams), GRAMS_AT_ONCE)]
-    rows.append(("*", part, b"", int(n.sum()), int((n > 0).sum())))
-    return pd.DataFrame(rows, columns=["block", "part", "a", "tokens", "distinct"])
-
-
-class Trie:
-    """All contexts seen in training, shortest first; ``logp[node, symbol]`` is log10 P(symbol | context) of that node."""
-
-    def __init__(self, grams: np.ndarray, times: np.ndarray, order: int):
-        self.order = order
-        present = np.zeros(256, bool)
-        for k in range(order + 1):
-            present[((grams >> U64(8 * k)) & U64(255)).astype(np.int64)] = True
-        present[END] = True
-        self.symbols = np.flatnonzero(present)
-        # the last column stands for each byte that training never saw
-        n_sym = len(self.symbols) + 1
-        self.code = np.full(256, n_sym - 1, np.int64)
-        self.code[self.symbols] = np.arange(len(self.symbols))
-        # level k: contexts of k bytes; at order -1 every byte has the same share
-        tables = [np.full((1, n_sym), -np.log10(256.0))]
-        before_ctx = before_counts = None
-        self.levels: list[np.ndarray] = []
-        for k in range(order + 1):
-            mask = U64((1 << (8 * (k + 1))) - 1)
-            code, n = _merge([grams & mask], [times])
-            ctx, row = np.unique(code >> U64(8), return_inverse=True)
-            sym = self.code[(code & U64(255)).astype(np.int64)]
-            counts = np.zeros((len(ctx), n_sym), np.int64 if k < 3 else np.int32)
-            np.add.at(counts, (row, sym), n)
-            if k == 0:
-                up, low = np.zeros(1, np.int64), tables[0]
-                low_counts = np.zeros((1, n_sym), np.int64)
-            else:
-                up = np.searchsorted(before_ctx, ctx & U64((1 << (8 * (k - 1))) - 1))
-                low, low_counts = tables[-1], before_counts
-            table = np.empty((len(ctx), n_sym), np.float32)
-            for at in range(0, len(ctx), 8192):
-                c = counts[at:at + 8192].astype(np.float64)
-                u = up[at:at + 8192]
-                total, kinds, seen = c.sum(1), (c > 0).sum(1), c > 0
-                escape = np.log10(kinds / (2 * total))
-                if k == 0:
-                    rest = 256.0 - kinds
-                    fall = np.where(rest > 0, -np.log10(np.maximum(rest, 1)), 0)[:, None] + np.zeros((1, n_sym))
-                else:
-                    # the shorter context without the bytes seen in the longer one: its share of all is known
-                    gone = np.where(seen, 10.0 ** low[u], 0).sum(1)
-                    fall = low[u] - np.log10(np.maximum(1 - gone, 1e-12))[:, None]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    table[at:at + 8192] = np.where(seen, np.log10((2 * c - 1) / (2 * total)[:, None]), escape[:, None] + fall)
-            tables.append(table)
-            self.levels.append(ctx)
-            before_ctx, before_counts = ctx, counts
-        self.base = np.cumsum([0] + [len(c) for c in self.levels])
-        self.logp = np.concatenate(tables[1:])
-        # child[node, symbol]: the longest seen context that ends with the symbol; the root after a byte never seen
-        # (a walk takes ``order`` steps from the root, so it never leaves a context of full length)
-        self.child = np.zeros((max(1, int(self.base[order])), n_sym), np.int32)
-        for k in range(order):
-            ctx = self.levels[k]
-            for s, byte in enumerate(self.symbols.tolist()):
-                best = np.zeros(len(ctx), np.int64)
-                done = np.zeros(len(ctx), bool)
-                for j in range(min(k + 1, order), 0, -1):  # the longest seen end of context + byte
-                    want = ((ctx << U64(8)) | U64(byte)) & U64((1 << (8 * j)) - 1)
-                    at = np.minimum(np.searchsorted(self.levels[j], want), len(self.levels[j]) - 1)
-                    hit = (self.levels[j][at] == want) & ~done
-                    best[hit] = at[hit] + self.base[j]
-                    done |= hit
-                self.child[self.base[k]:self.base[k + 1], s] = best
-
-    def score(self, arr: pa.Array) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        data, begin = _padded(arr, self.order)
-        sym = self.code[data]
-        out = np.zeros(len(begin))
-        if not len(begin):
-            return out
-        # all positions at once: the node before a byte depends on the last ``order`` bytes only
-        n = len(data) - self.order
-        node = np.zeros(n, np.int32)
-        for k in range(self.order):
-            node = self.child[node, sym[k:k + n]]
-        own = self.logp[node, sym[self.order:]].astype(np.float64)
-        total = np.concatenate([[0.0], np.cumsum(own)])
-        size = np.diff(raw_bytes(arr)[1])
-        return total[begin - self.order + size + 1] - total[begin - self.order]
+    own = df["block"] == _ANSWERS
+    code, value = _joined(df["c"][own], U64), _joined(df["d"][own], np.float64)
+    at = np.argsort(code)
+    code, value = code[at], value[at]
+    return pd.DataFrame([(b, part, b"", _pack(value[np.searchsorted(code, _unpack(x, U64))])) for b, x in zip(df["block"][~own], df["c"][~own])],
+                        columns=["block", "part", "a", "b"])
 
 
-def train(sums: DataFrame, order: int, max_strings: int, max_cells: int) -> Trie | None:
-    """The trie from the summed strings; the rarest are left out where there are more than ``max_strings``
-    of them or the trie would pass ``max_cells`` cells."""
-    def histogram(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in it:
-            for x in df["a"]:
-                u, c = np.unique(np.minimum(np.frombuffer(x, np.int64)[len(x) // 16:], 1 << 16), return_counts=True)
-                yield pd.DataFrame({"times": u, "strings": c})
-
-    # a histogram of the counts first: strings are only fetched down to the count with which they fit
-    only = sums.where("block = ''").select("a")
-    kept, least = 0, 1
-    for r in (only.mapInPandas(histogram, "times long, strings long").groupBy("times").agg(F.sum("strings").alias("n"))
-              .orderBy(F.desc("times")).collect()):
-        if kept + r.n > max_strings:
-            least = r.times + 1
-            break
-        kept += r.n
-
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in it:
-            for x in df["a"]:
-                h = len(x) // 16
-                both = np.frombuffer(x, np.int64)
-                m = both[h:] >= least
-                yield pd.DataFrame({"a": [both[:h][m].tobytes() + both[h:][m].tobytes()]})
-
-    grams, times = [], []
-    for r in only.mapInPandas(cut, "a binary").toLocalIterator():
-        both = np.frombuffer(bytes(r.a), np.int64)
-        grams.append(both[:len(both) // 2].view(U64)), times.append(both[len(both) // 2:])
-    code, n = _merge(grams, times)
-    while len(code):
-        nodes = sum(len(np.unique((code & U64((1 << (8 * (k + 1))) - 1)) >> U64(8))) for k in range(order + 1))
-        if nodes * 256 <= max_cells or nodes * len(np.unique(np.frombuffer(code.tobytes(), np.uint8))) <= max_cells:
-            return Trie(code, n, order)
-        least = 2 * least
-        code, n = code[n >= least], n[n >= least]
-    return None
-
-
-def scores(docs: DataFrame, order: int = 5, fold: int = 1, max_strings: int = 4_000_000, max_cells: int = 24_000_000, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, order: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per input row.
 
     Documents whose crc32(doc_id as text) mod 5 is ``fold`` are held out.  Null and empty texts have the end
@@ -272,53 +308,106 @@ def scores(docs: DataFrame, order: int = 5, fold: int = 1, max_strings: int = 4_
     occur; without any training document every byte has the same share; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(16, slots(spark))
     blocks = save(_blocks(base, order, parts, fold), "ppm-blocks")
-    sums = save(blocks.where("part >= 0").groupBy("part").applyInPandas(
-        _sum_part, "block string, part int, a binary, tokens long, distinct long"), "ppm-sums")
-    words, distinct = sums.where("block = '*'").agg(F.sum("tokens"), F.sum("distinct")).first()
+    sums = save(blocks.where("part >= 0").groupBy("part").applyInPandas(_sum_part(order, parts), _ROWS), "ppm-sums")
+    words, distinct = sums.where(F.col("block") == _TOTALS).agg(F.sum("tokens"), F.sum("distinct")).first()
     own = _train_docs(base, fold)
     total = (words or 0) + own  # each training document has one end
     kinds = (distinct or 0) + (1 if own else 0)
     width = np.log10(total + 0.5 * (kinds + 1))
     end = float(np.log10(own + 0.5) - width)
-    trie = spark.sparkContext.broadcast(train(sums, order, max_strings, max_cells))
 
-    def by_word(df: pd.DataFrame) -> pd.DataFrame:
+    level, answers = sums, sums.where(F.col("block") == _ANSWERS)
+    for k in range(order - 1, 1, -1):
+        level = save(level.where(F.col("block").isin(_SEEN, _OPEN)).groupBy("part").applyInPandas(_next_part(k, order, parts), _ROWS), "ppm-level")
+        answers = answers.unionByName(level.where(F.col("block") == _ANSWERS))
+    answers = answers.unionByName(_last_levels(spark, level, min(order - 1, 1), order, parts))
+    asked = (blocks.where("part >= 0").select("block", "part", "c", F.lit(None).cast("binary").alias("d"))
+             .unionByName(answers.select("block", "part", F.col("a").alias("c"), F.col("b").alias("d"))))
+    values = asked.groupBy("part").applyInPandas(_answer_part, "block string, part int, a binary, b binary")
+
+    def by_block(df: pd.DataFrame) -> pd.DataFrame:
         docs_row = df[df["part"] == -1].iloc[0]
-        back = df[df["part"] >= 0].sort_values("part")
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in back["a"]] or [np.zeros(0, np.int64)])
+        back = df[df["part"] >= 0].sort_values("part", kind="stable")
         with pa.ipc.open_stream(docs_row["a"]) as s:
-            meta = s.read_all().to_pydict()
-        c = counts[np.frombuffer(docs_row["b"], np.uint32)]
-        first = np.concatenate([[0], np.cumsum(np.asarray(meta["words"], np.int64))])
-        logs = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.5) - width)])
-        known = np.concatenate([[0], np.cumsum(c > 0)])
-        return pd.DataFrame({"doc_id": pd.array(meta["doc_id"], "Int64"), "tid": meta["tid"], "n_words": np.diff(first),
-                             "known": np.diff(known[first]), "words_score": np.diff(logs[first])})
-
-    def by_byte(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text", SLICE):
-                t = trie.value
-                size = np.diff(raw_bytes(b.column(2))[1])
-                s = t.score(b.column(2)) if t is not None else -(size + 1) * np.log10(256.0)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["doc_id", "tid", "score"])
-
-    back = sums.where("block <> '' and block <> '*'").select("block", "part", "a", F.lit(None).cast("binary").alias("b"))
-    lists = blocks.where("part = -1").select("block", "part", "a", "b").unionByName(back)
-    # rows with the same id and text have the same figures
-    words_side = (lists.groupBy("block").applyInPandas(by_word, "doc_id long, tid long, n_words long, known long, words_score double")
-                  .groupBy("doc_id", "tid").agg(*(F.max(c).alias(c) for c in ("n_words", "known", "words_score"))))
-    bytes_side = base.mapInArrow(by_byte, "doc_id long, tid long, score double").alias("t")
-    both = bytes_side.join(words_side.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.tid") == F.col("w.tid")))
+            meta = s.read_all()
+        size = meta["bytes"].to_numpy()
+        texts = _texts(_unpack(docs_row["b"], np.uint8), size)
+        known, words_score, n_words = _by_word(texts, _joined(back["a"], np.int64), width, parts)
+        return pd.DataFrame({"doc_id": pd.array(meta["doc_id"].to_pylist(), "Int64"), "n_words": n_words, "known": known,
+                             "words_score": words_score, "score": _by_byte(texts, _joined(back["b"], np.float64), order, parts)})
+
+    counts = sums.where(~F.col("block").isin(_TOTALS, _ANSWERS, _SEEN, _OPEN)).select("block", "part", "a", F.lit(None).cast("binary").alias("b"))
+    lists = blocks.where("part = -1").select("block", "part", "a", "b").unionByName(counts).unionByName(values)
+    both = lists.groupBy("block").applyInPandas(by_block, "doc_id long, n_words long, known long, words_score double, score double")
     return both.select(
-        F.col("t.doc_id").alias("doc_id"), _held_out(F.col("t.doc_id"), fold).alias("held_out"),
+        "doc_id", _held_out(F.col("doc_id"), fold).alias("held_out"),
         (F.col("n_words") + 1).alias("n_tokens"), (F.col("known") + F.lit(1 if own else 0)).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("words_score") + F.lit(end)).alias("base_score"), "score")
 
 
+def _texts(data: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    """The texts of a block, in runs of about SLICE bytes."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    out, at = [], 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE, side="right")) - 1)
+        out.append(pa.Array.from_buffers(pa.large_string(), to - at, [None, pa.py_buffer((off[at:to + 1] - off[at]).tobytes()),
+                                                                      pa.py_buffer(data[off[at]:off[to]].tobytes())]))
+        at = to
+    return out
+
+
+def _in_order(part: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values that the parts sent back one part after the other, in the block's order."""
+    out = np.empty(len(part), values.dtype)
+    out[np.argsort(part, kind="stable")] = values
+    return out
+
+
+def _word_parts(words: np.ndarray, parts: int) -> np.ndarray:
+    return ((words >> U64(40)) % U64(parts)).astype(np.int64)
+
+
+def _by_word(texts: list[pa.Array], counts: np.ndarray, width: float, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words seen in training, log10 probability and number of all words of each text of a block."""
+    runs = []
+    for arr in texts:
+        w = split_words(arr, lower=True)
+        runs.append((*np.unique(word_hashes(w), return_inverse=True), w.first))
+    words = np.unique(np.concatenate([r[0] for r in runs]))
+    count = _in_order(_word_parts(words, parts), counts)
+    out = []
+    for some, which, first in runs:
+        c = count[np.searchsorted(words, some)][which]
+        logs = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.5) - width)])
+        known = np.concatenate([[0], np.cumsum(c > 0)])
+        out.append((np.diff(known[first]), np.diff(logs[first]), np.diff(first)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _by_byte(texts: list[pa.Array], values: np.ndarray, order: int, parts: int) -> np.ndarray:
+    """log10 probability of each text of a block and its end; ``values`` of its distinct strings, by part."""
+    runs = []
+    for arr in texts:
+        padded, begin = _padded(arr, order)
+        code, ok = _grams(padded, begin, order)
+        strings, which = np.unique(code[ok], return_inverse=True)
+        place = np.zeros(len(code), np.uint32)
+        place[ok] = which
+        runs.append((strings, place, ok, begin, np.diff(raw_bytes(arr)[1])))
+    strings = np.unique(np.concatenate([r[0] for r in runs]))
+    value = _in_order(_parts_of(strings, order, parts), values)
+    out = []
+    for some, place, ok, begin, n in runs:
+        own = np.where(ok, value[np.searchsorted(strings, some)][place], 0.0)
+        total = np.concatenate([[0.0], np.cumsum(own)])
+        out.append(total[begin - order + n + 1] - total[begin - order])
+    return np.concatenate(out)
+
+
 def _held_out(doc_id, fold: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == fold
 

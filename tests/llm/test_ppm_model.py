@@ -4,6 +4,7 @@ import math
 import random
 
 import brute
+import pytest
 from test_text_ops import docs
 
 TRAIN, HELD = ([i for i in range(100) if brute.held(i, 1) == out] for out in (False, True))
@@ -26,3 +27,12 @@ def test_rare_bytes_after_frequent_contexts(spark):
     train = ["abcde1" * 400, "xbcde2" * 800, "xcde3" * 2400, "xde4" * 7200, "xe5" * 21600]
     want = check(spark, train, ["abcde\x07", "abcde", "\x07\x08", ""])
     assert want[HELD[1]] < -20  # nearly all of it is the end after "abcde"
+
+
+@pytest.mark.parametrize("order", [1, 2, 5])
+def test_no_string_is_dropped(spark, order):
+    # 30,000 letters of four scripts: nearly every string of six bytes occurs once, in far more than 24 M trie cells
+    rng = random.Random(5)
+    letters = [chr(c) for lo, hi in ((33, 127), (0xC0, 0x250), (0x400, 0x500), (0x4E00, 0x9FA0)) for c in range(lo, hi)]
+    train = ["".join(rng.choices(letters, k=1500)) for _ in range(20)]
+    check(spark, train, [train[3][100:160], train[9][:40] + train[11][-40:], "".join(rng.choices(letters, k=60)), "\x01"], order)
