@@ -11,9 +11,10 @@ leftovers (the partition's k-th open item with the k-th open gap of a partition
 resolves all conflicts by rank; then gaps shrink and the next round starts.  Where a round leaves
 items that no gap can take, as many empty sequences open as their total length needs at least.
 
-Small items (up to ``capacity / 16``) are first bundled with their neighbours in the same sort
-order up to ``capacity / 8``, so the number of rounds depends on the capacity and not on how many
-documents there are.
+Small items (up to ``capacity / 16``) wait for the larger ones and go by classes, each down to half its largest
+size.  Before a round of theirs, gaps with room for two or more are filled with runs of them: both are laid end to end by
+descending size, and an item that lies whole inside a gap takes it.  So the number of rounds depends on the capacity and
+not on how many documents there are, and smaller items still find the gaps that larger ones leave.
 
 Scale.  Rounds move only (id, size) rows; texts are read once, to encode them.  Each round's
 state is a table in the shared folder.  The driver holds two numbers per partition.
@@ -66,22 +67,66 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                        F.col(text_col).alias("text")).mapInArrow(run, kinds)
 
 
-def _bundle(items: DataFrame, small: int, limit: int) -> DataFrame:
-    """``(item, size)`` -> ``(item, size, bundle, at)``: neighbours in size order joined up to ``limit``."""
+def _laid(rows: DataFrame) -> DataFrame:
+    """``(id, size)`` laid end to end by descending size: adds ``at``, where each begins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, fill = -1, limit
+        from pyspark import TaskContext
+        part, done = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids, size = b.column(0).to_pylist(), b.column(1).to_pylist()
-            heads, ats = [], []
-            for i, n in zip(ids, size):
-                if n > small or fill + n > limit:
-                    head, fill = i, 0
-                heads.append(head), ats.append(fill)
-                fill = fill + n if n <= small else limit
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, pa.int64()), pa.array(ats, pa.int64())],
-                                             ["item", "size", "bundle", "at"])
-    spread = items.repartitionByRange(slots(items.sparkSession), "size", "item").sortWithinPartitions("size", "item")
-    return spread.mapInArrow(run, "item long, size long, bundle long, at long")
+            size = b.column(1).to_numpy()
+            total = done + np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total - size, pa.int64()),
+                                              pa.array(np.full(len(size), part, np.int32))], ["id", "size", "at", "part"])
+            done = int(total[-1]) if len(size) else done
+    spark = rows.sparkSession
+    spread = (rows.repartitionByRange(slots(spark), F.desc("size"), "id").sortWithinPartitions(F.desc("size"), "id").select("id", "size")
+              .mapInArrow(run, "id long, size long, at long, part int"))
+    inside = save(spread, "packing-laid")
+    before, done = [], 0
+    for r in inside.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").collect():
+        before.append((r.part, done))
+        done += r.n
+    if not before:
+        return inside.select("id", "size", "at")
+    starts = spark.createDataFrame(before, "part int, before long")
+    return inside.join(F.broadcast(starts), "part").select("id", "size", (F.col("at") + F.col("before")).alias("at"))
+
+
+def _fill(waiting: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Runs of items for gaps, both ``(id, size)``: ``(id, size, gap, gap_size, at)`` of each item that lies whole inside a
+    gap; ``at`` is its place among the items of that gap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        part, gap = TaskContext.get().partitionId(), (None, None, None)
+        for b in batches:
+            out: list[tuple] = []
+            for kind, own, size, at in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if kind == 0:
+                    gap = (own, size, at)
+                out.append((kind, own, size, at, *gap, part))
+            if out:
+                kinds = (pa.int32(), *(pa.int64(),) * 6, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                                                 ["kind", "id", "size", "at", "gap", "gap_size", "gap_at", "part"])
+    spark = waiting.sparkSession
+    both = (_laid(gaps).select(F.lit(0).alias("kind"), "id", "size", "at")
+            .unionByName(_laid(waiting).select(F.lit(1).alias("kind"), "id", "size", "at")))
+    spread = both.repartitionByRange(slots(spark), "at", "kind").sortWithinPartitions("at", "kind").select("kind", "id", "size", "at")
+    swept = save(spread.mapInArrow(run, "kind int, id long, size long, at long, gap long, gap_size long, gap_at long, part int"), "packing-fill")
+    # items before a partition's first gap lie in the last gap of a partition before it
+    last, rows = None, []
+    ends = {r.part: r.g for r in swept.where("kind = 0").groupBy("part").agg(F.max_by(F.struct("id", "size", "at"), "at").alias("g")).collect()}
+    for r in swept.select("part").distinct().orderBy("part").collect():
+        rows.append((r.part, *(last or (None, None, None))))
+        last = ends.get(r.part, last)
+    items = swept.where("kind = 1")
+    if rows:
+        carried = F.broadcast(spark.createDataFrame(rows, "part int, o_gap long, o_size long, o_at long"))
+        items = items.join(carried, "part").select("id", "size", "at", *(F.coalesce(a, b).alias(a) for a, b in (
+            ("gap", "o_gap"), ("gap_size", "o_size"), ("gap_at", "o_at"))))
+    inside = items.where("gap is not null and at >= gap_at and at + size <= gap_at + gap_size").select("id", "size", "at", "gap", "gap_size")
+    first = inside.groupBy("gap").agg(F.min("at").alias("first"))
+    return inside.join(first, "gap").select("id", "size", "gap", "gap_size", (F.col("at") - F.col("first")).alias("at"))
 
 
 def _sweep(state: DataFrame) -> DataFrame:
@@ -147,19 +192,41 @@ def place(items: DataFrame, capacity: int = 2048) -> DataFrame:
     """Items ``(item, size)`` with distinct ids and 1 <= size <= capacity -> ``(item, sequence_id, offset)``.
     Ties are broken by id; sequences are named after numbers dealt out as they open."""
     spark = items.sparkSession
-    bundles = save(_bundle(items, capacity // 16, capacity // 8), "packing-bundles")
-    waiting, w_path = save_as(bundles.groupBy(F.col("bundle").alias("id")).agg(F.sum("size").alias("size")), "packing-waiting")
+    waiting, w_path = save_as(items.select(F.col("item").alias("id"), "size"), "packing-waiting")
+    little = capacity // 16
+    later = save(waiting.where(F.col("size") <= little), "packing-small")
     # over half: no two fit together, and each opens the sequence with its own number
     big = waiting.where(F.col("size") * 2 > capacity)
     placed = [save(big.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), "packing-placed")]
     gaps, g_path = save_as(big.select("id", (capacity - F.col("size")).alias("size")).where("size > 0"), "packing-gaps")
-    waiting, w_new = save_as(waiting.where(F.col("size") * 2 <= capacity), "packing-waiting")
+    waiting, w_new = save_as(waiting.where((F.col("size") * 2 <= capacity) & (F.col("size") > little)), "packing-waiting")
     forget(spark, w_path)
     w_path, opened = w_new, 0
     while True:
-        left = waiting.agg(F.count("*"), F.sum("size"), F.min("size")).first()
+        left = waiting.agg(F.count("*"), F.sum("size"), F.min("size"), F.max("size")).first()
         if not left[0]:
-            break
+            top = later.agg(F.max("size")).first()[0]
+            if top is None:
+                break
+            waiting, w_new = save_as(later.where(F.col("size") * 2 > top), "packing-waiting")
+            later = later.where(F.col("size") * 2 <= top)
+            forget(spark, w_path)
+            w_path = w_new
+            continue
+        roomy = gaps.where(F.col("size") >= 2 * left[3])
+        if left[3] <= little and not roomy.isEmpty():
+            runs = save(_fill(waiting, roomy), "packing-runs")
+            placed.append(runs.select("id", F.col("gap").alias("sequence_id"), (capacity - F.col("gap_size") + F.col("at")).alias("offset")))
+            taken = runs.groupBy(F.col("gap").alias("id")).agg(F.sum("size").alias("taken"))
+            filled, g_new = save_as(gaps.join(taken, "id", "left").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size"))
+                                    .where("size > 0"), "packing-gaps")
+            waiting, w_new = save_as(waiting.join(runs.select("id"), "id", "left_anti").select("id", "size"), "packing-waiting")
+            for path in (w_path, g_path):
+                forget(spark, path)
+            w_path, gaps, g_path = w_new, filled, g_new
+            left = waiting.agg(F.count("*"), F.sum("size"), F.min("size")).first()
+            if not left[0]:
+                continue
         # a gap smaller than every waiting item is closed for good
         state = (gaps.where(F.col("size") >= left[2]).select(F.lit(0).alias("kind"), "id", "size")
                  .unionByName(waiting.select(F.lit(1).alias("kind"), "id", "size")))
@@ -202,8 +269,7 @@ def place(items: DataFrame, capacity: int = 2048) -> DataFrame:
     seats = placed[0]
     for p in placed[1:]:
         seats = seats.unionByName(p)
-    return (bundles.join(seats, bundles.bundle == seats.id)
-            .select("item", "sequence_id", (F.col("offset") + F.col("at")).alias("offset")))
+    return seats.select(F.col("id").alias("item"), "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
