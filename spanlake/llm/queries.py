@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .oracle import URL_FILTER
+from .oracle import COLLOCATIONS, URL_FILTER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_urls import judge
     return judge(table(spark, sf_dir, "pages"))
+
+
+@query("op11_collocations", COLLOCATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
