@@ -8,13 +8,14 @@ every word on its left (or, with the roles of the two transforms swapped, on its
 
 Lengths are mined one after another.  A shard extends the phrases of ``k - 1`` words that are frequent over all shards,
 to the right and to the left; a phrase of ``k`` words that both ways reach has two frequent parts, which every
-frequent phrase has.  Its two parts' global ids name it, the shards' interval sizes are summed, and those with
-``min_count`` or more go back to the shards that hold them as the start of the next length.  Nothing is dropped
-before its global count is known, and counts of rare phrases are never gathered beyond the length that shows them rare.
+frequent phrase has.  The names of its two parts name it, the shards' interval sizes are summed, and those with
+``min_count`` or more are the start of the next length.  Nothing is dropped before its global count is known.  A shard
+learns what is frequent from a bitmap of fixed size; a false positive costs an extension that its sum then drops.
 
-Scale.  A shard sends one row per distinct phrase.  The indexes are a written table; per length they meet the shard's
-frequent phrases by shard id, so a task holds one shard.  Joins on phrase ids run against written tables, so AQE may
-split a phrase that very many shards hold.  Nothing is broadcast by hand and nothing passes through the driver.
+Scale.  A shard sends one row per distinct phrase.  The indexes are a written table that each length scans with only the
+columns it needs; no index is shuffled, and a task holds one at a time.  Words are counted by their text; longer phrases
+are named by the pair of 64-bit names of their two parts, and a frequent phrase by a 64-bit hash of that pair.  Joins on names
+run against written tables of frequent phrases only.  What reaches the driver are bitmaps of ``MARK_BITS`` bits.
 
 Defined cases.  A null text has no words, a null language is ``und``.  Repeated rows and repeated ``doc_id`` count every
 time.  An empty table gives no rows.  A text above ``shard_bytes`` is cut between pieces, so one piece is the least a
@@ -24,6 +25,7 @@ shard can hold.  Equal scores rank by count, then by phrase.  Other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .edit import MARK_BITS, bitmap_of
 from .store import save
-from .text import LOWER, raw_bytes
+from .text import LOWER, Words, mix, raw_bytes, word_hashes
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 9]] = True
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 
-INDEX = ("shard long, langs array<string>, words array<string>, lang_of array<int>, lo array<int>, size array<int>, "
-         "bwt binary, rbwt binary")
-FOUND = "shard long, lo int, rlo int, size int, prefix long, suffix long"
+INDEX = "shard long, langs array<string>, words array<string>, lang_of array<int>, names array<long>, size array<int>, bwt binary, rbwt binary"
+FOUND = "prefix long, suffix long, size long"
+NAMED = "prefix long, suffix long, f long, name long"
+
+
+def order_of(key: np.ndarray) -> np.ndarray:
+    """The order that sorts ``key``, ties in place; one plain sort where key and place fit in 63 bits."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    bits = max(1, (len(key) - 1).bit_length())
+    if int(key.max()).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    both = key.astype(np.int64) << bits
+    both |= np.arange(len(key))
+    both.sort()
+    return both & ((1 << bits) - 1)
+
+
+def pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each pair of names."""
+    return mix(mix(a.view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15) * b.view(np.uint64)).view(np.int64)
 
 
 def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -118,16 +139,22 @@ def sequence(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, list, pa.Array
 
 def transform(ids: np.ndarray, depth: int) -> np.ndarray:
     """The id before each rotation, in the order of rotations by their first ``depth`` ids."""
-    rank, width = ids, 1
-    order = np.argsort(ids, kind="stable")
+    rank, width, order = ids, 1, None
     while width < depth:
         key = rank * (int(rank.max()) + 1) + np.roll(rank, -width)
-        order = np.argsort(key)
+        order = order_of(key)
         key = key[order]
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
         width *= 2
-    return ids[order - 1].astype(np.int32)
+    return ids[(order_of(ids) if order is None else order) - 1].astype(np.int32)
+
+
+def names_of(words: pa.Array, langs: list, of: np.ndarray) -> np.ndarray:
+    data, off = raw_bytes(words)
+    own = word_hashes(Words(data, off[:-1], off[1:], np.array([0, len(words)])))
+    lang = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
+    return pair_names(own.view(np.int64), lang[of].view(np.int64))
 
 
 def index(batches: Iterator[pa.RecordBatch], depth: int, limit: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -136,47 +163,50 @@ def index(batches: Iterator[pa.RecordBatch], depth: int, limit: int, schema: pa.
         ids, langs, words, of = sequence(text, lang)
         if not len(ids):
             continue
-        size = np.bincount(ids)
-        lo = (np.cumsum(size) - size)[1:]
-        row = [[(part << 32) + k], [langs], pa.array([words.to_pylist()], pa.list_(pa.string())), [of.astype(np.int32)],
-               [lo.astype(np.int32)], [size[1:].astype(np.int32)], [transform(ids, depth).tobytes()], [transform(ids[::-1], depth).tobytes()]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(row, schema)], schema=schema)
+        one = pa.array([0, len(words)], pa.int32())
+        row = [pa.array([(part << 32) + k]), pa.array([langs], pa.list_(pa.string())), pa.ListArray.from_arrays(one, words.cast(pa.string())),
+               pa.ListArray.from_arrays(one, pa.array(of.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(names_of(words, langs, of))),
+               pa.ListArray.from_arrays(one, pa.array(np.bincount(ids)[1:].astype(np.int32))),
+               pa.array([transform(ids, depth).tobytes()]), pa.array([transform(ids[::-1], depth).tobytes()])]
+        yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(row, schema)], schema=schema)
 
 
 def extensions(bwt: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     """All extensions by one word of disjoint intervals in the order that ``bwt`` belongs to: the interval extended,
     the rows of it before this word's (what the other order's interval moves by), the number of rows, the new start."""
     here = np.empty(len(bwt), np.int64)
-    here[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))  # where a row's rotation by one word back stands
+    here[order_of(bwt)] = np.arange(len(bwt))  # where a row's rotation by one word back stands
     owner = np.repeat(np.arange(len(lo)), size)
     begin = np.cumsum(size) - size
-    rows = np.arange(len(owner)) - begin[owner] + lo[owner]
+    rows = np.arange(len(owner)) + np.repeat(lo - begin, size)
     word = bwt[rows].astype(np.int64)
     key = owner * (int(bwt.max()) + 1) + word
-    order = np.argsort(key)
+    order = order_of(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
-    to = np.minimum.reduceat(here[rows[order]], first) if len(first) else first
-    own = owner[order[first]]
+    head = order[first]  # the first row of each group
+    own = owner[head]
     count = np.diff(np.append(first, len(key)))
-    real = word[order[first]] > 0
-    return own[real], (first - begin[own])[real], count[real], to[real]
-
-
-def extend(found: pa.Table, built: pa.Table, schema: pa.Schema) -> pa.Table:
-    """Phrases of a shard that are one word longer than ``found`` and hold two of them."""
-    if not found.num_rows or not built.num_rows:
-        return schema.empty_table()
-    lo, rlo, size, gid = (found[n].to_numpy().astype(np.int64) for n in ("lo", "rlo", "size", "gid"))
-    order = np.argsort(lo)
-    lo, rlo, size, gid = lo[order], rlo[order], size[order], gid[order]
-    bwt, rbwt = (np.frombuffer(built[n][0].as_buffer(), np.int32) for n in ("bwt", "rbwt"))
-    right, ahead, n, back = extensions(rbwt, rlo, size)
-    left, _, _, to = extensions(bwt, lo, size)
-    _, x, y = np.intersect1d(lo[right] + ahead, to, assume_unique=True, return_indices=True)
-    shard = np.full(len(x), built["home"][0].as_py(), np.int64)
-    cols = [shard, to[y], back[x], n[x], gid[right[x]], gid[left[y]]]
-    return pa.Table.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, schema)], schema=schema)
+    real = word[head] > 0
+    return own[real], (first - begin[own])[real], count[real], here[rows[head]][real]
+
+
+def mine(size: np.ndarray, names: np.ndarray, bwt: np.ndarray, rbwt: np.ndarray, often: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The shard's phrases one word longer than ``often`` has bitmaps: names of their two parts and their counts."""
+    n, gid = size.astype(np.int64), names
+    lo = int(len(bwt) - n.sum()) + np.cumsum(n) - n  # the ends of pieces come first
+    rlo, prefix, suffix = lo, names, names
+    for bits in often:
+        at = gid & (MARK_BITS - 1)
+        keep = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+        keep = keep[np.argsort(lo[keep])]
+        lo, rlo, n, gid = lo[keep], rlo[keep], n[keep], gid[keep]
+        right, ahead, count, back = extensions(rbwt, rlo, n)
+        left, _, _, to = extensions(bwt, lo, n)
+        _, x, y = np.intersect1d(lo[right] + ahead, to, assume_unique=True, return_indices=True)
+        prefix, suffix = gid[right[x]], gid[left[y]]
+        lo, rlo, n, gid = to[y], back[x], count[x], pair_names(prefix, suffix)
+    return prefix, suffix, n
 
 
 def arrow(ddl: str) -> pa.Schema:
@@ -188,37 +218,44 @@ def arrow(ddl: str) -> pa.Schema:
 def phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shard_bytes: int = 8 << 20) -> tuple[list[DataFrame], DataFrame]:
     """Tables of phrases of 1 to ``max_words`` words that occur ``min_count`` times or more, and ``(lang, n)``.
 
-    A phrase has ``id``, ``prefix`` and ``suffix`` (ids of all but its last and first word), ``lang``, ``phrase``, ``f``,
-    ``heads`` and ``tails``: counts of its first and last 1, 2, ... words."""
-    shape, found_shape = arrow(INDEX), arrow(FOUND)
+    A phrase has ``name``, ``prefix`` and ``suffix`` (names of all but its last and first word), ``lang``, ``phrase``, ``f``,
+    ``heads`` (counts of its first 1, 2, ... words) and ``tails`` (counts of all but its first 1, 2, ... words)."""
+    shape, found_shape, named_shape = arrow(INDEX), arrow(FOUND), arrow(NAMED)
+    context = docs.sparkSession.sparkContext
     built = save(docs.select("text", "lang").mapInArrow(lambda b: index(b, max_words, shard_bytes, shape), INDEX), "fm-index")
-    words = (built.select("shard", "langs", F.explode(F.arrays_zip("words", "lang_of", "lo", "size")).alias("w"))
-             .select("shard", F.element_at("langs", F.col("w.lang_of") + 1).alias("lang"), F.col("w.words").alias("phrase"),
-                     F.col("w.lo").alias("lo"), F.col("w.size").alias("size")))
-    counts = save(words.groupBy("lang", "phrase").agg(F.sum("size").alias("f")), "fm-words")
+    words = (built.select("langs", F.explode(F.arrays_zip("words", "lang_of", "names", "size")).alias("w"))
+             .select(F.element_at("langs", F.col("w.lang_of") + 1).alias("lang"), F.col("w.words").alias("phrase"), "w.names", "w.size"))
+    counts = save(words.groupBy("lang", "phrase").agg(F.min("names").alias("name"), F.sum("size").alias("f")), "fm-words")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     none = F.array().cast("array<long>")
-    level = save(counts.where(F.col("f") >= min_count)
-                 .select(F.monotonically_increasing_id().alias("id"), F.lit(None).cast("long").alias("prefix"),
-                         F.lit(None).cast("long").alias("suffix"), "lang", "phrase", "f", none.alias("heads"), none.alias("tails")), "fm-phrases")
-    out = [level]
-    found = words.join(level.select("lang", "phrase", F.col("id").alias("gid")), ["lang", "phrase"]).select(
-        "shard", "lo", F.col("lo").alias("rlo"), "size", "gid")
-    for k in range(2, max_words + 1):
-        longer = (found.groupBy("shard").cogroup(built.select(F.col("shard").alias("home"), "bwt", "rbwt").groupBy("home"))
-                  .applyInArrow(lambda a, b: extend(a, b, found_shape), FOUND))
-        if k < max_words:
-            longer = save(longer, "fm-found")
-        often = longer.groupBy("prefix", "suffix").agg(F.sum("size").alias("f")).where(F.col("f") >= min_count)
-        p = level.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("head"), F.col("f").alias("pf"), "heads")
-        s = level.select(F.col("id").alias("suffix"), F.substring_index("phrase", " ", -1).alias("last"), F.col("f").alias("sf"), "tails")
-        level = save(often.join(p, "prefix").join(s, "suffix").select(
-            F.monotonically_increasing_id().alias("id"), "prefix", "suffix", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "f",
-            F.concat("heads", F.array("pf")).alias("heads"), F.concat("tails", F.array("sf")).alias("tails")), "fm-phrases")
+    level = save(counts.where(F.col("f") >= min_count).withColumns({"prefix": F.lit(None).cast("long"), "suffix": F.lit(None).cast("long"),
+                                                                    "heads": none, "tails": none}), "fm-phrases")
+    out, often = [level], []
+    for _ in range(2, max_words + 1):
+        often = [*often, context.broadcast(bitmap_of(level, F.pmod("name", F.lit(MARK_BITS))))]
+
+        def longer(batches: Iterator[pa.RecordBatch], often=often) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    size, names = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (0, 1))
+                    bwt, rbwt = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in (2, 3))
+                    cols = mine(size, names, bwt, rbwt, [b.value for b in often])
+                    for at in range(0, len(cols[0]), 1 << 18):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 18)]) for c in cols], schema=found_shape)
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                name = pair_names(*(b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name)], schema=named_shape)
+
+        summed = (built.select("size", "names", "bwt", "rbwt").mapInArrow(longer, FOUND)
+                  .groupBy("prefix", "suffix").agg(F.sum("size").alias("f")).where(F.col("f") >= min_count).mapInArrow(named, NAMED))
+        p = level.select(F.col("name").alias("prefix"), "lang", F.col("phrase").alias("head"), F.col("f").alias("pf"), "heads")
+        s = level.select(F.col("name").alias("suffix"), F.substring_index("phrase", " ", -1).alias("last"), F.col("f").alias("sf"), "tails")
+        level = save(summed.join(p, "prefix").join(s, "suffix").select(
+            "name", "prefix", "suffix", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "f",
+            F.concat("heads", F.array("pf")).alias("heads"), F.concat(F.array("sf"), "tails").alias("tails")), "fm-phrases")
         out.append(level)
-        if k < max_words:
-            found = longer.join(level.select("prefix", "suffix", F.col("id").alias("gid")), ["prefix", "suffix"]).select(
-                "shard", "lo", "rlo", "size", "gid")
     return out, totals
 
 
@@ -235,14 +272,14 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, cover
     for k, level in enumerate(levels[1:], 2):
         cuts = []
         for j in range(1, k):
-            lf, rf = F.col("heads")[j - 1], F.col("tails")[k - j - 1]
+            lf, rf = F.col("heads")[j - 1], F.col("tails")[j - 1]
             score = F.call_function("div", F.col("f").cast(exact) * F.lit(2000000).cast("decimal(7,0)"), lf.cast("decimal(20,0)") + rf.cast("decimal(20,0)"))
             cuts.append(F.struct(score.alias("score"), F.lit(j).alias("cut"), lf.alias("l"), rf.alias("r")))
         rows = level.withColumn("best", cuts[0] if k == 2 else F.least(*cuts))
         if k < max_words:  # a longer phrase around this one is, or holds, one that is a word longer and no rarer
-            around = (levels[k].select(F.col("prefix").alias("id"), F.col("f").alias("wide"))
-                      .unionByName(levels[k].select(F.col("suffix").alias("id"), F.col("f").alias("wide"))).groupBy("id").agg(F.max("wide").alias("wide")))
-            rows = rows.join(around, "id", "left").where(
+            around = (levels[k].select(F.col("prefix").alias("name"), F.col("f").alias("wide"))
+                      .unionByName(levels[k].select(F.col("suffix").alias("name"), F.col("f").alias("wide"))).groupBy("name").agg(F.max("wide").alias("wide")))
+            rows = rows.join(around, "name", "left").where(
                 F.col("wide").isNull() | (F.col("wide").cast("decimal(20,0)") * 100 < F.col("f").cast("decimal(20,0)") * cover))
         scored.append(rows.select("lang", "phrase", F.col("f").alias("a"), "best.l", "best.r", "best.score"))
     both = scored[0]

@@ -44,18 +44,16 @@ WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
   unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UP}', '{DOWN}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
 grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS p
-  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k)),
+  FROM words CROSS JOIN range(1, 5) t(k)),
 counted AS (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY ALL HAVING k = 1 OR count(*) >= 30),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
 cuts AS (SELECT c.lang, c.k, c.p, c.f, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
-  FROM counted c, (SELECT unnest([1, 2, 3]) AS j)
-  JOIN counted x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, j) JOIN counted y ON y.lang = c.lang AND y.p = list_slice(c.p, j + 1, c.k)
-  WHERE c.k > 1 AND j < c.k),
+  FROM (SELECT lang, k, p, f, j, list_slice(p, 1, j) AS head, list_slice(p, j + 1, k) AS tail FROM counted CROSS JOIN range(1, 4) t(j) WHERE j < k) c
+  JOIN counted x ON x.lang = c.lang AND x.p = c.head JOIN counted y ON y.lang = c.lang AND y.p = c.tail),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
-inside AS (SELECT DISTINCT b.lang, b.p FROM counted c,
-  (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS m)
-  JOIN counted b ON b.lang = c.lang AND b.p = list_slice(c.p, i, i + m - 1) AND 100 * c.f >= 80 * b.f
-  WHERE c.k > m AND i + m - 1 <= c.k),
+parts AS (SELECT lang, f, list_slice(p, i, i + m - 1) AS part FROM counted CROSS JOIN range(1, 4) t(i) CROSS JOIN range(2, 4) u(m)
+  WHERE k > m AND i + m - 1 <= k),
+inside AS (SELECT DISTINCT b.lang, b.p FROM parts c JOIN counted b ON b.lang = c.lang AND b.p = c.part AND 100 * c.f >= 80 * b.f),
 ranked AS (SELECT lang, array_to_string(p, ' ') AS phrase, f AS a, l, r, score,
   row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, array_to_string(p, ' ')) AS rank
   FROM lowest ANTI JOIN inside USING (lang, p))

@@ -16,9 +16,10 @@ def by_hand(rows, least, most, cover, top):
     for text, lang in rows:
         for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOWER)):
             w = re.findall("[^ \t]+", piece)
-            n[lang or "und"] += len(w)
+            lang = "und" if lang is None else lang
+            n[lang] += len(w)
             for k in range(1, most + 1):
-                f.update((lang or "und", tuple(w[i:i + k])) for i in range(len(w) - k + 1))
+                f.update((lang, tuple(w[i:i + k])) for i in range(len(w) - k + 1))
     good = {key: a for key, a in f.items() if len(key[1]) > 1 and a >= least}
     gone = {(lang, p[i:j]) for (lang, p), wide in good.items() for i in range(len(p)) for j in range(i + 2, len(p) + 1)
             if j - i < len(p) and 100 * wide >= cover * f[lang, p[i:j]]}
@@ -39,7 +40,7 @@ def texts(seed):
             ("beta " * 700, None), ("same row again, same row again", "fr"), ("same row again, same row again", "fr")]
     for _ in range(200):
         words = [rng.choice(vocab[:rng.randint(2, len(vocab))]) for _ in range(rng.randint(0, 40))]
-        rows.append(("".join(w + rng.choice([" ", " ", "  ", "\t", ". ", ",", "\n"]) for w in words), rng.choice(["en", "fr", None, "und"])))
+        rows.append(("".join(w + rng.choice([" ", " ", "  ", "\t", ". ", ",", "\n"]) for w in words), rng.choice(["en", "fr", None, "und", ""])))
     return rows
 
 
