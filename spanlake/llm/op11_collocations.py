@@ -215,7 +215,7 @@ def arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shard_bytes: int = 8 << 20) -> tuple[list[DataFrame], DataFrame]:
+def phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shard_bytes: int = 4 << 20) -> tuple[list[DataFrame], DataFrame]:
     """Tables of phrases of 1 to ``max_words`` words that occur ``min_count`` times or more, and ``(lang, n)``.
 
     A phrase has ``name``, ``prefix`` and ``suffix`` (names of all but its last and first word), ``lang``, ``phrase``, ``f``,
@@ -260,7 +260,7 @@ def phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shard_byte
 
 
 def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, cover: int = 80, top: int = 2000,
-                 shard_bytes: int = 8 << 20) -> DataFrame:
+                 shard_bytes: int = 4 << 20) -> DataFrame:
     """The ``top`` phrases of each language of ``docs(text, lang)``: ``lang, rank, phrase, a, l, r, n, score``.
 
     ``a`` is the phrase's count, ``l`` and ``r`` those of the two parts at the cut with the lowest
