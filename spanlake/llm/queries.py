@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .oracle import COLLOCATIONS, URL_FILTER
+from .oracle import COLLOCATIONS, SPELLING, URL_FILTER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op11_collocations import collocations
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_groups", SPELLING)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_spelling import spelling_groups
+    return spelling_groups(table(spark, sf_dir, "documents"))
