@@ -169,26 +169,26 @@ def index(batches: Iterator[pa.RecordBatch], depth: int, limit: int, schema: pa.
                pa.ListArray.from_arrays(one, pa.array(np.bincount(ids)[1:].astype(np.int32))),
                pa.array([transform(ids, depth).tobytes()]), pa.array([transform(ids[::-1], depth).tobytes()])]
         yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(row, schema)], schema=schema)
+        del ids, words, of, row
+        pa.default_memory_pool().release_unused()
 
 
 def extensions(bwt: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     """All extensions by one word of disjoint intervals in the order that ``bwt`` belongs to: the interval extended,
     the rows of it before this word's (what the other order's interval moves by), the number of rows, the new start."""
-    here = np.empty(len(bwt), np.int64)
-    here[order_of(bwt)] = np.arange(len(bwt))  # where a row's rotation by one word back stands
-    owner = np.repeat(np.arange(len(lo)), size)
+    here = np.empty(len(bwt), np.int32)
+    here[order_of(bwt)] = np.arange(len(bwt), dtype=np.int32)  # where a row's rotation by one word back stands
     begin = np.cumsum(size) - size
-    rows = np.arange(len(owner)) + np.repeat(lo - begin, size)
-    word = bwt[rows].astype(np.int64)
-    key = owner * (int(bwt.max()) + 1) + word
+    rows = (np.arange(int(size.sum())) + np.repeat(lo - begin, size)).astype(np.int32)
+    key = np.repeat(np.arange(len(lo)) * (int(bwt.max()) + 1), size)
+    key += bwt[rows]
     order = order_of(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
-    head = order[first]  # the first row of each group
-    own = owner[head]
+    own, word = np.divmod(key[first], int(bwt.max()) + 1)
     count = np.diff(np.append(first, len(key)))
-    real = word[head] > 0
-    return own[real], (first - begin[own])[real], count[real], here[rows[head]][real]
+    real = word > 0
+    return own[real], (first - begin[own])[real], count[real], here[rows[order[first]]][real].astype(np.int64)
 
 
 def mine(size: np.ndarray, names: np.ndarray, bwt: np.ndarray, rbwt: np.ndarray, often: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -215,14 +215,15 @@ def arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shard_bytes: int = 4 << 20) -> tuple[list[DataFrame], DataFrame]:
+def phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shard_bytes: int = 2 << 20) -> tuple[list[DataFrame], DataFrame]:
     """Tables of phrases of 1 to ``max_words`` words that occur ``min_count`` times or more, and ``(lang, n)``.
 
     A phrase has ``name``, ``prefix`` and ``suffix`` (names of all but its last and first word), ``lang``, ``phrase``, ``f``,
     ``heads`` (counts of its first 1, 2, ... words) and ``tails`` (counts of all but its first 1, 2, ... words)."""
     shape, found_shape, named_shape = arrow(INDEX), arrow(FOUND), arrow(NAMED)
     context = docs.sparkSession.sparkContext
-    built = save(docs.select("text", "lang").mapInArrow(lambda b: index(b, max_words, shard_bytes, shape), INDEX), "fm-index")
+    built = save(docs.select("text", "lang").mapInArrow(lambda b: index(b, max_words, shard_bytes, shape), INDEX), "fm-index",
+                 {"parquet.block.row.count.limit": "1"})  # a row is a whole shard
     words = (built.select("langs", F.explode(F.arrays_zip("words", "lang_of", "names", "size")).alias("w"))
              .select(F.element_at("langs", F.col("w.lang_of") + 1).alias("lang"), F.col("w.words").alias("phrase"), "w.names", "w.size"))
     counts = save(words.groupBy("lang", "phrase").agg(F.min("names").alias("name"), F.sum("size").alias("f")), "fm-words")
@@ -260,7 +261,7 @@ def phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shard_byte
 
 
 def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, cover: int = 80, top: int = 2000,
-                 shard_bytes: int = 4 << 20) -> DataFrame:
+                 shard_bytes: int = 2 << 20) -> DataFrame:
     """The ``top`` phrases of each language of ``docs(text, lang)``: ``lang, rank, phrase, a, l, r, n, score``.
 
     ``a`` is the phrase's count, ``l`` and ``r`` those of the two parts at the cut with the lowest

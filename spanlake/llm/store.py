@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back: cuts the lineage with a
     committed table, so a lost executor costs no recomputation and no row changes between uses."""
-    return save_as(df, name)[0]
+    return save_as(df, name, options)[0]
 
 
-def save_as(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def save_as(df: DataFrame, name: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
