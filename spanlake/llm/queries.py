@@ -113,3 +113,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op13_spelling import spelling_groups
     return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_language import languages
+    return languages(table(spark, sf_dir, "documents"))
