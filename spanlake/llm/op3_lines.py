@@ -7,12 +7,18 @@ the shared one on both sides) and a parity-sketch filter (a lower bound of the s
 exact Jaccard is taken from their whole sets.  A line goes if an earlier line, by ``(doc_id, line number)``, has
 Jaccard ``t`` or more with it; lines are judged on the input.
 
-Rarity is the corpus count of a word's hash bucket (2^18 of them: a table of fixed size), ties by hash: any order that
-all lines share keeps the prefix filter exact, and this one puts rare words first.
+Rarity is the corpus count of a word's hash bucket (2^22 of them: a table of fixed size), ties by hash: any order that
+all lines share keeps the prefix filter exact, and this one puts rare words first.  A word that a bitmap of fixed size
+knows to occur once in the corpus is not posted: nobody can share it.
+
+A line needs one earlier similar line, not all.  So each list names, for every member, the earlier member that its sketch says
+is nearest, and the nearest of all lists is verified by whole sets.  Lines that this leaves open (few: those whose nearest
+earlier line is under ``t`` after all) then meet every earlier line that passes the filters, in the lists of their own words only.
 
 Scale.  Equal lines are one member of the join, whatever their number.  Postings travel as packed arrays, one row per
-task and hash part.  Whole sets are only read for lines that passed all filters.  Lists are walked in blocks,
-pairs never leave a task before the filters.
+task and hash part.  Whole sets are only read for lines that passed all filters.  A list of more than ``LONG`` members
+is cut into blocks by size; pairs of blocks whose sizes can match are dealt out as rows of their own.  Pairs never
+leave a task before the filters, and in the first round one per line and task does.
 """
 
 from __future__ import annotations
@@ -31,9 +37,12 @@ from .store import save, slots
 from .text import mix, raw_bytes, slices, split_words, word_hashes
 
 U64 = np.uint64
-BUCKETS = 1 << 18
-BLOCK = 512
+BUCKETS = 1 << 22
+LOW = U64(42)  # bits of a word's hash below its bucket
+LONG = 4096
+SPLIT = 64  # parts of the tables that tasks send
 POST = np.dtype([("word", "<u8"), ("line", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("s1", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("num", "<u4")])
+FOUND = np.dtype([("b", "<i8"), ("far", "<i8"), ("doc", "<i8"), ("num", "<u4"), ("a", "<i8")])
 
 
 def line_arrays(arr: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -71,7 +80,7 @@ def word_sets(h: np.ndarray, first: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     """``(words, first)``: per line its distinct words in the common order, rarest first.  A word is its hash with
     the bucket replaced by the bucket's rank, so numeric order is the common order."""
     line = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    v = (rank[(h >> U64(46)).astype(np.int64)].astype(U64) << U64(46)) | (h & U64((1 << 46) - 1))
+    v = (rank[(h >> LOW).astype(np.int64)].astype(U64) << LOW) | (h & ((U64(1) << LOW) - U64(1)))
     at = np.argsort(v)
     by = line[at]
     at = at[np.argsort(by.astype(np.uint16) if len(first) < 1 << 16 else by, kind="stable")]
@@ -84,110 +93,176 @@ def word_sets(h: np.ndarray, first: np.ndarray, rank: np.ndarray) -> tuple[np.nd
 
 def read_lines(docs: DataFrame) -> DataFrame:
     """One pass over the texts: ``(doc_id, tid, number, line)`` per line with words, and, in rows without ``line``, each
-    task's counts of word buckets (``number`` tells which sixty-fourth of them, ``n`` holds them)."""
+    task's counts of word buckets and bitmaps of words seen and seen again (``number`` tells which part, ``n`` holds them)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
+        from zstandard import ZstdCompressor
+        n = np.zeros(BUCKETS, np.uint32)
+        once, twice = np.zeros(MARK_BITS, bool), np.zeros(MARK_BITS, bool)
         names = ["doc_id", "tid", "number", "line", "n"]
         for batch in batches:
             for b in slices(batch, "text"):
                 lines, row, number = line_arrays(b.column(2))
                 h, first, ids = line_words(lines)
-                n += np.bincount((h >> U64(46)).astype(np.int64), minlength=BUCKETS)
+                h = np.sort(h)
+                new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[:len(h)])
+                times = np.diff(np.append(new, len(h)))
+                np.add.at(n, (h[new] >> LOW).astype(np.int64), times.astype(np.uint32))
+                spot = _spot(h[new])
+                twice[spot[(times > 1) | once[spot]]] = True
+                order = np.sort(spot)
+                twice[order[1:][order[1:] == order[:-1]]] = True
+                once[spot] = True
                 at = np.flatnonzero(np.diff(first) > 0)
                 idx = pa.array(row[at])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(number[at].astype(np.int32)),
                                                   pa.array(ids[at]), pa.nulls(len(at), pa.binary())], names)
-        none = pa.nulls(64, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(range(64), pa.int32()), none,
-                                          pa.array([x.tobytes() for x in n.reshape(64, -1)], pa.binary())], names)
+        none, small = pa.nulls(SPLIT, pa.int64()), ZstdCompressor(level=1)
+        told = zip(n.reshape(SPLIT, -1), np.packbits(once).reshape(SPLIT, -1), np.packbits(twice).reshape(SPLIT, -1))
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(range(SPLIT), pa.int32()), none,
+                                          pa.array([small.compress(b"".join(x.tobytes() for x in part)) for part in told], pa.binary())], names)
     return docs.mapInArrow(run, "doc_id long, tid long, number int, line long, n binary")
 
 
-def word_ranks(read: DataFrame) -> np.ndarray:
-    """The rarity rank of each of ``BUCKETS`` word buckets over all documents."""
-    def add(df: pd.DataFrame) -> pd.DataFrame:
-        n = sum(np.frombuffer(x, np.int64) for x in df["n"])
-        return pd.DataFrame({"number": [df["number"].iloc[0]], "n": [n.tobytes()]})
+def _spot(h: np.ndarray) -> np.ndarray:
+    """The bit of a word in a bitmap of ``MARK_BITS`` bits; hashes and words of ``word_sets`` give the same."""
+    return (h & U64(MARK_BITS - 1)).astype(np.int64)
+
+
+def word_ranks(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The rarity rank of each of ``BUCKETS`` word buckets over all documents, and which words may occur more than once."""
+    size, bits = 4 * BUCKETS // SPLIT, MARK_BITS // SPLIT // 8
 
-    n = np.zeros((64, BUCKETS // 64), np.int64)
-    for r in read.where("line is null").select("number", "n").groupBy("number").applyInPandas(add, "number int, n binary").collect():
-        n[r.number] = np.frombuffer(bytes(r.n), np.int64)  # 64 rows: a table of fixed size
-    rank = np.empty(BUCKETS, np.int64)
+    def add(df: pd.DataFrame) -> pd.DataFrame:
+        from zstandard import ZstdDecompressor
+        n, once, twice = np.zeros(BUCKETS // SPLIT, np.int64), np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
+        for x in df["n"]:
+            raw = ZstdDecompressor().decompress(x)
+            n += np.frombuffer(raw, np.uint32, BUCKETS // SPLIT)
+            here = np.frombuffer(raw, np.uint8, bits, size)
+            twice |= np.frombuffer(raw, np.uint8, bits, size + bits) | (once & here)
+            once |= here
+        return pd.DataFrame({"number": [df["number"].iloc[0]], "n": [n.tobytes()], "twice": [twice.tobytes()]})
+
+    n, twice = np.zeros((SPLIT, BUCKETS // SPLIT), np.int64), np.zeros((SPLIT, bits), np.uint8)
+    for r in read.where("line is null").select("number", "n").groupBy("number").applyInPandas(add, "number int, n binary, twice binary").collect():
+        n[r.number] = np.frombuffer(bytes(r.n), np.int64)  # SPLIT rows: tables of fixed size
+        twice[r.number] = np.frombuffer(bytes(r.twice), np.uint8)
+    rank = np.empty(BUCKETS, np.int32)
     rank[np.argsort(n.ravel(), kind="stable")] = np.arange(BUCKETS)
-    return rank
+    return rank, np.unpackbits(twice.ravel()).view(bool)
 
 
 def need(size, t: float):
     return np.ceil(np.round(t * np.asarray(size), 9)).astype(np.int64)
 
 
-def _list_pairs(p: np.ndarray, t: float, open_bits: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Candidates ``(earlier, later)`` among the members of one word's list, sorted by size: for every member the
-    earliest that passes the filters or, with ``open_bits``, all of them for the members marked there."""
-    order = np.argsort(np.argsort(p[["doc", "num", "line"]], order=("doc", "num", "line")))
-    none = len(p)
-    best = np.full(len(p), none)
+def _passing(x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of postings pass the length, positional and sketch filters, and how far apart their sketches are."""
+    sx, sy = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    px, py = x["pos"].astype(np.int64), y["pos"].astype(np.int64)
+    total = sx + sy
+    least = np.ceil(np.round(total * (t / (1 + t)), 9)).astype(np.int64)
+    apart = (np.bitwise_count(x["s1"] ^ y["s1"]).astype(np.int64) + np.bitwise_count(x["s2"] ^ y["s2"]))
+    ok = (np.minimum(sx, sy) >= need(np.maximum(sx, sy), t)) & (np.minimum(sx - px, sy - py) + np.minimum(px, py) >= least)
+    return ok & (apart <= total - 2 * least), (apart << 20) // np.maximum(total, 1)
+
+
+def _earlier(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether ``x`` comes after ``y``: by doc_id, line number, then the line's hash."""
+    return (x["doc"] > y["doc"]) | ((x["doc"] == y["doc"]) & ((x["num"] > y["num"]) | ((x["num"] == y["num"]) & (x["line"] > y["line"]))))
+
+
+def _pairs(p: np.ndarray, i: np.ndarray, j: np.ndarray, t: float, open_bits: np.ndarray | None) -> np.ndarray:
+    """Of the pairs of postings ``i`` and ``j``, those that pass, as ``(later, distance, doc and number of the earlier, earlier)``;
+    with ``open_bits`` only those whose later line is marked there."""
+    x, y = p[i], p[j]
+    ok, far = _passing(x, y, t)
+    x, y, far = x[ok], y[ok], far[ok]
+    swap = _earlier(y, x)
+    late, early = np.where(swap, y["line"], x["line"]), np.where(swap, x["line"], y["line"])
+    out = np.empty(len(late), FOUND)
+    out["b"], out["far"], out["a"] = late, far, early
+    out["doc"], out["num"] = np.where(swap, x["doc"], y["doc"]), np.where(swap, x["num"], y["num"])
     if open_bits is not None:
-        spot = (p["line"] & (MARK_BITS - 1)).astype(np.int64)
-        still = (open_bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-    for a in range(0, len(p), BLOCK):
-        x = p[a:a + BLOCK]
-        far = np.searchsorted(p["size"], int(x["size"][-1] / t + 1e-9), side="right")
-        for b in range(a, far, BLOCK):
-            to = min(b + BLOCK, far)
-            y = p[b:to]
-            total = x["size"][:, None].astype(np.int64) + y["size"][None, :]
-            least = np.ceil(np.round(total * t / (1 + t), 9)).astype(np.int64)
-            ok = np.minimum(x["size"][:, None], y["size"][None, :]) >= need(np.maximum(x["size"][:, None], y["size"][None, :]), t)
-            rest = np.minimum((x["size"] - x["pos"])[:, None], (y["size"] - y["pos"])[None, :])
-            ok &= rest + np.minimum(x["pos"][:, None], y["pos"][None, :]) >= least
-            apart = np.bitwise_count(x["s1"][:, None] ^ y["s1"][None, :]).astype(np.int64)
-            apart += np.bitwise_count(x["s2"][:, None] ^ y["s2"][None, :])
-            ok &= apart <= total - 2 * least
-            rx, ry = order[a:a + len(x), None], order[None, b:to]
-            if open_bits is None:
-                best[a:a + len(x)] = np.minimum(best[a:a + len(x)], np.where(ok & (ry < rx), ry, none).min(axis=1))
-                best[b:to] = np.minimum(best[b:to], np.where(ok & (rx < ry), rx, none).min(axis=0))
-            else:
-                i, j = np.nonzero(ok & np.where(ry < rx, still[a:a + len(x), None], still[None, b:to] & (rx < ry)))
-                if len(i):
-                    late = order[a + i] > order[b + j]
-                    yield np.stack([np.where(late, y["line"][j], x["line"][i]), np.where(late, x["line"][i], y["line"][j])], 1)
-    if open_bits is None:
-        at = np.flatnonzero(best < none)
-        yield np.stack([p["line"][np.argsort(order)[best[at]]], p["line"][at]], 1)
-
-
-def candidates(docs: DataFrame, rank, t: float, open_bits=None) -> DataFrame:
-    """``(a, b)``: ids of lines that passed the prefix, length, positional and sketch filters, the earlier first;
-    which of them, see ``_list_pairs``."""
+        spot = late & (MARK_BITS - 1)
+        out = out[(open_bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
+    return out
+
+
+def _nearest(found: np.ndarray) -> np.ndarray:
+    """For each later line its nearest earlier one; of equally near ones the first."""
+    found = found[np.lexsort((found["num"], found["doc"], found["far"], found["b"]))]
+    return found[np.concatenate([[True], found["b"][1:] != found["b"][:-1]])[:len(found)]]
+
+
+def _within(p: np.ndarray, t: float, open_bits: np.ndarray | None, budget: int = 1 << 18) -> np.ndarray:
+    """Pairs inside lists, all lists side by side: ``p`` is sorted by word and size, each posting meets the next, the
+    second next, ... of its list until sizes are too far apart."""
+    end = np.searchsorted(p["word"], p["word"], side="right")
+    held, size, left, d = [], 0, np.arange(len(p)), 0
+    while len(left):
+        d += 1
+        left = left[left + d < end[left]]
+        left = left[p["size"][left] >= need(p["size"][left + d], t)]
+        for at in range(0, len(left), budget):
+            some = left[at:at + budget]
+            held.append(_pairs(p, some, some + d, t, open_bits))
+            size += len(held[-1])
+        if size > 4 * budget and open_bits is None:
+            held = [_nearest(np.concatenate(held))]
+            size = 0
+    out = np.concatenate(held) if held else np.zeros(0, FOUND)
+    return _nearest(out) if open_bits is None else np.unique(out)
+
+
+def _between(x: np.ndarray, y: np.ndarray, t: float, open_bits: np.ndarray | None, step: int = 64) -> np.ndarray:
+    """Pairs of postings of one word in two blocks."""
+    held = [np.zeros(0, FOUND)]
+    both = np.concatenate([x, y])
+    for at in range(0, len(x), step):
+        i, j = (k.ravel() for k in np.meshgrid(np.arange(at, min(at + step, len(x))), np.arange(len(x), len(both)), indexing="ij"))
+        got = _pairs(both, i, j, t, open_bits)
+        held.append(_nearest(got) if open_bits is None else got)
+    out = np.concatenate(held)
+    return _nearest(out) if open_bits is None else np.unique(out)
+
+
+def candidates(docs: DataFrame, rank, twice, t: float, open_bits=None, open_words=None) -> DataFrame:
+    """``(a, b)``: ids of lines that passed the prefix, length, positional and sketch filters, the earlier first: for each later
+    line the nearest one, or, with ``open_bits``, all for the lines marked there; then only words in ``open_words`` post."""
     parts = max(16, slots(docs.sparkSession))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        useful = (twice if open_words is None else open_words).value
         for batch in batches:
             for b in slices(batch, "text"):
                 lines, row, number = line_arrays(b.column(1))
                 h, first, ids = line_words(lines)
-                words, first = word_sets(h, first, rank.value)
-                size = np.diff(first)
                 doc = b.column(0).to_numpy(zero_copy_only=False)[row]
-                one = np.lexsort((number, doc, ids))  # the first place of each line
-                one = one[np.concatenate([[True], ids[one][1:] != ids[one][:-1]])]
-                one = one[size[one] > 0]
+                some = np.flatnonzero(np.diff(first))
+                if open_words is not None:  # a line that posts no such word need not be sorted
+                    some = some[np.add.reduceat(useful[_spot(h)], first[some], dtype=np.int64) > 0] if len(some) else some
+                one = some[np.lexsort((number[some], doc[some], ids[some]))]  # the first place of each line
+                one = np.sort(one[np.concatenate([[True], ids[one][1:] != ids[one][:-1]])[:len(one)]])
                 if not len(one):
                     continue
+                count = np.diff(first)[one]
+                own = np.repeat(first[one] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                words, first = word_sets(h[own], np.concatenate([[0], np.cumsum(count)]), rank.value)
+                ids, doc, number = ids[one], doc[one], number[one]
+                size = np.diff(first)
                 bits = mix(words)
                 half, bit = (bits >> U64(6)) & U64(1) == 1, U64(1) << (bits & U64(63))
-                full = np.flatnonzero(size)
-                sketch = np.zeros((2, len(size)), U64)
                 # parity of each of 128 bits: two sets differ in as many words at least
-                sketch[0][full] = np.bitwise_xor.reduceat(np.where(half, U64(0), bit), first[full])
-                sketch[1][full] = np.bitwise_xor.reduceat(np.where(half, bit, U64(0)), first[full])
-                k = size[one] - need(size[one], t) + 1
-                src = np.repeat(one, k)
+                sketch = [np.bitwise_xor.reduceat(np.where(half, U64(0), bit), first[:-1]), np.bitwise_xor.reduceat(np.where(half, bit, U64(0)), first[:-1])]
+                k = size - need(size, t) + 1
+                src = np.repeat(np.arange(len(size)), k)
                 pos = np.arange(len(src)) - np.repeat(np.cumsum(k) - k, k)
+                word = words[first[src] + pos]
+                keep = useful[_spot(word)]
+                src, pos, word = src[keep], pos[keep], word[keep]
                 p = np.empty(len(src), POST)
-                p["word"], p["line"], p["size"], p["pos"] = words[first[src] + pos], ids[src], size[src], pos
+                p["word"], p["line"], p["size"], p["pos"] = word, ids[src], size[src], pos
                 p["s1"], p["s2"] = sketch[0][src], sketch[1][src]
                 p["doc"], p["num"] = doc[src], number[src]
                 part = (mix(p["word"]) % U64(parts)).astype(np.int64)
@@ -197,41 +272,70 @@ def candidates(docs: DataFrame, rank, t: float, open_bits=None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int32()),
                                                   "posts": pa.array([p[edge[i]:edge[i + 1]].tobytes() for i in own], pa.binary())})
 
-    def meet(df: pd.DataFrame) -> pd.DataFrame:
-        p = np.concatenate([np.frombuffer(x, POST) for x in df["posts"]])
+    def meet(rows: pa.Table) -> pa.Table:
+        p = np.concatenate([np.frombuffer(x, POST) for x in rows["posts"].to_pylist()])
         p = p[np.lexsort((p["num"], p["doc"], p["line"], p["size"], p["word"]))]
         new = np.ones(len(p), bool)
         new[1:] = (p["word"][1:] != p["word"][:-1]) | (p["line"][1:] != p["line"][:-1])
         p = p[new]
         begin = np.flatnonzero(np.concatenate([[True], p["word"][1:] != p["word"][:-1]]))
-        end = np.append(begin[1:], len(p))
-        big = np.flatnonzero(end - begin > 1)
-        found = [x for b, e in zip(begin[big].tolist(), end[big].tolist()) for x in _list_pairs(p[b:e], t, None if open_bits is None else open_bits.value)]
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(pairs, axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return (docs.select("doc_id", "text").mapInArrow(post, "part int, posts binary")
-            .groupBy("part").applyInPandas(meet, "a long, b long").distinct())
+        n = np.diff(np.append(begin, len(p)))
+        got = _within(p[np.repeat((n > 1) & (n <= LONG), n)], t, None if open_bits is None else open_bits.value)
+        cut = [(int(p["word"][b].view(np.int64)), i, int(p["size"][at]), int(p["size"][min(at + LONG, b + m) - 1]), p[at:min(at + LONG, b + m)].tobytes())
+               for b, m in zip(begin[n > LONG].tolist(), n[n > LONG].tolist()) for i, at in enumerate(range(b, b + m, LONG))]
+        cols = [pa.concat_arrays([pa.array(got[c]), pa.nulls(len(cut), pa.int64())]) for c in ("a", "b", "far")]
+        for c, kind in enumerate((pa.int64(),) * 4 + (pa.binary(),)):
+            cols.append(pa.concat_arrays([pa.nulls(len(got), kind), pa.array([x[c] for x in cut], kind)]))
+        return pa.Table.from_arrays(cols, ["a", "b", "far", "word", "block", "low", "high", "posts"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, x, y in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                x, y, bits = np.frombuffer(x, POST), np.frombuffer(y, POST), None if open_bits is None else open_bits.value
+                got = _within(x, t, bits) if same else _between(x, y, t, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(got[c]) for c in ("a", "b", "far")], ["a", "b", "far"])
+
+    met = save(docs.select("doc_id", "text").mapInArrow(post, "part int, posts binary").groupBy("part")
+               .applyInArrow(meet, "a long, b long, far long, word long, block long, low long, high long, posts binary"), "lines-met")
+    blocks = met.where("posts is not null")
+    x, y = (blocks.select("word", *(F.col(c).alias(c + side) for c in ("block", "low", "high", "posts"))) for side in ("_x", "_y"))
+    wide = (x.join(y, "word").where((F.col("block_x") <= F.col("block_y")) & (F.col("low_y") * (t - 1e-9) <= F.col("high_x")))
+            .select((F.col("block_x") == F.col("block_y")).alias("same"), F.col("posts_x").alias("x"), F.col("posts_y").alias("y"))
+            .repartition(slots(docs.sparkSession)).mapInArrow(across, "a long, b long, far long"))
+    pairs = met.where("posts is null").select("a", "b", "far").unionByName(wide)
+    if open_bits is not None:
+        return pairs.select("a", "b").distinct()
+    return pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("near")).select("near.a", "b")
 
 
-def late_lines(docs: DataFrame, home: DataFrame, rank, t: float) -> DataFrame:
+def late_lines(docs: DataFrame, home: DataFrame, rank, twice, t: float) -> DataFrame:
     """``(line)``: ids of lines that have an earlier line with Jaccard ``t`` or more.
 
-    Two rounds, so that a group of many near copies costs one pair per member and list: first each line meets the
-    earliest line that passes the filters in each of its lists; lines that this leaves open (a bitmap of
-    fixed size tells which) then meet all earlier ones.  No link that decides a line is lost.
+    Two rounds, so that a group of many near copies costs one pair per member: first each line meets the nearest earlier
+    one; lines that this leaves open (bitmaps of fixed size tell which, and the words they post) then meet all
+    earlier ones.  No link that decides a line is lost.
     """
-    cand = save(candidates(docs, rank, t), "lines-candidates")
-    late = save(similar(docs, home, rank, t, cand).select(F.col("b").alias("line")).distinct(), "lines-late")
-    left = cand.select(F.col("b").alias("line")).distinct().join(late, "line", "left_anti")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(left, F.pmod(F.col("line"), F.lit(MARK_BITS))))
-    more = save(candidates(docs, rank, t, bits).join(late.withColumnRenamed("line", "b"), "b", "left_anti").select("a", "b"), "lines-open")
-    return late.unionByName(similar(docs, home, rank, t, more).select(F.col("b").alias("line"))).distinct()
+    context = docs.sparkSession.sparkContext
+    cand = save(candidates(docs, rank, twice, t), "lines-candidates")
+    near, sets = similar(docs, home, rank, t, cand)
+    late = save(near.select(F.col("b").alias("line")).distinct(), "lines-late")
+    left = save(cand.select(F.col("b").alias("line")).distinct().join(late, "line", "left_anti"), "lines-left")
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x, U64) for x in b.column(0).to_pylist()]
+            bits = [_spot(x[:len(x) - int(need(len(x), t)) + 1]) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))], ["bit"])
+
+    posted = sets.join(left, "line").select("words").mapInArrow(prefix, "bit long")
+    words = context.broadcast(np.unpackbits(bitmap_of(posted, F.col("bit"))[:MARK_BITS // 8], bitorder="little").view(bool))
+    bits = context.broadcast(bitmap_of(left, F.pmod(F.col("line"), F.lit(MARK_BITS))))
+    more = save(candidates(docs, rank, twice, t, bits, words).join(left.withColumnRenamed("line", "b"), "b", "left_semi").select("a", "b"), "lines-open")
+    return late.unionByName(similar(docs, home, rank, t, more)[0].select(F.col("b").alias("line"))).distinct()
 
 
-def similar(docs: DataFrame, home: DataFrame, rank, t: float, cand: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of ``cand`` whose sets have Jaccard ``t`` or more."""
+def similar(docs: DataFrame, home: DataFrame, rank, t: float, cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, b)`` of ``cand`` whose sets have Jaccard ``t`` or more, and ``(line, words)`` of all its lines."""
     ends = cand.select(F.col("a").alias("line")).unionByName(cand.select(F.col("b").alias("line"))).distinct()
     # whole sets are read from the first place of each line that passed the filters
     where = save(ends.join(home, "line").select("line", "home.doc_id", "home.tid", F.struct("home.number", "line").alias("at")), "lines-wanted")
@@ -258,7 +362,7 @@ def similar(docs: DataFrame, home: DataFrame, rank, t: float, cand: DataFrame) -
 
     pairs = (cand.join(full.select(F.col("line").alias("a"), F.col("words").alias("wa")), "a")
              .join(full.select(F.col("line").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb"))
-    return pairs.mapInArrow(check, "a long, b long")
+    return pairs.mapInArrow(check, "a long, b long"), full
 
 
 def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
@@ -276,11 +380,11 @@ def drop_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     names = [*base.columns, "n_lines", "n_removed"]
     kinds = T.StructType(base.schema.fields + [T.StructField(c, T.LongType()) for c in names[-2:]])
     read = save(read_lines(real), "lines-read")
-    rank = spark.sparkContext.broadcast(word_ranks(read))
+    rank, twice = map(spark.sparkContext.broadcast, word_ranks(read))
     seen = read.where("line is not null").drop("n")
     place = F.struct("doc_id", "number", "tid")
     home = save(seen.groupBy("line").agg(F.min(place).alias("home"), F.count("*").alias("n")), "lines-home")
-    late = late_lines(real, home, rank, threshold)
+    late = late_lines(real, home, rank, twice, threshold)
     # sets to look at: those with an earlier similar set, and those that occur more than once
     rule = save(home.join(late.withColumn("late", F.lit(True)), "line", "left").where("late or n > 1")
                 .select("line", "home", F.coalesce("late", F.lit(False)).alias("late")), "lines-rule")

@@ -132,6 +132,22 @@ def test_lines_of_all_similarities(spark):
     assert got == brute.line_dedup(rows)
 
 
+def test_lines_where_a_third_are_near_copies(spark, monkeypatch):
+    """Their word lists are cut into many blocks; similarities lie on both sides of the threshold."""
+    from spanlake.llm import op3_lines
+    monkeypatch.setattr(op3_lines, "LONG", 8)
+    rng = random.Random(9)
+    base = ["c%d" % i for i in range(24)]
+    rows = []
+    for i in range(120):
+        w = list(base) if i % 3 == 0 else ["r%d" % rng.randrange(400) for _ in range(rng.randint(4, 20))]
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = "e%d" % rng.randrange(40)
+        rows.append((i, " ".join(w) + ("\n" + " ".join(w[:-1]) if i % 7 == 0 else "")))
+    got = {r.doc_id: r.text for r in op3_lines.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()}
+    assert got == brute.line_dedup(rows)
+
+
 def test_decontamination(spark, table, empty):
     from spanlake.llm.op4_decontaminate import contamination
     rng = random.Random(4)
