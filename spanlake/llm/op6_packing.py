@@ -1,36 +1,32 @@
 """Best-fit packing of token documents into sequences of fixed capacity, in bulk-synchronous rounds.
 
 Method.  Documents longer than the capacity are cut from their end into full pieces, so at most
-the first piece is shorter; full pieces are sequences of their own.  Pieces over half the capacity
-cannot share a sequence with each other: each opens one.  The rest goes in rounds.  A round
-range-sorts the open gaps and the waiting items together by descending size and matches them like
-brackets: sweeping down, a gap is pushed and an item takes the smallest gap pushed and not taken,
-which is its best fit.  The sweep is distributed: each partition matches inside itself and reports
-how many items and gaps it leaves; from these two numbers per partition the driver pairs the
-leftovers (the partition's k-th open item with the k-th open gap of a partition before it), which
-resolves all conflicts by rank; then gaps shrink and the next round starts.  Where a round leaves
-items that no gap can take, as many empty sequences open as their total length needs at least.
-
-Small items (up to ``capacity / 16``) wait for the larger ones and go by classes, each down to half its largest
-size.  Before a round of theirs, gaps with room for two or more are filled with runs of them: both are laid end to end by
-descending size, and an item that lies whole inside a gap takes it.  So the number of rounds depends on the capacity and
-not on how many documents there are, and smaller items still find the gaps that larger ones leave.
-
-Scale.  Rounds move only (id, size) rows; texts are read once, to encode them.  Each round's
-state is a table in the shared folder.  The driver holds two numbers per partition.
+the first piece is shorter.  Pieces are range-sorted by size over all partitions, which gives each its rank among those of its
+size.  Documents and gaps are then handled in bulk, as runs: so many pieces of one size, so many sequences with one gap.
+A round takes the largest size that waits.  Its pieces sweep the sorted gaps for the successor of their size, the smallest gap that
+is large enough; a run of gaps takes as many pieces as fit in each, one after another, since what is left of a gap is still
+the best fit.  Which piece goes where is settled by rank: piece ``i`` of the run lands in gap ``i // k`` at place ``i mod k``,
+so no two can ask for one place.  Gaps shrink, runs split, and the sweep repeats until the size is placed; where no gap is
+large enough, as many empty sequences open as its pieces need.  The outcome is that of best fit by descending size, piece by piece.
+
+Scale.  Texts are read once, to encode them; pieces are shuffled once, by the range sort, and placed where they then lie.
+Rounds work on runs: their number depends on the capacity and not on how many documents there are, and so does
+the table of placements that the tasks look up.  The driver holds one count per size and per range partition.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import forget, save, save_as, slots
+from .store import save, slots
 from .text import slices
 from .tokens import load
 
@@ -46,9 +42,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         own = load(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 6 << 20):
                 rows = []
-                for i, ids in enumerate(own.encode(b.column(2).to_pylist())):
+                for i, ids in enumerate(own.encode(b.column(2))):
                     ids += end
                     n = len(ids) // 4
                     at, piece = 0, 0
@@ -67,209 +63,90 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                        F.col(text_col).alias("text")).mapInArrow(run, kinds)
 
 
-def _laid(rows: DataFrame) -> DataFrame:
-    """``(id, size)`` laid end to end by descending size: adds ``at``, where each begins."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part, done = TaskContext.get().partitionId(), 0
-        for b in batches:
-            size = b.column(1).to_numpy()
-            total = done + np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total - size, pa.int64()),
-                                              pa.array(np.full(len(size), part, np.int32))], ["id", "size", "at", "part"])
-            done = int(total[-1]) if len(size) else done
-    spark = rows.sparkSession
-    spread = (rows.repartitionByRange(slots(spark), F.desc("size"), "id").sortWithinPartitions(F.desc("size"), "id").select("id", "size")
-              .mapInArrow(run, "id long, size long, at long, part int"))
-    inside = save(spread, "packing-laid")
-    before, done = [], 0
-    for r in inside.groupBy("part").agg(F.sum("size").alias("n")).orderBy("part").collect():
-        before.append((r.part, done))
-        done += r.n
-    if not before:
-        return inside.select("id", "size", "at")
-    starts = spark.createDataFrame(before, "part int, before long")
-    return inside.join(F.broadcast(starts), "part").select("id", "size", (F.col("at") + F.col("before")).alias("at"))
-
-
-def _fill(waiting: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Runs of items for gaps, both ``(id, size)``: ``(id, size, gap, gap_size, at)`` of each item that lies whole inside a
-    gap; ``at`` is its place among the items of that gap."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part, gap = TaskContext.get().partitionId(), (None, None, None)
-        for b in batches:
-            out: list[tuple] = []
-            for kind, own, size, at in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if kind == 0:
-                    gap = (own, size, at)
-                out.append((kind, own, size, at, *gap, part))
-            if out:
-                kinds = (pa.int32(), *(pa.int64(),) * 6, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                                 ["kind", "id", "size", "at", "gap", "gap_size", "gap_at", "part"])
-    spark = waiting.sparkSession
-    both = (_laid(gaps).select(F.lit(0).alias("kind"), "id", "size", "at")
-            .unionByName(_laid(waiting).select(F.lit(1).alias("kind"), "id", "size", "at")))
-    spread = both.repartitionByRange(slots(spark), "at", "kind").sortWithinPartitions("at", "kind").select("kind", "id", "size", "at")
-    swept = save(spread.mapInArrow(run, "kind int, id long, size long, at long, gap long, gap_size long, gap_at long, part int"), "packing-fill")
-    # items before a partition's first gap lie in the last gap of a partition before it
-    last, rows = None, []
-    ends = {r.part: r.g for r in swept.where("kind = 0").groupBy("part").agg(F.max_by(F.struct("id", "size", "at"), "at").alias("g")).collect()}
-    for r in swept.select("part").distinct().orderBy("part").collect():
-        rows.append((r.part, *(last or (None, None, None))))
-        last = ends.get(r.part, last)
-    items = swept.where("kind = 1")
-    if rows:
-        carried = F.broadcast(spark.createDataFrame(rows, "part int, o_gap long, o_size long, o_at long"))
-        items = items.join(carried, "part").select("id", "size", "at", *(F.coalesce(a, b).alias(a) for a, b in (
-            ("gap", "o_gap"), ("gap_size", "o_size"), ("gap_at", "o_at"))))
-    inside = items.where("gap is not null and at >= gap_at and at + size <= gap_at + gap_size").select("id", "size", "at", "gap", "gap_size")
-    first = inside.groupBy("gap").agg(F.min("at").alias("first"))
-    return inside.join(first, "gap").select("id", "size", "gap", "gap_size", (F.col("at") - F.col("first")).alias("at"))
-
-
-def _sweep(state: DataFrame) -> DataFrame:
-    """One descending sweep over ``(kind, id, size)`` with kind 0 for gaps and 1 for items, range-sorted:
-    adds ``part``, the id of the gap an item took inside the partition, and, for what is left open,
-    its rank in the partition."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part = TaskContext.get().partitionId()
-        open_gaps: list[tuple[int, int]] = []
-        closed = 0
-
-        def rows(kind, own, size, gap, left, rank):
-            n = len(own)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, kind, np.int32)), pa.array(own, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(gap, pa.int64()), pa.array(left, pa.int64()), pa.array(rank, pa.int64()),
-                 pa.array(np.full(n, part, np.int32))], ["kind", "id", "size", "gap", "gap_size", "rank", "part"])
-
-        for b in batches:
-            out: list[tuple] = []
-            for kind, own, size in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if kind == 0:
-                    open_gaps.append((own, size))
-                elif open_gaps:
-                    gap, room = open_gaps.pop()
-                    out.append((own, size, gap, room, None))
-                else:
-                    out.append((own, size, None, None, closed))
-                    closed += 1
-            if out:
-                yield rows(1, *zip(*out))
-        for at in range(0, len(open_gaps), 10000):
-            own, size = zip(*open_gaps[at:at + 10000])
-            # the gap pushed last is taken first: ranks count from the end
-            yield rows(0, own, size, [None] * len(own), [None] * len(own), [len(open_gaps) - 1 - at - k for k in range(len(own))])
-
-    spread = state.repartitionByRange(slots(state.sparkSession), F.desc("size"), "kind", "id")
-    return (spread.sortWithinPartitions(F.desc("size"), "kind", "id").select("kind", "id", "size")
-            .mapInArrow(run, "kind int, id long, size long, gap long, gap_size long, rank long, part int"))
-
-
-def _pair_partitions(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """``(part, open items, open gaps)`` in sweep order -> ``(item part, first item rank, gap part, first
-    gap rank, how many)``: brackets between partitions.  Length: under twice the number of partitions."""
-    stack: list[list[int]] = []
-    out = []
-    for part, items, gaps in sorted(counts):
-        done = 0
-        while done < items and stack:
-            top = stack[-1]
-            n = min(items - done, top[2])
-            out.append((part, done, top[0], top[1], n))
-            done, top[1], top[2] = done + n, top[1] + n, top[2] - n
-            if top[2] == 0:
-                stack.pop()
-        if gaps:
-            stack.append([part, 0, gaps])
+def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Best fit of ``counts`` pieces per size: ``(size, first rank, first sequence, pieces a sequence, offset)`` per run of pieces."""
+    gaps: dict[int, list[tuple[int, int]]] = {}  # size of the gap -> runs (first sequence, how many)
+    order: list[int] = []  # sizes that have gaps, ascending
+    out, opened = [], 0
+
+    def add(size: int, first: int, n: int) -> None:
+        if size and n:
+            if size not in gaps:
+                gaps[size] = []
+                insort(order, size)
+            gaps[size].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            at = bisect_left(order, size)
+            if at == len(order):
+                n = -(-left // (capacity // size))
+                add(capacity, opened, n)
+                opened += n
+                continue
+            gap = order[at]
+            first, n = gaps[gap].pop()
+            if not gaps[gap]:
+                del gaps[gap], order[at]
+            k = gap // size
+            full, rest = min(n, left // k), 0
+            if full < n:
+                rest = left - full * k
+            out.append((size, rank, first, k, capacity - gap))
+            rank, left = rank + full * k + rest, left - full * k - rest
+            add(gap - k * size, first, full)
+            if full < n:
+                add(gap - rest * size, first + full, 1)
+                add(gap, first + full + 1, n - full - 1)
     return out
 
 
 def place(items: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Items ``(item, size)`` with distinct ids and 1 <= size <= capacity -> ``(item, sequence_id, offset)``.
-    Ties are broken by id; sequences are named after numbers dealt out as they open."""
+    """Items ``(item, size)`` with distinct ids and 1 <= size <= capacity, and any other columns -> the same rows with
+    ``sequence_id`` (from 0) and ``offset``.  Ties are broken by id."""
     spark = items.sparkSession
-    waiting, w_path = save_as(items.select(F.col("item").alias("id"), "size"), "packing-waiting")
-    little = capacity // 16
-    later = save(waiting.where(F.col("size") <= little), "packing-small")
-    # over half: no two fit together, and each opens the sequence with its own number
-    big = waiting.where(F.col("size") * 2 > capacity)
-    placed = [save(big.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")), "packing-placed")]
-    gaps, g_path = save_as(big.select("id", (capacity - F.col("size")).alias("size")).where("size > 0"), "packing-gaps")
-    waiting, w_new = save_as(waiting.where((F.col("size") * 2 <= capacity) & (F.col("size") > little)), "packing-waiting")
-    forget(spark, w_path)
-    w_path, opened = w_new, 0
-    while True:
-        left = waiting.agg(F.count("*"), F.sum("size"), F.min("size"), F.max("size")).first()
-        if not left[0]:
-            top = later.agg(F.max("size")).first()[0]
-            if top is None:
-                break
-            waiting, w_new = save_as(later.where(F.col("size") * 2 > top), "packing-waiting")
-            later = later.where(F.col("size") * 2 <= top)
-            forget(spark, w_path)
-            w_path = w_new
-            continue
-        roomy = gaps.where(F.col("size") >= 2 * left[3])
-        if left[3] <= little and not roomy.isEmpty():
-            runs = save(_fill(waiting, roomy), "packing-runs")
-            placed.append(runs.select("id", F.col("gap").alias("sequence_id"), (capacity - F.col("gap_size") + F.col("at")).alias("offset")))
-            taken = runs.groupBy(F.col("gap").alias("id")).agg(F.sum("size").alias("taken"))
-            filled, g_new = save_as(gaps.join(taken, "id", "left").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size"))
-                                    .where("size > 0"), "packing-gaps")
-            waiting, w_new = save_as(waiting.join(runs.select("id"), "id", "left_anti").select("id", "size"), "packing-waiting")
-            for path in (w_path, g_path):
-                forget(spark, path)
-            w_path, gaps, g_path = w_new, filled, g_new
-            left = waiting.agg(F.count("*"), F.sum("size"), F.min("size")).first()
-            if not left[0]:
+    kinds = T.StructType(items.schema.fields + [T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
+    names = kinds.names
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        part, last, done = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
                 continue
-        # a gap smaller than every waiting item is closed for good
-        state = (gaps.where(F.col("size") >= left[2]).select(F.lit(0).alias("kind"), "id", "size")
-                 .unionByName(waiting.select(F.lit(1).alias("kind"), "id", "size")))
-        swept, s_path = save_as(_sweep(state), "packing-sweep")
-        counts = (swept.where("rank is not null").groupBy("part")
-                  .agg(F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)), F.sum(F.when(F.col("kind") == 0, 1).otherwise(0))).collect())
-        inner = swept.where("gap is not null").select("id", "size", "gap", "gap_size")
-        runs = _pair_partitions([tuple(c) for c in counts])
-        pairs, rest = inner, swept.where("kind = 1 and gap is null")
-        free = swept.where("kind = 0")
-        if runs:  # at most two rows per partition: a bounded table
-            rows = spark.createDataFrame([(i, *r) for i, r in enumerate(runs)], "run int, ip int, ir long, gp int, gr long, n long")
-            i_in = (F.col("part") == F.col("ip")) & (F.col("rank") >= F.col("ir")) & (F.col("rank") < F.col("ir") + F.col("n"))
-            g_in = (F.col("part") == F.col("gp")) & (F.col("rank") >= F.col("gr")) & (F.col("rank") < F.col("gr") + F.col("n"))
-            rest = rest.join(F.broadcast(rows), i_in, "left").withColumn("seat", F.col("rank") - F.col("ir"))
-            free = free.join(F.broadcast(rows), g_in, "left").withColumn("seat", F.col("rank") - F.col("gr"))
-            outer = (rest.where("run is not null").select("run", "seat", "id", "size")
-                     .join(free.where("run is not null").select("run", "seat", F.col("id").alias("gap"), F.col("size").alias("gap_size")),
-                           ["run", "seat"]).select("id", "size", "gap", "gap_size"))
-            pairs = inner.unionByName(outer)
-            rest, free = rest.where("run is null"), free.where("run is null")
-        pairs, p_path = save_as(pairs, "packing-pairs")
-        placed.append(pairs.select("id", F.col("gap").alias("sequence_id"), (capacity - F.col("gap_size")).alias("offset")))
-        new_waiting, w_new = save_as(rest.select("id", "size"), "packing-waiting")
-        new_gaps = (pairs.select(F.col("gap").alias("id"), (F.col("gap_size") - F.col("size")).alias("size")).where("size > 0")
-                    .unionByName(free.select("id", "size")))
-        still = new_waiting.agg(F.count("*"), F.sum("size"), F.max("size")).first()
-        if still[0]:
-            # open as many sequences as the waiting items need beyond the room that is left for them
-            room = new_gaps.where(F.col("size") >= still[2]).agg(F.sum("size")).first()[0] or 0
-            n = -(-max(0, still[1] - room) // capacity) or (0 if room else 1)
-            if n:
-                fresh = spark.range(opened + 1, opened + n + 1, 1, max(1, min(slots(spark), n // 1000 + 1)))
-                new_gaps = new_gaps.unionByName(fresh.select((-F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size")))
-                opened += n
-        new_gaps, g_new = save_as(new_gaps, "packing-gaps")
-        for path in (w_path, g_path, s_path):
-            forget(spark, path)
-        waiting, w_path, gaps, g_path = new_waiting, w_new, new_gaps, g_new
-    seats = placed[0]
-    for p in placed[1:]:
-        seats = seats.unionByName(p)
-    return seats.select(F.col("id").alias("item"), "sequence_id", "offset")
+            size = b.column(names.index("size")).to_numpy()
+            new = np.append(0, np.flatnonzero(size[1:] != size[:-1]) + 1)
+            own = np.arange(len(size)) - np.repeat(new, np.diff(np.append(new, len(size))))
+            if size[0] == last:
+                own[:int(new[1]) if len(new) > 1 else len(size)] += done
+            last, done = size[-1], int(own[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(own)], names)
+
+    ranked = save(items.repartitionByRange(slots(spark), "size", "item").sortWithinPartitions("size", "item").mapInArrow(rank, kinds), "packing-ranked")
+    counts: dict[int, int] = {}
+    before: dict[tuple[int, int], int] = {}
+    # a size and partition: at most one row per partition and one per size
+    for r in ranked.groupBy("part", "size").agg((F.max("rank") + 1).alias("n")).orderBy("part", "size").collect():
+        before[r.part, r.size] = counts.get(r.size, 0)
+        counts[r.size] = before[r.part, r.size] + r.n
+    plan = np.array(sorted(rounds(counts, capacity)), np.int64).reshape(-1, 5)
+    told = spark.sparkContext.broadcast((plan, before))
+    done = T.StructType(items.schema.fields + [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")])
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, before = told.value
+        firsts = plan[:, 0].astype(np.uint64) << np.uint64(48) | plan[:, 1].astype(np.uint64)
+        for b in batches:
+            size, part, own = (b.column(names.index(c)).to_numpy() for c in ("size", "part", "rank"))
+            both, which = np.unique(part.astype(np.int64) << 32 | size.astype(np.int64), return_inverse=True)
+            start = np.array([before[int(x) >> 32, int(x) & 0xFFFFFFFF] for x in both], np.int64)
+            own = own + start[which] if len(both) else own
+            run = plan[np.searchsorted(firsts, size.astype(np.uint64) << np.uint64(48) | own.astype(np.uint64), side="right") - 1]
+            i = own - run[:, 1]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(run[:, 2] + i // run[:, 3]), pa.array(run[:, 4] + i % run[:, 3] * size)], done.names)
+
+    return ranked.mapInArrow(seat, done)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
@@ -278,13 +155,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     A null or empty text is the end id alone.  Rows with the same or no doc_id are packed each by
     itself; ties go by row; an empty table gives an empty result; other columns are not read.
-    Sequences are gapless from offset 0; a sequence is opened by a piece (its number) or
-    empty (a negative number).
+    Sequences are gapless from offset 0 and numbered from 0 as they open.
     """
     cut = save(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids)
                .withColumn("item", F.monotonically_increasing_id()), "packing-pieces")
-    seats = place(cut.where(F.col("length") < capacity).select("item", F.col("length").alias("size")), capacity)
-    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", F.col("item")).withColumn("offset", F.lit(0).cast("long"))
-    some = cut.where(F.col("length") < capacity).join(seats, "item")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else []) + ["sequence_id", "offset"]
-    return full.select(names).unionByName(some.select(names))
+    return place(cut.drop("row").withColumn("size", F.col("length")), capacity).select(names)

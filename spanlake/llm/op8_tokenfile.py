@@ -133,8 +133,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
         with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
             w = Writer(out, frame_bytes, level)
             for batch in batches:
-                for b in slices(batch, "text"):
-                    for doc_id, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist())):
+                for b in slices(batch, "text", 6 << 20):
+                    for doc_id, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1))):
                         w.add(doc_id, ids + end)
             w.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{path}/{name}"],

@@ -12,6 +12,11 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .text import SPACE as BLANK
+from .text import raw_bytes, split_words
 
 CACHE = 800_000
 TOGETHER = 50
@@ -22,6 +27,11 @@ _BYTE_ODD = re.compile(r"\s\s(?:\s|\Z)|[^\S\t-\r ]")
 # Word-level files drop white space and lower-case; a capital sigma is lower-cased by position in Python only.
 _WORD_ODD = re.compile(r"[^\S\t-\r ]|\u03a3")
 _TAIL = ".,!?;:%$#&*|"
+# first bytes of all white space beyond 0x20 and 0x09-0x0D, and of the capital sigma
+RARE_BYTE = np.zeros(256, bool)
+RARE_BYTE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+RARE_WORD = RARE_BYTE.copy()
+RARE_WORD[0xCE] = True
 
 
 class Ids:
@@ -37,53 +47,80 @@ class Ids:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         # the first token of a piece that starts with a space, or the last token of a word
         self.edge = np.array([n.endswith("</w>") if self.words else n.startswith("\u0120") for n in names])
+        self.cache: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}  # pieces (byte-level: with the space before them)
         self.outer: dict[str, bytes] = {}  # byte-level pieces at the start of a line
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """All texts are cut first, so that new pieces of many texts are encoded together."""
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Texts are cut before every blank on the column's buffer; only distinct pieces are looked up, so that new pieces of
+        many texts are encoded together, and the ids of all pieces are gathered by their places."""
+        arr = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        raw, off = raw_bytes(arr)
+        odd = self._odd(arr, raw, off)
+        if odd:
+            whole = dict(zip(odd, self._whole([arr[i].as_py() for i in odd])))
+            mask = np.zeros(len(arr), bool)
+            mask[odd] = True
+            raw, off = raw_bytes(pc.if_else(pa.array(mask), pa.scalar("", arr.type), arr))
+        if self.words:
+            w = split_words(pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(raw))]), lower=True)
+            place, data = w.first, w.data[~BLANK[w.data]]
+            at = np.append(0, np.cumsum(w.ends - w.starts))
+        else:
+            begin = (raw == 0x20) | (raw == 0x0A)
+            begin[off[:-1][off[:-1] < len(raw)]] = True
+            cuts = np.flatnonzero(begin)
+            place, data, at = np.searchsorted(cuts, off), np.ascontiguousarray(raw), np.append(cuts, len(raw))
+        told = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._pieces(told.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        piece = told.indices.to_numpy(zero_copy_only=False)
+        n = size[piece]
+        ends = np.append(0, np.cumsum(n))
+        data = flat[np.repeat(first[piece] - ends[:-1], n) + np.arange(int(ends[-1]))].tobytes()
+        edge = 4 * ends[place]
+        out = [data[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        for i in odd:
+            out[i] = whole[i]
+        return out
+
+    def _odd(self, arr: pa.Array, raw: np.ndarray, off: np.ndarray) -> list[int]:
+        """Rows to encode whole; bytes tell which texts need the exact look."""
+        maybe = (RARE_WORD if self.words else RARE_BYTE)[raw]
+        if not self.words and len(raw):
+            blank = np.append(BLANK[raw], [True, True])
+            edge = off[1:] - 1
+            maybe = maybe | (blank[:-2] & blank[1:-1] & blank[2:])
+            two = edge[(edge > 0)]
+            maybe[two[blank[two] & blank[two - 1]]] = True
+        rows = np.unique(np.searchsorted(off, np.flatnonzero(maybe), side="right") - 1)
         odd = _WORD_ODD if self.words else _BYTE_ODD
-        known, outer = self.inner, self.outer
-        cut: list = []
-        for text in texts:
-            if not text or odd.search(text):
-                cut.append(text or "")
-            elif self.words:
-                cut.append(text.lower().split())
-            else:
-                cut.append([line.split(" ") for line in text.split("\n")])
-        plain = [c for c in cut if type(c) is list]
+        return [i for i in rows.tolist() if odd.search(arr[i].as_py())]
+
+    def _pieces(self, cut: list[str]) -> list[bytes]:
+        """Ids of distinct pieces: words, or byte-level pieces with the blank before them."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        for own in (self.inner, self.outer):
+            if len(own) > CACHE // 4:
+                own.clear()
+        cache, known, outer = self.cache, self.inner, self.outer
+        new = [p for p in cut if p not in cache]
         if self.words:
-            new = set().union(*plain)
+            bare = [p if p.isascii() else p.lower() for p in new]
+            self._learn({*bare} - known.keys())
+            cache.update(zip(new, [known[p] for p in bare]))
         else:
-            new = set().union(*(line[1:] for lines in plain for line in lines))
-            heads = {line[0] for lines in plain for line in lines} - outer.keys()
-            if len(outer) > CACHE // 4:
-                outer.clear()
-                heads = {line[0] for lines in plain for line in lines}
-            heads |= {"\n"}
-            heads = list(heads)
+            heads = list(({p[p[:1] == "\n":] for p in new if p[:1] != " "} | {"\n"}) - outer.keys())
             outer.update(zip(heads, self._whole(heads)))
-        if len(known) > CACHE:
-            known.clear()
-        self._learn(new - known.keys())
-        out: list[bytes] = []
-        for c in cut:
-            if type(c) is str:
-                out.append(self._whole([c])[0] if c else b"")
-            elif self.words:
-                out.append(b"".join([known[p] for p in c]))
-            else:
-                ids: list[bytes] = []
-                for line in c:
-                    ids.append(outer["\n"])
-                    ids.append(outer[line[0]])
-                    ids += [known[p] for p in line[1:]]
-                out.append(b"".join(ids[1:]))
-        return out
+            self._learn({p[1:] for p in new if p[:1] == " "} - known.keys())
+            line = outer["\n"]
+            cache.update((p, known[p[1:]] if p[:1] == " " else line + outer[p[1:]] if p[:1] == "\n" else outer[p]) for p in new)
+        return [cache[p] for p in cut]
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of new pieces.  Letters followed by ASCII marks are cut between the two by either

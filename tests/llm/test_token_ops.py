@@ -82,19 +82,34 @@ def test_placing_is_gapless_and_tight(spark, sizes):
     assert len(full) <= 1.05 * len(gaps) + 1
 
 
-def test_brackets_between_partitions():
-    from spanlake.llm.op6_packing import _pair_partitions
-    rng = random.Random(1)
-    for _ in range(200):
-        counts = [(p, rng.randint(0, 4), rng.randint(0, 4)) for p in range(rng.randint(1, 8))]
-        stack, want = [], set()
-        for p, items, gaps in counts:
-            for k in range(items):
-                if stack:
-                    want.add((p, k, *stack.pop()))
-            stack += [(p, k) for k in reversed(range(gaps))]
-        got = {(ip, ir + k, gp, gr + k) for ip, ir, gp, gr, n in _pair_partitions(counts) for k in range(n)}
-        assert got == want
+def test_rounds_are_serial_best_fit():
+    """Runs of pieces fill the gaps exactly as one piece after another would."""
+    from spanlake.llm.op6_packing import rounds
+    rng = random.Random(6)
+    for capacity in (7, 32, 300):
+        for n in (0, 1, 40, 900):
+            sizes = sorted((rng.randint(1, rng.choice([capacity, max(1, capacity // 3)])) for _ in range(n)), reverse=True)
+            gaps = []
+            for s in sizes:
+                k = min(((g, i) for i, g in enumerate(gaps) if g >= s), default=(0, len(gaps)))[1]
+                if k == len(gaps):
+                    gaps.append(capacity)
+                gaps[k] -= s
+            counts = {s: sizes.count(s) for s in set(sizes)}
+            plan = rounds(counts, capacity)
+            filled = {}
+            for s, n_s in counts.items():
+                runs = sorted(r for r in plan if r[0] == s)
+                for rank in range(n_s):
+                    _, first, seq, k, at = [r for r in runs if r[1] <= rank][-1]
+                    filled.setdefault(seq + (rank - first) // k, []).append((at + (rank - first) % k * s, s))
+            for parts in filled.values():
+                at = 0
+                for place, s in sorted(parts):
+                    assert place == at
+                    at += s
+                assert at <= capacity
+            assert sorted(capacity - sum(s for _, s in p) for p in filled.values()) == sorted(gaps)
 
 
 def test_token_files(spark, tmp_path):
