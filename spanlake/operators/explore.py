@@ -112,6 +112,13 @@ def logs_page(logs: DataFrame, limit: int = 50, provider: str | None = None,
             .filter(F.col("_rn") <= limit).drop("_rn", "_n"))
 
 
-def log_detail(logs: DataFrame, log_id: str) -> DataFrame:
-    """F4 + P12: point lookup by id (pushed to the scan as an equality filter)."""
-    return detail_projection(logs.filter(F.col("id") == F.lit(log_id)))
+def log_detail(logs: DataFrame, log_id: str, stored_key: str | None = None) -> DataFrame:
+    """F4 + P12: point lookup by id.
+
+    ``stored_key`` names the column that ``id`` is the text of, if the table stores the key in another type: it is
+    compared in its own type, so the equality reaches the scan (and a join on it prunes the other side too).
+    """
+    hit = F.col("id") == F.lit(log_id)
+    if stored_key:
+        hit = hit & (F.col(stored_key) == F.lit(log_id).try_cast(logs.schema[stored_key].dataType))
+    return detail_projection(logs.filter(hit))

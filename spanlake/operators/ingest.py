@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cost import call_cost
+from ..functions.pii import PII_TYPES, detections
 from ..functions.normalize import (input_hash, input_preview, output_preview, provider_enum,
                                    provider_raw, status_upper, total_tokens, truncate_error_message)
-from ..schemas import DETECTION, ERROR_MESSAGE_CHARS, REQUEST, RESPONSE
-from .payloads import redact_json
-from .redact import barrier
+from ..schemas import DETECTION, ERROR_MESSAGE_CHARS
+from .redact import SEPARATOR, SEPARATOR_RX, barrier, pack_text, redact_column, unpack_text
 from .validate import call_event_rules, with_reasons
 
 
@@ -86,27 +86,58 @@ def facts_of(checked: DataFrame, e: str = "e", received_at: str = "received_at",
 
 
 def redact_events(parsed: DataFrame, e: str = "e") -> DataFrame:
-    """R12 on parsed events: every string of the request (messages, names, prompt, extra) and of the response
-    is redacted before anything is stored; what was found is added to the event's detections."""
-    event = F.col(e)
-    whole = F.to_json(F.struct(event["request"].alias("request"), event["response"].alias("response")))
-    out = redact_json(parsed.withColumn("__both", whole), "__both", det_col="__found")
-    back = F.from_json("__both", T.StructType([T.StructField("request", REQUEST), T.StructField("response", RESPONSE)]))
-    found = F.concat(F.coalesce(event["pii_detections"], F.array().cast(T.ArrayType(DETECTION))), F.col("__found"))
-    out = barrier(out.withColumn("__both", back))  # decoded once, however many fields are read
-    return barrier(out
-            .withColumn(e, F.when(event.isNotNull(), event.withField("request", F.col("__both.request"))
-                                  .withField("response", F.col("__both.response"))
-                                  .withField("pii_detections", F.when(F.size(found) > 0, found))))
-            .drop("__both", "__found"))
+    """R12 on parsed events: every string of the request (messages, names, prompt, extra values) and of the response
+    is redacted before a fact is stored; what was found in the request, then in the response, follows the event's
+    own detections.
+
+    The strings of each part are joined, redacted in one pass of the chain and put back by place; an event
+    without findings keeps its columns as they are.
+    """
+    request, response = F.col(f"{e}.request"), F.col(f"{e}.response")
+    messages, extra = request["messages"], F.map_values(request["extra"])
+    none = F.array().cast("array<string>")
+    asked = F.concat(
+        F.coalesce(F.flatten(F.transform(messages, lambda m: F.array(m["role"], m["content"], m["name"]))), none),
+        F.array(request["prompt"]), F.coalesce(extra, none))
+    told = F.array(response["content"], response["finish_reason"])
+
+    def joined(texts):
+        return F.array_join(F.transform(texts, lambda t: F.coalesce(pack_text(t), F.lit(""))), SEPARATOR)
+
+    out = barrier(parsed.withColumns({"__ask": joined(asked), "__tell": joined(told)}))
+    for col in ("__ask", "__tell"):
+        out = redact_column(out, col, count_prefix=col, with_detections=False)
+    found = {col: detections({n: F.col(col + n) for n in PII_TYPES}) for col in ("__ask", "__tell")}
+    out = barrier(out.select(*parsed.columns, *(d.alias(c + "_found") for c, d in found.items()),
+                             *(F.split(c, SEPARATOR_RX, -1).alias(c) for c in found)))
+    n = F.coalesce(F.size(messages), F.lit(0))
+
+    def put(old, col, at):
+        return F.when(old.isNotNull(), unpack_text(F.element_at(col, at.cast("int") + F.lit(1))))
+
+    names = ("role", "content", "name")
+    clean_messages = F.transform(messages, lambda m, i: F.when(m.isNotNull(), F.struct(
+        *(put(m[f], "__ask", i * F.lit(3) + F.lit(k)).alias(f) for k, f in enumerate(names)))))
+    clean_extra = F.map_from_arrays(F.map_keys(request["extra"]), F.transform(extra, lambda v, i: put(v, "__ask", n * F.lit(3) + F.lit(1) + i)))
+    clean_request = (request.withField("messages", clean_messages).withField("prompt", put(request["prompt"], "__ask", n * F.lit(3)))
+                     .withField("extra", clean_extra))
+    clean_response = response
+    for k, f in enumerate(("content", "finish_reason")):
+        clean_response = clean_response.withField(f, put(response[f], "__tell", F.lit(k)))
+    all_found = F.concat(F.coalesce(F.col(f"{e}.pii_detections"), F.array().cast(T.ArrayType(DETECTION))), F.col("__ask_found"), F.col("__tell_found"))
+    event = (F.col(e).withField("request", F.when(F.size("__ask_found") > 0, clean_request).otherwise(request))
+             .withField("response", F.when(F.size("__tell_found") > 0, clean_response).otherwise(response))
+             .withField("pii_detections", F.when(F.size(all_found) > 0, all_found)))
+    return barrier(out.withColumn(e, F.when(F.col(e).isNotNull(), event)).drop("__ask", "__tell", "__ask_found", "__tell_found"))
 
 
 def ingest(raw: DataFrame, e: str = "e", received_at: str = "received_at",
            recompute_cost: bool = False, redact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Redact (R13: unless switched off) and validate parsed events; return (accepted fact rows, event lifecycle rows)."""
-    checked = check_events(raw, e)  # the lifecycle needs no texts
-    clean = check_events(redact_events(raw, e), e) if redact else checked
-    return facts_of(clean, e, received_at, recompute_cost), lifecycle_of(checked, received_at)
+    """Validate parsed events and redact (R13: unless switched off) those accepted; return (fact rows, event lifecycle
+    rows).  Both come from one evaluation of the rules."""
+    checked = check_events(raw, e)
+    accepted = checked.filter(F.size("reject_reasons") == 0)
+    return to_facts(redact_events(accepted, e) if redact else accepted, e, received_at, recompute_cost), lifecycle_of(checked, received_at)
 
 
 def parsed_fields(df: DataFrame, e: str) -> list[str]:

@@ -55,14 +55,16 @@ def dedupe_keys(df: DataFrame, key: str = "endpoint_key", order: str = "page_id"
     Skew-safe rank: rows are cut into ranges of ``order`` (``bucket_width``);
     per (key, range) counts are prefix-summed over the ranges of a key (a small
     table), and the final ``row_number`` runs per (key, range), so a hot key is
-    spread over many tasks.  Assumes non-negative integral ``order`` values.
+    spread over many tasks.  Integral ``order`` values; rows without one come first.  A NULL key stays NULL.
     """
     b = df.withColumn("__b", F.floor(F.col(order) / bucket_width).cast("long"))
     counts = b.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__n"))
     wk = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(wk), F.lit(0))).drop("__n")
     wr = Window.partitionBy(key, "__b").orderBy(order)
-    ranked = (b.join(offsets, [key, "__b"]).withColumn("__rank", F.row_number().over(wr) + F.col("__off")))
+    o = offsets.select(F.col(key).alias("__key"), F.col("__b").alias("__range"), "__off")
+    ranked = (b.join(o, F.col(key).eqNullSafe(F.col("__key")) & F.col("__b").eqNullSafe(F.col("__range")), "left")
+              .drop("__key", "__range").withColumn("__rank", F.row_number().over(wr) + F.col("__off")))
     return (ranked.withColumn("dedup_key", F.when(F.col("__rank") == 1, F.col(key))
                               .otherwise(F.concat(F.col(key), F.lit("_"), F.col("__rank").cast("string"))))
             .drop("__b", "__off", "__rank"))

@@ -56,7 +56,7 @@ logs AS (
 LOGS_PREVIEW = """
 logs_pv AS (
   SELECT l.*, NULLIF(substring(d.text, 1, 256), '') AS input_preview,
-         NULLIF(substring(d.text, 257, 256), '') AS output_preview
+         NULLIF(substring(d.text, 257, 256), '') AS output_preview, d.text AS whole_text
   FROM logs l LEFT JOIN documents d ON l.event_id = d.doc_id
 )"""
 
@@ -176,9 +176,9 @@ FROM r WHERE rn <= {limit}""", previews=True)
 def log_detail_sql(log_id: str) -> str:
     return with_logs(f"""
 SELECT {LIST_COLS_SQL},
-  CAST(to_json(struct_pack(messages := [struct_pack(role := 'user', content := COALESCE(input_preview, ''))]))
+  CAST(to_json(struct_pack(messages := [struct_pack(role := 'user', content := COALESCE(whole_text, ''))]))
     AS VARCHAR) AS request_payload,
-  CAST(to_json(struct_pack(content := COALESCE(output_preview, ''), finish_reason := 'stop')) AS VARCHAR)
+  CAST(to_json(struct_pack(content := COALESCE(substring(whole_text, 257), ''), finish_reason := 'stop')) AS VARCHAR)
     AS response_payload,
   '[]' AS pii_detections
 FROM logs_pv WHERE id = '{log_id}'""", previews=True)

@@ -90,7 +90,7 @@ register("logs_next_page", O.logs_page_sql(
 register("logs_by_conversation", O.logs_page_sql(200, "conversation_id = 7"))(
     lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 200, conversation_id=7))
 register("log_detail", O.log_detail_sql("42"))(
-    lambda spark, sf: X.log_detail(call_logs(spark, sf, previews=True), "42"))
+    lambda spark, sf: X.log_detail(call_logs(spark, sf, previews=True), "42", stored_key="event_id"))
 
 # --- cost ----------------------------------------------------------------------------------
 

@@ -62,14 +62,16 @@ def logs_from_events(events: DataFrame) -> DataFrame:
 
 
 def document_previews(documents: DataFrame) -> DataFrame:
-    """Per document: input preview = first 256 code points, output = the next 256.
+    """Per document: the input is its text, the output what follows the first 256 code points; previews are the first
+    256 of each.
 
-    Only the two short strings travel through the join's shuffle.
+    Lists read the two short strings only; whole texts travel where payloads are asked for.
     """
     return documents.select(
         F.col("doc_id").alias("preview_doc_id"),
         F.nullif(F.substring("text", 1, PREVIEW_CHARS), F.lit("")).alias("input_preview"),
         F.nullif(F.substring("text", PREVIEW_CHARS + 1, PREVIEW_CHARS), F.lit("")).alias("output_preview"),
+        F.col("text").alias("whole_text"),
     )
 
 
@@ -81,13 +83,13 @@ def call_logs(spark: SparkSession, sf_dir: str, previews: bool = False) -> DataF
         logs = (logs.join(pv, logs["event_id"] == pv["preview_doc_id"], "left")
                 .drop("preview_doc_id"))
         msg = F.struct(F.lit("user").alias("role"),
-                       F.coalesce(F.col("input_preview"), F.lit("")).alias("content"))
+                       F.coalesce(F.col("whole_text"), F.lit("")).alias("content"))
         logs = (logs
                 .withColumn("request_payload", F.to_json(F.struct(F.array(msg).alias("messages"))))
                 .withColumn("response_payload", F.to_json(F.struct(
-                    F.coalesce(F.col("output_preview"), F.lit("")).alias("content"),
+                    F.coalesce(F.substr("whole_text", F.lit(PREVIEW_CHARS + 1)), F.lit("")).alias("content"),
                     F.lit("stop").alias("finish_reason"))))
-                .withColumn("pii_detections", F.lit("[]")))
+                .withColumn("pii_detections", F.lit("[]")).drop("whole_text"))
     return logs
 
 

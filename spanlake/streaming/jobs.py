@@ -165,12 +165,13 @@ def run_series(spark: SparkSession, sf_dir: str, range_key: str = "24h", group_b
 # --- L2 / L6 / L1: ingest, dedup, live feed ----------------------------------------------------------
 
 def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] | None = None, glob: str | None = None,
-               root: str | None = None, max_files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
+               root: str | None = None, max_files_per_trigger: int | None = None,
+               redact: bool = True) -> tuple[DataFrame, DataFrame]:
     """L2 + L6: events -> JSON payloads -> redact -> validate -> normalise; returns (facts, lifecycle).
 
     Every micro-batch lands its raw rows (S4), fact rows and lifecycle rows.  Repeated deliveries are dropped
-    when reading, by event_id over everything landed, so no row is lost for being late; facts are then
-    folded by id (M1).
+    when reading, by event_id over everything landed, so no row is lost for being late (rows without an
+    event_id are kept one by one); facts are then folded by id (M1).  ``redact=False`` switches redaction off (R13).
     """
     ev = table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob)
     payloads = payloads_from_events(ev)
@@ -184,7 +185,7 @@ def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] |
         # the audit rows are the batch's source from here on: a written table instead of a cached one
         own = parse_events(spark.read.schema(_with_batch(bronze(payloads).schema)).parquet(f"{root}/raw/batch_id={batch_id}")
                            .drop("batch_id", "event_status", "attempts", "dt"))
-        facts, life = ingest(own)
+        facts, life = ingest(own, redact=redact)
         put(facts, "facts")
         put(life.drop("reject_reasons"), "lifecycle")
 
@@ -196,7 +197,12 @@ def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] |
     life = landed(spark, f"{root}/lifecycle", _with_batch(lifecycle_of(checked).drop("reject_reasons").schema)).drop("batch_id")
     if fold_columns:
         facts = facts.select(*dict.fromkeys((*fold_columns, "event_id")))  # read only what the fold needs
-    return fold_latest(facts.dropDuplicates(["event_id"])), life.dropDuplicates(["event_id"])
+    return fold_latest(_once(facts)), _once(life)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row per event_id; rows without one are no repeats of each other."""
+    return rows.where("event_id is not null").dropDuplicates(["event_id"]).unionByName(rows.where("event_id is null"))
 
 
 def _with_batch(schema: T.StructType) -> T.StructType:

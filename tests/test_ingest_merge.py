@@ -150,3 +150,28 @@ def test_ingest_redacts_before_storing(spark):
     assert not any(x in text for x in ("a@b.co", "bob@x.com", "123-45-6789", "555-123-4567", "10.0.0.1"))
     assert {d["type"]: d["count"] for d in json.loads(stored[0]["pii_detections"])} == {"email": 2, "phone": 1, "ssn": 1, "ipv4": 1}
     assert stored[0]["input_preview"] == "mail [REDACTED_EMAIL]"
+
+
+def test_redaction_keeps_shape_and_appends_per_part(spark):
+    """NULL elements, missing parts and separators survive; request findings come before the response's."""
+    import json
+
+    from spanlake.operators.ingest import redact_events
+    from spanlake.sources.events import parse_events
+    own = [{"request": {"messages": [{"role": "user", "content": None}, None, {"role": "a@b.co", "content": "&\u0001& a\u0001b c@d.co"}],
+                        "extra": {"x": None, "m@n.co": "p 555-123-4567"}}, "response": {"content": "c@d.co and e@f.co"}},
+           {"request": {"prompt": "plain"}}, {"response": {"content": None, "finish_reason": "stop"}},
+           {"request": {"messages": []}, "response": {"content": "10.0.0.1"}, "pii_detections": [{"type": "ssn", "count": 9}]}]
+    rows = [(i, json.dumps(x)) for i, x in enumerate(own)] + [(9, "broken {")]
+    raw = parse_events(spark.createDataFrame(rows, "event_id long, payload string").selectExpr("*", "timestamp_ntz'2024-01-01' as received_at"))
+    got = {r.event_id: r.e for r in redact_events(raw).collect()}
+    before = {r.event_id: r.e for r in raw.collect()}
+    assert len(got) == 5
+    m = got[0].request.messages
+    assert [None if x is None else (x.role, x.content) for x in m] == [
+        ("user", None), None, ("[REDACTED_EMAIL]", "&\u0001& a\u0001b [REDACTED_EMAIL]")]
+    assert got[0].request.extra == {"x": None, "m@n.co": "p [REDACTED_PHONE]"}
+    assert got[0].response.content == "[REDACTED_EMAIL] and [REDACTED_EMAIL]"
+    assert [(d.type, d["count"]) for d in got[0].pii_detections] == [("email", 2), ("phone", 1), ("email", 2)]
+    assert got[1] == before[1] and got[2] == before[2]
+    assert [(d.type, d["count"]) for d in got[3].pii_detections] == [("ssn", 9), ("ipv4", 1)]

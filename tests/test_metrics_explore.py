@@ -133,3 +133,23 @@ def test_approx_percentiles_close(spark):
     a = M.summary(logs, "30d", approx=True).collect()[0]
     for q in ("p50", "p95", "p99"):
         assert abs(a[f"{q}_latency_ms"] - e[f"{q}_latency_ms"]) <= 0.02 * e[f"{q}_latency_ms"] + 2
+
+
+def test_whole_payloads_and_pushed_key(spark):
+    import json
+    logs = call_logs(spark, SMALL, previews=True)
+    plan = X.log_detail(logs, "42", stored_key="event_id")
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}[42]
+    row = plan.collect()[0]
+    assert json.loads(row.request_payload)["messages"][0]["content"] == text and len(text) > 512
+    assert json.loads(row.response_payload)["content"] == text[256:]
+    assert "EqualTo(event_id,42)" in plan._jdf.queryExecution().executedPlan().toString()
+    assert X.log_detail(logs, "x42", stored_key="event_id").count() == 0
+
+
+def test_histogram_has_no_ceiling(spark):
+    from spanlake.operators.rollup import HIST_BOUNDS, latency_bucket
+    values = [0, 1, 2_097_151, 2_097_152, 900_000_000, 2 ** 31 - 1, 10 ** 9, 2 ** 55]
+    got = {r.v: r.b for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", latency_bucket("v").alias("b")).collect()}
+    assert got[2_097_152] < got[900_000_000] < got[2 ** 55]
+    assert all(HIST_BOUNDS[b] <= v + 1 < HIST_BOUNDS[b + 1] for v, b in got.items())

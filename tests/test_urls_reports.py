@@ -35,3 +35,9 @@ def test_dedupe_keys_across_ranges(spark):
     ks = [got[i] for i in range(40) if i % 3]
     assert ks[0] == "k" and ks[1:] == [f"k_{n}" for n in range(2, len(ks) + 1)]
     assert got[0] == "j" and got[3] == "j_2"
+
+
+def test_dedupe_keys_keeps_null_keys_and_order_values(spark):
+    rows = [("k", 1), ("k", None), ("k", 9), (None, 1), (None, None)]
+    got = dedupe_keys(spark.createDataFrame(rows, "endpoint_key string, page_id long"), bucket_width=4).collect()
+    assert sorted(((r.page_id, r.dedup_key) for r in got), key=str) == sorted([(None, "k"), (1, "k_2"), (9, "k_3"), (1, None), (None, None)], key=str)
