@@ -97,7 +97,7 @@ def read_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdCompressor
         n = np.zeros(BUCKETS, np.uint32)
-        once, twice = np.zeros(MARK_BITS, bool), np.zeros(MARK_BITS, bool)
+        seen = np.zeros(MARK_BITS, np.uint8)  # 1: a word here, 2: more than one
         names = ["doc_id", "tid", "number", "line", "n"]
         for batch in batches:
             for b in slices(batch, "text"):
@@ -108,16 +108,18 @@ def read_lines(docs: DataFrame) -> DataFrame:
                 times = np.diff(np.append(new, len(h)))
                 np.add.at(n, (h[new] >> LOW).astype(np.int64), times.astype(np.uint32))
                 spot = _spot(h[new])
-                twice[spot[(times > 1) | once[spot]]] = True
+                again = (times > 1) | (seen[spot] > 0)
                 order = np.sort(spot)
-                twice[order[1:][order[1:] == order[:-1]]] = True
-                once[spot] = True
+                seen[spot] = np.maximum(seen[spot], 1)
+                seen[spot[again]] = 2
+                seen[order[1:][order[1:] == order[:-1]]] = 2
                 at = np.flatnonzero(np.diff(first) > 0)
                 idx = pa.array(row[at])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(number[at].astype(np.int32)),
                                                   pa.array(ids[at]), pa.nulls(len(at), pa.binary())], names)
         none, small = pa.nulls(SPLIT, pa.int64()), ZstdCompressor(level=1)
-        told = zip(n.reshape(SPLIT, -1), np.packbits(once).reshape(SPLIT, -1), np.packbits(twice).reshape(SPLIT, -1))
+        told = zip(n.reshape(SPLIT, -1), np.packbits(seen > 0, bitorder="little").reshape(SPLIT, -1),
+                   np.packbits(seen > 1, bitorder="little").reshape(SPLIT, -1))
         yield pa.RecordBatch.from_arrays([none, none, pa.array(range(SPLIT), pa.int32()), none,
                                           pa.array([small.compress(b"".join(x.tobytes() for x in part)) for part in told], pa.binary())], names)
     return docs.mapInArrow(run, "doc_id long, tid long, number int, line long, n binary")
@@ -128,6 +130,12 @@ def _spot(h: np.ndarray) -> np.ndarray:
     return (h & U64(MARK_BITS - 1)).astype(np.int64)
 
 
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a bitmap holds the bits of words."""
+    spot = _spot(h)
+    return (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+
+
 def word_ranks(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The rarity rank of each of ``BUCKETS`` word buckets over all documents, and which words may occur more than once."""
     size, bits = 4 * BUCKETS // SPLIT, MARK_BITS // SPLIT // 8
@@ -149,7 +157,7 @@ def word_ranks(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         twice[r.number] = np.frombuffer(bytes(r.twice), np.uint8)
     rank = np.empty(BUCKETS, np.int32)
     rank[np.argsort(n.ravel(), kind="stable")] = np.arange(BUCKETS)
-    return rank, np.unpackbits(twice.ravel()).view(bool)
+    return rank, twice.ravel()
 
 
 def need(size, t: float):
@@ -241,7 +249,7 @@ def candidates(docs: DataFrame, rank, twice, t: float, open_bits=None, open_word
                 doc = b.column(0).to_numpy(zero_copy_only=False)[row]
                 some = np.flatnonzero(np.diff(first))
                 if open_words is not None:  # a line that posts no such word need not be sorted
-                    some = some[np.add.reduceat(useful[_spot(h)], first[some], dtype=np.int64) > 0] if len(some) else some
+                    some = some[np.add.reduceat(_has(useful, h), first[some], dtype=np.int64) > 0] if len(some) else some
                 one = some[np.lexsort((number[some], doc[some], ids[some]))]  # the first place of each line
                 one = np.sort(one[np.concatenate([[True], ids[one][1:] != ids[one][:-1]])[:len(one)]])
                 if not len(one):
@@ -259,7 +267,7 @@ def candidates(docs: DataFrame, rank, twice, t: float, open_bits=None, open_word
                 src = np.repeat(np.arange(len(size)), k)
                 pos = np.arange(len(src)) - np.repeat(np.cumsum(k) - k, k)
                 word = words[first[src] + pos]
-                keep = useful[_spot(word)]
+                keep = _has(useful, word)
                 src, pos, word = src[keep], pos[keep], word[keep]
                 p = np.empty(len(src), POST)
                 p["word"], p["line"], p["size"], p["pos"] = word, ids[src], size[src], pos
@@ -328,7 +336,7 @@ def late_lines(docs: DataFrame, home: DataFrame, rank, twice, t: float) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))], ["bit"])
 
     posted = sets.join(left, "line").select("words").mapInArrow(prefix, "bit long")
-    words = context.broadcast(np.unpackbits(bitmap_of(posted, F.col("bit"))[:MARK_BITS // 8], bitorder="little").view(bool))
+    words = context.broadcast(bitmap_of(posted, F.col("bit")))
     bits = context.broadcast(bitmap_of(left, F.pmod(F.col("line"), F.lit(MARK_BITS))))
     more = save(candidates(docs, rank, twice, t, bits, words).join(left.withColumnRenamed("line", "b"), "b", "left_semi").select("a", "b"), "lines-open")
     return late.unionByName(similar(docs, home, rank, t, more)[0].select(F.col("b").alias("line"))).distinct()

@@ -3,7 +3,7 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct piece is encoded
 once per Python worker, and the ids of the pieces are joined.  Texts with white space for which
 such a cut is not certain are encoded whole, so ids always equal those of ``Tokenizer.encode``.
-The cache holds at most ``CACHE`` pieces and starts anew when full.
+The cache holds about ``CACHE`` pieces and starts anew when full.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from .text import SPACE as BLANK
 from .text import raw_bytes, split_words
 
-CACHE = 800_000
+CACHE = 400_000
 TOGETHER = 50
 _LOADED: dict[str, "Ids"] = {}
 # Byte-level files: a space starts the piece after it and a line end is a piece, unless three white-space
@@ -105,9 +105,6 @@ class Ids:
         """Ids of distinct pieces: words, or byte-level pieces with the blank before them."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        for own in (self.inner, self.outer):
-            if len(own) > CACHE // 4:
-                own.clear()
         cache, known, outer = self.cache, self.inner, self.outer
         new = [p for p in cut if p not in cache]
         if self.words:
@@ -120,6 +117,8 @@ class Ids:
             self._learn({p[1:] for p in new if p[:1] == " "} - known.keys())
             line = outer["\n"]
             cache.update((p, known[p[1:]] if p[:1] == " " else line + outer[p[1:]] if p[:1] == "\n" else outer[p]) for p in new)
+        known.clear()  # what they hold is in the cache
+        outer.clear()
         return [cache[p] for p in cut]
 
     def _learn(self, pieces: set[str]) -> None:
