@@ -7,6 +7,7 @@ Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -99,6 +100,15 @@ def word_hashes(w: Words) -> np.ndarray:
     return mix(np.add.reduceat(value, w.starts) ^ (size.astype(U64) * U64(0xA24BAED4963EE407)))
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed but still holds: workers live on, from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes (one row at least)."""
     n = batch.num_rows
@@ -111,6 +121,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         to = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
         yield batch.slice(at, to - at)
         at, done = to, int(total[to - 1])
+    give_back()
 
 
 def crc_mod(ids: list, mod: int = 5) -> np.ndarray:
