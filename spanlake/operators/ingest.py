@@ -16,6 +16,7 @@ from ..functions.pii import PII_TYPES, detections
 from ..functions.normalize import (input_hash, input_preview, output_preview, provider_enum,
                                    provider_raw, status_upper, total_tokens, truncate_error_message)
 from ..schemas import DETECTION, ERROR_MESSAGE_CHARS
+from ..sources.events import BAD, CORRUPT
 from .redact import SEPARATOR, SEPARATOR_RX, barrier, pack_text, redact_column, unpack_text
 from .validate import call_event_rules, with_reasons
 
@@ -27,7 +28,7 @@ def to_facts(parsed: DataFrame, e: str = "e", received_at: str = "received_at",
     prompt = c("usage.prompt_tokens")
     completion = c("usage.completion_tokens")
     cost = (call_cost(provider_raw(c("provider")), F.coalesce(c("model"), F.lit("unknown")), prompt, completion)
-            if recompute_cost else c("cost_usd").cast("decimal(12,6)"))
+            if recompute_cost else c("cost_usd").try_cast("decimal(12,6)"))
     return parsed.select(
         *[x for x in ("event_id",) if x in parsed.columns],
         c("id").alias("id"),
@@ -61,22 +62,38 @@ def to_facts(parsed: DataFrame, e: str = "e", received_at: str = "received_at",
     )
 
 
-def check_events(raw: DataFrame, e: str = "e") -> DataFrame:
-    """V1-V8 on parsed events: adds ``reject_reasons`` (malformed JSON is a reason, not a drop)."""
+def check_events(raw: DataFrame, e: str = "e", parents: DataFrame | None = None, parent_key: str = "conversation_id") -> DataFrame:
+    """V1-V8 on parsed events: adds ``reject_reasons`` (malformed JSON is a reason, not a drop).
+
+    With ``parents``, an event that names a conversation they do not hold gets the reason ``unknown_conversation``
+    (V8); one without a conversation needs none.
+    """
     ok_json = F.col(e).isNotNull()
-    if "_corrupt_record" in parsed_fields(raw, e):
-        ok_json = ok_json & F.col(f"{e}._corrupt_record").isNull()
-    return with_reasons(raw, [("malformed_json", ok_json)] + call_event_rules(e))
+    fields = parsed_fields(raw, e)
+    if CORRUPT in fields:
+        ok_json = ok_json & F.col(f"{e}.{CORRUPT}").isNull()
+    out = with_reasons(raw, [("malformed_json", ok_json)] + call_event_rules(e))
+    if BAD in fields:
+        out = out.withColumn("reject_reasons", F.concat("reject_reasons", F.coalesce(F.col(f"{e}.{BAD}"), F.array().cast("array<string>"))))
+    if parents is None:
+        return out
+    known = parents.select(F.col(parent_key).cast("string").alias("__parent")).distinct()
+    out = out.join(known, F.col(f"{e}.conversation_id") == F.col("__parent"), "left")
+    orphan = F.col(f"{e}.conversation_id").isNotNull() & F.col("__parent").isNull()
+    return out.withColumn("reject_reasons", F.when(orphan, F.array_append("reject_reasons", F.lit("unknown_conversation")))
+                          .otherwise(F.col("reject_reasons"))).drop("__parent")
 
 
 def lifecycle_of(checked: DataFrame, received_at: str = "received_at") -> DataFrame:
-    """M2: PROCESSED with processed_at, or FAILED with the reasons (<= 500 chars) as error."""
+    """M2: PROCESSED with processed_at, or FAILED with the reasons (<= 500 chars) as error; a count of earlier attempts
+    goes up by one."""
     ok = F.size("reject_reasons") == 0
     return checked.select(
         *[x for x in ("event_id",) if x in checked.columns], F.col(received_at),
         F.when(ok, F.lit("PROCESSED")).otherwise(F.lit("FAILED")).alias("status"),
         F.when(ok, F.col(received_at)).alias("processed_at"),
         F.when(~ok, F.substring(F.array_join("reject_reasons", ","), 1, ERROR_MESSAGE_CHARS)).alias("error"),
+        *([(F.col("attempts") + 1).alias("attempts")] if "attempts" in checked.columns else []),
         F.col("reject_reasons"))
 
 
@@ -131,11 +148,29 @@ def redact_events(parsed: DataFrame, e: str = "e") -> DataFrame:
     return barrier(out.withColumn(e, F.when(F.col(e).isNotNull(), event)).drop("__ask", "__tell", "__ask_found", "__tell_found"))
 
 
+def audit_rows(checked: DataFrame, e: str = "e", redact: bool = True) -> DataFrame:
+    """Checked events as they are stored for audit, redacted unless switched off.
+
+    The payload of a record that cannot be read is redacted as text, one with findings is written anew from the
+    redacted event, any other stays byte for byte.
+    """
+    if not redact:
+        return checked
+    found = lambda: F.size(F.coalesce(F.col(f"{e}.pii_detections"), F.array().cast(T.ArrayType(DETECTION))))
+    broken = F.col(e).isNull() | F.col(f"{e}.{CORRUPT}").isNotNull()
+    own = checked.withColumns({"__own": found(), "__broken": F.when(broken, F.col("payload"))})
+    own = redact_events(redact_column(own, "__broken", count_prefix="__n_", with_detections=False), e)
+    clean = F.to_json(F.col(e).dropFields(CORRUPT, BAD))
+    payload = F.when(F.col("__broken").isNotNull(), F.col("__broken")).when(found() > F.col("__own"), clean).otherwise(F.col("payload"))
+    event = F.when(F.col(e).isNotNull(), F.col(e).withField(CORRUPT, F.col("__broken")))
+    return own.withColumns({"payload": payload, e: event}).select(*checked.columns)
+
+
 def ingest(raw: DataFrame, e: str = "e", received_at: str = "received_at",
-           recompute_cost: bool = False, redact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Validate parsed events and redact (R13: unless switched off) those accepted; return (fact rows, event lifecycle
-    rows).  Both come from one evaluation of the rules."""
-    checked = check_events(raw, e)
+           recompute_cost: bool = False, redact: bool = True, parents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Validate parsed events (V8 against ``parents``, if given) and redact (R13: unless switched off) those accepted;
+    return (fact rows, event lifecycle rows).  Both come from one evaluation of the rules."""
+    checked = check_events(raw, e, parents)
     accepted = checked.filter(F.size("reject_reasons") == 0)
     return to_facts(redact_events(accepted, e) if redact else accepted, e, received_at, recompute_cost), lifecycle_of(checked, received_at)
 

@@ -69,7 +69,12 @@ def rollup_plus_tail(rollups: DataFrame, logs: DataFrame, range_key: str = "7d",
     old = (rollups.filter((F.col("bucket") >= ts(rollups, "bucket", lower)) & (F.col("bucket") < ts(rollups, "bucket", cut)))
            .select(*SUM_COLUMNS))
     live = (logs.filter(F.col("created_at") >= ts(logs, "created_at", cut)).agg(*rollup_aggs()))
-    both = old.unionByName(live).agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS])
+    return summary_from_sums(old.unionByName(live), range_key)
+
+
+def summary_from_sums(rows: DataFrame, range_key: str) -> DataFrame:
+    """The additive summary of a range from rows of ``SUM_COLUMNS``."""
+    both = rows.agg(*[F.sum(c).alias(c) for c in SUM_COLUMNS])
     return both.select(
         F.lit(range_key).alias("range_name"),
         F.coalesce(F.col("count_total"), F.lit(0)).cast("long").alias("total_requests"),
@@ -117,21 +122,38 @@ def latency_bucket(col: str = "latency_ms") -> F.Column:
     return F.least(F.greatest(idx, F.lit(0)), F.lit(HIST_BUCKETS - 1))
 
 
-def rollup_with_histogram(logs: DataFrame, width: str = "1 minute", time_col: str = "created_at") -> DataFrame:
+def rollup_with_histogram(logs: DataFrame, width: str = "1 minute", time_col: str = "created_at", marks: bool = False) -> DataFrame:
     """G15 + ``latency_hist``: a sparse map bucket -> count, so coarse ranges can estimate percentiles.
 
     Two small aggregations instead of one wide one: first by (window, provider,
     model, latency bucket) with the additive rollup columns, then by (window,
     provider, model) summing them and collecting the (bucket, count)
-    entries of the buckets that occur.  Both combine map-side.
+    entries of the buckets that occur.  Both combine map-side.  ``marks`` adds
+    ``mark``, the newest time of each bucket.
     """
     keys = ["bucket", "provider", "model"]
     lvl1 = (logs.withColumn("__hb", latency_bucket("latency_ms"))
             .groupBy(F.window(time_col, width).start.alias("bucket"), "provider", "model", "__hb")
-            .agg(*rollup_aggs()))
+            .agg(*rollup_aggs(), *([F.max(time_col).alias("mark")] if marks else [])))
     return lvl1.groupBy(*keys).agg(
         *[F.sum(c).cast("decimal(14,6)" if c == "sum_cost_usd" else "long").alias(c) for c in SUM_COLUMNS],
-        F.map_from_entries(F.collect_list(F.struct(F.col("__hb"), F.col("count_total")))).alias("latency_hist"))
+        F.map_from_entries(F.collect_list(F.struct(F.col("__hb"), F.col("count_total")))).alias("latency_hist"),
+        *([F.max("mark").alias("mark")] if marks else []))
+
+
+def merge_rollups(rows: DataFrame, keys: tuple[str, ...] = ("bucket", "provider", "model"), marks: bool = False) -> DataFrame:
+    """Rollup rows of equal keys as one (sums of sums, histograms bucket by bucket); NULL keys are keys like others."""
+    entries = rows.select(*keys, F.posexplode_outer("latency_hist").alias("__pos", "__hb", "__n"),
+                          *[F.col(c) for c in SUM_COLUMNS], *(["mark"] if marks else []))
+    # the sums of a row travel with its first histogram entry
+    first = F.coalesce(F.col("__pos"), F.lit(0)) == 0
+    per = entries.groupBy(*keys, "__hb").agg(
+        F.sum("__n").alias("__n"), *[F.sum(F.when(first, F.col(c))).alias(c) for c in SUM_COLUMNS],
+        *([F.max("mark").alias("mark")] if marks else []))
+    return per.groupBy(*keys).agg(
+        *[F.sum(c).cast("decimal(14,6)" if c == "sum_cost_usd" else "long").alias(c) for c in SUM_COLUMNS],
+        F.map_from_entries(F.collect_list(F.when(F.col("__hb").isNotNull(), F.struct(F.col("__hb"), F.col("__n"))))).alias("latency_hist"),
+        *([F.max("mark").alias("mark")] if marks else []))
 
 
 def merged_histogram(rows: DataFrame, keys: list, hist_col: str = "latency_hist") -> DataFrame:

@@ -26,8 +26,9 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import total_tokens
-from ..schemas import DEFAULT_AS_OF, ERROR_MESSAGE_CHARS, RESPONSE_CONTENT_CHARS
+from ..functions.cost import call_cost
+from ..functions.normalize import provider_raw, total_tokens, truncate_request, truncate_response
+from ..schemas import CALL_EVENT, DEFAULT_AS_OF, ERROR_MESSAGE_CHARS, RESPONSE_CONTENT_CHARS
 
 END_KINDS = {"end": "SUCCESS", "error": "ERROR", "cancelled": "CANCELLED"}
 
@@ -111,3 +112,32 @@ def span_payloads(spans: DataFrame, context: DataFrame | None = None) -> DataFra
                                                           F.coalesce("metadata", F.create_map())))
     return out.withColumn("response", F.struct(F.col("output_text").alias("content"),
                                                F.lit(None).cast("string").alias("finish_reason")))
+
+
+def span_events(spans: DataFrame, context: DataFrame, out: str = "e") -> DataFrame:
+    """Finished spans as call events (``event_id``, ``received_at``, ``e``), ready for ``ingest``.
+
+    ``context``: ``(span_id, provider, model, request, conversation_id, session_id, metadata)``, one row per span.  Request
+    contents are cut before anything else sees them (P17), the response likewise; the cost is that of the span's usage (C1).
+    """
+    s = spans.join(context, "span_id")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    none = lambda t: F.lit(None).cast(t)
+    cost = call_cost(provider_raw("provider"), F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"))
+    used = F.col("prompt_tokens").isNotNull() | F.col("completion_tokens").isNotNull()
+    request = F.col("request")
+    values = {
+        "id": F.col("span_id"), "conversation_id": F.col("conversation_id"), "session_id": F.col("session_id"),
+        "provider": F.lower("provider"), "model": F.col("model"), "status": F.lower("status"),
+        "started_at": iso("started_at"), "ended_at": iso("ended_at"),
+        "latency_ms": F.col("latency_ms").cast("string"), "ttft_ms": F.col("ttft_ms").cast("string"), "streamed": F.col("streamed"),
+        "request": F.when(request.isNotNull(), request.withField("messages", truncate_request(request["messages"]))),
+        "response": F.struct(truncate_response("output_text").alias("content"), none("string").alias("finish_reason")),
+        "usage": F.when(used, F.struct(F.col("prompt_tokens"), F.col("completion_tokens"), none("int").alias("total_tokens"))),
+        "cost_usd": cost.cast("double"),
+        "error": F.when(F.col("error_type").isNotNull(), F.struct(
+            F.col("error_type").alias("type"), F.coalesce("error_message", F.lit("")).alias("message"), none("string").alias("code"))),
+        "metadata": F.col("metadata"),
+    }
+    event = F.struct(*[values.get(f.name, none(f.dataType)).cast(f.dataType).alias(f.name) for f in CALL_EVENT.fields])
+    return s.select(F.xxhash64("span_id").alias("event_id"), F.col("ended_at").alias("received_at"), event.alias(out))

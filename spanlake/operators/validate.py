@@ -63,6 +63,7 @@ def call_event_rules(parsed: str = "e") -> list[Rule]:
         ("error_missing_field", e("error").isNull() |
          (e("error.type").isNotNull() & e("error.message").isNotNull())),
         ("bad_status", F.upper(F.coalesce(e("status"), F.lit("success"))).isin(*INFERENCE_STATUS)),
+        ("bad_cost_usd", e("cost_usd").isNull() | e("cost_usd").try_cast("decimal(12,6)").isNotNull()),
     ]
     paths = {"error_type": "error.type"}
     for c, n in LENGTH_BOUNDS.items():

@@ -737,3 +737,81 @@ def approx_percentiles_sql(range_key: str = "30d") -> str:
 hc AS (SELECT idx, c, SUM(c) OVER (ORDER BY idx) AS cum, SUM(c) OVER () AS n FROM h)
 SELECT '{range_key}' AS range_name, (SELECT CAST(COUNT(*) AS BIGINT) FROM hb) AS total_requests,
   {", ".join(cols)}""")
+
+
+# --- spans that end in every way, and their facts ---------------------------------------------------------
+
+ENDED_SPANS = """
+chunks AS (
+  SELECT 'span-' || lpad(CAST(user_id AS VARCHAR), 8, '0') || '-' || CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 5 AS VARCHAR) AS span_id,
+   event_id AS seq, ts, CASE WHEN event_type = 'view' THEN '' ELSE substr(event_type, 1, 2) END AS delta,
+   CASE WHEN event_type <> 'error' THEN CAST(event_id % 500 AS INT) END AS prompt_tokens,
+   CASE WHEN event_type = 'purchase' THEN CAST(event_id % 300 AS INT) END AS completion_tokens,
+   CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'end'
+     WHEN event_type = 'signup' THEN 'cancelled' ELSE 'chunk' END AS kind,
+   CASE WHEN event_type = 'error' THEN 'upstream_error' END AS error_type, CASE WHEN event_type = 'error' THEN props END AS error_message
+  FROM events
+),
+ends AS (SELECT span_id, seq AS end_seq, ts AS end_ts, kind AS end_kind, error_type, error_message FROM chunks WHERE kind <> 'chunk'
+         QUALIFY row_number() OVER (PARTITION BY span_id ORDER BY seq) = 1),
+a AS (
+  SELECT c.span_id, MIN(ts) AS started_at, MAX(ts) AS last_ts, MIN(CASE WHEN kind = 'chunk' AND delta <> '' THEN ts END) AS first_token_ts,
+    arg_max(prompt_tokens, seq) FILTER (WHERE prompt_tokens IS NOT NULL) AS prompt_tokens,
+    arg_max(completion_tokens, seq) FILTER (WHERE completion_tokens IS NOT NULL) AS completion_tokens,
+    COUNT(*) FILTER (WHERE kind = 'chunk') AS chunk_count,
+    substring(COALESCE(string_agg(CASE WHEN kind = 'chunk' AND delta <> '' THEN delta END, '' ORDER BY seq), ''), 1, 2048) AS output_text
+  FROM chunks c LEFT JOIN ends e ON c.span_id = e.span_id WHERE e.end_seq IS NULL OR c.seq <= e.end_seq GROUP BY c.span_id
+),
+spans AS (
+  SELECT a.span_id, CASE end_kind WHEN 'error' THEN 'ERROR' WHEN 'cancelled' THEN 'CANCELLED' WHEN 'end' THEN 'SUCCESS'
+      ELSE CASE WHEN last_ts < (SELECT MAX(ts) FROM chunks) - INTERVAL 1 DAY - INTERVAL 10 MINUTE THEN 'TIMEOUT' ELSE 'SUCCESS' END END AS status,
+    started_at, COALESCE(end_ts, last_ts) AS ended_at,
+    CAST((epoch_us(COALESCE(end_ts, last_ts)) - epoch_us(started_at)) // 1000 AS BIGINT) AS latency_ms,
+    CAST((epoch_us(first_token_ts) - epoch_us(started_at)) // 1000 AS BIGINT) AS ttft_ms, output_text, prompt_tokens, completion_tokens,
+    CASE WHEN COALESCE(prompt_tokens, 0) <> 0 OR COALESCE(completion_tokens, 0) <> 0
+      THEN COALESCE(prompt_tokens, 0) + COALESCE(completion_tokens, 0) END AS total_tokens, chunk_count,
+    CASE WHEN end_kind = 'error' THEN error_type END AS error_type,
+    CASE WHEN end_kind = 'error' THEN substring(error_message, 1, 500) END AS error_message, TRUE AS streamed
+  FROM a LEFT JOIN ends e ON a.span_id = e.span_id
+)"""
+
+
+def ended_spans_sql() -> str:
+    return f"WITH {ENDED_SPANS} SELECT * FROM spans"
+
+
+def span_facts_sql() -> str:
+    asked = "'mail [REDACTED_EMAIL] ' || repeat('x', 500 - length('mail user00000000@example.com '))"
+    return f"""WITH {ENDED_SPANS}
+SELECT span_id AS id, status, error_type, error_message, CAST(latency_ms AS INT) AS latency_ms, CAST(ttft_ms AS INT) AS ttft_ms,
+  prompt_tokens, completion_tokens, total_tokens,
+  CAST(CAST(CAST(0.000000150 AS DECIMAL(12,9)) * prompt_tokens + CAST(0.000000600 AS DECIMAL(12,9)) * completion_tokens AS DECIMAL(12,6)) AS DOUBLE) AS cost_usd,
+  substring({asked}, 1, 256) AS input_preview, NULLIF(substring(output_text, 1, 256), '') AS output_preview,
+  '{{"messages":[{{"role":"user","content":"' || {asked} || '"}}]}}' AS request_payload,
+  sha256('{{"messages":[{{"role":"user","content":"' || {asked} || '"}}]}}') AS input_hash,
+  '[{{"type":"email","count":1}}]' AS pii_detections, ended_at AS created_at
+FROM spans"""
+
+
+# --- ingest: loose types, parents and replay ----------------------------------------------------------------
+
+def loose_types_sql() -> str:
+    return """
+WITH w AS (SELECT event_id, event_id % 12 = 3 AS bad_switch, event_id % 9 = 8 AS bad_tokens, event_id % 14 = 5 AS bad_cost FROM events)
+SELECT event_id, CASE WHEN bad_switch OR bad_tokens OR bad_cost THEN 'FAILED' ELSE 'PROCESSED' END AS status,
+  NULLIF(concat_ws(',', CASE WHEN bad_switch THEN 'bad_streamed' END, CASE WHEN bad_tokens THEN 'bad_prompt_tokens' END,
+                   CASE WHEN bad_cost THEN 'bad_cost_usd' END), '') AS error,
+  CASE WHEN NOT (bad_switch OR bad_tokens OR bad_cost) THEN event_id % 4 IN (0, 2) END AS streamed,
+  CASE WHEN NOT (bad_switch OR bad_tokens OR bad_cost) THEN CAST(CASE event_id % 3 WHEN 0 THEN 37 WHEN 1 THEN 7 ELSE 5 END AS INT) END AS prompt_tokens,
+  CASE WHEN NOT (bad_switch OR bad_tokens OR bad_cost) THEN CASE WHEN event_id % 2 = 0 THEN CAST(0.01 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END END AS cost_usd
+FROM w"""
+
+
+def replay_parents_sql() -> str:
+    return f"""WITH {PAYLOAD_EVENTS},
+k AS (SELECT pe.*, conversation_id IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations) AS known,
+  conversation_id IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations WHERE conv_id % 3 <> 0) AS known_first FROM pe)
+SELECT event_id, CASE WHEN latency_ms >= 0 AND status <> 'BOGUS' AND known THEN 'PROCESSED' ELSE 'FAILED' END AS status,
+  NULLIF(concat_ws(',', CASE WHEN latency_ms < 0 THEN 'negative_latency_ms' END, CASE WHEN status = 'BOGUS' THEN 'bad_status' END,
+                   CASE WHEN NOT known THEN 'unknown_conversation' END), '') AS error,
+  CASE WHEN latency_ms >= 0 AND status <> 'BOGUS' AND known_first THEN 1 ELSE 2 END AS attempts FROM k"""

@@ -26,9 +26,10 @@ from ..operators import spans as SP
 from ..operators import validate as V
 from ..operators.metrics import in_range
 from ..schemas import DEFAULT_AS_OF, INFERENCE_STATUS
-from ..sources.events import parse_events, payloads_from_events
-from ..sources.fixtures import (call_logs, chunk_events, conversation_messages, provider_bodies,
-                                raw_events)
+from ..session import scratch_path
+from ..sources.events import batch_bodies, loose_payloads, parse_events, payloads_from_events, read_json_events
+from ..sources.fixtures import (call_logs, chunk_events, conversation_messages, ended_chunks, provider_bodies,
+                                raw_events, span_context)
 from ..sources.prices import price_catalog
 from ..sources.tables import read_table
 from ..streaming import jobs as ST
@@ -320,3 +321,57 @@ register("pii_json_docs", O.pii_json_docs_sql())(_pii_json_docs)
 register("approx_percentiles_from_rollups", O.approx_percentiles_sql("30d"))(
     lambda spark, sf: RU.approx_summary_from_rollups(
         RU.reaggregate_with_histogram(RU.rollup_with_histogram(call_logs(spark, sf)), "1 hour"), "30d"))
+
+# --- spans that end in every way, stored rollup, loose types, parents ------------------------
+
+register("stream_span_ends", O.ended_spans_sql())(
+    lambda spark, sf: ST.run_spans(spark, sf, chunks=ended_chunks))
+
+
+def _span_facts(spark, sf):
+    chunks = ended_chunks(read_table(spark, sf, "events"))
+    newest = chunks.agg(F.max("ts")).first()[0]
+    spans = SP.assemble_spans(chunks, timeout=_dt.timedelta(days=1, minutes=10), as_of=newest)
+    facts, _ = I.ingest(SP.span_events(spans, span_context(chunks)))
+    return facts.select("id", "status", "error_type", "error_message", "latency_ms", "ttft_ms", "prompt_tokens", "completion_tokens",
+                        "total_tokens", F.col("cost_usd").cast("double").alias("cost_usd"), "input_preview", "output_preview",
+                        "request_payload", "input_hash", "pii_detections", "created_at")
+
+
+register("span_facts", O.span_facts_sql())(_span_facts)
+
+
+def _stored_rollup(spark, sf):
+    store = ST.run_stored_rollup(spark, sf, until=DEFAULT_AS_OF - _dt.timedelta(hours=1))
+    return store.summary(call_logs(spark, sf), "7d", DEFAULT_AS_OF)
+
+
+register("rollup_stored_plus_tail", O.rollup_plus_tail_sql("7d"))(_stored_rollup)
+
+
+def _loose(spark, sf):
+    facts, life = I.ingest(parse_events(loose_payloads(read_table(spark, sf, "events"))))
+    facts = facts.select("event_id", "streamed", "prompt_tokens", F.col("cost_usd").cast("double").alias("cost_usd"))
+    return life.select("event_id", "status", "error").join(facts, "event_id", "left")
+
+
+register("ingest_loose_types", O.loose_types_sql())(_loose)
+
+
+def _json_files(spark, sf):
+    path = scratch_path(spark, "json-bodies")
+    batch_bodies(read_table(spark, sf, "events")).write.text(path)
+    return MG.event_status_counts(I.ingest(read_json_events(spark, path, batched=True), redact=False)[1])
+
+
+register("ingest_json_files", O.event_status_counts_sql())(_json_files)
+
+
+def _replay_parents(spark, sf):
+    convs = read_table(spark, sf, "conversations").select(F.col("conv_id").alias("conversation_id")).distinct()
+    root = scratch_path(spark, "replay-parents")
+    ST.run_upsert(spark, sf, root=root, parents=lambda: convs.where("conversation_id % 3 <> 0"))
+    return ST.replay_events(spark, root, parents=convs)[1].select("event_id", "status", "error", "attempts")
+
+
+register("replay_parents", O.replay_parents_sql())(_replay_parents)

@@ -27,6 +27,8 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Python workers and the state of streaming processors talk to the JVM over local files, not ports
+    "spark.python.unix.domain.socket.enabled": "true",
 }
 
 # Runtime SQL settings the operators rely on; applied to any session handed to us.

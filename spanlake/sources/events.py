@@ -1,10 +1,14 @@
 """Raw call-event sources and the bronze sink.
 
 Events arrive as JSON text: one event per line, or batch bodies
-``{"events": [...]}``.  ``from_json`` with the declared schema drops unknown
-fields (as the reference's request models do); malformed text yields a NULL
-struct, which validation turns into a ``malformed_json`` reason instead of
-losing the row.
+``{"events": [...]}``.  ``from_json`` drops unknown fields; malformed text
+yields a ``malformed_json`` reason in validation instead of losing the row.
+
+Numbers and booleans are read as the text they came as and typed leniently
+afterwards (V4): ``"true"``, ``"0.01"`` and ``3.0`` for a count are values like
+``true``, ``0.01`` and ``3``; what cannot be typed is NULL and its field is named
+in the event's ``_bad`` list (``bad_<field>``), so one bad value costs a reason
+of its own and not the whole record.
 """
 
 from __future__ import annotations
@@ -16,9 +20,70 @@ from pyspark.sql import types as T
 from ..schemas import CALL_EVENT
 
 CORRUPT = "_corrupt_record"
-# Parsed form: the declared payload plus the raw text of a malformed record.
-PARSED_EVENT = T.StructType(CALL_EVENT.fields + [T.StructField(CORRUPT, T.StringType())])
-BATCH = T.StructType([T.StructField("events", T.ArrayType(CALL_EVENT)), T.StructField(CORRUPT, T.StringType())])
+BAD = "_bad"
+TRUE_TEXTS, FALSE_TEXTS = ("true", "t", "yes", "y", "on", "1"), ("false", "f", "no", "n", "off", "0")
+
+
+def wire_type(t: T.DataType) -> T.DataType:
+    """``t`` as it is read: booleans and numbers as text."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, wire_type(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(wire_type(t.elementType))
+    return T.StringType() if isinstance(t, (T.BooleanType, T.IntegerType, T.DoubleType)) else t
+
+
+def lenient(text: Column, t: T.DataType) -> Column:
+    """Text as a boolean, whole number or number; NULL where it is none."""
+    if isinstance(t, T.BooleanType):
+        low = F.lower(text)
+        return F.when(low.isin(*TRUE_TEXTS), F.lit(True)).when(low.isin(*FALSE_TEXTS), F.lit(False))
+    if isinstance(t, T.IntegerType):
+        n = F.trim(text).try_cast("decimal(38,10)")
+        return F.when(n == F.floor(n), n.try_cast("int"))
+    return F.trim(text).try_cast("double")
+
+
+def typed(wire: Column, t: T.DataType) -> Column:
+    """A value read as ``wire_type(t)`` in its declared type."""
+    if wire_type(t) == t:
+        return wire
+    if isinstance(t, T.StructType):
+        return F.when(wire.isNotNull(), F.struct(*[typed(wire[f.name], f.dataType).alias(f.name) for f in t.fields]))
+    if isinstance(t, T.ArrayType):
+        return F.transform(wire, lambda x: typed(x, t.elementType))
+    return lenient(wire, t)
+
+
+def untyped(wire: Column, t: T.StructType) -> list[tuple[str, Column]]:
+    """``(bad_<field>, condition)`` for every field of ``t`` that holds something its type cannot take."""
+    out: list[tuple[str, Column]] = []
+    for f in t.fields:
+        col, kind = wire[f.name], f.dataType
+        if wire_type(kind) == kind:
+            continue
+        if isinstance(kind, T.StructType):
+            out += untyped(col, kind)
+        elif isinstance(kind, T.ArrayType):
+            out.append((f"bad_{f.name}", F.coalesce(F.exists(
+                col, lambda x: F.array_contains(F.array(*[c for _, c in untyped(x, kind.elementType)]), True)), F.lit(False))))
+        else:
+            out.append((f"bad_{f.name}", col.isNotNull() & lenient(col, kind).isNull()))
+    return out
+
+
+WIRE_EVENT = T.StructType(wire_type(CALL_EVENT).fields + [T.StructField(CORRUPT, T.StringType())])
+BATCH = T.StructType([T.StructField("events", T.ArrayType(wire_type(CALL_EVENT))), T.StructField(CORRUPT, T.StringType())])
+READ_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+
+
+def _typed_rows(rows: DataFrame, wire: str, out: str, single: bool) -> DataFrame:
+    """The typed event of each row; it comes out of a generator, so what reads its fields later does not type it again."""
+    w = F.col(wire)
+    bad = F.array(*[F.when(cond, F.lit(name)) for name, cond in untyped(w, CALL_EVENT)])
+    event = F.struct(*[typed(w[f.name], f.dataType).alias(f.name) for f in CALL_EVENT.fields],
+                     *([w[CORRUPT].alias(CORRUPT)] if single else []), F.array_compact(bad).alias(BAD))
+    return rows.select(*[c for c in rows.columns if c != wire], F.explode(F.array(F.when(w.isNotNull(), event))).alias(out))
 
 
 def parse_events(df: DataFrame, payload_col: str = "payload", out: str = "e") -> DataFrame:
@@ -29,24 +94,28 @@ def parse_events(df: DataFrame, payload_col: str = "payload", out: str = "e") ->
     parsed once per row (a filter pushed through a plain projection would
     re-parse it once per referenced field).
     """
-    one = F.array(F.from_json(F.col(payload_col), PARSED_EVENT,
-                              {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    return df.select("*", F.posexplode_outer(one).alias("batch_pos", out))
+    one = F.array(F.from_json(F.col(payload_col), WIRE_EVENT, READ_OPTIONS))
+    return _typed_rows(df.select("*", F.posexplode_outer(one).alias("batch_pos", "__wire")), "__wire", out, True)
 
 
 def parse_batches(df: DataFrame, payload_col: str = "payload", out: str = "e") -> DataFrame:
     """Batch bodies ``{"events": [...]}`` -> one row per event (posexplode keeps position)."""
-    parsed = df.withColumn("__b", F.from_json(F.col(payload_col), BATCH,
-                                              {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    parsed = df.withColumn("__b", F.from_json(F.col(payload_col), BATCH, READ_OPTIONS))
     # a malformed body yields one row with a NULL event (rejected as malformed_json)
-    return (parsed.select("*", F.posexplode_outer("__b.events").alias("batch_pos", out))
-            .drop("__b"))
+    rows = parsed.select("*", F.posexplode_outer("__b.events").alias("batch_pos", "__wire")).drop("__b")
+    return _typed_rows(rows, "__wire", out, False)
 
 
 def read_json_events(spark: SparkSession, path: str, batched: bool = False) -> DataFrame:
-    """Read newline-delimited JSON text files as raw payload rows."""
-    raw = spark.read.text(path).withColumnRenamed("value", "payload")
-    return parse_batches(raw) if batched else parse_events(raw)
+    """Newline-delimited JSON files (one event, or with ``batched`` one batch body, per line), ready for ``ingest``.
+
+    ``received_at`` is the file's modification time and ``event_id`` a hash of the file, the line's text and the place
+    in its batch: reading a file again gives the same ids, and equal lines of one file are one delivery.
+    """
+    raw = spark.read.text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("__file"),
+                                       F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"))
+    rows = parse_batches(raw) if batched else parse_events(raw)
+    return rows.withColumn("event_id", F.xxhash64("__file", "payload", "batch_pos")).drop("__file")
 
 
 def stream_json_events(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -140,3 +209,25 @@ def to_kafka_rows(df: DataFrame, key_col: str = "id") -> DataFrame:
     """S8 sink shape: (key, value JSON) rows for ``writeStream.format("kafka")``."""
     return df.select(F.col(key_col).cast("string").alias("key"),
                      F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
+
+
+def loose_payloads(events: DataFrame) -> DataFrame:
+    """Payloads whose numbers and booleans come as text, some of them unreadable (fixture for V4)."""
+    eid = F.col("event_id")
+    at = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    switch = F.when(eid % 12 == 3, "maybe").when(eid % 4 == 0, "true").when(eid % 4 == 1, "No").when(eid % 4 == 2, "1").otherwise("off")
+    tokens = F.when(eid % 9 == 8, "x").when(eid % 3 == 0, "37").when(eid % 3 == 1, "7.0").otherwise(" 5 ")
+    cost = F.when(eid % 14 == 5, "free").when(eid % 2 == 0, "0.01").otherwise("2")
+    payload = F.struct(
+        F.concat(F.lit("evt-"), F.lpad(eid.cast("string"), 8, "0")).alias("id"), F.lit("openai").alias("provider"),
+        F.lit("gpt-4o").alias("model"), F.lit("success").alias("status"), at.alias("started_at"), at.alias("ended_at"),
+        (eid % 5000).alias("latency_ms"), switch.alias("streamed"), F.struct(F.col("props").alias("prompt")).alias("request"),
+        F.struct(tokens.alias("prompt_tokens")).alias("usage"), cost.alias("cost_usd"))
+    return events.select("event_id", F.col("ts").alias("received_at"), F.to_json(payload).alias("payload"))
+
+
+def batch_bodies(events: DataFrame, size: int = 50) -> DataFrame:
+    """``value``: the events' payloads in batch bodies of at most ``size`` events, one per line (fixture for S1)."""
+    own = payloads_from_events(events).withColumn("__body", F.floor(F.col("event_id") / size))
+    return (own.groupBy("__body").agg(F.array_join(F.collect_list("payload"), ",").alias("all"))
+            .select(F.concat(F.lit('{"events":['), F.col("all"), F.lit("]}")).alias("value")))

@@ -111,6 +111,33 @@ def chunks_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def ended_chunks(events: DataFrame) -> DataFrame:
+    """Chunks of short spans (a user's five days) that end by error, by cancelling, in order or not at all."""
+    et, eid = F.col("event_type"), F.col("event_id")
+    kind = F.when(et == "error", "error").when((et == "signup") & (eid % 2 == 0), "end").when(et == "signup", "cancelled").otherwise("chunk")
+    span = F.concat(F.lit("span-"), F.lpad(F.col("user_id").cast("string"), 8, "0"), F.lit("-"),
+                    F.floor(F.unix_date(F.to_date("ts")) / 5).cast("string"))
+    return events.select(span.alias("span_id"), eid.alias("seq"), "ts",
+                         F.when(et == "view", F.lit("")).otherwise(F.substring(et, 1, 2)).alias("delta"),
+                         F.when(et != "error", (eid % 500).cast("int")).alias("prompt_tokens"),
+                         F.when(et == "purchase", (eid % 300).cast("int")).alias("completion_tokens"),
+                         kind.alias("kind"), F.when(et == "error", F.lit("upstream_error")).alias("error_type"),
+                         F.when(et == "error", F.col("props")).alias("error_message"))
+
+
+def span_context(chunks: DataFrame) -> DataFrame:
+    """What a span was started with: model, a long request that names an address, conversation."""
+    user = F.substring("span_id", 6, 8)
+    text = F.concat(F.lit("mail user"), user, F.lit("@example.com "), F.repeat(F.lit("x"), F.lit(600)))
+    message = F.struct(F.lit("user").alias("role"), text.alias("content"), F.lit(None).cast("string").alias("name"))
+    request = F.struct(F.array(message).alias("messages"), F.lit(None).cast("string").alias("prompt"), F.lit(None).cast("double").alias("temperature"),
+                       F.lit(None).cast("int").alias("max_tokens"), F.lit(None).cast("map<string,string>").alias("extra"))
+    return chunks.select("span_id").distinct().select(
+        "span_id", F.lit("openai").alias("provider"), F.lit("gpt-4o-mini").alias("model"), request.alias("request"),
+        user.alias("conversation_id"), F.lit(None).cast("string").alias("session_id"),
+        F.lit(None).cast("map<string,string>").alias("metadata"))
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At-least-once raw event log with repeated ids and bad rows."""
     return raw_from_events(read_table(spark, sf_dir, "events"))

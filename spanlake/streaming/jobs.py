@@ -22,16 +22,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ingest import check_events, facts_of, ingest, lifecycle_of, live_row
-from ..operators.merge import fold_latest, latest_per_key
+from ..functions.normalize import truncate_error_message
+from ..operators.ingest import audit_rows, check_events, facts_of, lifecycle_of, live_row
+from ..operators.merge import failed_events, fold_latest, latest_per_key
 from ..operators.rollup import reaggregate, rollup
+from ..operators.spans import END_KINDS
 from ..schemas import DEFAULT_AS_OF, RANGE_BUCKET, RANGE_INTERVAL, RESPONSE_CONTENT_CHARS
 from ..session import scratch_path
 from ..sources.events import bronze, parse_events, payloads_from_events
 from ..sources.fixtures import chunks_from_events, logs_from_events
 from ..sources.tables import read_table
+from .stores import FactStore, RollupStore
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str = "events",
@@ -164,45 +167,84 @@ def run_series(spark: SparkSession, sf_dir: str, range_key: str = "24h", group_b
 
 # --- L2 / L6 / L1: ingest, dedup, live feed ----------------------------------------------------------
 
-def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] | None = None, glob: str | None = None,
-               root: str | None = None, max_files_per_trigger: int | None = None,
-               redact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """L2 + L6: events -> JSON payloads -> redact -> validate -> normalise; returns (facts, lifecycle).
+def land_events(store: FactStore, root: str, batch: DataFrame, batch_id: int, redact: bool = True, parents=None) -> None:
+    """One micro-batch of payload rows into the audit rows (S4), facts and lifecycle of ``store``.
 
-    Every micro-batch lands its raw rows (S4), fact rows and lifecycle rows.  Repeated deliveries are dropped
-    when reading, by event_id over everything landed, so no row is lost for being late (rows without an
-    event_id are kept one by one); facts are then folded by id (M1).  ``redact=False`` switches redaction off (R13).
+    The rules run once; audit rows hold the redacted form (R13: unless switched off) and are what facts are made of.
     """
-    ev = table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob)
-    payloads = payloads_from_events(ev)
-    checked = check_events(parse_events(payloads))
-    root = root or scratch_path(spark, "stream-upsert")
+    if batch_id <= store.manifest.read()["batch"]:
+        return  # taken in before a stop
+    spark = batch.sparkSession
+    checked = check_events(parse_events(store.unseen(batch)), parents=None if parents is None else parents())
+    rows = bronze(audit_rows(checked, redact=redact))
+    path = f"{root}/raw/batch_id={batch_id}"
+    rows.write.mode("overwrite").parquet(path)
+    own = spark.read.schema(rows.schema).parquet(path)
+    store.apply(own, facts_of(own), lifecycle_of(own).drop("reject_reasons"), batch_id)
+
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        def put(df: DataFrame, kind: str) -> None:
-            df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/{kind}/batch_id={batch_id}")
-        put(bronze(batch), "raw")
-        # the audit rows are the batch's source from here on: a written table instead of a cached one
-        own = parse_events(spark.read.schema(_with_batch(bronze(payloads).schema)).parquet(f"{root}/raw/batch_id={batch_id}")
-                           .drop("batch_id", "event_status", "attempts", "dt"))
-        facts, life = ingest(own, redact=redact)
-        put(facts, "facts")
-        put(life.drop("reject_reasons"), "lifecycle")
-
-    q = _start_with_partitions(payloads.writeStream.outputMode("append").foreachBatch(land)
+def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] | None = None, glob: str | None = None,
+               root: str | None = None, max_files_per_trigger: int | None = None, redact: bool = True,
+               parents=None, compact_every: int = 8) -> tuple[DataFrame, DataFrame]:
+    """L2 + L6: events -> JSON payloads -> validate -> redact -> normalise; returns (facts, lifecycle).
+
+    Every micro-batch lands its raw rows (S4) and joins the store of facts folded by id (M1).  Events that an earlier
+    batch brought are left out by the index of seen ids; no row is lost for being late, and rows without an event_id
+    are kept one by one.  ``redact=False`` switches redaction off (R13).  ``parents`` gives the table of conversations
+    as it is when a batch runs; events of unknown ones fail (V8) until ``replay_events`` finds them.
+    """
+    payloads = payloads_from_events(table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob))
+    root = root or scratch_path(spark, "stream-upsert")
+    store = FactStore(spark, f"{root}/store", compact_every)
+    q = _start_with_partitions(payloads.writeStream.outputMode("append")
+                               .foreachBatch(lambda b, i: land_events(store, root, b, i, redact, parents))
                                .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True),
                                spark, None)
     q.awaitTermination()
-    facts = landed(spark, f"{root}/facts", _with_batch(facts_of(checked).schema)).drop("batch_id")
-    life = landed(spark, f"{root}/lifecycle", _with_batch(lifecycle_of(checked).drop("reject_reasons").schema)).drop("batch_id")
-    if fold_columns:
-        facts = facts.select(*dict.fromkeys((*fold_columns, "event_id")))  # read only what the fold needs
-    return fold_latest(_once(facts)), _once(life)
+    facts, life = store.rows(), store.lifecycle()
+    if facts is None:
+        none = check_events(parse_events(spark.createDataFrame([], payloads.schema).withColumn("attempts", F.lit(0))))
+        facts, life = fold_latest(facts_of(none)), lifecycle_of(none).drop("reject_reasons")
+    return (facts.select(*fold_columns, "versions") if fold_columns else facts), life
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """One row per event_id; rows without one are no repeats of each other."""
-    return rows.where("event_id is not null").dropDuplicates(["event_id"]).unionByName(rows.where("event_id is null"))
+def replay_events(spark: SparkSession, root: str, parents: DataFrame | None = None, amend=None, max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """M3: the failed events of a job, checked again under today's rules; returns (facts, lifecycle) after it.
+
+    ``root`` is the job's folder, ``parents`` today's conversations and ``amend`` an optional change of the parsed rows
+    (a mended field).  Each event has an attempt count; after ``max_attempts`` it is a dead letter and stays failed.
+    What passes is folded into the facts by its receive time, in the same switch as its lifecycle, so an event is in
+    the facts once.  Events without an event_id cannot be named again and are not replayed.
+    """
+    store = FactStore(spark, f"{root}/store")
+    failed = failed_events(store.lifecycle()).where((F.col("attempts") < max_attempts) & F.col("event_id").isNotNull()).select("event_id", "attempts")
+    raw = spark.read.parquet(f"{root}/raw").drop("event_status", "attempts", "reject_reasons", "dt", "batch_id")
+    rows = raw.join(failed, "event_id")
+    rows = check_events(rows if amend is None else amend(rows), parents=parents)
+    path = f"{root}/replayed/version={store.manifest.read()['version']}"
+    rows.write.mode("overwrite").parquet(path)
+    own = spark.read.schema(rows.schema).parquet(path)
+    store.apply(own, facts_of(own), lifecycle_of(own).drop("reject_reasons"))
+    return store.rows(), store.lifecycle()
+
+
+def dead_letters(life: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """M3: failed events that no replay takes up any more."""
+    return failed_events(life).where(F.col("attempts") >= max_attempts)
+
+
+def run_stored_rollup(spark: SparkSession, sf_dir: str, until: _dt.datetime | None = None, root: str | None = None,
+                      max_files_per_trigger: int | None = None, glob: str | None = None) -> RollupStore:
+    """Keep a stored minute rollup of the calls (before ``until``, if given) from the event stream."""
+    logs = logs_from_events(table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob))
+    if until is not None:
+        logs = logs.where(F.col("created_at") < F.lit(str(until)).cast(logs.schema["created_at"].dataType))
+    root = root or scratch_path(spark, "stored-rollup")
+    store = RollupStore(spark, f"{root}/store")
+    q = _start_with_partitions(logs.writeStream.outputMode("append").foreachBatch(store.apply)
+                               .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True), spark, None)
+    q.awaitTermination()
+    return store
 
 
 def _with_batch(schema: T.StructType) -> T.StructType:
@@ -217,16 +259,15 @@ def run_live_feed(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
 
 # --- L7 / L8: stateful span assembly with timeout -------------------------------------------------------
 
+CHUNK_STATE = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("us", T.LongType()), T.StructField("kind", T.StringType()),
+    T.StructField("delta", T.StringType()), T.StructField("prompt_tokens", T.IntegerType()),
+    T.StructField("completion_tokens", T.IntegerType())])
+
 SPAN_STATE = T.StructType([
-    T.StructField("started_us", T.LongType()), T.StructField("last_us", T.LongType()),
-    T.StructField("first_token_us", T.LongType()),
-    T.StructField("p_val", T.IntegerType()), T.StructField("p_seq", T.LongType()),
-    T.StructField("c_val", T.IntegerType()), T.StructField("c_seq", T.LongType()),
-    T.StructField("chunk_count", T.LongType()),
-    T.StructField("end_seq", T.LongType()), T.StructField("end_us", T.LongType()),
-    T.StructField("end_kind", T.StringType()),
-    T.StructField("buf_seq", T.ArrayType(T.LongType())), T.StructField("buf_delta", T.ArrayType(T.StringType())),
-])
+    T.StructField("end_seq", T.LongType()), T.StructField("end_us", T.LongType()), T.StructField("end_kind", T.StringType()),
+    T.StructField("error_type", T.StringType()), T.StructField("error_message", T.StringType()),
+    T.StructField("last_us", T.LongType()), T.StructField("timer", T.LongType()), T.StructField("done", T.BooleanType())])
 
 SPAN_OUT = T.StructType([
     T.StructField("span_id", T.StringType()), T.StructField("status", T.StringType()),
@@ -234,96 +275,127 @@ SPAN_OUT = T.StructType([
     T.StructField("first_token_us", T.LongType()),
     T.StructField("prompt_tokens", T.IntegerType()), T.StructField("completion_tokens", T.IntegerType()),
     T.StructField("chunk_count", T.LongType()), T.StructField("output_text", T.StringType()),
+    T.StructField("error_type", T.StringType()), T.StructField("error_message", T.StringType()),
 ])
 
-_KIND_STATUS = {"error": "ERROR", "cancelled": "CANCELLED", "end": "SUCCESS"}
-
 
-def _none_if_nan(v):
-    return None if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NA else v
+def _plain(v):
+    """A pandas cell as a Python value, NULL as None."""
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
+        return None
+    return v.item() if hasattr(v, "item") else v
 
 
-def make_span_updater(timeout_ms: int, max_chars: int = RESPONSE_CONTENT_CHARS):
-    """Per-span state update (vectorised per micro-batch with pandas).
+class SpanProcessor(StatefulProcessor):
+    """One span per key: its chunks in a list state, its end and timer in a value state.
 
-    State is bounded: scalars plus at most ``max_chars`` buffered deltas.  Events
-    of a span are assumed to arrive in ``seq`` order across micro-batches (any
-    order inside one batch).  An idle span times out in event time and is
-    emitted as TIMEOUT; an ended span is kept (done) until its timeout so that
-    stragglers after the end are ignored.
+    A span's row is a function of the set of its events, so batches may bring them in any order: the first end by
+    ``seq`` wins whenever it comes, and events after it do not count.  The list is read back as a stream; what is held
+    at a time is one batch's rows and the first ``max_chars`` non-empty deltas.  A span idle for ``timeout_ms`` of event
+    time is emitted as TIMEOUT unless it ended; its events go then, and a mark stays for the same time again, so that
+    stragglers do not open it anew.
     """
-    def emit(key, s, status):
-        buf = sorted(zip(s["buf_seq"] or [], s["buf_delta"] or []))
-        text = "".join(d for _, d in buf)[:max_chars]
-        return pd.DataFrame([{
-            "span_id": key, "status": status, "started_us": s["started_us"],
-            "ended_us": s["end_us"] if s["end_us"] is not None else s["last_us"],
-            "first_token_us": s["first_token_us"], "prompt_tokens": s["p_val"],
-            "completion_tokens": s["c_val"], "chunk_count": s["chunk_count"], "output_text": text}])
-
-    def update(key, pdfs, state):
-        span = key[0]
-        if state.hasTimedOut:
-            s = dict(zip([f.name for f in SPAN_STATE.fields], state.get))
-            state.remove()
-            if s["end_kind"] is None:
-                yield emit(span, s, "TIMEOUT")
+
+    def __init__(self, timeout_ms: int, max_chars: int = RESPONSE_CONTENT_CHARS):
+        self.timeout_ms, self.max_chars = timeout_ms, max_chars
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getListState("chunks", CHUNK_STATE)
+        self.info = handle.getValueState("info", SPAN_STATE)
+
+    def _info(self) -> dict:
+        have = self.info.get() if self.info.exists() else None
+        return dict(zip(SPAN_STATE.names, have)) if have else dict.fromkeys(SPAN_STATE.names)
+
+    def _set(self, info: dict, timer: int) -> None:
+        if info["timer"] is not None:
+            self.handle.deleteTimer(info["timer"])
+        self.handle.registerTimer(timer)
+        info["timer"] = timer
+        self.info.update(tuple(info[n] for n in SPAN_STATE.names))
+
+    def handleInputRows(self, key, rows, timerValues):
+        info = self._info()
+        if info["done"]:
+            for _ in rows:
+                pass
+            return
+        for pdf in rows:
+            cells = [tuple(_plain(v) for v in r) for r in pdf[[*CHUNK_STATE.names, "error_type", "error_message"]].itertuples(index=False, name=None)]
+            own = []
+            for seq, us, kind, delta, prompt, completion, error_type, message in cells:
+                own.append((int(seq), int(us), kind, delta, None if prompt is None else int(prompt), None if completion is None else int(completion)))
+                if kind in END_KINDS and (info["end_seq"] is None or seq < info["end_seq"]):
+                    info.update(end_seq=int(seq), end_us=int(us), end_kind=kind, error_type=error_type, error_message=message)
+                info["last_us"] = int(us) if info["last_us"] is None else max(info["last_us"], int(us))
+            if own:
+                self.chunks.appendList(own)
+        if info["last_us"] is None:
+            return
+        self._set(info, max(info["last_us"] // 1000 + self.timeout_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key[0], info, END_KINDS.get(info["end_kind"]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        info = self._info()
+        info["timer"] = None
+        if info["done"]:
+            self.info.clear()
             return
-        if state.exists:
-            s = dict(zip([f.name for f in SPAN_STATE.fields], state.get))
-        else:
-            s = {f.name: None for f in SPAN_STATE.fields}
-            s["chunk_count"] = 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-        ends = pdf[pdf["kind"].isin(list(_KIND_STATUS))]
-        if len(ends) and (s["end_seq"] is None or int(ends["seq"].iloc[0]) < s["end_seq"]):
-            first = ends.iloc[0]
-            s["end_seq"], s["end_us"], s["end_kind"] = int(first["seq"]), int(first["us"]), str(first["kind"])
-        if s["end_seq"] is not None:
-            pdf = pdf[pdf["seq"] <= s["end_seq"]]
-            if s["buf_seq"]:  # deltas buffered before the end became known
-                kept = [(a, b) for a, b in zip(s["buf_seq"], s["buf_delta"]) if a < s["end_seq"]]
-                s["buf_seq"], s["buf_delta"] = [a for a, _ in kept], [b for _, b in kept]
-        if len(pdf):
-            mn, mx = int(pdf["us"].min()), int(pdf["us"].max())
-            s["started_us"] = mn if s["started_us"] is None else min(s["started_us"], mn)
-            s["last_us"] = mx if s["last_us"] is None else max(s["last_us"], mx)
-            chunks = pdf[pdf["kind"] == "chunk"]
-            s["chunk_count"] = int(s["chunk_count"] or 0) + len(chunks)
-            tok = chunks[chunks["delta"].fillna("") != ""]
-            if len(tok):
-                ft = int(tok["us"].min())
-                s["first_token_us"] = ft if s["first_token_us"] is None else min(s["first_token_us"], ft)
-                seqs = list(s["buf_seq"] or []) + [int(x) for x in tok["seq"]]
-                deltas = list(s["buf_delta"] or []) + [str(x) for x in tok["delta"]]
-                keep = sorted(zip(seqs, deltas))[:max_chars]
-                s["buf_seq"], s["buf_delta"] = [a for a, _ in keep], [b for _, b in keep]
-            for col, val_k, seq_k in (("prompt_tokens", "p_val", "p_seq"), ("completion_tokens", "c_val", "c_seq")):
-                nn = pdf[pdf[col].notna()]
-                if len(nn):
-                    last = nn.iloc[-1]
-                    if s[seq_k] is None or int(last["seq"]) > s[seq_k]:
-                        s[val_k], s[seq_k] = int(last[col]), int(last["seq"])
-        state.update(tuple(_none_if_nan(s[f.name]) for f in SPAN_STATE.fields))
-        if s["last_us"] is not None:
-            state.setTimeoutTimestamp(max(s["last_us"] // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        yield emit(span, s, _KIND_STATUS.get(s["end_kind"]) if s["end_kind"] else None)
-
-    return update
-
-
-def run_spans(spark: SparkSession, sf_dir: str, timeout: _dt.timedelta = _dt.timedelta(days=1),
-              watermark: str = "10 minutes") -> DataFrame:
-    """Stateful span assembly; at the end of the input, open spans ended with their stream."""
-    c = chunks_from_events(table_stream(spark, sf_dir))
-    c = c.withColumn("kind", F.when(F.col("is_error"), F.lit("error")).otherwise(F.lit("chunk")))
+        if info["end_seq"] is None:
+            yield self._row(key[0], info, "TIMEOUT")
+        self.chunks.clear()
+        info["done"] = True
+        self._set(info, expiredTimerInfo.getExpiryTimeInMs() + max(self.timeout_ms, 1))
+
+    def close(self) -> None:
+        pass
+
+    def _row(self, span, info: dict, status):
+        end, start, last, token, count = info["end_seq"], None, None, None, 0
+        usage: dict[str, tuple] = {}
+        head: list[tuple] = []
+        for seq, us, kind, delta, prompt, completion in self.chunks.get():
+            if end is not None and seq > end:
+                continue
+            start, last = us if start is None else min(start, us), us if last is None else max(last, us)
+            for name, value in (("p", prompt), ("c", completion)):
+                if value is not None and (name not in usage or (seq, value) > usage[name]):
+                    usage[name] = (seq, value)
+            if kind == "chunk":
+                count += 1
+                if delta:
+                    token = us if token is None else min(token, us)
+                    head.append((seq, delta))
+                    if len(head) >= 2 * self.max_chars:
+                        head = sorted(head)[:self.max_chars]
+        text = "".join(d for seq, d in sorted(head) if end is None or seq < end)[:self.max_chars]
+        failed = info["end_kind"] == "error"
+        return pd.DataFrame([{
+            "span_id": span, "status": status, "started_us": start, "ended_us": last if end is None else info["end_us"],
+            "first_token_us": token, "prompt_tokens": usage.get("p", (0, None))[1], "completion_tokens": usage.get("c", (0, None))[1],
+            "chunk_count": count, "output_text": text, "error_type": info["error_type"] if failed else None,
+            "error_message": info["error_message"] if failed else None}]).astype(object).where(lambda d: d.notna(), None)
+
+
+def run_spans(spark: SparkSession, sf_dir: str, timeout: _dt.timedelta = _dt.timedelta(days=1), watermark: str = "10 minutes",
+              chunks=chunks_from_events, glob: str | None = None, root: str | None = None,
+              max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stateful span assembly; at the end of the input, spans still open ended with their stream.
+
+    ``chunks`` maps the event stream to chunk rows.  Rows later than ``watermark`` are dropped by the engine: choose it
+    as long as files may be late.
+    """
+    c = chunks(table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob))
+    if "kind" not in c.columns:
+        c = c.withColumn("kind", F.when(F.col("is_error"), F.lit("error")).otherwise(F.lit("chunk")))
+    c = c.withColumns({n: F.lit(None).cast("string") for n in ("error_type", "error_message") if n not in c.columns})
     c = _event_time(c, "ts").withColumn("us", F.unix_micros("__t"))
-    c = c.select("span_id", "seq", "us", "delta", "prompt_tokens", "completion_tokens", "kind", "__t")
+    c = c.where("seq is not null and us is not null").select("span_id", *CHUNK_STATE.names, "error_type", "error_message", "__t")
+    use_rocksdb_state(spark)
     out = (c.withWatermark("__t", watermark).groupBy("span_id")
-           .applyInPandasWithState(make_span_updater(int(timeout.total_seconds() * 1000)), SPAN_OUT, SPAN_STATE,
-                                   "update", GroupStateTimeout.EventTimeTimeout))
-    landed = run(out, spark, "stream-spans", "update")
-    cur = latest_per_key(landed, "span_id")
+           .transformWithStateInPandas(SpanProcessor(int(timeout.total_seconds() * 1000)), SPAN_OUT, "Update", "EventTime"))
+    cur = latest_per_key(run(out, spark, "stream-spans", "update", root=root), "span_id")
     ts = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
     from ..functions.normalize import total_tokens
     return cur.select(
@@ -332,6 +404,5 @@ def run_spans(spark: SparkSession, sf_dir: str, timeout: _dt.timedelta = _dt.tim
         F.floor((F.col("ended_us") - F.col("started_us")) / 1000).cast("long").alias("latency_ms"),
         F.floor((F.col("first_token_us") - F.col("started_us")) / 1000).cast("long").alias("ttft_ms"),
         F.coalesce("output_text", F.lit("")).alias("output_text"), "prompt_tokens", "completion_tokens",
-        total_tokens("prompt_tokens", "completion_tokens").alias("total_tokens"), "chunk_count",
-        F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error_message"),
-        F.lit(True).alias("streamed"))
+        total_tokens("prompt_tokens", "completion_tokens").alias("total_tokens"), "chunk_count", "error_type",
+        truncate_error_message("error_message").alias("error_message"), F.lit(True).alias("streamed"))
