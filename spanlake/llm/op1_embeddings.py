@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import components, save
@@ -29,6 +29,7 @@ from .store import components, save
 PIVOTS = 256
 NEAR, SHARED = 8, 3
 BLOCK = 2000
+DIMS = 32  # different vector lengths whose pivots are held at a time
 
 
 def usable(vec, label):
@@ -95,13 +96,18 @@ def _links(x: pd.DataFrame, y: pd.DataFrame | None, pivot: int, shared: int, thr
 def similar(members: DataFrame, threshold: float, near: int = NEAR, shared: int = SHARED) -> DataFrame:
     """``(a, b)``: members of one label with cosine ``threshold`` or more."""
     spark = members.sparkSession
-    # a bounded sample of pivots per dimension: those with the smallest hash
-    dims = [r.dim for r in members.select("dim").distinct().limit(1000).collect()]
-    pivots = {}
-    for dim in dims:
-        rows = members.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).select("vec").collect()
-        pivots[dim] = _matrix(pd.Series([r.vec for r in rows]))
-    told = save(describe(members, pivots, near), "pivot-members")
+    # a bounded sample of pivots per dimension: those with the smallest hash; DIMS dimensions at a time
+    dims = sorted(r.dim for r in members.select("dim").distinct().collect())
+    first = Window.partitionBy("dim").orderBy(F.xxhash64("rep"), "rep")
+    told = None
+    for at in range(0, max(len(dims), 1), DIMS):
+        own = members.where(F.col("dim").isin(dims[at:at + DIMS]))
+        rows = own.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PIVOTS).select("dim", "n", "vec").collect()
+        pivots: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: r.n):
+            pivots.setdefault(r.dim, []).append(r.vec)
+        part = save(describe(own, {d: _matrix(pd.Series(v)) for d, v in pivots.items()}, near), "pivot-members")
+        told = part if told is None else told.unionByName(part)
     # rarity of a pivot within its label; PIVOTS rows per label and dimension
     sizes = save(told.select("label", "dim", F.explode("pivots").alias("pivot")).groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")), "pivot-sizes")
     order = sizes.groupBy("label", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "pivot"))), lambda s: s.pivot).alias("order"))

@@ -2,8 +2,8 @@
 
 Method.  A rule is a host suffix with a path prefix; the longest that fits a URL decides it.  URLs that no rule
 fits take their decision from their aliases: nodes are canonical URL keys (scheme, ``www.``/``m.`` label, fragment,
-tracking parameters, a final slash or ``.html`` removed), edges come from pages to the targets of ``rel=canonical`` links and
-refresh redirects in their html, and connected components join whatever leads to one another.  A component
+tracking parameters, a final slash or ``.html`` removed), edges come from pages to the targets of all ``rel=canonical`` links and
+refresh redirects in their html, relative ones read on the page's URL, and connected components join whatever leads to one another.  A component
 with an explicitly allowed URL is allowed (allow precedence), else one with a blocked URL is blocked, else allowed.
 
 Scale.  Columns only, no Python.  Distinct URLs and edges shuffle, html does not leave the scan.  Rules match by
@@ -21,9 +21,12 @@ from .store import components, save
 # (action, host suffix, path prefix), from the contract
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 TRACKING = r"(?i)^(utm_[a-z]+|ref|gclid|fbclid)(=|$)"
-REL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+REL = r"(?is)\srel\s*=\s*(?:[\"'][^\"'>]*\bcanonical\b|canonical\b)"
+HREF = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
+REFRESH = r"(?is)\shttp-equiv\s*=\s*[\"']?refresh\b"
+HOP = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+SCHEME = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):"
 
 
 def _ascii_lower(c):
@@ -59,14 +62,34 @@ def longest_rule(host, path, rules=RULES):
     return out
 
 
+def resolve(target, base):
+    """``target`` as an absolute URL, read on the page ``base``: absolute, ``//host``, ``/path``, ``?query`` or relative
+    with ``.`` and ``..``; null for a mere fragment and for schemes without ``//``."""
+    scheme = F.substring_index(base, "://", 1)
+    rest = F.substring(base, F.instr(base, "://") + F.lit(3), F.length(base))
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1))
+    path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
+    own, tail = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1), F.lit("/"), own))
+    flat = F.aggregate(F.split(F.regexp_replace(whole, "^/", ""), "/"), F.lit(""), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.regexp_replace(done, r"/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x)))
+    return (F.when(target.startswith("#"), F.lit(None)).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(F.regexp_extract(target, SCHEME, 1) != "", F.when(F.instr(target, "://") > 0, target))
+            .when(target.startswith("?"), F.concat(root, path, target)).otherwise(F.concat(root, flat, tail)))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: distinct pairs of different URL keys joined by a redirect or a canonical link."""
-    link = F.regexp_extract(F.regexp_extract("html", REL, 0), HREF, 1)
-    hop = F.regexp_extract("html", REFRESH, 1)
+    """``(a, b)``: distinct pairs of different URL keys joined by a redirect or a canonical link.
+
+    Every ``link`` and ``meta`` element counts, with its attributes in any order."""
     # only documents with such an element are searched
     has = F.lower("html").contains("canonical") | F.lower("html").contains("refresh")
-    found = pages.where(has).select(url_key(F.col("url")).alias("a"), F.explode(F.array(link, hop)).alias("to"))
-    return (found.where("to <> '' and a is not null").select("a", url_key(F.col("to")).alias("b"))
+    tags = (pages.where(has & (F.instr("url", "://") > 0)).select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag")))
+    to = (F.when(F.col("tag").rlike(REL), F.regexp_extract("tag", HREF, 1))
+          .when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", HOP, 1)))
+    found = tags.withColumn("to", to).where("to <> ''").select(
+        url_key(F.col("url")).alias("a"), resolve(F.col("to"), F.col("url")).alias("to"))
+    return (found.select("a", url_key(F.col("to")).alias("b"))
             .where("b is not null and a <> b").distinct())
 
 
@@ -74,7 +97,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` per input row.
 
     A null URL or one without ``://`` has empty host and path, fits no rule and has no aliases: allowed.  Empty
-    and null html give no edges; relative targets are not followed; repeated rows stay; an empty table gives an
+    and null html give no edges; repeated rows stay; an empty table gives an
     empty result; other columns are not read.
     """
     own_host, own_path = split_url(F.col("url"))

@@ -26,11 +26,21 @@ hit AS (SELECT p.rid, r.action, r.host || r.path AS rule FROM parts p JOIN rules
   ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
   QUALIFY row_number() OVER (PARTITION BY p.rid ORDER BY length(r.host || r.path) DESC, r.action) = 1),
 judged AS (SELECT p.*, h.action, h.rule FROM parts p LEFT JOIN hit h USING (rid)),
-found AS (SELECT k AS a, regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'),
-    '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM parts WHERE html IS NOT NULL
-  UNION ALL SELECT k, regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-    FROM parts WHERE html IS NOT NULL),
-one AS (SELECT DISTINCT a, {_key('t')} AS b FROM found WHERE t <> '' AND a IS NOT NULL),
+tags AS (SELECT k AS a, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM parts WHERE k IS NOT NULL),
+raw AS (SELECT a, url, CASE WHEN regexp_matches(tag, '(?is)\\srel\\s*=\\s*(?:["''][^"''>]*\\bcanonical\\b|canonical\\b)')
+    THEN regexp_extract(tag, '(?is)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)\\shttp-equiv\\s*=\\s*["'']?refresh\\b')
+    THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1) END AS t FROM tags),
+base_of AS (SELECT a, t, split_part(url, '://', 1) AS scheme, regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1) AS authority,
+  regexp_extract(substr(url, strpos(url, '://') + 3), '(?s)^[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(t, '(?s)^([^?#]*)', 1) AS own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS tail FROM raw WHERE t <> ''),
+whole AS (SELECT *, regexp_replace(CASE WHEN starts_with(own, '/') THEN own ELSE regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) || '/' || own END, '^/', '') AS w FROM base_of),
+found AS (SELECT a, CASE WHEN starts_with(t, '#') THEN NULL WHEN starts_with(t, '//') THEN scheme || ':' || t
+    WHEN regexp_matches(t, '(?s)^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN strpos(t, '://') > 0 THEN t END
+    WHEN starts_with(t, '?') THEN scheme || '://' || authority || path || t
+    ELSE scheme || '://' || authority || list_reduce(list_prepend('', string_split(w, '/')), lambda done, x:
+      CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END) || tail END AS t FROM whole),
+one AS (SELECT DISTINCT a, {_key('t')} AS b FROM found WHERE t IS NOT NULL),
 edges AS (SELECT a, b FROM one WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM one WHERE b IS NOT NULL AND a <> b),
 reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 comp AS (SELECT a AS k, least(a, min(b)) AS c FROM reach GROUP BY a),

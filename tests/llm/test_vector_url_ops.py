@@ -107,3 +107,38 @@ def test_urls(spark):
     assert got[13][3] == "block" and got[12][3] == got[14][3] == "allow"  # an allowed alias goes before a blocked one
     assert got[15] == ("ok.com", "/z", "com/", "allow") and got[16][2] is None and got[17][2] == "com/"
     assert judge(df.limit(0)).count() == 0
+
+
+LINKED = [
+    (1, "http://a.org/x/y", "<link href='/bad' rel=\"alternate canonical\">"), (2, "http://a.org/bad", "<link rel=canonical href=//x.net/es/1>"),
+    (3, "http://x.net/es/1", None), (4, "http://b.org/d/e/f?q=1", "<META content=\"0; URL=../g/./h\" HTTP-EQUIV='Refresh'><link rel='canonical' href='http://x.net/fr/9'>"),
+    (5, "http://b.org/d/g/h", None), (6, "http://x.net/fr/9", ""), (7, "http://c.org/k", "<link rel=canonical href='#top'><link rel=canonical href='mailto:x@y.z'>"),
+    (8, "http://c.org/l/m", "<link rel=canonical href='?p=2'>"), (9, "http://c.org/l/m?p=2", "<link rel=canonical href='n'>"),
+    (10, "http://c.org/l/n", "<link rel=canonical href='http://www.example.com/en/z'><link rel=canonical href='http://x.net/es/7'>"),
+    (11, "http://x.net/es/7", None), (12, "http://d.org/", "<link data-rel=canonical href='http://x.net/es/1'><a rel=canonical href='http://x.net/es/1'>"),
+    (13, "no scheme", "<link rel=canonical href='http://x.net/es/1'>"), (14, "http://e.org", "<link rel=canonical href='../../bad'>"),
+    (15, "http://e.org/bad", "<link rel=canonical href='http://x.net/es/1'>"), (16, "http://www.example.com/en/z", None)]
+
+
+def test_all_and_relative_links_lead_to_aliases(spark):
+    import duckdb
+    from spanlake.llm.op7_urls import judge
+    from spanlake.llm.oracle import URL_FILTER
+    df = spark.createDataFrame(LINKED, "page_id long, url string, html string")
+    rows = judge(df).collect()
+    got = {r.page_id: r.verdict for r in rows}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 11, 14, 15}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", LINKED)
+    assert sorted(map(str, con.execute(URL_FILTER).fetchall())) == sorted(str(tuple(r)) for r in rows)
+
+
+def test_vectors_of_many_lengths(spark):
+    """Any number of different lengths; equal vectors of each link."""
+    from spanlake.llm.op1_embeddings import near_duplicates
+    rows = [(2 * n + c, [float(i % 7 + 1) for i in range(n)], 0) for n in range(1, 41) for c in (0, 1)]
+    rows += [(1000 + n, [float(i % 7 + 1) for i in range(n)][:-1] + [9.0], 0) for n in range(2, 41)]
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert all(got[2 * n + 1].component_id == got[2 * n].component_id and got[2 * n].n_links >= 1 for n in range(1, 41))
+    assert len(got) == len(rows)
