@@ -11,7 +11,8 @@ Recall is that of sharing pivots; tests hold it against brute force (no link is
 
 Scale.  Equal vectors of one label are one member with a count, however many there are.  Lists are cut into
 blocks of ``BLOCK`` members; a task compares two blocks, so no list, label or hot pivot has to fit in one task, and
-each pair is reported in the first list that both are posted to.  Only pairs at the threshold leave a task.
+each pair counts in the first list that both are posted to.  A task sums its links per member and keeps one edge per
+member, so a group of near copies sends rows in proportion to its members, not to its pairs.
 """
 
 from __future__ import annotations
@@ -62,11 +63,11 @@ def describe(members: DataFrame, pivots: dict[int, np.ndarray], near: int) -> Da
                     for i, o in zip(own.tolist(), order.tolist()):
                         out[i] = o
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, "pivots"])
-    return members.mapInArrow(run, "label long, dim int, rep long, vec array<double>, pivots array<int>")
+    return members.mapInArrow(run, "label long, dim int, rep long, vec array<double>, copies long, pivots array<int>")
 
 
 def _links(x: pd.DataFrame, y: pd.DataFrame | None, pivot: int, shared: int, threshold: float) -> pd.DataFrame:
-    """Pairs at the threshold in this list, unless they meet in an earlier one."""
+    """Links at the threshold in this list, unless they meet in an earlier one, folded per member."""
     same = y is None
     y = x if same else y
     a, b = _matrix(x["vec"]), _matrix(y["vec"])
@@ -90,11 +91,31 @@ def _links(x: pd.DataFrame, y: pd.DataFrame | None, pivot: int, shared: int, thr
     sy = [set(p) for p in py]  # posted lists come in the common order
     first = [next(p for p in px[m] if p in sy[n]) == pivot for m, n in zip(i.tolist(), j.tolist())]
     i, j = i[first] if len(i) else i, j[first] if len(j) else j
-    return pd.DataFrame({"a": x["rep"].to_numpy()[i], "b": y["rep"].to_numpy()[j]})
+    return _folded(x["rep"].to_numpy()[i], y["rep"].to_numpy()[j], x["copies"].to_numpy()[i], y["copies"].to_numpy()[j])
+
+
+def _folded(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> pd.DataFrame:
+    """Pairs as one row per member: the vectors it links to, and the smallest member that these pairs lead to."""
+    ids, at = np.unique(np.concatenate([a, b]).astype(np.int64), return_inverse=True)
+    i, j = at[:len(a)], at[len(a):]
+    far = np.zeros(len(ids), np.int64)
+    np.add.at(far, i, of_b.astype(np.int64))
+    np.add.at(far, j, of_a.astype(np.int64))
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return pd.DataFrame({"rep": ids, "far": far, "root": ids[root]})
+        root = new
 
 
 def similar(members: DataFrame, threshold: float, near: int = NEAR, shared: int = SHARED) -> DataFrame:
-    """``(a, b)``: members of one label with cosine ``threshold`` or more."""
+    """``(rep, far, root)`` per member and task that finds links of it: members of one label link at cosine ``threshold``
+    or more; ``far`` sums the copies linked, ``(rep, root)`` are edges with the components of all links."""
     spark = members.sparkSession
     # a bounded sample of pivots per dimension: those with the smallest hash; DIMS dimensions at a time
     dims = sorted(r.dim for r in members.select("dim").distinct().collect())
@@ -121,16 +142,16 @@ def similar(members: DataFrame, threshold: float, near: int = NEAR, shared: int
         "own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # a member of block k meets the blocks k.. and is met by the blocks ..k
     seats = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "dim", "pivot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "vec", "pivots", "posted")
+        "label", "dim", "pivot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "copies", "vec", "pivots", "posted")
 
     def meet(df: pd.DataFrame) -> pd.DataFrame:
         pivot, x, y = int(df["pivot"].iloc[0]), int(df["x"].iloc[0]), int(df["y"].iloc[0])
         if x == y:
             return _links(df.reset_index(drop=True), None, pivot, shared, threshold)
         a, b = df[df["own"] == x].reset_index(drop=True), df[df["own"] == y].reset_index(drop=True)
-        return _links(a, b, pivot, shared, threshold) if len(a) and len(b) else pd.DataFrame({"a": [], "b": []})
+        return _links(a, b, pivot, shared, threshold) if len(a) and len(b) else pd.DataFrame({"rep": [], "far": [], "root": []})
 
-    return seats.groupBy("label", "dim", "pivot", "x", "y").applyInPandas(meet, "a long, b long")
+    return seats.groupBy("label", "dim", "pivot", "x", "y").applyInPandas(meet, "rep long, far long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, near: int = NEAR, shared: int = SHARED, id_col: str = "vec_id",
@@ -148,11 +169,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, near: int = NEA
     base = save(base.withColumn("print", F.xxhash64("label", "vec")), "pivot-rows")
     members = save(base.where("vec is not null").groupBy("label", "dim", "print", "vec").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "pivot-distinct")
-    pairs = save(similar(members.select("label", "dim", "rep", "vec"), threshold, near, shared), "pivot-links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = members.select(F.col("rep").alias("b"), "copies")
-    links = both.join(size, "b").groupBy("a").agg(F.sum("copies").alias("far"))
-    comp = components(pairs, "pivot-components")
+    found = save(similar(members.select("label", "dim", "rep", "vec", "copies"), threshold, near, shared), "pivot-links")
+    links = found.groupBy(F.col("rep").alias("a")).agg(F.sum("far").alias("far"))
+    comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "pivot-components")
     told = save(members.join(links, members.rep == links.a, "left").join(comp, members.rep == comp.node, "left").select(
         "label", "print", "rep", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component_id")), "pivot-told")
