@@ -80,13 +80,15 @@ def after_cursor(logs: DataFrame, cursor, cursor_id: str | None = None,
 def logs_page(logs: DataFrame, limit: int = 50, provider: str | None = None,
               model: str | None = None, status: str | None = None, conversation_id=None,
               cursor=None, cursor_id: str | None = None, mode: str = "default",
-              since: _dt.datetime | None = None) -> DataFrame:
+              since: _dt.datetime | None = None, enrich=None) -> DataFrame:
     """T1 + T2: newest-first page with ``next_cursor`` / ``next_cursor_id`` columns.
 
     ``next_cursor`` is the created_at of the last kept row when one more row
     exists, else NULL (same value on every row of the page).  ``since`` (not in
     the reference) bounds the scan from below; on a fact table partitioned by
     ``dt`` it also prunes older date folders, so a page reads recent data only.
+    ``enrich`` adds columns that live elsewhere (previews) to the page's rows:
+    the top is taken first, so at most ``limit + 1`` rows are joined.
     """
     if not 1 <= limit <= LOG_PAGE_MAX:
         raise ValueError(f"limit must be in 1..{LOG_PAGE_MAX}")
@@ -100,7 +102,8 @@ def logs_page(logs: DataFrame, limit: int = 50, provider: str | None = None,
         if "dt" in logs.columns and isinstance(cursor, _dt.datetime):
             f = f.filter(F.col("dt") <= F.lit(cursor.date()))
     order = [F.desc("created_at"), F.desc("id")]
-    top = list_projection(f).orderBy(*order).limit(limit + 1)
+    top = f.orderBy(*order).limit(limit + 1)
+    top = list_projection(top if enrich is None else enrich(top))
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = (top.withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
               .withColumn("_n", F.count(F.lit(1)).over(w)))

@@ -29,7 +29,7 @@ from ..schemas import DEFAULT_AS_OF, INFERENCE_STATUS
 from ..session import scratch_path
 from ..sources.events import batch_bodies, loose_payloads, parse_events, payloads_from_events, read_json_events
 from ..sources.fixtures import (call_logs, chunk_events, conversation_messages, ended_chunks, provider_bodies,
-                                raw_events, span_context)
+                                raw_events, span_context, with_previews)
 from ..sources.prices import price_catalog
 from ..sources.tables import read_table
 from ..streaming import jobs as ST
@@ -79,17 +79,19 @@ register("ts_cost_30d_by_provider", O.timeseries_sql("cost", "30d", "provider"))
 # --- log explorer --------------------------------------------------------------------------
 
 
+def _page(spark, sf, limit, **args):
+    return X.logs_page(call_logs(spark, sf), limit, enrich=lambda top: with_previews(spark, sf, top), **args)
+
+
 register("logs_page", O.logs_page_sql(50))(
-    lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 50))
+    lambda spark, sf: _page(spark, sf, 50))
 register("logs_filtered", O.logs_page_sql(20, "provider = 'ANTHROPIC' AND status = 'ERROR'"))(
-    lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 20, provider="anthropic",
-                                  status="error"))
+    lambda spark, sf: _page(spark, sf, 20, provider="anthropic", status="error"))
 register("logs_next_page", O.logs_page_sql(
     100, "model = 'gpt-4o' AND created_at < TIMESTAMP '2024-01-15 00:00:00'"))(
-    lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 100, model="gpt-4o",
-                                  cursor="2024-01-15 00:00:00", mode="reference"))
+    lambda spark, sf: _page(spark, sf, 100, model="gpt-4o", cursor="2024-01-15 00:00:00", mode="reference"))
 register("logs_by_conversation", O.logs_page_sql(200, "conversation_id = 7"))(
-    lambda spark, sf: X.logs_page(call_logs(spark, sf, previews=True), 200, conversation_id=7))
+    lambda spark, sf: _page(spark, sf, 200, conversation_id=7))
 register("log_detail", O.log_detail_sql("42"))(
     lambda spark, sf: X.log_detail(call_logs(spark, sf, previews=True), "42", stored_key="event_id"))
 
@@ -375,3 +377,6 @@ def _replay_parents(spark, sf):
 
 
 register("replay_parents", O.replay_parents_sql())(_replay_parents)
+# randomised sketches have no SQL twin; tests hold their rank error against exact percentiles
+register("sketch_percentiles_from_rollups")(
+    lambda spark, sf: RU.sketch_summary(RU.reaggregate_with_sketch(RU.rollup_with_sketch(call_logs(spark, sf)), "1 hour"), "30d", DEFAULT_AS_OF))

@@ -93,6 +93,14 @@ def call_logs(spark: SparkSession, sf_dir: str, previews: bool = False) -> DataF
     return logs
 
 
+def with_previews(spark: SparkSession, sf_dir: str, page: DataFrame) -> DataFrame:
+    """A page's rows with their previews; the documents are cut to the page's ids (a page is a bounded number of rows)
+    before anything else is done with them."""
+    ids = page.select(F.col("event_id").alias("doc_id"))
+    hit = document_previews(read_table(spark, sf_dir, "documents").join(F.broadcast(ids), "doc_id", "left_semi")).drop("whole_text")
+    return page.join(hit, page["event_id"] == hit["preview_doc_id"], "left").drop("preview_doc_id")
+
+
 def chunk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streamed chunks: one span per user; ``view`` events carry empty deltas."""
     return chunks_from_events(read_table(spark, sf_dir, "events"))

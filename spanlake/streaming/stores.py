@@ -75,6 +75,25 @@ def _read(spark: SparkSession, folders: list[str], schema: T.StructType) -> Data
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Delete the data folders below a store's ``root`` that its manifest no longer names; returns their number.
+
+    For times when no job writes and no older read is open: a plan made before the last switch may still read them.
+    """
+    now = Manifest(spark, root).read()
+    named = [*now.get("batches", []), *now.get("life", []), *([now["snapshot"]] if now.get("snapshot") else []),
+             *(f for folders in now.get("seen", {}).values() for f in folders), *now.get("days", {}).values()]
+    gone = 0
+    for kind in ("folded", "life", "snapshot", "seen", "days", "parts"):
+        fs, folder = _path(spark, f"{root}/{kind}")
+        for s in fs.listStatus(folder) if fs.exists(folder) else []:
+            path = f"{root}/{kind}/{s.getPath().getName()}"
+            if not any(n == path or n.startswith(path + "/") for n in named):
+                fs.delete(s.getPath(), True)
+                gone += 1
+    return gone
+
+
 # --- G16 / L3: stored rollup ------------------------------------------------------------------------
 
 class RollupStore:

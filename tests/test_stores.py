@@ -19,7 +19,7 @@ from spanlake.session import scratch_path
 from spanlake.sources.events import parse_events
 from spanlake.sources.fixtures import call_logs, ended_chunks
 from spanlake.streaming import jobs as ST
-from spanlake.streaming.stores import FactStore, Manifest, RollupStore
+from spanlake.streaming.stores import FactStore, Manifest, RollupStore, vacuum
 
 
 def _files(spark, name, parts):
@@ -94,6 +94,10 @@ def test_facts_read_one_snapshot_and_few_batches(spark, monkeypatch):
     now = FactStore(spark, root + "/job/store").manifest.read()
     assert now["batch"] == 8 and now["snapshot"] and len(now["batches"]) < 3 and len(now["life"]) <= 3
     assert max(len(f) for f in now["seen"].values()) <= 3
+    before = sorted(map(str, facts.collect()))
+    assert vacuum(spark, root + "/job/store") > 0 and vacuum(spark, root + "/job/store") == 0
+    store = FactStore(spark, root + "/job/store")
+    assert sorted(map(str, store.rows().select(facts.columns).collect())) == before and store.lifecycle().count() == life.count()
 
 
 def test_events_without_id_are_kept_and_repeats_fold_by_receive_time(spark):
@@ -182,3 +186,30 @@ def test_unknown_conversations(spark):
     facts, life = I.ingest(raw, parents=parents)
     assert {r.event_id: r.error for r in life.collect()} == {0: None, 1: "unknown_conversation", 2: None}
     assert {r.event_id for r in facts.collect()} == {0, 2}
+
+
+def test_sketches_merge_without_a_ceiling(spark):
+    from spanlake.operators.rollup import reaggregate_with_sketch, rollup_with_sketch, sketch_summary
+    t = dt.datetime(2024, 1, 30)
+    logs = (spark.range(4000).select((F.lit(str(t)).cast("timestamp") + F.make_interval(mins=(F.col("id") % 600).cast("int"))).cast("timestamp_ntz").alias("created_at"),
+                                     F.lit("OPENAI").alias("provider"), F.lit("m").alias("model"), F.lit("SUCCESS").alias("status"),
+                                     F.when(F.col("id") >= 3900, F.lit(10 ** 9) + F.col("id")).otherwise(F.col("id")).alias("latency_ms"),
+                                     F.lit(1).alias("ttft_ms"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"),
+                                     F.lit(0).cast("decimal(12,6)").alias("cost_usd")))
+    rolled = reaggregate_with_sketch(rollup_with_sketch(logs), "1 hour")
+    r = sketch_summary(rolled, "30d", DEFAULT_AS_OF).first()
+    exact = sorted(x.latency_ms for x in logs.select("latency_ms").collect())
+    for q, got in ((0.5, r[2]), (0.95, r[3]), (0.99, r[4])):
+        assert abs(sum(x <= got for x in exact) / len(exact) - q) <= 0.03
+    assert r.total_requests == 4000 and r[4] >= 10 ** 9
+    none = sketch_summary(rolled.limit(0), "30d", DEFAULT_AS_OF).first()
+    assert none.total_requests == 0 and none[2] is None
+
+
+def test_pages_join_their_own_rows_only(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["logs_page"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert plan.count("TakeOrderedAndProject") >= 2 and any("LeftSemi" in x and "BroadcastHashJoin" in x for x in joins)
+    documents = plan[plan.index("LeftSemi"):]
+    assert "doc_id" in documents
