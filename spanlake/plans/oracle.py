@@ -815,3 +815,25 @@ SELECT event_id, CASE WHEN latency_ms >= 0 AND status <> 'BOGUS' AND known THEN
   NULLIF(concat_ws(',', CASE WHEN latency_ms < 0 THEN 'negative_latency_ms' END, CASE WHEN status = 'BOGUS' THEN 'bad_status' END,
                    CASE WHEN NOT known THEN 'unknown_conversation' END), '') AS error,
   CASE WHEN latency_ms >= 0 AND status <> 'BOGUS' AND known_first THEN 1 ELSE 2 END AS attempts FROM k"""
+
+
+# --- rows that reach every branch -------------------------------------------------------------------
+
+def pii_types_sql() -> str:
+    from ..functions.pii import PII_TYPES
+    from ..sources.fixtures import PLANTED_TEXT
+    ctes, last = pii_chain_sql(f"(SELECT doc_id, {PLANTED_TEXT} AS text FROM documents)", "text")
+    return f"WITH {ctes}\nSELECT doc_id, __t AS text_redacted, {', '.join(f'pii_{n}' for n in PII_TYPES)} FROM {last}"
+
+
+def url_forms_sql() -> str:
+    from ..sources.fixtures import URL_FORMS
+    return f"SELECT page_id, url, {_duck_url_cols('url')} FROM (SELECT page_id, {URL_FORMS} AS url FROM pages) p"
+
+
+def model_ids_sql() -> str:
+    from ..functions.urls import MODEL_FAMILY_PREFIXES
+    from ..sources.fixtures import MODEL_IDS
+    cases = " ".join(f"WHEN starts_with(lower(model), '{p}') THEN '{f}'" for p, f in MODEL_FAMILY_PREFIXES)
+    return f"""SELECT model, COUNT(*) AS calls, CASE {cases} ELSE 'bedrock' END AS family
+FROM (SELECT {MODEL_IDS} AS model FROM events) e GROUP BY model"""

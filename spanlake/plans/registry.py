@@ -28,8 +28,9 @@ from ..operators.metrics import in_range
 from ..schemas import DEFAULT_AS_OF, INFERENCE_STATUS
 from ..session import scratch_path
 from ..sources.events import batch_bodies, loose_payloads, parse_events, payloads_from_events, read_json_events
-from ..sources.fixtures import (call_logs, chunk_events, conversation_messages, ended_chunks, provider_bodies,
-                                raw_events, span_context, with_previews)
+from ..sources.facts import find_by_id, write_by_id
+from ..sources.fixtures import (MODEL_IDS, PLANTED_TEXT, URL_FORMS, call_logs, chunk_events, conversation_messages,
+                                ended_chunks, provider_bodies, raw_events, span_context, with_previews)
 from ..sources.prices import price_catalog
 from ..sources.tables import read_table
 from ..streaming import jobs as ST
@@ -380,3 +381,31 @@ register("replay_parents", O.replay_parents_sql())(_replay_parents)
 # randomised sketches have no SQL twin; tests hold their rank error against exact percentiles
 register("sketch_percentiles_from_rollups")(
     lambda spark, sf: RU.sketch_summary(RU.reaggregate_with_sketch(RU.rollup_with_sketch(call_logs(spark, sf)), "1 hour"), "30d", DEFAULT_AS_OF))
+
+# --- stored lookup, micro-batches by events, rows that reach every branch -----------------------------
+
+
+def _log_detail_stored(spark, sf):
+    path = scratch_path(spark, "logs-by-id")
+    write_by_id(call_logs(spark, sf, previews=True), path)
+    return X.log_detail(find_by_id(spark, path, "42"), "42")
+
+
+register("log_detail_stored", O.log_detail_sql("42"))(_log_detail_stored)
+
+
+def _json_lines(spark, sf):
+    path = scratch_path(spark, "json-lines")
+    events = payloads_from_events(read_table(spark, sf, "events"))
+    events.select(F.col("payload").alias("value")).write.text(path)
+    return MG.event_status_counts(ST.run_ingest_lines(spark, path, max_events=20000)[1])
+
+
+register("stream_json_lines", O.event_status_counts_sql())(_json_lines)
+register("pii_types_docs", O.pii_types_sql())(
+    lambda spark, sf: R.redact_column(read_table(spark, sf, "documents").select("doc_id", F.expr(PLANTED_TEXT).alias("text")), "text", "text_redacted",
+                                      with_detections=False).select("doc_id", "text_redacted", *[f"pii_{n}" for n in PII_TYPES]))
+register("classify_url_forms", O.url_forms_sql())(
+    lambda spark, sf: RP.classify_urls(read_table(spark, sf, "pages").select("page_id", F.expr(URL_FORMS).alias("url"))))
+register("model_family_ids", O.model_ids_sql())(
+    lambda spark, sf: RP.model_families(read_table(spark, sf, "events").select(F.expr(MODEL_IDS).alias("model"))))

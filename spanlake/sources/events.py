@@ -194,15 +194,20 @@ def kafka_json_events(spark: SparkSession, bootstrap_servers: str, topic: str,
     its id and the downstream fold stays idempotent; ``received_at`` is the
     broker timestamp.  ``max_offsets_per_trigger`` bounds each micro-batch (L5).
     """
+    return parse_events(kafka_payloads(spark, bootstrap_servers, topic, starting_offsets, max_offsets_per_trigger))
+
+
+def kafka_payloads(spark: SparkSession, bootstrap_servers: str, topic: str, starting_offsets: str = "latest",
+                   max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """The unparsed messages of a topic as ``event_id, received_at, payload``, the input of an ingest job."""
     r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
          .option("subscribe", topic).option("startingOffsets", starting_offsets))
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
-    raw = r.load().select(
+    return r.load().select(
         (F.col("partition").cast("long") * F.lit(1 << 40) + F.col("offset")).alias("event_id"),
         F.col("timestamp").alias("received_at"),
         F.col("value").cast("string").alias("payload"))
-    return parse_events(raw)
 
 
 def to_kafka_rows(df: DataFrame, key_col: str = "id") -> DataFrame:

@@ -212,3 +212,40 @@ def provider_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
              ELSE to_json(named_struct('usage_metadata', named_struct('prompt_token_count', event_id % 800,
                  'candidates_token_count', event_id % 70)))
            END AS response_body""")
+
+
+# --- rows that reach every PII type, URL form and model family ---------------------------------------
+# SQL expressions that Spark and DuckDB read alike, over the columns of the given tables.
+
+_MD5 = "md5(CAST(doc_id AS STRING))"
+PLANTED_TEXT = f"""CASE doc_id % 9
+ WHEN 0 THEN 'ssn ' || CAST(100 + doc_id % 900 AS STRING) || '-' || CAST(10 + doc_id % 90 AS STRING) || '-' || CAST(1000 + doc_id % 9000 AS STRING) || ' of '
+ WHEN 1 THEN 'card 4111 1111 1111 1111, not 4111 1111 1111 1112: '
+ WHEN 2 THEN 'key AKIA' || substr(upper({_MD5}), 1, 16) || ' and '
+ WHEN 3 THEN 'key sk-' || substr({_MD5}, 1, 24) || ' and AKIA' || substr({_MD5}, 1, 5) || ' '
+ WHEN 4 THEN 'key AIza' || {_MD5} || 'x-_ for '
+ WHEN 5 THEN 'see https://host.example/?a=1&token=' || substr({_MD5}, 1, 12) || '&b=2 password=' || substr({_MD5}, 5, 8) || ' '
+ WHEN 6 THEN 'ssn 123 45 6789 from 10.0.' || CAST(doc_id % 300 AS STRING) || '.7 '
+ WHEN 7 THEN 'card 5500-0000-0000-0004 of user' || CAST(doc_id AS STRING) || '@mail.example.org '
+ ELSE '' END || COALESCE(text, '')"""
+
+URL_FORMS = """CASE page_id % 16
+ WHEN 0 THEN 'https://api.openai.com/v1/' || CAST(page_id AS STRING)
+ WHEN 1 THEN 'https://api.anthropic.com'
+ WHEN 2 THEN ' generativelanguage.googleapis.com/v1beta/ '
+ WHEN 3 THEN 'https://r' || CAST(page_id AS STRING) || '.openai.azure.com/'
+ WHEN 4 THEN 'bedrock://eu-west-' || CAST(page_id % 3 + 1 AS STRING)
+ WHEN 5 THEN 'bedrock:ap-south-1/'
+ WHEN 6 THEN 'bedrock://'
+ WHEN 7 THEN 'https://bedrock-runtime.us-west-2.amazonaws.com/model'
+ WHEN 8 THEN 'https://bedrock.eu-central-1.api.aws'
+ WHEN 9 THEN 'https://vpce-0a.bedrock-runtime.sa-east-1.vpce.amazonaws.com'
+ WHEN 10 THEN 'http://localhost:11434/'
+ WHEN 11 THEN 'http://Ollama.internal:8080/v1'
+ WHEN 12 THEN 'user:pw@LLM' || CAST(page_id % 5 AS STRING) || '.example.com:9000//'
+ WHEN 13 THEN ''
+ WHEN 14 THEN NULL
+ ELSE url END"""
+
+MODEL_IDS = """CASE event_id % 8 WHEN 0 THEN 'anthropic.claude-3' WHEN 1 THEN 'Amazon.titan' WHEN 2 THEN 'meta.llama3' WHEN 3 THEN 'mistral.large'
+ WHEN 4 THEN 'cohere.command' WHEN 5 THEN 'ai21.jamba' WHEN 6 THEN 'metallic' ELSE NULL END"""

@@ -31,6 +31,7 @@ from ..operators.rollup import reaggregate, rollup
 from ..operators.spans import END_KINDS
 from ..schemas import DEFAULT_AS_OF, RANGE_BUCKET, RANGE_INTERVAL, RESPONSE_CONTENT_CHARS
 from ..session import scratch_path
+from ..sources.admission import stream_json_lines
 from ..sources.events import bronze, parse_events, payloads_from_events
 from ..sources.fixtures import chunks_from_events, logs_from_events
 from ..sources.tables import read_table
@@ -195,12 +196,28 @@ def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] |
     """
     payloads = payloads_from_events(table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob))
     root = root or scratch_path(spark, "stream-upsert")
-    store = FactStore(spark, f"{root}/store", compact_every)
-    q = _start_with_partitions(payloads.writeStream.outputMode("append")
-                               .foreachBatch(lambda b, i: land_events(store, root, b, i, redact, parents))
-                               .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True),
-                               spark, None)
+    q = start_ingest(payloads, spark, root, redact, parents, compact_every)
     q.awaitTermination()
+    return ingested(payloads, spark, root, fold_columns)
+
+
+def start_ingest(payloads: DataFrame, spark: SparkSession, root: str, redact: bool = True, parents=None,
+                 compact_every: int = 8, trigger: dict | None = None):
+    """L2: an ingest job over any stream of ``event_id, received_at, payload`` (tables, JSON lines, Kafka); the running query.
+
+    ``trigger`` defaults to availableNow; L5 is ``{"processingTime": "0 seconds"}`` over ``stream_json_lines``, which cuts
+    the batches itself.  Everything lands below ``root``.
+    """
+    store = FactStore(spark, f"{root}/store", compact_every)
+    return _start_with_partitions(payloads.writeStream.outputMode("append")
+                                  .foreachBatch(lambda b, i: land_events(store, root, b, i, redact, parents))
+                                  .option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})),
+                                  spark, None)
+
+
+def ingested(payloads: DataFrame, spark: SparkSession, root: str, fold_columns: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The (facts, lifecycle) below ``root`` now; empty tables of the same columns before the first batch."""
+    store = FactStore(spark, f"{root}/store")
     facts, life = store.rows(), store.lifecycle()
     if facts is None:
         none = check_events(parse_events(spark.createDataFrame([], payloads.schema).withColumn("attempts", F.lit(0))))
@@ -208,6 +225,19 @@ def run_upsert(spark: SparkSession, sf_dir: str, fold_columns: tuple[str, ...] |
     return (facts.select(*fold_columns, "versions") if fold_columns else facts), life
 
 
+def run_ingest_lines(spark: SparkSession, path: str, max_events: int = 20, root: str | None = None, redact: bool = True,
+                     parents=None) -> tuple[DataFrame, DataFrame]:
+    """Take in all JSON lines below ``path`` in micro-batches of at most ``max_events``; returns (facts, lifecycle)."""
+    payloads = stream_json_lines(spark, path, max_events, max_wait_ms=0)
+    root = root or scratch_path(spark, "stream-lines")
+    q = start_ingest(payloads, spark, root, redact, parents, trigger={"processingTime": "0 seconds"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return ingested(payloads, spark, root)
+
+
 def replay_events(spark: SparkSession, root: str, parents: DataFrame | None = None, amend=None, max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:
     """M3: the failed events of a job, checked again under today's rules; returns (facts, lifecycle) after it.
 
