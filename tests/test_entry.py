@@ -8,8 +8,9 @@ def test_entry_runs(spark):
 
 
 def test_oracle_keys_are_registered():
-    # every query of the core package has a SQL twin (none is a rows-only check)
-    assert set(E.ORACLES) == set(E.QUERIES)
+    # every query of the core package has a SQL twin but the randomised sketches, whose rank error test_stores.py checks
+    assert set(E.ORACLES) <= set(E.QUERIES)
+    assert set(E.QUERIES) - set(E.ORACLES) == {"sketch_percentiles_from_rollups"}
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
