@@ -2,9 +2,8 @@
 
 * ``attach_cost``: recompute ``cost_usd`` from tokens with the fixed catalog
   (map-literal lookup, no join) or with a user catalog DataFrame (J6).
-* ``join_prices``: J6 with a user catalog.  The catalog side is broadcast only
-  after its row count is checked against ``max_broadcast_rows``; beyond that
-  the join stays a shuffle join planned by Spark/AQE.
+* ``join_prices``: J6 with a user catalog; how it joins is left to Spark and AQE,
+  and a key that the catalog repeats counts once.
 * ``backfill_tokens``: C4 as a column rewrite over the whole fact table.
 """
 

@@ -64,7 +64,7 @@ def ensure_utc(spark: SparkSession) -> None:
     """Bucket boundaries and range filters are defined in UTC; see RUNTIME_CONF.
 
     Also ships this package to the executors' Python workers (the stateful span
-    function and the JSON UDF are resolved by module there).
+    function and the JSON line source are resolved by module there).
     """
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)

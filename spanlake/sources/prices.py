@@ -4,7 +4,7 @@ Rates are exact decimals per token (``DECIMAL(12,9)``): a double rate would make
 the stored ``DECIMAL(12,6)`` cost depend on float rounding.  The catalog is a
 fixed, small constant, so the default lookup is a map literal evaluated inside
 the projection (no join, no exchange).  A user catalog can be passed as a
-DataFrame; it is joined with a size-checked broadcast (see operators.cost).
+DataFrame, whose join is left to the planner (see operators.cost).
 """
 
 from __future__ import annotations
