@@ -18,24 +18,21 @@ from __future__ import annotations
 
 import datetime as _dt
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.normalize import truncate_error_message
 from ..operators.ingest import audit_rows, check_events, facts_of, lifecycle_of, live_row
 from ..operators.merge import failed_events, fold_latest, latest_per_key
 from ..operators.rollup import reaggregate, rollup
-from ..operators.spans import END_KINDS
-from ..schemas import DEFAULT_AS_OF, RANGE_BUCKET, RANGE_INTERVAL, RESPONSE_CONTENT_CHARS
+from ..schemas import DEFAULT_AS_OF, RANGE_BUCKET, RANGE_INTERVAL
 from ..session import scratch_path
 from ..sources.admission import stream_json_lines
 from ..sources.events import bronze, parse_events, payloads_from_events
 from ..sources.fixtures import chunks_from_events, logs_from_events
 from ..sources.tables import read_table
-from .stores import FactStore, RollupStore
+from .stores import SPAN_CHUNK, SPAN_ROW, FactStore, RollupStore, SpanStore
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str = "events",
@@ -289,143 +286,34 @@ def run_live_feed(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
 
 # --- L7 / L8: stateful span assembly with timeout -------------------------------------------------------
 
-CHUNK_STATE = T.StructType([
-    T.StructField("seq", T.LongType()), T.StructField("us", T.LongType()), T.StructField("kind", T.StringType()),
-    T.StructField("delta", T.StringType()), T.StructField("prompt_tokens", T.IntegerType()),
-    T.StructField("completion_tokens", T.IntegerType())])
-
-SPAN_STATE = T.StructType([
-    T.StructField("end_seq", T.LongType()), T.StructField("end_us", T.LongType()), T.StructField("end_kind", T.StringType()),
-    T.StructField("error_type", T.StringType()), T.StructField("error_message", T.StringType()),
-    T.StructField("last_us", T.LongType()), T.StructField("timer", T.LongType()), T.StructField("done", T.BooleanType())])
-
-SPAN_OUT = T.StructType([
-    T.StructField("span_id", T.StringType()), T.StructField("status", T.StringType()),
-    T.StructField("started_us", T.LongType()), T.StructField("ended_us", T.LongType()),
-    T.StructField("first_token_us", T.LongType()),
-    T.StructField("prompt_tokens", T.IntegerType()), T.StructField("completion_tokens", T.IntegerType()),
-    T.StructField("chunk_count", T.LongType()), T.StructField("output_text", T.StringType()),
-    T.StructField("error_type", T.StringType()), T.StructField("error_message", T.StringType()),
-])
-
-
-def _plain(v):
-    """A pandas cell as a Python value, NULL as None."""
-    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
-        return None
-    return v.item() if hasattr(v, "item") else v
-
-
-class SpanProcessor(StatefulProcessor):
-    """One span per key: its chunks in a list state, its end and timer in a value state.
-
-    A span's row is a function of the set of its events, so batches may bring them in any order: the first end by
-    ``seq`` wins whenever it comes, and events after it do not count.  The list is read back as a stream; what is held
-    at a time is one batch's rows and the first ``max_chars`` non-empty deltas.  A span idle for ``timeout_ms`` of event
-    time is emitted as TIMEOUT unless it ended; its events go then, and a mark stays for the same time again, so that
-    stragglers do not open it anew.
-    """
-
-    def __init__(self, timeout_ms: int, max_chars: int = RESPONSE_CONTENT_CHARS):
-        self.timeout_ms, self.max_chars = timeout_ms, max_chars
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.chunks = handle.getListState("chunks", CHUNK_STATE)
-        self.info = handle.getValueState("info", SPAN_STATE)
-
-    def _info(self) -> dict:
-        have = self.info.get() if self.info.exists() else None
-        return dict(zip(SPAN_STATE.names, have)) if have else dict.fromkeys(SPAN_STATE.names)
-
-    def _set(self, info: dict, timer: int) -> None:
-        if info["timer"] is not None:
-            self.handle.deleteTimer(info["timer"])
-        self.handle.registerTimer(timer)
-        info["timer"] = timer
-        self.info.update(tuple(info[n] for n in SPAN_STATE.names))
-
-    def handleInputRows(self, key, rows, timerValues):
-        info = self._info()
-        if info["done"]:
-            for _ in rows:
-                pass
-            return
-        for pdf in rows:
-            cells = [tuple(_plain(v) for v in r) for r in pdf[[*CHUNK_STATE.names, "error_type", "error_message"]].itertuples(index=False, name=None)]
-            own = []
-            for seq, us, kind, delta, prompt, completion, error_type, message in cells:
-                own.append((int(seq), int(us), kind, delta, None if prompt is None else int(prompt), None if completion is None else int(completion)))
-                if kind in END_KINDS and (info["end_seq"] is None or seq < info["end_seq"]):
-                    info.update(end_seq=int(seq), end_us=int(us), end_kind=kind, error_type=error_type, error_message=message)
-                info["last_us"] = int(us) if info["last_us"] is None else max(info["last_us"], int(us))
-            if own:
-                self.chunks.appendList(own)
-        if info["last_us"] is None:
-            return
-        self._set(info, max(info["last_us"] // 1000 + self.timeout_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._row(key[0], info, END_KINDS.get(info["end_kind"]))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        info = self._info()
-        info["timer"] = None
-        if info["done"]:
-            self.info.clear()
-            return
-        if info["end_seq"] is None:
-            yield self._row(key[0], info, "TIMEOUT")
-        self.chunks.clear()
-        info["done"] = True
-        self._set(info, expiredTimerInfo.getExpiryTimeInMs() + max(self.timeout_ms, 1))
-
-    def close(self) -> None:
-        pass
-
-    def _row(self, span, info: dict, status):
-        end, start, last, token, count = info["end_seq"], None, None, None, 0
-        usage: dict[str, tuple] = {}
-        head: list[tuple] = []
-        for seq, us, kind, delta, prompt, completion in self.chunks.get():
-            if end is not None and seq > end:
-                continue
-            start, last = us if start is None else min(start, us), us if last is None else max(last, us)
-            for name, value in (("p", prompt), ("c", completion)):
-                if value is not None and (name not in usage or (seq, value) > usage[name]):
-                    usage[name] = (seq, value)
-            if kind == "chunk":
-                count += 1
-                if delta:
-                    token = us if token is None else min(token, us)
-                    head.append((seq, delta))
-                    if len(head) >= 2 * self.max_chars:
-                        head = sorted(head)[:self.max_chars]
-        text = "".join(d for seq, d in sorted(head) if end is None or seq < end)[:self.max_chars]
-        failed = info["end_kind"] == "error"
-        return pd.DataFrame([{
-            "span_id": span, "status": status, "started_us": start, "ended_us": last if end is None else info["end_us"],
-            "first_token_us": token, "prompt_tokens": usage.get("p", (0, None))[1], "completion_tokens": usage.get("c", (0, None))[1],
-            "chunk_count": count, "output_text": text, "error_type": info["error_type"] if failed else None,
-            "error_message": info["error_message"] if failed else None}]).astype(object).where(lambda d: d.notna(), None)
+def _millis(spark: SparkSession, interval: str) -> int:
+    """An interval text such as ``10 minutes`` in milliseconds."""
+    return spark.sql(f"select unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {interval})").first()[0]
 
 
 def run_spans(spark: SparkSession, sf_dir: str, timeout: _dt.timedelta = _dt.timedelta(days=1), watermark: str = "10 minutes",
               chunks=chunks_from_events, glob: str | None = None, root: str | None = None,
-              max_files_per_trigger: int | None = None) -> DataFrame:
+              max_files_per_trigger: int | None = None, compact_every: int = 8) -> DataFrame:
     """Stateful span assembly; at the end of the input, spans still open ended with their stream.
 
-    ``chunks`` maps the event stream to chunk rows.  Rows later than ``watermark`` are dropped by the engine: choose it
-    as long as files may be late.
+    ``chunks`` maps the event stream to chunk rows; the open spans are kept in a ``SpanStore``.  Rows later than
+    ``watermark`` are dropped: choose it as long as files may be late.
     """
     c = chunks(table_stream(spark, sf_dir, max_files_per_trigger=max_files_per_trigger, glob=glob))
     if "kind" not in c.columns:
         c = c.withColumn("kind", F.when(F.col("is_error"), F.lit("error")).otherwise(F.lit("chunk")))
     c = c.withColumns({n: F.lit(None).cast("string") for n in ("error_type", "error_message") if n not in c.columns})
-    c = _event_time(c, "ts").withColumn("us", F.unix_micros("__t"))
-    c = c.where("seq is not null and us is not null").select("span_id", *CHUNK_STATE.names, "error_type", "error_message", "__t")
-    use_rocksdb_state(spark)
-    out = (c.withWatermark("__t", watermark).groupBy("span_id")
-           .transformWithStateInPandas(SpanProcessor(int(timeout.total_seconds() * 1000)), SPAN_OUT, "Update", "EventTime"))
-    cur = latest_per_key(run(out, spark, "stream-spans", "update", root=root), "span_id")
+    c = c.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).where("seq is not null and us is not null")
+    c = c.select(*T.StructType.fromDDL(SPAN_CHUNK).names)
+    root = root or scratch_path(spark, "stream-spans")
+    store = SpanStore(spark, root, int(timeout.total_seconds() * 1000), _millis(spark, watermark), compact_every=compact_every)
+    # the batch's own joins and groupings keep the session's partition count: no state is tied to it
+    q = _start_with_partitions(c.writeStream.outputMode("append").foreachBatch(store.apply)
+                               .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True),
+                               spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q.awaitTermination()
+    store.expire()
+    cur = latest_per_key(landed(spark, f"{root}/data", _with_batch(T.StructType.fromDDL(SPAN_ROW))), "span_id")
     ts = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
     from ..functions.normalize import total_tokens
     return cur.select(

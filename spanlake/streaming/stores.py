@@ -1,4 +1,4 @@
-"""Tables that a stream keeps up to date: an atomic manifest, stored rollups, folded facts.
+"""Tables that a stream keeps up to date: an atomic manifest, stored rollups, folded facts, open spans.
 
 Data files are written first, under names that carry the batch id; a table's readers see them only once a new manifest
 names them.  The manifest is one small JSON file per version, put in place by a rename, so a crash before the switch
@@ -15,13 +15,14 @@ import datetime as _dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.merge import fold_state, merge_states, state_rows
 from ..operators.rollup import (SUM_COLUMNS, merge_rollups, rollup_aggs, rollup_with_histogram, summary_from_sums)
-from ..schemas import RANGE_INTERVAL
+from ..operators.spans import END_KINDS
+from ..schemas import RANGE_INTERVAL, RESPONSE_CONTENT_CHARS
 
 
 def _path(spark: SparkSession, path: str):
@@ -274,3 +275,142 @@ class FactStore:
         """Current facts, one row per id; None before the first batch."""
         states = self._states(self.manifest.read())
         return None if states is None else state_rows(states)
+
+
+# --- L7 / L8: open spans with timeout --------------------------------------------------------------------
+
+SPAN_CHUNK = ("span_id string, seq long, us long, kind string, delta string, prompt_tokens int, completion_tokens int, "
+              "error_type string, error_message string")
+SPAN_ROW = ("span_id string, status string, started_us long, ended_us long, first_token_us long, prompt_tokens int, "
+            "completion_tokens int, chunk_count long, output_text string, error_type string, error_message string")
+
+
+def span_rows(chunks: DataFrame, max_chars: int = RESPONSE_CONTENT_CHARS) -> DataFrame:
+    """One row per span from all its chunks (``SPAN_CHUNK``); the status is NULL while no end has come.
+
+    A function of the set of chunks: the first end by ``seq`` wins, and what comes after it does not count.  Aggregates
+    combine before the shuffle, and of a span's text only its first ``max_chars`` non-empty deltas travel.
+    """
+    kind, end = F.col("kind"), F.col("__end")
+    ends = (chunks.where(kind.isin(*END_KINDS)).groupBy(F.col("span_id").alias("__of"))
+            .agg(F.min(F.struct("seq", "us", "kind", "error_type", "error_message")).alias("__end")))
+    own = chunks.join(ends, F.col("span_id").eqNullSafe(F.col("__of")), "left").drop("__of")
+    own = own.where(end.isNull() | (F.col("seq") <= end["seq"]))
+    token = (kind == "chunk") & (F.col("delta") != "")
+    used = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c)))[c].alias(c)
+    stats = own.groupBy("span_id").agg(
+        F.min("us").alias("started_us"), F.max("us").alias("__last"), F.min(F.when(token, F.col("us"))).alias("first_token_us"),
+        used("prompt_tokens"), used("completion_tokens"), F.count_if(kind == "chunk").alias("chunk_count"), F.first("__end").alias("__end"))
+    place = Window.partitionBy("span_id").orderBy("seq", "delta")
+    head = (own.where(token & (end.isNull() | (F.col("seq") < end["seq"]))).select("span_id", "seq", "delta")
+            .withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= max_chars))
+    texts = head.groupBy(F.col("span_id").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("__head"))
+    text = F.substring(F.array_join(F.transform("__head", lambda x: x["delta"]), ""), 1, max_chars)
+    failed = end["kind"] == "error"
+    return stats.join(texts, F.col("span_id").eqNullSafe(F.col("__of")), "left").select(
+        "span_id", F.coalesce(*[F.when(end["kind"] == k, F.lit(v)) for k, v in END_KINDS.items()]).alias("status"),
+        "started_us", F.coalesce(end["us"], "__last").alias("ended_us"), "first_token_us", "prompt_tokens", "completion_tokens",
+        "chunk_count", F.coalesce(text, F.lit("")).alias("output_text"), F.when(failed, end["error_type"]).alias("error_type"),
+        F.when(failed, end["error_message"]).alias("error_message"))
+
+
+class SpanStore:
+    """Open spans of a stream: their chunks by batch, and the spans that are gone.
+
+    Each batch lands the rows of the spans it touched, made of all their chunks, so batches may bring them in any order.
+    The watermark is the newest event time of earlier batches less ``delay_ms``; rows at or before that of the batch
+    before are late and dropped.  A span idle for ``timeout_ms`` of event time goes with its chunks, with a TIMEOUT row
+    unless it ended; a mark stays for the same time again, so that stragglers do not open it anew.  Every
+    ``compact_every`` batches what is still open is gathered into one folder, so what is kept and read is bounded by
+    the spans of the last ``timeout_ms``.
+
+    Rows land below ``<root>/data/batch_id=<n>``: 2 k for batch k, 2 k + 1 for what expires after it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, timeout_ms: int, delay_ms: int, compact_every: int = 8):
+        self.spark, self.root, self.timeout_ms, self.delay_ms, self.compact_every = spark, root, timeout_ms, delay_ms, compact_every
+        self.manifest = Manifest(spark, f"{root}/spans")
+
+    def _open(self, now: dict) -> DataFrame:
+        """The chunks of spans that are not gone."""
+        rows = _read(self.spark, now.get("chunks", []), T.StructType.fromDDL(f"{SPAN_CHUNK}, batch long, floor_ms long"))
+        if not now.get("gone"):
+            return rows
+        gone = self._gone(now).select(F.col("span_id").alias("__of"), "gone_batch")
+        return rows.join(gone, F.col("span_id").eqNullSafe(F.col("__of")) & (F.col("batch") <= F.col("gone_batch")), "left_anti")
+
+    def _gone(self, now: dict) -> DataFrame:
+        return _read(self.spark, now.get("gone", []), T.StructType.fromDDL("span_id string, gone_batch long, mark_ms long"))
+
+    def _expired(self, chunks: DataFrame, at_ms: int, batch_id: int) -> DataFrame:
+        """The spans whose timer is due: idle since their last event, or since the watermark of its batch if that was later."""
+        timer = F.greatest(F.floor(F.max("us") / 1000) + F.lit(self.timeout_ms), F.max("floor_ms"))
+        return (chunks.groupBy("span_id").agg(timer.alias("__timer"), F.max(F.col("kind").isin(*END_KINDS)).alias("ended"))
+                .where(F.col("__timer") <= at_ms)
+                .select("span_id", F.lit(batch_id).cast("long").alias("gone_batch"), (F.col("__timer") + F.lit(max(self.timeout_ms, 1))).alias("mark_ms"), "ended"))
+
+    @staticmethod
+    def _of(chunks: DataFrame, spans: DataFrame, how: str = "left_semi") -> DataFrame:
+        return chunks.join(spans.select(F.col("span_id").alias("__of")), F.col("span_id").eqNullSafe(F.col("__of")), how)
+
+    def _expire(self, idle: DataFrame, at_ms: int, batch_id: int, name: str) -> tuple[str, DataFrame]:
+        """Lands the spans of ``idle`` chunks that are due; returns their folder and the TIMEOUT rows of those without an end."""
+        to = f"{self.root}/spans/gone/{name}"
+        due = self._expired(idle, at_ms, batch_id)
+        due.write.mode("overwrite").parquet(to)
+        due = self.spark.read.schema(due.schema).parquet(to)
+        return to, span_rows(self._of(idle, due.where(~F.coalesce("ended", F.lit(False))))).withColumn("status", F.lit("TIMEOUT"))
+
+    def _land(self, rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch_id", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.root}/data/batch_id={number}")
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        """Take in one batch of chunk rows; all of it or nothing becomes visible to later batches, by one switch."""
+        now = self.manifest.read()
+        if batch_id <= now["batch"]:
+            return
+        late, mark = now.get("used_ms", 0), now.get("watermark_ms", 0)
+        own = self.spark = batch.sparkSession
+        newest = batch.agg(F.max("us")).first()[0]
+        rows = batch.where(F.col("us") > F.lit(late) * F.lit(1000))
+        if now.get("gone"):
+            rows = self._of(rows, self._gone(now).where(F.col("mark_ms") > late), "left_anti")
+        to = f"{self.root}/spans/chunks/batch_id={batch_id}"
+        rows = rows.withColumns({"batch": F.lit(batch_id).cast("long"), "floor_ms": F.lit(mark + 1).cast("long")})
+        rows.write.mode("overwrite").parquet(to)
+        rows = own.read.schema(T.StructType.fromDDL(f"{SPAN_CHUNK}, batch long, floor_ms long")).parquet(to)
+        new = {**now, "batch": batch_id, "chunks": [*now.get("chunks", []), to], "used_ms": mark,
+               "watermark_ms": max(mark, mark if newest is None else newest // 1000 - self.delay_ms)}
+        out = rows
+        if now.get("chunks"):
+            touched, before = rows.select("span_id").distinct(), self._open(now)
+            out = self._of(before, touched).unionByName(rows)
+            if mark > late:
+                folder, timeouts = self._expire(self._of(before, touched, "left_anti"), mark, batch_id, f"batch_id={batch_id}")
+                new["gone"] = [*now.get("gone", []), folder]
+                out = span_rows(out).unionByName(timeouts)
+                self._land(out, 2 * batch_id)
+                out = None
+        if out is not None:
+            self._land(span_rows(out), 2 * batch_id)
+        new = self.manifest.switch(new)
+        if len(new["chunks"]) >= self.compact_every:
+            self.compact()
+
+    def expire(self) -> None:
+        """Let go of what the newest watermark finds idle; for times when no batch runs, as at the end of the input."""
+        now = self.manifest.read()
+        mark = now.get("watermark_ms", 0)
+        if mark == now.get("used_ms", 0):
+            return
+        folder, timeouts = self._expire(self._open(now), mark, now["batch"], f"after={now['batch']}")
+        self._land(timeouts, 2 * now["batch"] + 1)
+        self.manifest.switch({**now, "used_ms": mark, "gone": [*now.get("gone", []), folder]})
+
+    def compact(self) -> None:
+        """Gather the open chunks into one folder and the marks that still count into another."""
+        now = self.manifest.read()
+        to, told = (f"{self.root}/spans/{kind}/version={now['version'] + 1}" for kind in ("chunks", "gone"))
+        self._open(now).write.mode("overwrite").parquet(to)
+        self._gone(now).where(F.col("mark_ms") > now.get("used_ms", 0)).write.mode("overwrite").parquet(told)
+        self.manifest.switch({**now, "chunks": [to], "gone": [told]})

@@ -146,3 +146,31 @@ def test_late_files_in_rollup_and_series(spark):
         want = sorted(map(str, job(spark, SMALL).collect()))
         got = sorted(map(str, job(spark, local + "/in", glob="events*.parquet", max_files_per_trigger=1).collect()))
         assert got == want and want
+
+
+def test_span_batches_time_out_revive_and_ignore_stragglers(spark):
+    import os
+    import tempfile
+
+    from spanlake.streaming.stores import span_rows
+    local, day, minute = tempfile.mkdtemp(prefix="span-batches-"), dt.timedelta(days=1), dt.timedelta(minutes=1)
+    at = lambda days, minutes=0: dt.datetime(2024, 1, 1) + days * day + minutes * minute
+    batches = [[("idle", 1, at(0), "a", "chunk"), ("failed", 2, at(0), "b", "chunk"), ("failed", 3, at(0), None, "error"), (None, 4, at(0), "n", "chunk"),
+                ("revived", 5, at(0), "r", "chunk")],
+               [("late end", 7, at(1.5), "e", "chunk")],
+               [("revived", 6, at(1.5, -5), "s", "chunk"), ("new", 8, at(1.5, 1), "", "chunk")],
+               [("idle", 9, at(1.5, 2), "x", "chunk"), ("failed", 10, at(1.5, 2), "x", "end"), ("too late", 11, at(0.5), "x", "chunk"),
+                ("late end", 6, at(1.5, 1), None, "cancelled")]]
+    for k, rows in enumerate(batches):
+        path = f"{local}/events{k}.parquet"
+        rows = [(s, q, t, d, None, None, kind) for s, q, t, d, kind in rows]
+        _chunks(spark, rows).toPandas().astype({"prompt_tokens": "Int32", "completion_tokens": "Int32"}).to_parquet(path, coerce_timestamps="us", index=False)
+        os.utime(path, (1000 + k, 1000 + k))
+    for every in (2, 8):
+        got = {r.span_id: (r.status, r.chunk_count, r.output_text) for r in ST.run_spans(
+            spark, local, timeout=day, chunks=lambda c: c, glob="events*.parquet", max_files_per_trigger=1, compact_every=every).collect()}
+        assert got == {"idle": ("TIMEOUT", 1, "a"), "failed": ("ERROR", 1, "b"), None: ("TIMEOUT", 1, "n"), "revived": ("SUCCESS", 2, "rs"),
+                       "late end": ("CANCELLED", 0, ""), "new": ("SUCCESS", 1, "")}
+    # spans are made by aggregates, not one by one in Python
+    plan = span_rows(spark.createDataFrame([], ST.SPAN_CHUNK))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
