@@ -88,3 +88,18 @@ def test_job_cuts_batches_and_restarts_inside_a_file(spark):
     want = {json.loads(r.payload)["id"] for r in rows if json.loads(r.payload)["latency_ms"] >= 0 and json.loads(r.payload)["status"] != "bogus"}
     assert {r.id for r in facts.select("id").collect()} == want
     assert life.where("error like 'malformed_json%'").count() == 1
+
+
+def test_rules_are_planned_once_a_job(spark, monkeypatch):
+    """Batches do not build the rules again, and each row runs through them once however often its batch is read."""
+    root = scratch_path(spark, "lines-planned-once")
+    local = root[len("file:"):] if root.startswith("file:") else root
+    os.makedirs(local + "/in")
+    with open(local + "/in/a.json", "w") as f:
+        f.writelines(json.dumps({"id": f"0123456789-{k}"}) + "\n" for k in range(7))
+    calls = []
+    rules = ST.check_events
+    monkeypatch.setattr(ST, "check_events", lambda *a, **k: calls.append(1) or rules(*a, **k))
+    _, life = ST.run_ingest_lines(spark, root + "/in", max_events=2, root=root + "/job")
+    assert life.count() == 7 and len(os.listdir(local + "/job/raw")) == 4
+    assert len(calls) == 1
