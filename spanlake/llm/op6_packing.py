@@ -30,6 +30,8 @@ from .store import save, slots
 from .text import slices
 from .tokens import load
 
+SLICE = 3 << 20  # bytes of text encoded at a time: what an encoder holds is a multiple of them
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
            text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -42,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         own = load(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for b in slices(batch, "text", 6 << 20):
+            for b in slices(batch, "text", SLICE):
                 rows = []
                 for i, ids in enumerate(own.encode(b.column(2))):
                     ids += end
