@@ -12,7 +12,9 @@ frequent phrase has.  The names of its two parts name it, the shards' interval s
 ``min_count`` or more are the start of the next length.  Nothing is dropped before its global count is known.  A shard
 learns what is frequent from a bitmap of fixed size; a false positive costs an extension that its sum then drops.
 
-Scale.  A shard sends one row per distinct phrase.  The indexes are a written table that each length scans with only the
+Scale.  Most phrases are rare, and rare ones are not sent.  First every task tells, packed in about three bytes a phrase, which
+of 2^34 buckets of names its phrases fall in and how often; buckets whose sum over all tasks is below ``min_count`` hold no
+frequent phrase.  Then a shard sends one row per distinct phrase of the other buckets, and these are summed exactly.  The indexes are a written table that each length scans with only the
 columns it needs; no index is shuffled, and a task holds one at a time.  Words are counted by their text; longer phrases
 are named by the pair of 64-bit names of their two parts, and a frequent phrase by a 64-bit hash of that pair.  Joins on names
 run against written tables of frequent phrases only.  What reaches the driver are bitmaps of ``MARK_BITS`` bits.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,10 @@ BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 INDEX = "shard long, langs array<string>, words array<string>, lang_of array<int>, names array<long>, size array<int>, bwt binary, rbwt binary"
 FOUND = "prefix long, suffix long, size long"
 NAMED = "prefix long, suffix long, f long, name long"
+BELOW = np.uint64(30)  # bits of a name below its bucket
+PARTS = 1 << 10  # the highest bits of a bucket tell its part
+LOCAL = 24  # bits of a bucket below its part
+HELD = 1 << 20  # phrases of a task that are packed together
 
 
 def order_of(key: np.ndarray) -> np.ndarray:
@@ -209,6 +216,40 @@ def mine(size: np.ndarray, names: np.ndarray, bwt: np.ndarray, rbwt: np.ndarray,
     return prefix, suffix, n
 
 
+def packed_buckets(names: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[int, bytes]]:
+    """``(part, counts)`` per part: the buckets of phrases and their counts (none above ``least``, which settles a sum)."""
+    from zstandard import ZstdCompressor
+    small = ZstdCompressor(level=1)
+    bucket = (names.view(np.uint64) >> BELOW).astype(np.int64)
+    order = order_of(bucket)
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+    count = np.minimum(np.add.reduceat(n[order], first), least).astype("<u4")
+    bucket = bucket[first]
+    edge = np.searchsorted(bucket >> LOCAL, np.arange(PARTS + 1))
+    for part in np.flatnonzero(np.diff(edge)).tolist():
+        own, own_n = bucket[edge[part]:edge[part + 1]] & ((1 << LOCAL) - 1), count[edge[part]:edge[part + 1]]
+        head = np.bincount(own >> 16, minlength=1 << (LOCAL - 16)).astype("<u4")
+        yield part, small.compress(head.tobytes() + (own & 0xFFFF).astype("<u2").tobytes() + own_n.tobytes())
+
+
+def frequent_buckets(part: int, rows: list[bytes], least: int) -> np.ndarray:
+    """The buckets of a part whose counts over all ``packed_buckets`` rows add up to ``least`` or more."""
+    from zstandard import ZstdDecompressor
+    big, high, locals_, counts = ZstdDecompressor(), 1 << (LOCAL - 16), [], []
+    for row in rows:
+        raw = big.decompress(row)
+        head = np.frombuffer(raw, "<u4", high)
+        m = int(head.sum())
+        locals_.append((np.repeat(np.arange(high), head) << 16) | np.frombuffer(raw, "<u2", m, 4 * high))
+        counts.append(np.frombuffer(raw[4 * high + 2 * m:], "<u4", m).astype(np.int64))
+    bucket, count = np.concatenate(locals_), np.concatenate(counts)
+    order = order_of(bucket)
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+    return (part << LOCAL) + bucket[first][np.add.reduceat(count[order], first) >= least]
+
+
 def arrow(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -235,21 +276,46 @@ def phrases(docs: DataFrame, min_count: int = 30, max_words: int = 4, shard_byte
     for _ in range(2, max_words + 1):
         often = [*often, context.broadcast(bitmap_of(level, F.pmod("name", F.lit(MARK_BITS))))]
 
-        def longer(batches: Iterator[pa.RecordBatch], often=often) -> Iterator[pa.RecordBatch]:
+        def mined(batches: Iterator[pa.RecordBatch], often=often) -> Iterator[tuple[np.ndarray, ...]]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     size, names = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (0, 1))
                     bwt, rbwt = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in (2, 3))
-                    cols = mine(size, names, bwt, rbwt, [b.value for b in often])
-                    for at in range(0, len(cols[0]), 1 << 18):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 18)]) for c in cols], schema=found_shape)
+                    yield mine(size, names, bwt, rbwt, [b.value for b in often])
+
+        def hint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for prefix, suffix, n in chain(mined(batches), [(None, None, None)]):
+                if n is not None:
+                    held.append((pair_names(prefix, suffix), n))
+                    size += len(n)
+                if size and (n is None or size > HELD):
+                    parts, counts = zip(*packed_buckets(*(np.concatenate(x) for x in zip(*held)), min_count))
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], ["part", "counts"])
+                    held, size = [], 0
+
+        def settle(key: tuple, rows: pa.Table) -> pa.Table:
+            bucket = frequent_buckets(key[0].as_py(), rows["counts"].to_pylist(), min_count)
+            return pa.table({"bit": pa.array(bucket & (MARK_BITS - 1), pa.int64())})
+
+        built_columns = built.select("size", "names", "bwt", "rbwt")
+        hints = built_columns.mapInArrow(hint, "part int, counts binary").groupBy("part").applyInArrow(settle, "bit long")
+        useful = context.broadcast(bitmap_of(hints, F.col("bit")))
+
+        def longer(batches: Iterator[pa.RecordBatch], mined=mined, useful=useful) -> Iterator[pa.RecordBatch]:
+            for cols in mined(batches):
+                bit = (pair_names(cols[0], cols[1]).view(np.uint64) >> BELOW).astype(np.int64) & (MARK_BITS - 1)
+                keep = (useful.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                cols = [c[keep] for c in cols]
+                for at in range(0, len(cols[0]), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 18)]) for c in cols], schema=found_shape)
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 name = pair_names(*(b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name)], schema=named_shape)
 
-        summed = (built.select("size", "names", "bwt", "rbwt").mapInArrow(longer, FOUND)
+        summed = (built_columns.mapInArrow(longer, FOUND)
                   .groupBy("prefix", "suffix").agg(F.sum("size").alias("f")).where(F.col("f") >= min_count).mapInArrow(named, NAMED))
         p = level.select(F.col("name").alias("prefix"), "lang", F.col("phrase").alias("head"), F.col("f").alias("pf"), "heads")
         s = level.select(F.col("name").alias("suffix"), F.substring_index("phrase", " ", -1).alias("last"), F.col("f").alias("sf"), "tails")

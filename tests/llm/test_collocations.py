@@ -86,3 +86,21 @@ def test_long_text_is_cut_between_pieces():
     assert "".join(t for ts, _ in got for t in ts if t) == "ab. " * 50 + "x" + "y" * 100 + "z"
     assert all(len(t) <= 48 or set(t) == {"y"} for ts, _ in got for t in ts if t)
     assert [g for _, gs in got for g in gs].count("de") == 1
+
+
+def test_only_buckets_that_may_be_frequent_stay():
+    """Counts of several tasks, packed per part, add up: every frequent bucket is found and no rare one."""
+    from spanlake.llm.op11_collocations import BELOW, frequent_buckets, packed_buckets
+    rng = np.random.default_rng(5)
+    names = rng.integers(-2 ** 63, 2 ** 63 - 1, 20000)
+    tasks = [(rng.choice(names, 6000), rng.integers(1, 6, 6000)) for _ in range(4)] + [(names[:3], np.array([10 ** 9, 2, 1]))]
+    total, rows = Counter(), defaultdict(list)
+    for name, n in tasks:
+        for b, k in zip((name.view(np.uint64) >> BELOW).tolist(), n.tolist()):
+            total[b] += k
+        for part, counts in packed_buckets(name, n, 12):
+            rows[part].append(counts)
+    got = [b for part, own in rows.items() for b in frequent_buckets(part, own, 12).tolist()]
+    assert sorted(got) == sorted(b for b, n in total.items() if n >= 12) and 0 < len(got) < len(total)
+    size = sum(len(c) for part, own in rows.items() for c in own)
+    assert list(packed_buckets(names[:0], np.zeros(0, np.int64), 12)) == [] and size < 40 * 24003
