@@ -3,7 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct piece is encoded
 once per Python worker, and the ids of the pieces are joined.  Texts with white space for which
 such a cut is not certain are encoded whole, so ids always equal those of ``Tokenizer.encode``.
-The cache holds about ``CACHE`` pieces and starts anew when full.
+The cache holds about ``CACHE`` pieces.  Word-level it starts anew when full; byte-level it has two halves: when the
+younger one is full it becomes the older one, and pieces that are asked for again are carried over, so frequent ones stay.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .text import raw_bytes, split_words
 
 CACHE = 400_000
 TOGETHER = 50
+RUN = 50  # byte-level pieces encoded as one text
 _LOADED: dict[str, "Ids"] = {}
 # Byte-level files: a space starts the piece after it and a line end is a piece, unless three white-space
 # characters meet, two end the text, or there is white space beyond ASCII.
@@ -48,8 +50,8 @@ class Ids:
         # the first token of a piece that starts with a space, or the last token of a word
         self.edge = np.array([n.endswith("</w>") if self.words else n.startswith("\u0120") for n in names])
         self.cache: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}  # pieces (byte-level: with the space before them)
-        self.outer: dict[str, bytes] = {}  # byte-level pieces at the start of a line
+        self.older: dict[str, bytes] = {}  # byte-level: the older half of the cache
+        self.inner: dict[str, bytes] = {}  # word-level: pieces in lower case
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,7 +77,8 @@ class Ids:
             cuts = np.flatnonzero(begin)
             place, data, at = np.searchsorted(cuts, off), np.ascontiguousarray(raw), np.append(cuts, len(raw))
         told = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        ids = self._pieces(told.dictionary.to_numpy(zero_copy_only=False).tolist())
+        cut = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self._pieces(cut) if self.words else self._spaced(cut, _plain(told.dictionary))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
         piece = told.indices.to_numpy(zero_copy_only=False)
@@ -102,46 +105,76 @@ class Ids:
         return [i for i in rows.tolist() if odd.search(arr[i].as_py())]
 
     def _pieces(self, cut: list[str]) -> list[bytes]:
-        """Ids of distinct pieces: words, or byte-level pieces with the blank before them."""
+        """Ids of distinct words."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache, known, outer = self.cache, self.inner, self.outer
+        cache, known = self.cache, self.inner
         new = [p for p in cut if p not in cache]
-        if self.words:
-            bare = [p if p.isascii() else p.lower() for p in new]
-            self._learn({*bare} - known.keys())
-            cache.update(zip(new, [known[p] for p in bare]))
-        else:
-            heads = list(({p[p[:1] == "\n":] for p in new if p[:1] != " "} | {"\n"}) - outer.keys())
-            outer.update(zip(heads, self._whole(heads)))
-            self._learn({p[1:] for p in new if p[:1] == " "} - known.keys())
-            line = outer["\n"]
-            cache.update((p, known[p[1:]] if p[:1] == " " else line + outer[p[1:]] if p[:1] == "\n" else outer[p]) for p in new)
-        known.clear()  # what they hold is in the cache
-        outer.clear()
+        bare = [p if p.isascii() else p.lower() for p in new]
+        self._learn({*bare} - known.keys())
+        cache.update(zip(new, [known[p] for p in bare]))
+        known.clear()  # what it holds is in the cache
         return [cache[p] for p in cut]
 
+    def _spaced(self, cut: list[str], plain: np.ndarray) -> list[bytes]:
+        """Ids of distinct byte-level pieces.  A space before other text starts a pre-token, and only first tokens of such hold it:
+        ``plain`` pieces are encoded many as one text and told apart by their first tokens."""
+        if len(self.cache) > CACHE // 2:
+            self.older, self.cache = self.cache, {}
+        young, old = self.cache, self.older
+        out = list(map(young.get, cut))
+        new = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                p = cut[i]
+                ids = old.get(p)
+                if ids is None:
+                    new.append(i)
+                else:
+                    out[i] = young[p] = ids
+        at = np.array(new, np.int64)
+        alike, rest = at[plain[at]].tolist(), at[~plain[at]].tolist()
+        for at in range(0, len(alike), 400 * RUN):
+            some = alike[at:at + 400 * RUN]
+            runs = [[cut[i] for i in some[x:x + RUN]] for x in range(0, len(some), RUN)]
+            told: list[bytes] = []
+            for run, encoding in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
+                ids = np.asarray(encoding.ids, "<u4")
+                edge = (4 * np.flatnonzero(self.edge[ids])).tolist()
+                if len(edge) == len(run):
+                    data = ids.tobytes()
+                    told += [data[a:b] for a, b in zip(edge, [*edge[1:], len(data)])]
+                else:
+                    told += self._whole(run)
+            for i, ids in zip(some, told):
+                out[i] = young[cut[i]] = ids
+        if rest:
+            line, = self._whole(["\n"])
+            bare = [p[p[:1] == "\n":] for p in (cut[i] for i in rest)]
+            for i, ids in zip(rest, self._whole(bare)):
+                out[i] = young[cut[i]] = line + ids if cut[i][:1] == "\n" else ids
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
-        """Ids of new pieces.  Letters followed by ASCII marks are cut between the two by either
-        pre-tokenizer; pieces of letters are encoded some at a time and told apart by their edge tokens."""
-        known, space = self.inner, "" if self.words else " "
+        """Ids of new words.  Letters followed by ASCII marks are cut between the two by the
+        pre-tokenizer; pieces of letters are encoded some at a time and told apart by their last tokens."""
+        known = self.inner
         cut = {p: p.rstrip(_TAIL) for p in pieces}
         cores = [c for c in {*cut.values()} if c.isalpha() and c not in known]
         groups = [cores[at:at + TOGETHER] for at in range(0, len(cores), TOGETHER)]
         for at in range(0, len(groups), 200):
             some = groups[at:at + 200]
-            whole = self.tokenizer.encode_batch_fast([" " * (not self.words) + " ".join(g) for g in some], add_special_tokens=False)
+            whole = self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)
             for part, encoding in zip(some, whole):
                 ids = np.asarray(encoding.ids, "<u4")
                 edge = np.flatnonzero(self.edge[ids])
-                ends = edge + 1 if self.words else np.append(edge[1:], len(ids))
                 if len(edge) == len(part):
                     data, begin = ids.tobytes(), 0
-                    for core, end in zip(part, (4 * ends).tolist()):
+                    for core, end in zip(part, (4 * edge + 4).tolist()):
                         known[core] = data[begin:end]
                         begin = end
                 else:
-                    known.update(zip(part, self._whole([space + c for c in part])))
+                    known.update(zip(part, self._whole(part)))
         tails: dict[str, bytes] = {}
         rest = []
         for p, core in cut.items():
@@ -153,7 +186,17 @@ class Ids:
                     known[p] = known[core] + tails[tail]
                 else:
                     rest.append(p)
-        known.update(zip(rest, self._whole([space + p for p in rest])))
+        known.update(zip(rest, self._whole(rest)))
+
+
+def _plain(pieces: pa.Array) -> np.ndarray:
+    """Which pieces are one space and then other text without white space."""
+    raw, off = raw_bytes(pieces)
+    blanks = np.append(0, np.cumsum(BLANK[raw]))
+    size = np.diff(off)
+    first = np.zeros(len(size), bool)
+    first[size > 0] = raw[off[:-1][size > 0]] == 0x20
+    return first & (size > 1) & (np.diff(blanks[off]) == 1)
 
 
 def load(path: str) -> Ids:

@@ -21,3 +21,22 @@ def test_slices_bound_the_encoder():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20
+
+
+def test_frequent_pieces_outlive_the_cache(monkeypatch):
+    from spanlake.llm import tokens
+    monkeypatch.setattr(tokens, "CACHE", 100)
+    own = tokens.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    plain, asked = own.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    own.tokenizer = Counted()
+    for k in range(12):
+        text = "The frequent, word" + "".join(f" rare{k}x{j}" for j in range(40)) + " a\tb  c\nd.\nThe it's"
+        assert list(memoryview(own.encode([text])[0]).cast("I")) == plain.encode(text, add_special_tokens=False).ids
+    assert "".join(asked).count("frequent") == 1
+    assert len(own.cache) + len(own.older) < 300
