@@ -13,12 +13,13 @@ knows to occur once in the corpus is not posted: nobody can share it.
 
 A line needs one earlier similar line, not all.  So each list names, for every member, the earlier member that its sketch says
 is nearest, and the nearest of all lists is verified by whole sets.  Lines that this leaves open (few: those whose nearest
-earlier line is under ``t`` after all) then meet every earlier line that passes the filters, in the lists of their own words only.
+earlier line is under ``t`` after all) then meet every earlier line that passes the filters, in the lists of their own words
+only.  There the postings bring the whole sets along, so a pair is settled where it meets and only late lines leave a task.
 
-Scale.  Equal lines are one member of the join, whatever their number.  Postings travel as packed arrays, one row per
-task and hash part.  Whole sets are only read for lines that passed all filters.  A list of more than ``LONG`` members
-is cut into blocks by size; pairs of blocks whose sizes can match are dealt out as rows of their own.  Pairs never
-leave a task before the filters, and in the first round one per line and task does.
+Scale.  Equal lines are one member of the join, whatever their number.  Postings travel as packed arrays, byte planes
+compressed, one row per task and hash part.  Whole sets are only read for lines that passed all filters with some other line.  A list
+of more than ``LONG`` members is cut into blocks by size; pairs of blocks whose sizes can match are dealt out as rows of
+their own.  No pairs leave a task: the first round sends one row per line and part, the second at most one.
 """
 
 from __future__ import annotations
@@ -34,46 +35,71 @@ from pyspark.sql import types as T
 
 from .edit import MARK_BITS, bitmap_of, edit_texts
 from .store import save, slots
-from .text import mix, raw_bytes, slices, split_words, word_hashes
+from .text import LOWER, SPACE, mix, raw_bytes, slices
 
 U64 = np.uint64
 BUCKETS = 1 << 22
 LOW = U64(42)  # bits of a word's hash below its bucket
 LONG = 4096
 SPLIT = 64  # parts of the tables that tasks send
-POST = np.dtype([("word", "<u8"), ("line", "<i8"), ("size", "<u4"), ("pos", "<u4"), ("s1", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("num", "<u4")])
+NARROW = 56  # lines of so many words at most send 64 bits of sketch, others 128
+POST = np.dtype([("word", "<u8"), ("line", "<i8"), ("size", "<u4"), ("s1", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("num", "<u4")])
 FOUND = np.dtype([("b", "<i8"), ("far", "<i8"), ("doc", "<i8"), ("num", "<u4"), ("a", "<i8")])
-
-
-def line_arrays(arr: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All lines of a string column as an array of their own; each line's row and number."""
-    data, off = raw_bytes(arr)
-    cut = np.flatnonzero(data == 10)
-    rows = np.searchsorted(off, cut, side="right") - 1
-    begin = np.concatenate([off[:-1], cut + 1])
-    end = np.concatenate([cut, off[1:]])
-    begin, end = np.sort(begin, kind="stable"), np.sort(end, kind="stable")
-    row = np.repeat(np.arange(len(off) - 1), np.bincount(rows, minlength=len(off) - 1) + 1)
-    number = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = np.ones(len(data), bool)
-    keep[cut] = False
-    packed = data[keep].tobytes()
-    offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed)), row, number
-
-
-def line_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hashes, first, ids)``: word hashes of the lines and a 64-bit id of each line's word sequence (0: no words)."""
-    w = split_words(lines, lower=True)
-    h = word_hashes(w)
-    size = w.counts()
-    place = np.arange(len(h)) - np.repeat(w.first[:-1], size)
-    ids = np.zeros(len(lines), U64)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def line_words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, number, hashes, first)`` of all lines of a string column: each line's row and number, and the hashes of its words
+    (A-Z lower-cased), those of line ``i`` from ``first[i]`` up to ``first[i + 1]``.  A word is hashed by eight bytes at a time."""
+    raw, off = raw_bytes(arr)
+    cut = np.flatnonzero(raw == 10)
+    lines = np.bincount(np.searchsorted(off, cut, side="right") - 1, minlength=len(off) - 1) + 1
+    begin = np.sort(np.concatenate([off[:-1], cut + 1]), kind="stable")
+    row = np.repeat(np.arange(len(off) - 1), lines)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(lines) - lines, lines)
+    if not len(raw):
+        return row, number, np.zeros(0, U64), np.zeros(len(row) + 1, np.int64)
+    blank = np.append(SPACE[raw], True)
+    head, tail = np.append(True, blank[:-1]), np.append(blank[1:], True)
+    head[off] = True
+    tail[off[off > 0] - 1] = True
+    starts = np.flatnonzero(head & ~blank)
+    size = np.flatnonzero(tail & ~blank) + 1 - starts
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[:-8] = LOWER[raw]
+    eight = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))
+    h = mix((eight[starts] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(U64) * U64(0xA24BAED4963EE407)))
+    more, done = np.flatnonzero(size > 8), 8
+    while len(more):
+        h[more] = mix(h[more] * U64(0x9E3779B97F4A7C15) ^ (eight[starts[more] + done] & _FIRST[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    return row, number, h, np.append(np.searchsorted(starts, begin), len(starts))
+
+
+def line_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each line's word sequence (0: no words)."""
+    size = np.diff(first)
+    ids = np.zeros(len(size), U64)
     some = np.flatnonzero(size)
     if len(some):
-        keyed = mix(h + mix(place.astype(U64) + U64(1)))
-        ids[some] = mix(np.add.reduceat(keyed, w.first[some]) + size[some].astype(U64)) | U64(1)
-    return h, w.first, ids.view(np.int64)
+        places = mix(np.arange(1, int(size.max()) + 1, dtype=U64))
+        keyed = mix(h + places[np.arange(len(h)) - np.repeat(first[:-1], size)])
+        ids[some] = mix(np.add.reduceat(keyed, first[some]) + size[some].astype(U64)) | U64(1)
+    return ids.view(np.int64)
+
+
+def _packed(p: np.ndarray) -> bytes:
+    """Records as compressed byte planes: equal high bytes and numbers in order shrink to little."""
+    from zstandard import ZstdCompressor
+    return ZstdCompressor(level=1).compress(np.ascontiguousarray(p.view(np.uint8).reshape(len(p), -1).T).tobytes())
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    from zstandard import ZstdDecompressor
+    tool = ZstdDecompressor()
+    planes = [np.frombuffer(tool.decompress(x), np.uint8).reshape(POST.itemsize, -1) for x in rows]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(POST).ravel() if planes else np.zeros(0, POST)
 
 
 def word_sets(h: np.ndarray, first: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +107,11 @@ def word_sets(h: np.ndarray, first: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     the bucket replaced by the bucket's rank, so numeric order is the common order."""
     line = np.repeat(np.arange(len(first) - 1), np.diff(first))
     v = (rank[(h >> LOW).astype(np.int64)].astype(U64) << LOW) | (h & ((U64(1) << LOW) - U64(1)))
-    at = np.argsort(v)
-    by = line[at]
-    at = at[np.argsort(by.astype(np.uint16) if len(first) < 1 << 16 else by, kind="stable")]
+    key = line.astype(U64) << U64(48) | v >> U64(16)
+    at = np.argsort(key) if len(first) < 1 << 16 else np.zeros(0, np.int64)
+    key, told = key[at], v[at]
+    if len(at) < len(v) or np.any((key[1:] == key[:-1]) & (told[1:] != told[:-1])):  # the upper bits do not settle the order
+        at = np.lexsort((v, line))
     v, line = v[at], line[at]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (line[1:] != line[:-1])
@@ -101,8 +129,8 @@ def read_lines(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "tid", "number", "line", "n"]
         for batch in batches:
             for b in slices(batch, "text"):
-                lines, row, number = line_arrays(b.column(2))
-                h, first, ids = line_words(lines)
+                row, number, h, first = line_words(b.column(2))
+                ids = line_ids(h, first)
                 h = np.sort(h)
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[:len(h)])
                 times = np.diff(np.append(new, len(h)))
@@ -164,14 +192,15 @@ def need(size, t: float):
     return np.ceil(np.round(t * np.asarray(size), 9)).astype(np.int64)
 
 
-def _passing(x: np.ndarray, y: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of postings pass the length, positional and sketch filters, and how far apart their sketches are."""
-    sx, sy = x["size"].astype(np.int64), y["size"].astype(np.int64)
-    px, py = x["pos"].astype(np.int64), y["pos"].astype(np.int64)
+def _passing(p: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of postings pass the length and sketch filters, and how far apart their sketches are."""
+    sx, sy = p["size"][i].astype(np.int64), p["size"][j].astype(np.int64)
     total = sx + sy
     least = np.ceil(np.round(total * (t / (1 + t)), 9)).astype(np.int64)
-    apart = (np.bitwise_count(x["s1"] ^ y["s1"]).astype(np.int64) + np.bitwise_count(x["s2"] ^ y["s2"]))
-    ok = (np.minimum(sx, sy) >= need(np.maximum(sx, sy), t)) & (np.minimum(sx - px, sy - py) + np.minimum(px, py) >= least)
+    s1, s2 = p["s1"][i] ^ p["s1"][j], p["s2"][i] ^ p["s2"][j]
+    fold = np.minimum(sx, sy) <= NARROW
+    apart = np.where(fold, np.bitwise_count(s1 ^ s2), np.bitwise_count(s1) + np.bitwise_count(s2)).astype(np.int64)
+    ok = np.minimum(sx, sy) >= need(np.maximum(sx, sy), t)
     return ok & (apart <= total - 2 * least), (apart << 20) // np.maximum(total, 1)
 
 
@@ -180,184 +209,301 @@ def _earlier(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x["doc"] > y["doc"]) | ((x["doc"] == y["doc"]) & ((x["num"] > y["num"]) | ((x["num"] == y["num"]) & (x["line"] > y["line"]))))
 
 
-def _pairs(p: np.ndarray, i: np.ndarray, j: np.ndarray, t: float, open_bits: np.ndarray | None) -> np.ndarray:
-    """Of the pairs of postings ``i`` and ``j``, those that pass, as ``(later, distance, doc and number of the earlier, earlier)``;
-    with ``open_bits`` only those whose later line is marked there."""
-    x, y = p[i], p[j]
-    ok, far = _passing(x, y, t)
-    x, y, far = x[ok], y[ok], far[ok]
+def _pairs(p: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    """Of the pairs of postings ``i`` and ``j``, those that pass, as ``(later, distance, doc and number of the earlier, earlier)``."""
+    ok, far = _passing(p, i, j, t)
+    x, y, far = p[i[ok]], p[j[ok]], far[ok]
     swap = _earlier(y, x)
-    late, early = np.where(swap, y["line"], x["line"]), np.where(swap, x["line"], y["line"])
-    out = np.empty(len(late), FOUND)
-    out["b"], out["far"], out["a"] = late, far, early
+    out = np.empty(len(x), FOUND)
+    out["b"], out["far"], out["a"] = np.where(swap, y["line"], x["line"]), far, np.where(swap, x["line"], y["line"])
     out["doc"], out["num"] = np.where(swap, x["doc"], y["doc"]), np.where(swap, x["num"], y["num"])
-    if open_bits is not None:
-        spot = late & (MARK_BITS - 1)
-        out = out[(open_bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
     return out
 
 
 def _nearest(found: np.ndarray) -> np.ndarray:
-    """For each later line its nearest earlier one; of equally near ones the first."""
-    found = found[np.lexsort((found["num"], found["doc"], found["far"], found["b"]))]
-    return found[np.concatenate([[True], found["b"][1:] != found["b"][:-1]])[:len(found)]]
-
-
-def _within(p: np.ndarray, t: float, open_bits: np.ndarray | None, budget: int = 1 << 18) -> np.ndarray:
+    """For each later line its nearest earlier one; of equally near ones the first.  A line that is only ever another one's
+    earlier line, and not the nearest, stays as a row of its own with ``far`` -1 and itself as ``a`` and ``b``."""
+    pair = found["far"] >= 0
+    one = found[pair]
+    one = one[np.lexsort((one["num"], one["doc"], one["far"], one["b"]))]
+    one = one[np.concatenate([[True], one["b"][1:] != one["b"][:-1]])[:len(one)]]
+    rest = np.setdiff1d(found["a"], np.concatenate([one["a"], one["b"]]))
+    alone = np.zeros(len(rest), FOUND)
+    alone["a"], alone["b"], alone["far"] = rest, rest, -1
+    return np.concatenate([one, alone])
+
+
+class Sets:
+    """Whole sets of some lines, the open ones among them marked, from packed rows ``(line, open, words)``."""
+
+    def __init__(self, rows: list[bytes]):
+        tables = [pa.ipc.open_stream(x).read_all() for x in rows]
+        table = pa.concat_tables(tables).combine_chunks()
+        line = table["line"].to_numpy()
+        self.line, at = np.unique(line, return_index=True)
+        self.table = table.take(pa.array(at))
+        self.open = self.table["open"].to_numpy(zero_copy_only=False)
+        words = self.table["words"].to_pylist()
+        size = np.array([len(x) // 8 for x in words], np.int64)
+        self.first = np.append(0, np.cumsum(size))
+        names, self.flat = np.unique(np.frombuffer(b"".join(words), U64), return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+
+    def some(self, line: np.ndarray) -> bytes:
+        """The sets of some of the lines, packed."""
+        return _told(self.table.take(pa.array(np.searchsorted(self.line, np.unique(line)))))
+
+    def late(self, found: np.ndarray, t: float) -> np.ndarray:
+        """Which later lines of pairs are open and have Jaccard ``t`` or more with the earlier one."""
+        b = np.searchsorted(self.line, found["b"])
+        keep = self.open[b]
+        b, a = b[keep], np.searchsorted(self.line, found["a"][keep])
+        order = np.argsort(b, kind="stable")
+        b, a = b[order], a[order]
+        edge = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])[:len(b)]), len(b))
+        out = []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = self.flat[self.first[b[x]]:self.first[b[x] + 1]]
+            self.mark[own] = True
+            some = np.unique(a[x:y])
+            size = self.first[some + 1] - self.first[some]
+            place = np.repeat(self.first[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            both = np.add.reduceat(self.mark[self.flat[place]], np.cumsum(size) - size, dtype=np.int64)
+            self.mark[own] = False
+            if np.any(both >= t * (len(own) + size - both) - 1e-9):
+                out.append(b[x])
+        self.open[out] = False  # settled
+        return self.line[out]
+
+
+def _told(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _open(found: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+    """The pairs whose later line is marked."""
+    if bits is None:
+        return found
+    spot = found["b"] & (MARK_BITS - 1)
+    return found[(bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
+
+
+def _within(p: np.ndarray, t: float, sets: Sets | None, bits: np.ndarray | None = None, budget: int = 1 << 18) -> np.ndarray:
     """Pairs inside lists, all lists side by side: ``p`` is sorted by word and size, each posting meets the next, the
-    second next, ... of its list until sizes are too far apart."""
-    end = np.searchsorted(p["word"], p["word"], side="right")
+    second next, ... of its list until sizes are too far apart.  With ``sets``, the open lines that prove late."""
+    begin = np.flatnonzero(np.append(True, p["word"][1:] != p["word"][:-1])[:len(p)])
+    n = np.diff(np.append(begin, len(p)))
+    end, sizes = np.repeat(begin + n, n), p["size"].astype(np.int64)
     held, size, left, d = [], 0, np.arange(len(p)), 0
+    least = need(sizes, t)
     while len(left):
         d += 1
         left = left[left + d < end[left]]
-        left = left[p["size"][left] >= need(p["size"][left + d], t)]
+        left = left[sizes[left] >= least[left + d]]
         for at in range(0, len(left), budget):
             some = left[at:at + budget]
-            held.append(_pairs(p, some, some + d, t, open_bits))
+            got = _open(_pairs(p, some, some + d, t), bits)
+            held.append(got if sets is None else sets.late(got, t))
             size += len(held[-1])
-        if size > 4 * budget and open_bits is None:
+        if size > 4 * budget and sets is None:
             held = [_nearest(np.concatenate(held))]
             size = 0
-    out = np.concatenate(held) if held else np.zeros(0, FOUND)
-    return _nearest(out) if open_bits is None else np.unique(out)
+    return _gathered(held, sets)
 
 
-def _between(x: np.ndarray, y: np.ndarray, t: float, open_bits: np.ndarray | None, step: int = 64) -> np.ndarray:
-    """Pairs of postings of one word in two blocks."""
-    held = [np.zeros(0, FOUND)]
+def _between(x: np.ndarray, y: np.ndarray, t: float, sets: Sets | None, bits: np.ndarray | None = None, step: int = 64) -> np.ndarray:
+    """Pairs of postings of one word in two blocks; with ``sets``, the open lines that prove late."""
+    held = []
     both = np.concatenate([x, y])
     for at in range(0, len(x), step):
         i, j = (k.ravel() for k in np.meshgrid(np.arange(at, min(at + step, len(x))), np.arange(len(x), len(both)), indexing="ij"))
-        got = _pairs(both, i, j, t, open_bits)
-        held.append(_nearest(got) if open_bits is None else got)
-    out = np.concatenate(held)
-    return _nearest(out) if open_bits is None else np.unique(out)
+        got = _open(_pairs(both, i, j, t), bits)
+        held.append(_nearest(got) if sets is None else sets.late(got, t))
+    return _gathered(held, sets)
+
+
+def _gathered(held: list[np.ndarray], sets: Sets | None) -> np.ndarray:
+    if sets is None:
+        return _nearest(np.concatenate(held)) if held else np.zeros(0, FOUND)
+    return np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+
+
+def sketches(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of each of 128 bits per set: two sets differ in as many words at least; of short sets the two halves folded into one."""
+    bits = mix(words)
+    half, bit = (bits >> U64(6)) & U64(1) == 1, U64(1) << (bits & U64(63))
+    s1, s2 = np.bitwise_xor.reduceat(np.where(half, U64(0), bit), first[:-1]), np.bitwise_xor.reduceat(np.where(half, bit, U64(0)), first[:-1])
+    fold = np.diff(first) <= NARROW
+    return np.where(fold, s1 ^ s2, s1), np.where(fold, U64(0), s2)
+
+
+def postings(words: np.ndarray, first: np.ndarray, ids: np.ndarray, doc: np.ndarray, num: np.ndarray, useful: np.ndarray, t: float, parts: int):
+    """``(part, postings)`` of the prefixes of sets, of words in the bitmap ``useful`` only.  A posting names a word by its upper 40 bits:
+    words that share them are in one list, where the filters tell their lines apart."""
+    size = np.diff(first)
+    s1, s2 = sketches(words, first)
+    k = size - need(size, t) + 1
+    src = np.repeat(np.arange(len(size)), k)
+    word = words[np.repeat(first[:-1] - (np.cumsum(k) - k), k) + np.arange(len(src))]
+    keep = _has(useful, word)
+    src, word = src[keep], word[keep] >> U64(24)
+    part = (mix(word) % U64(parts)).astype(np.int64)
+    at = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    src, part = src[at], part[at]
+    p = np.empty(len(src), POST)
+    p["word"], p["line"], p["size"], p["s1"], p["s2"], p["doc"], p["num"] = word[at], ids[src], size[src], s1[src], s2[src], doc[src], num[src]
+    edge = np.searchsorted(part, np.arange(parts + 1))
+    return [(i, p[edge[i]:edge[i + 1]]) for i in range(parts) if edge[i] < edge[i + 1]]
+
+
+def _lists(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by word, then size, each line once a list, at its first place; where lists begin and how long they are."""
+    p = _unpacked(rows)
+    p = p[np.lexsort((p["line"], p["size"], p["word"]))]
+    new = np.append(True, (p["word"][1:] != p["word"][:-1]) | (p["line"][1:] != p["line"][:-1]))[:len(p)]
+    again = np.flatnonzero(~new)
+    if len(again):  # a line that came from several slices of texts
+        group = np.cumsum(new)
+        some = np.unique(np.concatenate([again, again - 1]))
+        p[some] = p[some[np.lexsort((p["num"][some], p["doc"][some], group[some]))]]
+        p = p[new]
+    begin = np.flatnonzero(np.append(True, p["word"][1:] != p["word"][:-1])[:len(p)])
+    return p, begin, np.diff(np.append(begin, len(p)))
+
+
+def meeting(rows: DataFrame, t: float, exact: bool, name: str, marks=None) -> DataFrame:
+    """Lists of ``rows(part, posts[, sets])``: ``(a, b, far)`` of the nearest earlier line a list knows for each later one, and lines
+    that are no such pair's end (``far`` -1); with ``exact``, open lines that prove late as ``a``.  With ``marks``, pairs of marked later lines only."""
+    spark, kinds = rows.sparkSession, "a long, b long, far long, word long, block long, low long, high long, posts binary, sets binary"
+
+    def told(got: np.ndarray) -> list[pa.Array]:
+        return [pa.array(got), pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.int64())] if exact else [pa.array(got[c]) for c in ("a", "b", "far")]
+
+    def meet(group: pa.Table) -> pa.Table:
+        p, begin, n = _lists(group["posts"].to_pylist())
+        sets = Sets(group["sets"].to_pylist()) if exact else None
+        got = told(_within(p[np.repeat((n > 1) & (n <= LONG), n)], t, sets, None if marks is None else marks.value))
+        cut = []
+        for b, m in zip(begin[n > LONG].tolist(), n[n > LONG].tolist()):
+            for i, at in enumerate(range(b, b + m, LONG)):
+                own = p[at:min(at + LONG, b + m)]
+                cut.append((int(own["word"][0]), i, int(own["size"][0]), int(own["size"][-1]), _packed(own), sets.some(own["line"]) if exact else None))
+        cols = [pa.concat_arrays([x, pa.nulls(len(cut), pa.int64())]) for x in got]
+        for c, kind in enumerate((pa.int64(),) * 4 + (pa.binary(),) * 2):
+            cols.append(pa.concat_arrays([pa.nulls(len(got[0]), kind), pa.array([x[c] for x in cut], kind)]))
+        return pa.Table.from_arrays(cols, [k.split()[0] for k in kinds.split(", ")])
 
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if marks is None else marks.value
+        for batch in batches:
+            for same, x, y, own, other in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                x, y, sets = _unpacked([x]), _unpacked([y]), Sets([own, other]) if exact else None
+                yield pa.RecordBatch.from_arrays(told(_within(x, t, sets, bits) if same else _between(x, y, t, sets, bits)), ["a", "b", "far"])
 
-def candidates(docs: DataFrame, rank, twice, t: float, open_bits=None, open_words=None) -> DataFrame:
-    """``(a, b)``: ids of lines that passed the prefix, length, positional and sketch filters, the earlier first: for each later
-    line the nearest one, or, with ``open_bits``, all for the lines marked there; then only words in ``open_words`` post."""
+    met = save(rows.groupBy("part").applyInArrow(meet, kinds), name)
+    blocks = met.where("posts is not null")
+    x, y = (blocks.select("word", *(F.col(c).alias(c + side) for c in ("block", "low", "high", "posts", "sets"))) for side in ("_x", "_y"))
+    wide = (x.join(y, "word").where((F.col("block_x") <= F.col("block_y")) & (F.col("low_y") * (t - 1e-9) <= F.col("high_x")))
+            .select((F.col("block_x") == F.col("block_y")).alias("same"), "posts_x", "posts_y", "sets_x", "sets_y")
+            .repartition(slots(spark)).mapInArrow(across, "a long, b long, far long"))
+    return met.where("posts is null").select("a", "b", "far").unionByName(wide)
+
+
+def candidates(docs: DataFrame, rank, twice, t: float) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``: ids of lines that passed the prefix, length and sketch filters, the earlier first, for each later line the nearest one;
+    and ``(line)``: all lines that passed them with another one, earlier or later."""
     parts = max(16, slots(docs.sparkSession))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        useful = (twice if open_words is None else open_words).value
         for batch in batches:
             for b in slices(batch, "text"):
-                lines, row, number = line_arrays(b.column(1))
-                h, first, ids = line_words(lines)
+                row, number, h, first = line_words(b.column(1))
+                ids = line_ids(h, first)
                 doc = b.column(0).to_numpy(zero_copy_only=False)[row]
                 some = np.flatnonzero(np.diff(first))
-                if open_words is not None:  # a line that posts no such word need not be sorted
-                    some = some[np.add.reduceat(_has(useful, h), first[some], dtype=np.int64) > 0] if len(some) else some
                 one = some[np.lexsort((number[some], doc[some], ids[some]))]  # the first place of each line
                 one = np.sort(one[np.concatenate([[True], ids[one][1:] != ids[one][:-1]])[:len(one)]])
                 if not len(one):
                     continue
                 count = np.diff(first)[one]
                 own = np.repeat(first[one] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                words, first = word_sets(h[own], np.concatenate([[0], np.cumsum(count)]), rank.value)
-                ids, doc, number = ids[one], doc[one], number[one]
-                size = np.diff(first)
-                bits = mix(words)
-                half, bit = (bits >> U64(6)) & U64(1) == 1, U64(1) << (bits & U64(63))
-                # parity of each of 128 bits: two sets differ in as many words at least
-                sketch = [np.bitwise_xor.reduceat(np.where(half, U64(0), bit), first[:-1]), np.bitwise_xor.reduceat(np.where(half, bit, U64(0)), first[:-1])]
-                k = size - need(size, t) + 1
-                src = np.repeat(np.arange(len(size)), k)
-                pos = np.arange(len(src)) - np.repeat(np.cumsum(k) - k, k)
-                word = words[first[src] + pos]
-                keep = _has(useful, word)
-                src, pos, word = src[keep], pos[keep], word[keep]
-                p = np.empty(len(src), POST)
-                p["word"], p["line"], p["size"], p["pos"] = word, ids[src], size[src], pos
-                p["s1"], p["s2"] = sketch[0][src], sketch[1][src]
-                p["doc"], p["num"] = doc[src], number[src]
-                part = (mix(p["word"]) % U64(parts)).astype(np.int64)
-                at = np.argsort(part, kind="stable")
-                p, edge = p[at], np.searchsorted(part[at], np.arange(parts + 1))
-                own = [i for i in range(parts) if edge[i] < edge[i + 1]]
-                yield pa.RecordBatch.from_pydict({"part": pa.array(own, pa.int32()),
-                                                  "posts": pa.array([p[edge[i]:edge[i + 1]].tobytes() for i in own], pa.binary())})
-
-    def meet(rows: pa.Table) -> pa.Table:
-        p = np.concatenate([np.frombuffer(x, POST) for x in rows["posts"].to_pylist()])
-        p = p[np.lexsort((p["num"], p["doc"], p["line"], p["size"], p["word"]))]
-        new = np.ones(len(p), bool)
-        new[1:] = (p["word"][1:] != p["word"][:-1]) | (p["line"][1:] != p["line"][:-1])
-        p = p[new]
-        begin = np.flatnonzero(np.concatenate([[True], p["word"][1:] != p["word"][:-1]]))
-        n = np.diff(np.append(begin, len(p)))
-        got = _within(p[np.repeat((n > 1) & (n <= LONG), n)], t, None if open_bits is None else open_bits.value)
-        cut = [(int(p["word"][b].view(np.int64)), i, int(p["size"][at]), int(p["size"][min(at + LONG, b + m) - 1]), p[at:min(at + LONG, b + m)].tobytes())
-               for b, m in zip(begin[n > LONG].tolist(), n[n > LONG].tolist()) for i, at in enumerate(range(b, b + m, LONG))]
-        cols = [pa.concat_arrays([pa.array(got[c]), pa.nulls(len(cut), pa.int64())]) for c in ("a", "b", "far")]
-        for c, kind in enumerate((pa.int64(),) * 4 + (pa.binary(),)):
-            cols.append(pa.concat_arrays([pa.nulls(len(got), kind), pa.array([x[c] for x in cut], kind)]))
-        return pa.Table.from_arrays(cols, ["a", "b", "far", "word", "block", "low", "high", "posts"])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for same, x, y in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                x, y, bits = np.frombuffer(x, POST), np.frombuffer(y, POST), None if open_bits is None else open_bits.value
-                got = _within(x, t, bits) if same else _between(x, y, t, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(got[c]) for c in ("a", "b", "far")], ["a", "b", "far"])
+                words, first = word_sets(h[own], np.append(0, np.cumsum(count)), rank.value)
+                out = postings(words, first, ids[one], doc[one], number[one], twice.value, t, parts)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([i for i, _ in out], pa.int32()),
+                                                  "posts": pa.array([_packed(p) for _, p in out], pa.binary())})
 
-    met = save(docs.select("doc_id", "text").mapInArrow(post, "part int, posts binary").groupBy("part")
-               .applyInArrow(meet, "a long, b long, far long, word long, block long, low long, high long, posts binary"), "lines-met")
-    blocks = met.where("posts is not null")
-    x, y = (blocks.select("word", *(F.col(c).alias(c + side) for c in ("block", "low", "high", "posts"))) for side in ("_x", "_y"))
-    wide = (x.join(y, "word").where((F.col("block_x") <= F.col("block_y")) & (F.col("low_y") * (t - 1e-9) <= F.col("high_x")))
-            .select((F.col("block_x") == F.col("block_y")).alias("same"), F.col("posts_x").alias("x"), F.col("posts_y").alias("y"))
-            .repartition(slots(docs.sparkSession)).mapInArrow(across, "a long, b long, far long"))
-    pairs = met.where("posts is null").select("a", "b", "far").unionByName(wide)
-    if open_bits is not None:
-        return pairs.select("a", "b").distinct()
-    return pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("near")).select("near.a", "b")
+    met = meeting(docs.select("doc_id", "text").mapInArrow(post, "part int, posts binary"), t, False, "lines-met")
+    told = save(met.groupBy("b").agg(F.min(F.when(F.col("far") >= 0, F.struct("far", "a"))).alias("near"), F.collect_set("a").alias("seen"))
+                .select("b", "near.a", F.array_except("seen", F.array("b")).alias("seen")), "lines-candidates")
+    ends = told.select(F.col("b").alias("line")).unionByName(told.select(F.explode("seen").alias("line"))).distinct()
+    return told.where("a is not null").select("a", "b"), ends
 
 
 def late_lines(docs: DataFrame, home: DataFrame, rank, twice, t: float) -> DataFrame:
     """``(line)``: ids of lines that have an earlier line with Jaccard ``t`` or more.
 
     Two rounds, so that a group of many near copies costs one pair per member: first each line meets the nearest earlier
-    one; lines that this leaves open (bitmaps of fixed size tell which, and the words they post) then meet all
-    earlier ones.  No link that decides a line is lost.
+    one; lines that this leaves open (a bitmap of fixed size tells which words they post) then meet all earlier ones
+    among the lines that passed the filters with some line, with whole sets at hand.  No link that decides a line is lost.
     """
-    context = docs.sparkSession.sparkContext
-    cand = save(candidates(docs, rank, twice, t), "lines-candidates")
-    near, sets = similar(docs, home, rank, t, cand)
-    late = save(near.select(F.col("b").alias("line")).distinct(), "lines-late")
-    left = save(cand.select(F.col("b").alias("line")).distinct().join(late, "line", "left_anti"), "lines-left")
+    spark = docs.sparkSession
+    cand, ends = candidates(docs, rank, twice, t)
+    near, sets = similar(docs, home, rank, t, cand, ends)
+    judged = save(cand.select(F.col("b").alias("line")).join(near.select(F.col("b").alias("line"), F.lit(True).alias("late")), "line", "left"), "lines-judged")
+    late, left = judged.where("late").select("line"), judged.where("late is null").select("line")
+    own = save(sets.join(left.withColumn("open", F.lit(True)), "line", "left").withColumn("open", F.coalesce("open", F.lit(False))), "lines-open")
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.frombuffer(x, U64) for x in b.column(0).to_pylist()]
-            bits = [_spot(x[:len(x) - int(need(len(x), t)) + 1]) for x in own]
+            held = [np.frombuffer(x, U64) for x in b.column(0).to_pylist()]
+            bits = [_spot(x[:len(x) - int(need(len(x), t)) + 1]) for x in held]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))], ["bit"])
 
-    posted = sets.join(left, "line").select("words").mapInArrow(prefix, "bit long")
-    words = context.broadcast(bitmap_of(posted, F.col("bit")))
-    bits = context.broadcast(bitmap_of(left, F.pmod(F.col("line"), F.lit(MARK_BITS))))
-    more = save(candidates(docs, rank, twice, t, bits, words).join(left.withColumnRenamed("line", "b"), "b", "left_semi").select("a", "b"), "lines-open")
-    return late.unionByName(similar(docs, home, rank, t, more)[0].select(F.col("b").alias("line"))).distinct()
-
+    useful = spark.sparkContext.broadcast(bitmap_of(own.where("open").select("words").mapInArrow(prefix, "bit long"), F.col("bit")))
+    marks = spark.sparkContext.broadcast(bitmap_of(own.where("open"), F.pmod(F.col("line"), F.lit(MARK_BITS))))
+    parts = max(16, slots(spark))
 
-def similar(docs: DataFrame, home: DataFrame, rank, t: float, cand: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs ``(a, b)`` of ``cand`` whose sets have Jaccard ``t`` or more, and ``(line, words)`` of all its lines."""
-    ends = cand.select(F.col("a").alias("line")).unionByName(cand.select(F.col("b").alias("line"))).distinct()
+    def posted(rows: DataFrame, whole: bool) -> DataFrame:
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                words = b.column(1).to_pylist()
+                ids, doc, num = (b.column(c).to_numpy() for c in (0, 2, 3))
+                first = np.append(0, np.cumsum([len(x) // 8 for x in words]))
+                out = postings(np.frombuffer(b"".join(words), U64), first, ids, doc, num, useful.value, t, parts)
+                held, order = pa.Table.from_batches([b.select([0, 4, 1])]), np.argsort(ids)
+                at = [order[np.searchsorted(ids, np.unique(p["line"]), sorter=order)] for _, p in out]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([i for i, _ in out], pa.int32()), "posts": pa.array([_packed(p) for _, p in out], pa.binary()),
+                                                  "sets": pa.array([_told(held.take(pa.array(x))) if whole else None for x in at], pa.binary())})
+        return rows.select("line", "words", "doc", "num", "open").mapInArrow(post, "part int, posts binary, sets binary")
+
+    # the lines that pass the filters with an open later line: only their sets travel
+    met = meeting(posted(own, False), t, False, "lines-met-open", marks)
+    few = own.join(met.select(F.col("a").alias("line")).unionByName(met.select(F.col("b").alias("line"))).distinct(), "line")
+    return late.unionByName(meeting(posted(few, True), t, True, "lines-settled").select(F.col("a").alias("line"))).distinct()
+
+
+def similar(docs: DataFrame, home: DataFrame, rank, t: float, cand: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, b)`` of ``cand`` whose sets have Jaccard ``t`` or more, and ``(line, words, doc, num)`` of all lines of ``ends``."""
     # whole sets are read from the first place of each line that passed the filters
     where = save(ends.join(home, "line").select("line", "home.doc_id", "home.tid", F.struct("home.number", "line").alias("at")), "lines-wanted")
 
     def sets(b: pa.RecordBatch, wanted: list) -> pa.RecordBatch:
-        own = [(p["line"], text.split("\n")[p["number"]]) for text, at in zip(b.column(b.schema.get_field_index("text")).to_pylist(), wanted)
+        own = [(p["line"], text.split("\n")[p["number"]], doc, p["number"])
+               for doc, text, at in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), b.column(b.schema.get_field_index("text")).to_pylist(), wanted)
                for p in at or ()]
-        h, first, _ = line_words(pa.array([x for _, x in own], pa.string()))
+        _, _, h, first = line_words(pa.array([x[1] for x in own], pa.string()))
         words, first = word_sets(h, first, rank.value)
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()),
-                                           pa.array([words[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())],
-                                          ["line", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()),
+                                           pa.array([words[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary()),
+                                           pa.array([x[2] for x in own], pa.int64()), pa.array([x[3] for x in own], pa.int32())],
+                                          ["line", "words", "doc", "num"])
 
-    full = save(edit_texts(docs, where, "at", sets, "line long, words binary").dropDuplicates(["line"]), "lines-sets")
+    full = save(edit_texts(docs, where, "at", sets, "line long, words binary, doc long, num int").dropDuplicates(["line"]), "lines-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,9 +3,12 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +293,38 @@ def test_line_hash_is_of_kept_text(spark):
     from spanlake.llm.op2_substring import remove_repeats
     r = remove_repeats(spark.createDataFrame([(1, " A\tb\n c ")], "doc_id long, text string")).first()
     assert r.kept == "A b c" and r.kept_sha256 == hashlib.sha256(b"A b c").hexdigest()
+
+
+def test_lines_under_the_threshold_cost_one_row_each(spark, monkeypatch):
+    from spanlake.llm import op3_lines
+    rng = random.Random(5)
+    base, pool = [f"base{k}" for k in range(40)], [f"pool{k}" for k in range(30)]
+    lines = [" ".join(base + rng.sample(pool, 10)) for _ in range(150)]
+    told, plain = {}, op3_lines.save
+
+    def counted(df, name, *more):
+        out = plain(df, name, *more)
+        told[name] = out.count()
+        return out
+
+    monkeypatch.setattr(op3_lines, "save", counted)
+    got = {r.doc_id: r.text for r in op3_lines.drop_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), 0.8).collect()}
+    sets = [set(x.split()) for x in lines]
+    want = {i: "" if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i)) else x for i, x in enumerate(lines)}
+    assert got == want and 0 < sum(x == "" for x in want.values()) < 150
+    assert told["lines-open"] <= 150
+
+
+def test_line_words_are_those_of_each_line():
+    from spanlake.llm.op3_lines import line_ids, line_words
+    texts = [None, "", "\n", "A b\n\nc", "x\n", " tab\tbed ", "é Ünder\x0bflow", "longer-than-eight-bytes LONGER-THAN-EIGHT-BYTES", "longer-than-eight-bytez", "c"]
+    row, number, h, first = line_words(pa.array(texts, pa.string()))
+    lines = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
+    assert [(i, k) for i, k, _ in lines] == list(zip(row.tolist(), number.tolist()))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x) for _, _, x in lines]
+    words = [["".join(c.lower() if c.isascii() else c for c in w) for w in x] for x in words]
+    assert [len(x) for x in words] == np.diff(first).tolist()
+    flat = [w for x in words for w in x]
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+    ids = line_ids(h, first).tolist()
+    assert len({*zip(map(tuple, words), ids)}) == len({*map(tuple, words)}) == len({*ids})
