@@ -38,6 +38,7 @@ ENTRY = struct.Struct("<IIIIQqq")
 FOOT = struct.Struct("<II")
 SKIP, MAGIC = 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
+SLICE = 3 << 20  # bytes of text encoded at a time
 
 
 def store_of(path: str):
@@ -133,7 +134,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
         with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
             w = Writer(out, frame_bytes, level)
             for batch in batches:
-                for b in slices(batch, "text", 6 << 20):
+                for b in slices(batch, "text", SLICE):
                     for doc_id, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1))):
                         w.add(doc_id, ids + end)
             w.close()

@@ -3,8 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct piece is encoded
 once per Python worker, and the ids of the pieces are joined.  Texts with white space for which
 such a cut is not certain are encoded whole, so ids always equal those of ``Tokenizer.encode``.
-The cache holds about ``CACHE`` pieces.  Word-level it starts anew when full; byte-level it has two halves: when the
-younger one is full it becomes the older one, and pieces that are asked for again are carried over, so frequent ones stay.
+The cache holds about ``CACHE`` pieces in two halves: when the younger one is full it becomes the older one, and pieces that
+are asked for again are carried over, so frequent ones stay.  Word-level, letters and the ASCII marks after them are two pieces.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .text import SPACE as BLANK
 from .text import raw_bytes, split_words
 
 CACHE = 400_000
-TOGETHER = 50
+TOGETHER = 200
 RUN = 50  # byte-level pieces encoded as one text
 _LOADED: dict[str, "Ids"] = {}
 # Byte-level files: a space starts the piece after it and a line end is a piece, unless three white-space
@@ -29,6 +29,14 @@ _BYTE_ODD = re.compile(r"\s\s(?:\s|\Z)|[^\S\t-\r ]")
 # Word-level files drop white space and lower-case; a capital sigma is lower-cased by position in Python only.
 _WORD_ODD = re.compile(r"[^\S\t-\r ]|\u03a3")
 _TAIL = ".,!?;:%$#&*|"
+MARK = np.zeros(256, bool)
+MARK[np.frombuffer(_TAIL.encode(), np.uint8)] = True
+# bytes of letters: a-z and the first byte of U+00C0 to U+00FF (second bytes: all but those of the two signs among them)
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x61, 0x7B), 0xC3]] = True
+SECOND = np.zeros(256, bool)
+SECOND[0x80:0xC0] = True
+SECOND[[0x97, 0xB7]] = False
 # first bytes of all white space beyond 0x20 and 0x09-0x0D, and of the capital sigma
 RARE_BYTE = np.zeros(256, bool)
 RARE_BYTE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -50,8 +58,7 @@ class Ids:
         # the first token of a piece that starts with a space, or the last token of a word
         self.edge = np.array([n.endswith("</w>") if self.words else n.startswith("\u0120") for n in names])
         self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # byte-level: the older half of the cache
-        self.inner: dict[str, bytes] = {}  # word-level: pieces in lower case
+        self.older: dict[str, bytes] = {}  # the older half of the cache
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,8 +76,9 @@ class Ids:
             raw, off = raw_bytes(pc.if_else(pa.array(mask), pa.scalar("", arr.type), arr))
         if self.words:
             w = split_words(pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(raw))]), lower=True)
-            place, data = w.first, w.data[~BLANK[w.data]]
-            at = np.append(0, np.cumsum(w.ends - w.starts))
+            data, words = w.data[~BLANK[w.data]], np.append(0, np.cumsum(w.ends - w.starts))
+            at = np.sort(np.concatenate([words, _mark_cuts(data, words)]))
+            place = np.searchsorted(at, words[w.first])
         else:
             begin = (raw == 0x20) | (raw == 0x0A)
             begin[off[:-1][off[:-1] < len(raw)]] = True
@@ -104,21 +112,8 @@ class Ids:
         odd = _WORD_ODD if self.words else _BYTE_ODD
         return [i for i in rows.tolist() if odd.search(arr[i].as_py())]
 
-    def _pieces(self, cut: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, known = self.cache, self.inner
-        new = [p for p in cut if p not in cache]
-        bare = [p if p.isascii() else p.lower() for p in new]
-        self._learn({*bare} - known.keys())
-        cache.update(zip(new, [known[p] for p in bare]))
-        known.clear()  # what it holds is in the cache
-        return [cache[p] for p in cut]
-
-    def _spaced(self, cut: list[str], plain: np.ndarray) -> list[bytes]:
-        """Ids of distinct byte-level pieces.  A space before other text starts a pre-token, and only first tokens of such hold it:
-        ``plain`` pieces are encoded many as one text and told apart by their first tokens."""
+    def _known(self, cut: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """Ids of distinct pieces as far as the cache holds them, and the places of those it does not hold."""
         if len(self.cache) > CACHE // 2:
             self.older, self.cache = self.cache, {}
         young, old = self.cache, self.older
@@ -132,6 +127,23 @@ class Ids:
                     new.append(i)
                 else:
                     out[i] = young[p] = ids
+        return out, new
+
+    def _pieces(self, cut: list[str]) -> list[bytes]:
+        """Ids of distinct words and parts of words."""
+        out, new = self._known(cut)
+        young = self.cache
+        bare = [p if p.isascii() else p.lower() for p in (cut[i] for i in new)]
+        known = self._learn({*bare})
+        for i, p in zip(new, bare):
+            out[i] = young[cut[i]] = known[p]
+        return out
+
+    def _spaced(self, cut: list[str], plain: np.ndarray) -> list[bytes]:
+        """Ids of distinct byte-level pieces.  A space before other text starts a pre-token, and only first tokens of such hold it:
+        ``plain`` pieces are encoded many as one text and told apart by their first tokens."""
+        out, new = self._known(cut)
+        young = self.cache
         at = np.array(new, np.int64)
         alike, rest = at[plain[at]].tolist(), at[~plain[at]].tolist()
         for at in range(0, len(alike), 400 * RUN):
@@ -155,12 +167,12 @@ class Ids:
                 out[i] = young[cut[i]] = line + ids if cut[i][:1] == "\n" else ids
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of new words.  Letters followed by ASCII marks are cut between the two by the
         pre-tokenizer; pieces of letters are encoded some at a time and told apart by their last tokens."""
-        known = self.inner
-        cut = {p: p.rstrip(_TAIL) for p in pieces}
-        cores = [c for c in {*cut.values()} if c.isalpha() and c not in known]
+        known: dict[str, bytes] = {}
+        mixed = {p: p.rstrip(_TAIL) for p in pieces if not p.isalpha()}
+        cores = [*{*(p for p in pieces if p not in mixed), *(c for c in mixed.values() if c.isalpha())}]
         groups = [cores[at:at + TOGETHER] for at in range(0, len(cores), TOGETHER)]
         for at in range(0, len(groups), 200):
             some = groups[at:at + 200]
@@ -177,16 +189,30 @@ class Ids:
                     known.update(zip(part, self._whole(part)))
         tails: dict[str, bytes] = {}
         rest = []
-        for p, core in cut.items():
-            if p not in known:
-                if core.isalpha():
-                    tail = p[len(core):]
-                    if tail not in tails:
-                        tails[tail] = self._whole([tail])[0]
-                    known[p] = known[core] + tails[tail]
-                else:
-                    rest.append(p)
+        for p, core in mixed.items():
+            if core.isalpha():
+                tail = p[len(core):]
+                if tail not in tails:
+                    tails[tail] = self._whole([tail])[0]
+                known[p] = known[core] + tails[tail]
+            else:
+                rest.append(p)
         known.update(zip(rest, self._whole(rest)))
+        return known
+
+
+def _mark_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places in words (``data[at[i]:at[i + 1]]``, A-Z lower-cased) between letters, nothing else before them, and the ASCII marks that
+    end the word: there the word-level pre-tokenizer always cuts."""
+    letter, mark = LETTER[data], MARK[data]
+    letter[1:] |= SECOND[data[1:]] & (data[:-1] == 0xC3)
+    spoilt = ~letter & ~mark  # the byte's word is left whole
+    spoilt[1:] |= mark[:-1] & letter[1:]
+    spoilt[at[:-1]] = ~letter[at[:-1]]
+    cut = np.flatnonzero(letter[:-1] & mark[1:]) + 1
+    total = np.append(0, np.cumsum(spoilt))
+    word = np.searchsorted(at, cut, side="right") - 1
+    return cut[(at[word] != cut) & (total[at[word + 1]] == total[at[word]])]
 
 
 def _plain(pieces: pa.Array) -> np.ndarray:
