@@ -7,8 +7,8 @@ the shared one on both sides) and a parity-sketch filter (a lower bound of the s
 exact Jaccard is taken from their whole sets.  A line goes if an earlier line, by ``(doc_id, line number)``, has
 Jaccard ``t`` or more with it; lines are judged on the input.
 
-Rarity is the corpus count of a word's hash bucket (2^22 of them: a table of fixed size), ties by hash: any order that
-all lines share keeps the prefix filter exact, and this one puts rare words first.  A word that a bitmap of fixed size
+Rarity is the corpus count of a word's hash bucket (2^22 of them: a table of fixed size) in steps of an eighth, one byte each, ties
+by hash: any order that all lines share keeps the prefix filter exact, and this one puts rare words first.  A word that a bitmap of fixed size
 knows to occur once in the corpus is not posted: nobody can share it.
 
 A line needs one earlier similar line, not all.  So each list names, for every member, the earlier member that its sketch says
@@ -164,8 +164,30 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
 
-def word_ranks(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The rarity rank of each of ``BUCKETS`` word buckets over all documents, and which words may occur more than once."""
+def levels(n: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, six steps an octave: a larger count never has a smaller byte."""
+    return np.minimum(np.log2(n + 1.0) * 6, 255).astype(np.uint8)
+
+
+class Ranks:
+    """The rarity rank of each word bucket, worked out from the levels of their counts where it is first asked for."""
+
+    def __init__(self, level: np.ndarray):
+        self.level, self._rank = level, None
+
+    def __getstate__(self):
+        return {"level": self.level, "_rank": None}
+
+    def table(self) -> np.ndarray:
+        if self._rank is None:
+            rank = np.empty(len(self.level), np.int32)
+            rank[np.argsort(self.level, kind="stable")] = np.arange(len(self.level), dtype=np.int32)
+            self._rank = rank
+        return self._rank
+
+
+def word_ranks(read: DataFrame) -> tuple[Ranks, np.ndarray]:
+    """The rarity of each of ``BUCKETS`` word buckets over all documents, and which words may occur more than once."""
     size, bits = 4 * BUCKETS // SPLIT, MARK_BITS // SPLIT // 8
 
     def add(df: pd.DataFrame) -> pd.DataFrame:
@@ -177,15 +199,13 @@ def word_ranks(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             here = np.frombuffer(raw, np.uint8, bits, size)
             twice |= np.frombuffer(raw, np.uint8, bits, size + bits) | (once & here)
             once |= here
-        return pd.DataFrame({"number": [df["number"].iloc[0]], "n": [n.tobytes()], "twice": [twice.tobytes()]})
+        return pd.DataFrame({"number": [df["number"].iloc[0]], "level": [levels(n).tobytes()], "twice": [twice.tobytes()]})
 
-    n, twice = np.zeros((SPLIT, BUCKETS // SPLIT), np.int64), np.zeros((SPLIT, bits), np.uint8)
-    for r in read.where("line is null").select("number", "n").groupBy("number").applyInPandas(add, "number int, n binary, twice binary").collect():
-        n[r.number] = np.frombuffer(bytes(r.n), np.int64)  # SPLIT rows: tables of fixed size
-        twice[r.number] = np.frombuffer(bytes(r.twice), np.uint8)
-    rank = np.empty(BUCKETS, np.int32)
-    rank[np.argsort(n.ravel(), kind="stable")] = np.arange(BUCKETS)
-    return rank, twice.ravel()
+    level, twice = np.zeros((SPLIT, BUCKETS // SPLIT), np.uint8), np.zeros((SPLIT, bits), np.uint8)
+    for r in read.where("line is null").select("number", "n").groupBy("number").applyInPandas(add, "number int, level binary, twice binary").collect():
+        level[r.number] = np.frombuffer(r.level, np.uint8)  # SPLIT rows: tables of fixed size, 8 MB together
+        twice[r.number] = np.frombuffer(r.twice, np.uint8)
+    return Ranks(level.ravel()), twice.ravel()
 
 
 def need(size, t: float):
@@ -234,24 +254,25 @@ def _nearest(found: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Whole sets of some lines, the open ones among them marked, from packed rows ``(line, open, words)``."""
+    """Whole sets of some lines, the open ones among them marked, from rows of ``_told``."""
 
     def __init__(self, rows: list[bytes]):
-        tables = [pa.ipc.open_stream(x).read_all() for x in rows]
-        table = pa.concat_tables(tables).combine_chunks()
-        line = table["line"].to_numpy()
+        parts = [_read(x) for x in rows]
+        names = np.concatenate([x[3] for x in parts])
+        self.names, to = np.unique(names, return_inverse=True)
+        begin = np.cumsum([0, *(len(x[3]) for x in parts)])
+        flat = np.concatenate([to[at:at + len(x[3])][x[4]] for at, x in zip(begin.tolist(), parts)])
+        line, size = np.concatenate([x[0] for x in parts]), np.concatenate([x[2] for x in parts])
         self.line, at = np.unique(line, return_index=True)
-        self.table = table.take(pa.array(at))
-        self.open = self.table["open"].to_numpy(zero_copy_only=False)
-        words = self.table["words"].to_pylist()
-        size = np.array([len(x) // 8 for x in words], np.int64)
-        self.first = np.append(0, np.cumsum(size))
-        names, self.flat = np.unique(np.frombuffer(b"".join(words), U64), return_inverse=True)
-        self.mark = np.zeros(len(names), bool)
+        self.open = np.concatenate([x[1] for x in parts])[at]
+        self.flat = flat[_runs((np.cumsum(size) - size)[at], size[at])]
+        self.first = np.append(0, np.cumsum(size[at]))
+        self.mark = np.zeros(len(self.names), bool)
+        self.whole = self.line, self.open.copy(), self.first, self.names, self.flat
 
     def some(self, line: np.ndarray) -> bytes:
         """The sets of some of the lines, packed."""
-        return _told(self.table.take(pa.array(np.searchsorted(self.line, np.unique(line)))))
+        return _told(*self.whole, np.searchsorted(self.line, np.unique(line)))
 
     def late(self, found: np.ndarray, t: float) -> np.ndarray:
         """Which later lines of pairs are open and have Jaccard ``t`` or more with the earlier one."""
@@ -267,7 +288,7 @@ class Sets:
             self.mark[own] = True
             some = np.unique(a[x:y])
             size = self.first[some + 1] - self.first[some]
-            place = np.repeat(self.first[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            place = _runs(self.first[some], size)
             both = np.add.reduceat(self.mark[self.flat[place]], np.cumsum(size) - size, dtype=np.int64)
             self.mark[own] = False
             if np.any(both >= t * (len(own) + size - both) - 1e-9):
@@ -276,11 +297,39 @@ class Sets:
         return self.line[out]
 
 
-def _told(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``begin[i]`` up to ``begin[i] + size[i]``, one run after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _told(line: np.ndarray, open_: np.ndarray, first: np.ndarray, names: np.ndarray, flat: np.ndarray, at: np.ndarray) -> bytes:
+    """The sets of lines ``at``, packed: their distinct words once, in order and by differences, the sets as places among them."""
+    from zstandard import ZstdCompressor
+    size = np.diff(first)[at]
+    some, place = np.unique(flat[_runs(first[:-1][at], size)], return_inverse=True)
+    told = names[some]
+    told = np.diff(told, prepend=told[:1] * 0)
+    body = [np.array([len(at), len(told), len(place)], "<u8").tobytes(), _planes(line[at], "<i8"), open_[at].astype(np.uint8).tobytes(),
+            _planes(size, "<u4"), _planes(told, "<u8"), _planes(place, "<u4")]
+    return ZstdCompressor(level=1).compress(b"".join(body))
+
+
+def _read(row: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(lines, open, sizes, words, places)`` of a row of ``_told``."""
+    from zstandard import ZstdDecompressor
+    raw = ZstdDecompressor().decompress(row)
+    n, words, places = (int(x) for x in np.frombuffer(raw, "<u8", 3))
+    at, out = 24, []
+    for count, kind in ((n, "<i8"), (n, "u1"), (n, "<u4"), (words, "<u8"), (places, "<u4")):
+        wide = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, count * wide, at).reshape(wide, count)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += count * wide
+    return out[0], out[1] > 0, out[2].astype(np.int64), np.cumsum(out[3], dtype=U64), out[4].astype(np.int64)
 
 
 def _open(found: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
@@ -362,7 +411,14 @@ def postings(words: np.ndarray, first: np.ndarray, ids: np.ndarray, doc: np.ndar
 def _lists(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings by word, then size, each line once a list, at its first place; where lists begin and how long they are."""
     p = _unpacked(rows)
-    p = p[np.lexsort((p["line"], p["size"], p["word"]))]
+    key = p["word"] << U64(24) | np.minimum(p["size"], (1 << 24) - 1).astype(U64)  # words are named by 40 bits
+    at = np.argsort(key)
+    key = key[at]
+    same = np.append(key[1:] == key[:-1], False)
+    same[1:] |= same[:-1].copy()
+    ties = np.flatnonzero(same)
+    at[ties] = at[ties][np.lexsort((p["line"][at[ties]], p["size"][at[ties]], key[ties]))]
+    p = p[at]
     new = np.append(True, (p["word"][1:] != p["word"][:-1]) | (p["line"][1:] != p["line"][:-1]))[:len(p)]
     again = np.flatnonzero(~new)
     if len(again):  # a line that came from several slices of texts
@@ -374,6 +430,19 @@ def _lists(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p, begin, np.diff(np.append(begin, len(p)))
 
 
+def _together(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.Table]:
+    """Batches with a row put together to tables of about ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.nbytes for x in held) >= limit:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def meeting(rows: DataFrame, t: float, exact: bool, name: str, marks=None) -> DataFrame:
     """Lists of ``rows(part, posts[, sets])``: ``(a, b, far)`` of the nearest earlier line a list knows for each later one, and lines
     that are no such pair's end (``far`` -1); with ``exact``, open lines that prove late as ``a``.  With ``marks``, pairs of marked later lines only."""
@@ -430,7 +499,7 @@ def candidates(docs: DataFrame, rank, twice, t: float) -> tuple[DataFrame, DataF
                     continue
                 count = np.diff(first)[one]
                 own = np.repeat(first[one] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                words, first = word_sets(h[own], np.append(0, np.cumsum(count)), rank.value)
+                words, first = word_sets(h[own], np.append(0, np.cumsum(count)), rank.value.table())
                 out = postings(words, first, ids[one], doc[one], number[one], twice.value, t, parts)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([i for i, _ in out], pa.int32()),
                                                   "posts": pa.array([_packed(p) for _, p in out], pa.binary())})
@@ -468,17 +537,19 @@ def late_lines(docs: DataFrame, home: DataFrame, rank, twice, t: float) -> DataF
 
     def posted(rows: DataFrame, whole: bool) -> DataFrame:
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                words = b.column(1).to_pylist()
-                ids, doc, num = (b.column(c).to_numpy() for c in (0, 2, 3))
+            for b in _together(batches):
+                words = b.column("words").to_pylist()
+                ids, doc, num, open_ = (b.column(c).to_numpy() for c in ("line", "doc", "num", "open"))
                 first = np.append(0, np.cumsum([len(x) // 8 for x in words]))
-                out = postings(np.frombuffer(b"".join(words), U64), first, ids, doc, num, useful.value, t, parts)
-                held, order = pa.Table.from_batches([b.select([0, 4, 1])]), np.argsort(ids)
-                at = [order[np.searchsorted(ids, np.unique(p["line"]), sorter=order)] for _, p in out]
+                flat = np.frombuffer(b"".join(words), U64)
+                out = postings(flat, first, ids, doc, num, useful.value, t, parts)
+                sets = [None] * len(out)
+                if whole:
+                    names, place = np.unique(flat, return_inverse=True)
+                    order = np.argsort(ids)
+                    sets = [_told(ids, open_, first, names, place, order[np.searchsorted(ids, np.unique(p["line"]), sorter=order)]) for _, p in out]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([i for i, _ in out], pa.int32()), "posts": pa.array([_packed(p) for _, p in out], pa.binary()),
-                                                  "sets": pa.array([_told(held.take(pa.array(x))) if whole else None for x in at], pa.binary())})
+                                                  "sets": pa.array(sets, pa.binary())})
         return rows.select("line", "words", "doc", "num", "open").mapInArrow(post, "part int, posts binary, sets binary")
 
     # the lines that pass the filters with an open later line: only their sets travel
@@ -497,7 +568,7 @@ def similar(docs: DataFrame, home: DataFrame, rank, t: float, cand: DataFrame, e
                for doc, text, at in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), b.column(b.schema.get_field_index("text")).to_pylist(), wanted)
                for p in at or ()]
         _, _, h, first = line_words(pa.array([x[1] for x in own], pa.string()))
-        words, first = word_sets(h, first, rank.value)
+        words, first = word_sets(h, first, rank.value.table())
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()),
                                            pa.array([words[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary()),
                                            pa.array([x[2] for x in own], pa.int64()), pa.array([x[3] for x in own], pa.int32())],

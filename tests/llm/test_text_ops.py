@@ -328,3 +328,34 @@ def test_line_words_are_those_of_each_line():
     assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
     ids = line_ids(h, first).tolist()
     assert len({*zip(map(tuple, words), ids)}) == len({*map(tuple, words)}) == len({*ids})
+
+
+def test_sets_travel_as_places_among_their_words():
+    from spanlake.llm.op3_lines import Sets, _told
+    rng = np.random.default_rng(3)
+    pool = np.sort(rng.integers(1, 1 << 63, 3000).astype(np.uint64))
+    held = [pool[np.sort(rng.choice(3000, rng.integers(1, 90), replace=False))] for _ in range(2000)]
+    line = rng.permutation(1 << 20)[:2000].astype(np.int64) * 7 - (1 << 21)
+    first, is_open = np.append(0, np.cumsum([len(x) for x in held])), rng.random(2000) < 0.2
+    names, place = np.unique(np.concatenate(held), return_inverse=True)
+    rows = [_told(line, is_open, first, names, place, np.arange(a, b)) for a, b in ((0, 1200), (900, 2000), (5, 6))]
+    assert 2 * sum(map(len, rows)) < 8 * len(place)  # 8 bytes a word before
+    got = Sets(rows)
+    again = Sets([got.some(line[:700]), got.some(line[500:])])
+    for sets in (got, again):
+        assert sets.line.tolist() == sorted(line.tolist())
+        for i, at in enumerate(np.argsort(line)):
+            assert (sets.names[sets.flat[sets.first[i]:sets.first[i + 1]]] == held[at]).all() and sets.open[i] == is_open[at]
+
+
+def test_word_ranks_reach_the_driver_as_a_byte_a_bucket(spark):
+    """The table of ranks is worked out where it is used; what the driver receives, holds and sends is its levels."""
+    import pickle
+    from spanlake.llm import op3_lines
+    rows = [(i, 0, " ".join(["the"] * 40 + [f"w{i % 7}", f"rare{i}"])) for i in range(300)]
+    told, twice = op3_lines.word_ranks(op3_lines.read_lines(spark.createDataFrame(rows, "doc_id long, tid long, text string")))
+    assert len(pickle.dumps(told)) < op3_lines.BUCKETS + 1000 and len(twice) == op3_lines.MARK_BITS // 8
+    _, _, h, _ = op3_lines.line_words(pa.array(["the w3 rare5"]))
+    rank = told.table()[(h >> op3_lines.LOW).astype(np.int64)]
+    assert rank[0] > rank[1] > rank[2] and (np.sort(told.table()) == np.arange(op3_lines.BUCKETS)).all()
+    assert len(pickle.dumps(told)) < op3_lines.BUCKETS + 1000
