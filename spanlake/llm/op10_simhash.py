@@ -89,7 +89,8 @@ def link_fingerprints(points: DataFrame, max_bits: int = 2) -> DataFrame:
     a = visits.select("cell", F.col("rep").alias("a"), F.col("fp").alias("fa"))
     b = visits.select("cell", F.col("rep").alias("b"), F.col("fp").alias("fb"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
-    return a.join(b, "cell").where(near).select("a", "b").distinct()
+    # never a broadcast: the planner sizes the visits like the points they are exploded from, 33 times too low
+    return a.join(b.hint("merge"), "cell").where(near).select("a", "b").distinct()
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id",

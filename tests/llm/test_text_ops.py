@@ -91,6 +91,14 @@ def test_links_at_every_distance(spark):
         link_fingerprints(df, 3)
 
 
+def test_link_join_is_no_broadcast(spark):
+    """A point visits 33 cells, which the planner's sizes leave out: small points must not send all visits to the driver."""
+    from spanlake.llm.op10_simhash import link_fingerprints
+    points = spark.createDataFrame([(i, i << 8) for i in range(50)], "rep long, fp long")
+    plan = link_fingerprints(points)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("window", [3, 7, 50])
 def test_substring(table, rows, empty, window):
     from spanlake.llm.op2_substring import remove_repeats
