@@ -103,3 +103,17 @@ def test_rules_are_planned_once_a_job(spark, monkeypatch):
     _, life = ST.run_ingest_lines(spark, root + "/in", max_events=2, root=root + "/job")
     assert life.count() == 7 and len(os.listdir(local + "/job/raw")) == 4
     assert len(calls) == 1
+
+
+def test_a_full_batch_is_read_by_all_slots(spark):
+    root = scratch_path(spark, "lines-spread")
+    _put(_local(root) + "/in", "a.json", ["{}"] * 3000, 1000)
+    tasks = []
+    q = (stream_json_lines(spark, root + "/in", 3000, max_wait_ms=0).writeStream
+         .foreachBatch(lambda b, i: tasks.append((b.rdd.getNumPartitions(), b.count())))
+         .option("checkpointLocation", root + "/checkpoint").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert tasks == [(min(6, spark.sparkContext.defaultParallelism), 3000)]

@@ -100,6 +100,37 @@ def test_facts_read_one_snapshot_and_few_batches(spark, monkeypatch):
     assert sorted(map(str, store.rows().select(facts.columns).collect())) == before and store.lifecycle().count() == life.count()
 
 
+def test_a_fact_is_written_again_once_a_level(spark):
+    """16 batches of one new id and one old: a compaction that gathers all there is each time writes 80 rows."""
+    store = FactStore(spark, scratch_path(spark, "levels"), compact_every=2)
+    for k in range(16):
+        t = dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)
+        rows = spark.createDataFrame([(2 * k, t, f"new-{k}", f"s{k}"), (2 * k + 1, t, "same", f"s{k}")],
+                                     "event_id long, created_at timestamp_ntz, id string, status string").coalesce(1)
+        events = rows.select("event_id", F.col("created_at").alias("received_at"))
+        store.apply(events, rows, events.withColumn("status", F.lit("PROCESSED")), k)
+    local = store.root[len("file:"):] if store.root.startswith("file:") else store.root
+    written = sum(spark.read.parquet(f).count() for f in glob.glob(local + "/snapshot/*"))
+    assert written == 48  # 3, 5, 3, 9, 3, 5, 3 and 17
+    now = store.manifest.read()
+    assert [now["batches"], now["runs"], len(now["life"]), *map(len, now["seen"].values())] == [[], [], 1, 1]
+    got = {r.id: (r.status, r.versions) for r in store.rows().collect()}
+    assert got == {"same": ("s15", 16), **{f"new-{k}": (f"s{k}", 1) for k in range(16)}}
+    assert store.lifecycle().select("event_id").distinct().count() == store.lifecycle().count() == 32
+    assert vacuum(spark, store.root) > 0 and store.rows().count() == 17 and store.lifecycle().count() == 32
+
+
+def test_levels_hold_few_runs():
+    from spanlake.streaming.stores import _gather, _level
+    runs, written = [], 0
+    for k in range(300):  # compactions of 8 batches each
+        stay, full, level = _gather(runs, 8)
+        size = 1 + sum(int(f.rsplit("=", 1)[1]) for f in full)
+        runs, written = [*stay, f"/level={level}-version={k}/n={size}"], written + size
+        assert all(sum(_level(f) == x for f in runs) < 8 for x in range(1, 5))
+    assert sum(int(f.rsplit("=", 1)[1]) for f in runs) == 300 and written <= 300 * 3
+
+
 def test_events_without_id_are_kept_and_repeats_fold_by_receive_time(spark):
     store = FactStore(spark, scratch_path(spark, "unseen"))
     t = dt.datetime(2024, 1, 1)
